@@ -54,6 +54,28 @@ def over_indices(n: int, fn) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), fn)
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once per row and pass it to ``fn`` as a lambda variable.
+
+    A lambda body that reads an outer array expression element by element would
+    otherwise re-evaluate that expression for every element."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
+def _is_plain(c: Column) -> bool:
+    """True for a bare column reference (cheap to read repeatedly)."""
+    return "(" not in str(c)
+
+
+def bound(col, fn) -> Column:
+    c = _c(col)
+    return fn(c) if _is_plain(c) else let(c, fn)
+
+
+def const_array(values, cast: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{cast}>")
+
+
 def pick(values, index: Column) -> Column:
     """values[index] for a Python list of constants and a 0-based column index."""
     if len(values) == 1:
@@ -76,7 +98,13 @@ def reshape_nested(col, spec: TensorSpec) -> Column:
 
     if len(shape) == 1:
         return c
-    return over_indices(shape[0], lambda k: build(k * F.lit(_total(shape[1:])), 1))
+
+    def nested(arr):
+        nonlocal c
+        c = arr
+        return over_indices(shape[0], lambda k: build(k * F.lit(_total(shape[1:])), 1))
+
+    return bound(col, nested)
 
 
 def flatten_nested(col, depth: int) -> Column:
@@ -110,42 +138,49 @@ def rescale(col, scale: float | None) -> Column:
 
 def permute(col, spec: TensorSpec, layout: str) -> Column:
     """Reorder axes, e.g. HWC -> CHW."""
-    c = _c(col)
     out_shape = tuple(spec.dim(a) for a in layout)
 
-    def at(i):
-        return F.get(c, flat_index(coords(i, layout, out_shape), spec.layout, spec.shape))
+    def body(c):
+        return over_indices(spec.size, lambda i: F.get(c, flat_index(coords(i, layout, out_shape), spec.layout,
+                                                                      spec.shape)))
 
-    return over_indices(spec.size, at)
+    return bound(col, body)
 
 
 def center_crop(col, spec: TensorSpec, crop) -> Column:
     """Centre crop of an image tensor (T9); layout is kept."""
-    c = _c(col)
     top, left, ch, cw = crop_offsets(spec.height, spec.width, crop)
     if ch > spec.height or cw > spec.width:
         raise ValueError("native centre crop does not pad; crop must fit the image")
     out = spec.with_(shape=tuple({"H": ch, "W": cw}.get(a, spec.dim(a)) for a in spec.layout))
 
-    def at(i):
-        p = coords(i, out.layout, out.shape)
-        p["H"] = p["H"] + F.lit(top)
-        p["W"] = p["W"] + F.lit(left)
-        return F.get(c, flat_index(p, spec.layout, spec.shape))
+    def body(c):
+        def at(i):
+            p = coords(i, out.layout, out.shape)
+            p["H"] = p["H"] + F.lit(top)
+            p["W"] = p["W"] + F.lit(left)
+            return F.get(c, flat_index(p, spec.layout, spec.shape))
+
+        return over_indices(out.size, at)
 
-    return over_indices(out.size, at)
+    return bound(col, body)
 
 
 def _bilinear(sample, h: int, w: int, oh: int, ow: int, y: Column, x: Column) -> Column:
     """Half-pixel bilinear value at output (y, x); ``sample(yy, xx)`` reads a source pixel.
-    Same arithmetic order as ``ndarray.resize``."""
+
+    Tap indices and weights depend only on the output coordinate, so they are
+    computed once on the driver (``ndarray.bilinear_taps``, the same float64
+    arithmetic) and looked up from small constant arrays.  The value is
+    h0*(w0*a + w1*b) + h1*(w0*c + w1*d), as in ``ndarray.resize``."""
 
     def taps(pos, n_in, n_out):
-        src = F.greatest((pos + F.lit(0.5)) * F.lit(n_in / n_out) - F.lit(0.5), F.lit(0.0))
-        i0 = F.least(F.floor(src).cast("int"), F.lit(n_in - 1))
-        i1 = F.least(i0 + F.lit(1), F.lit(n_in - 1))
-        w1 = src - i0
-        return i0, i1, F.lit(1.0) - w1, w1
+        i0, i1, w0, w1 = bilinear_taps(n_in, n_out)
+        at = pos + F.lit(1)
+        return (F.element_at(const_array([int(v) for v in i0], "int"), at),
+                F.element_at(const_array([int(v) for v in i1], "int"), at),
+                F.element_at(const_array([float(v) for v in w0], "double"), at),
+                F.element_at(const_array([float(v) for v in w1], "double"), at))
 
     y0, y1, hw0, hw1 = taps(y, h, oh)
     x0, x1, ww0, ww1 = taps(x, w, ow)
@@ -156,33 +191,33 @@ def _bilinear(sample, h: int, w: int, oh: int, ow: int, y: Column, x: Column) ->
 
 def resize(col, spec: TensorSpec, size) -> Column:
     """Bilinear resize (T8) to float64; identity (cast only) when the size matches."""
-    c = _c(col)
     oh, ow = resized_shape(spec.height, spec.width, size)
     if (oh, ow) == (spec.height, spec.width):
-        return rescale(c, None)
+        return rescale(col, None)
     out = spec.with_(shape=tuple({"H": oh, "W": ow}.get(a, spec.dim(a)) for a in spec.layout))
 
-    def at(i):
-        p = coords(i, out.layout, out.shape)
+    def body(c):
+        def at(i):
+            p = coords(i, out.layout, out.shape)
+
+            def sample(yy, xx):
+                q = dict(p, H=yy, W=xx)
+                return F.get(c, flat_index(q, spec.layout, spec.shape)).cast("double")
 
-        def sample(yy, xx):
-            q = dict(p, H=yy, W=xx)
-            return F.get(c, flat_index(q, spec.layout, spec.shape)).cast("double")
+            return _bilinear(sample, spec.height, spec.width, oh, ow, p["H"], p["W"])
 
-        return _bilinear(sample, spec.height, spec.width, oh, ow, p["H"], p["W"])
+        return over_indices(out.size, at)
 
-    return over_indices(out.size, at)
+    return bound(col, body)
 
 
 def normalize(col, spec: TensorSpec, mean, std) -> Column:
     """(x - mean[c]) / std[c] in float64."""
-    c = _c(col)
-
-    def at(i):
+    def at(x, i):
         ch = coords(i, spec.layout, spec.shape)["C"] if "C" in spec.layout else F.lit(0)
-        return (F.get(c, i).cast("double") - pick(mean, ch)) / pick(std, ch)
+        return (x.cast("double") - pick(mean, ch)) / pick(std, ch)
 
-    return over_indices(spec.size, at)
+    return F.transform(_c(col), at)
 
 
 def round_values(col, digits: int) -> Column:

@@ -78,14 +78,16 @@ class Preprocess:
     # ---- native ---------------------------------------------------------------------
     def native(self, col) -> Column:
         """Same result as ``numpy`` as one Catalyst expression (no Python worker)."""
-        c = nat._c(col)
         s = self.input
         h, w, rh, rw, top, left, ch, cw = self._geometry()
         if ch > rh or cw > rw:
             raise ValueError("native preprocess does not pad; crop must fit the resized image")
         out = self.output
 
-        def sample(y, x, ch_):
+        def body(c):
+            return nat.over_indices(out.size, lambda i: at(c, i))
+
+        def sample(c, y, x, ch_):
             v = F.get(c, nat.flat_index({"H": y, "W": x, "C": ch_}, s.layout, s.shape))
             if self.as_uint8:
                 v = F.pmod(v.cast("int"), F.lit(256))
@@ -94,16 +96,16 @@ class Preprocess:
                 v = v / F.lit(float(self.scale))
             return v
 
-        def at(i):
+        def at(c, i):
             p = nat.coords(i, out.layout, out.shape)
             y = p["H"] + F.lit(top)
             x = p["W"] + F.lit(left)
             chan = p["C"] if "C" in out.layout else F.lit(0)
             if (rh, rw) == (h, w):
-                v = sample(y, x, chan)
+                v = sample(c, y, x, chan)
             else:
-                v = nat._bilinear(lambda yy, xx: sample(yy, xx, chan), h, w, rh, rw, y, x)
+                v = nat._bilinear(lambda yy, xx: sample(c, yy, xx, chan), h, w, rh, rw, y, x)
             v = (v - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)
             return v.cast(out.sql_type[6:-1])
 
-        return nat.over_indices(out.size, at)
+        return nat.bound(col, body)

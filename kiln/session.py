@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(512 << 20),
     "spark.python.worker.reuse": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

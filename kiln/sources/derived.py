@@ -32,40 +32,45 @@ def f1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixel_expr(key: F.Column, i: F.Column, mult: int = 31, step: int = 7, mod: int = 256,
                shift: int = 0) -> F.Column:
+    """Native form of the pixel formula (for expressions over a key column)."""
     return ((key * F.lit(mult) + i * F.lit(step)) % F.lit(mod) - F.lit(shift)).cast("short")
 
 
-def f2_orders(spark: SparkSession, sf_dir: str, mod: int = 256, shift: int = 0) -> DataFrame:
-    """image[i] = (o_orderkey*31 + i*7) % 256, 8x8x3 HWC int16, keyed by ``o_orderkey``.
-    ``mod``/``shift`` give the out-of-range variant used for the uint8 wrap."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    img = nat.over_indices(F2_SPEC.size, lambda i: pixel_expr(F.col("o_orderkey"), i, mod=mod, shift=shift))
-    return o.select("o_orderkey", F2_SPEC.tag(img, "image"))
-
+def generated_images(df: DataFrame, key: str, spec: TensorSpec, mult: int = 31, step: int = 7, mod: int = 256,
+                     shift: int = 0) -> DataFrame:
+    """One image per row of ``df``: image[i] = (key*mult + i*step) % mod - shift.
 
-def f3_images(spark: SparkSession, sf_dir: str, table_name: str = "embeddings", key: str = "vec_id",
-              spec: TensorSpec = F3_SPEC) -> DataFrame:
-    """full-size images, image[i] = (i*7 + key) % 256, one per row of ``table_name``.
-
-    196,608 values per row are generated with NumPy inside ``mapInArrow`` (the
-    interpreted higher-order form is ~50x slower at this width).
+    Generated with NumPy inside ``mapInArrow``: fast at any width, and the Python
+    node is a plan boundary, so later native operators read the materialised
+    array instead of Catalyst inlining the generator into every element access.
     """
-    src = table(spark, sf_dir, table_name).select(F.col(key).alias("id"))
     n = spec.size
+    src = df.select(key)
+    ktype = src.schema[key].dataType.simpleString()
 
     def gen(batches):
-        base = (np.arange(n, dtype=np.int64) * 7)
+        base = np.arange(n, dtype=np.int64) * step
         for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            img = ((base[None, :] + ids[:, None]) % 256).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([b.column("id"), nd.to_arrow(img)], names=["id", "image"])
+            ids = b.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
+            img = ((ids[:, None] * mult + base[None, :]) % mod - shift).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([b.column(key), nd.to_arrow(img)], names=[key, "image"])
+
+    out = src.mapInArrow(gen, f"{key} {ktype}, image array<short>")
+    return out.select(key, spec.tag("image", "image"))
 
-    out = src.mapInArrow(gen, f"id long, image array<short>")
-    return out.select(F.col("id").alias(key), spec.tag("image", "image"))
+
+def f2_orders(spark: SparkSession, sf_dir: str, mod: int = 256, shift: int = 0) -> DataFrame:
+    """image[i] = (o_orderkey*31 + i*7) % 256, 8x8x3 HWC int16, keyed by ``o_orderkey``.
+    ``mod``/``shift`` give the out-of-range variant used for the uint8 wrap."""
+    return generated_images(table(spark, sf_dir, "orders"), "o_orderkey", F2_SPEC, mod=mod, shift=shift)
+
+
+def f3_images(spark: SparkSession, sf_dir: str, table_name: str = "embeddings", key: str = "vec_id",
+              spec: TensorSpec = F3_SPEC) -> DataFrame:
+    """full-size images, image[i] = (key + i*7) % 256, one per row of ``table_name``."""
+    return generated_images(table(spark, sf_dir, table_name), key, spec, mult=1, step=7)
 
 
 def f4_part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 RGB images keyed by ``p_partkey``: image[i] = (p_partkey*17 + i*5) % 256."""
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    img = nat.over_indices(F2_SPEC.size, lambda i: pixel_expr(F.col("p_partkey"), i, mult=17, step=5))
-    return p.select("p_partkey", F2_SPEC.tag(img, "image"))
+    return generated_images(table(spark, sf_dir, "part"), "p_partkey", F2_SPEC, mult=17, step=5)

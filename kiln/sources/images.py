@@ -186,7 +186,9 @@ def to_payloads(df: DataFrame, rows_per_payload: int = 1000, max_payload_bytes:
             data = sink.getvalue()
             if len(data) > max_payload_bytes:
                 raise ValueError(f"payload of {len(data)} bytes exceeds {max_payload_bytes}; lower rows_per_payload")
-            yield pa.RecordBatch.from_pydict({"partition": [pid], "seq": [seq], "rows": [b.num_rows],
+            yield pa.RecordBatch.from_pydict({"partition": pa.array([pid], pa.int32()),
+                                              "seq": pa.array([seq], pa.int32()),
+                                              "rows": pa.array([b.num_rows], pa.int64()),
                                               output: pa.array([data], pa.binary())})
 
     return df.mapInArrow(run, schema)

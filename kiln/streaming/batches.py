@@ -117,7 +117,8 @@ def drain(df: DataFrame) -> DataFrame:
         for b in batches:
             nb += 1
             nr += b.num_rows
-        yield pa.RecordBatch.from_pydict({"partition": [pid], "batches": [nb], "rows": [nr]})
+        yield pa.RecordBatch.from_pydict({"partition": pa.array([pid], pa.int32()),
+                                          "batches": pa.array([nb], pa.int64()), "rows": pa.array([nr], pa.int64())})
 
     return df.mapInArrow(consume, "partition int, batches long, rows long")
 
