@@ -179,13 +179,13 @@ def center_crop(batch: np.ndarray, crop, layout: str = "HWC") -> np.ndarray:
     return batch[tuple(index)]
 
 
-def normalize(batch: np.ndarray, mean, std, layout: str = "HWC") -> np.ndarray:
+def normalize(batch: np.ndarray, mean, std, layout: str = "HWC", dtype=np.float64) -> np.ndarray:
     """(x - mean[c]) / std[c] along the channel axis (T10).  One value applies to
     every channel."""
     ci = 1 + layout.index("C")
     c = batch.shape[ci]
-    mean = np.asarray(mean, dtype=np.float64)
-    std = np.asarray(std, dtype=np.float64)
+    mean = np.asarray(mean, dtype=dtype)
+    std = np.asarray(std, dtype=dtype)
     if mean.size == 1:
         mean = np.repeat(mean, c)
     if std.size == 1:
@@ -194,6 +194,10 @@ def normalize(batch: np.ndarray, mean, std, layout: str = "HWC") -> np.ndarray:
         raise ValueError(f"{mean.size} means / {std.size} stds for {c} channels")
     shape = [1] * batch.ndim
     shape[ci] = c
+    if batch.dtype == dtype and batch.flags.writeable and batch.flags.owndata:
+        batch -= mean.reshape(shape)
+        batch /= std.reshape(shape)
+        return batch
     return (batch - mean.reshape(shape)) / std.reshape(shape)
 
 

@@ -59,18 +59,29 @@ class Preprocess:
 
     # ---- vectorised -----------------------------------------------------------------
     def numpy(self, batch: np.ndarray) -> np.ndarray:
-        """(n, *input.shape) -> (n, output.size) flat rows of ``dtype``."""
+        """(n, *input.shape) -> (n, output.size) flat rows of ``dtype``.
+
+        Arithmetic runs in the output precision (float64 for ``dtype="float64"``,
+        else float32).  When the resize is the identity the crop is taken on the
+        stored integers first, so only the kept pixels are converted."""
+        work = np.float64 if self.dtype == "float64" else np.float32
         x = nd.permute(batch, self.input.layout, "HWC")
+        h, w, rh, rw, *_ = self._geometry()
+        crop_first = (rh, rw) == (h, w)
+        if crop_first and self.crop is not None:
+            x = nd.center_crop(x, self.crop, "HWC")
         if self.as_uint8:
             x = nd.to_uint8(x)
-        x = nd.rescale(x, self.scale)
-        if self.resize is not None:
-            x = nd.resize(x, self.resize, "HWC")
-        if self.crop is not None:
-            x = nd.center_crop(x, self.crop, "HWC")
-        x = nd.normalize(x, self.mean, self.std, "HWC")
+        x = x.astype(work)
+        if self.scale is not None:
+            x /= work(self.scale)
+        if not crop_first:
+            x = nd.resize(x, self.resize, "HWC").astype(work, copy=False)
+            if self.crop is not None:
+                x = nd.center_crop(x, self.crop, "HWC")
+        x = nd.normalize(x, self.mean, self.std, "HWC", dtype=work)
         x = nd.permute(x, "HWC", self.layout)
-        return nd.flatten(x).astype(self.output.numpy_dtype, copy=False)
+        return nd.flatten(np.ascontiguousarray(x)).astype(self.output.numpy_dtype, copy=False)
 
     def apply_arrow(self, values, ids=None) -> np.ndarray:
         return self.numpy(nd.stack(values, self.input, ids))
