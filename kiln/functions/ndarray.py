@@ -72,7 +72,7 @@ def to_arrow(batch: np.ndarray, dtype=None) -> pa.ListArray:
     is expressed with offsets.
     """
     n = batch.shape[0]
-    flat = np.ascontiguousarray(batch.reshape(n, -1))
+    flat = np.ascontiguousarray(rows2d(batch))
     if dtype is not None:
         flat = flat.astype(dtype, copy=False)
     width = flat.shape[1] if flat.ndim == 2 else 0
@@ -84,8 +84,7 @@ def to_arrow(batch: np.ndarray, dtype=None) -> pa.ListArray:
 
 def to_series(batch: np.ndarray) -> pd.Series:
     """(n, ...) array -> pandas Series of flat rows, for pandas UDF returns."""
-    n = batch.shape[0]
-    return pd.Series(list(batch.reshape(n, -1)))
+    return pd.Series(list(rows2d(batch)))
 
 
 def permute(batch: np.ndarray, src: str, dst: str) -> np.ndarray:
@@ -201,6 +200,11 @@ def normalize(batch: np.ndarray, mean, std, layout: str = "HWC", dtype=np.float6
     return (batch - mean.reshape(shape)) / std.reshape(shape)
 
 
+def rows2d(batch: np.ndarray) -> np.ndarray:
+    """(n, ...) -> (n, d); also for n = 0, where reshape(0, -1) is ambiguous."""
+    return batch.reshape(batch.shape[0], int(np.prod(batch.shape[1:], dtype=np.int64)))
+
+
 def flatten(batch: np.ndarray) -> np.ndarray:
     """(n, ...) -> (n, d)."""
-    return batch.reshape(batch.shape[0], -1)
+    return rows2d(batch)

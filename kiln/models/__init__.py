@@ -25,6 +25,10 @@ import numpy as np
 DEFAULT_BROADCAST_LIMIT = 1 << 30  # 1 GiB of serialised weights
 
 
+def _rows(batch: np.ndarray) -> np.ndarray:
+    return batch.reshape(batch.shape[0], int(np.prod(batch.shape[1:], dtype=np.int64)))
+
+
 class ModelOutputError(RuntimeError):
     """The model returned a different number of rows than it was given (I8)."""
 
@@ -61,7 +65,7 @@ class LinearModel:
         return self.weight.shape[0]
 
     def predict(self, batch: np.ndarray) -> np.ndarray:
-        x = batch.reshape(batch.shape[0], -1).astype(self.dtype, copy=False)
+        x = _rows(batch).astype(self.dtype, copy=False)
         if x.shape[1] != self.input_size:
             raise ValueError(f"model takes {self.input_size} inputs, got {x.shape[1]}")
         out = x @ self.weight.T
@@ -104,7 +108,7 @@ class MLP:
         return self.w2.shape[0]
 
     def predict(self, batch: np.ndarray) -> np.ndarray:
-        x = batch.reshape(batch.shape[0], -1).astype(self.dtype, copy=False)
+        x = _rows(batch).astype(self.dtype, copy=False)
         h = np.maximum(x @ self.w1.T + self.b1, 0.0)
         return h @ self.w2.T + self.b2
 
@@ -157,7 +161,7 @@ class OnnxModel:
         x = batch.astype(np.float32, copy=False)
         if self.input_shape is not None:
             x = x.reshape(x.shape[0], *self.input_shape)
-        return s.run(None, {self.input_name: x})[0].reshape(x.shape[0], -1)
+        return _rows(s.run(None, {self.input_name: x})[0])
 
     def arrays(self) -> dict:
         return {}
@@ -223,7 +227,9 @@ class ModelHandle:
     @classmethod
     def create(cls, spark, model, max_broadcast_bytes: int = DEFAULT_BROADCAST_LIMIT,
                shared_dir: str | None = None) -> "ModelHandle":
-        blob = pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
+        from pyspark import cloudpickle  # classes defined in __main__ / notebooks travel by value
+
+        blob = cloudpickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
         key = f"{getattr(model, 'name', 'model')}-{uuid.uuid4().hex}"
         if len(blob) <= max_broadcast_bytes:
             return cls(key, broadcast=spark.sparkContext.broadcast(blob), nbytes=len(blob))

@@ -39,6 +39,8 @@ def _partition() -> str:
 
 def checked_predict(model, batch: np.ndarray) -> np.ndarray:
     """Run the model and check it returned one row per input row (I8)."""
+    if batch.shape[0] == 0:
+        return np.zeros((0, 0))
     out = np.asarray(model.predict(batch))
     if out.ndim == 1:
         out = out.reshape(batch.shape[0], -1) if batch.shape[0] else out.reshape(0, 0)
@@ -80,6 +82,8 @@ def _apply_arrow(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_inv
         values = values.combine_chunks()
     if on_invalid == "null":
         ok = _valid_rows(values, spec)
+        if not ok.any():
+            return pa.nulls(len(ok), pa.list_(pa.from_numpy_dtype(np.dtype(out_dtype))))
         if not ok.all():
             good = _run(fn, nd.stack(values.filter(pa.array(ok)), spec), size)
             out = nd.to_arrow(good, out_dtype)
