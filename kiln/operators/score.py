@@ -321,3 +321,49 @@ def column_udf_select(df: DataFrame, udf, column: str, output: str, keep: list[s
 
 def udf_column(udf, column: str) -> Column:
     return udf(F.col(column))
+
+
+# ---- images of different sizes (S3 -> T8/T9/T10 -> I4) -----------------------------------
+
+def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "height", width: str = "width",
+               handle: ModelHandle | None = None, output: str | None = None, keep: list[str] | None = None,
+               dtype: str | None = None, on_invalid: str = "raise") -> DataFrame:
+    """Preprocess (and with ``handle``, score) rows whose images differ in size, as
+    decoded files do.  Each Arrow batch is grouped by (height, width); every group
+    runs ``preprocess`` with its own input size, so resize + centre crop bring all
+    rows to one output shape.  Row order is kept.  Rows with a null image get a
+    null output with ``on_invalid="null"``."""
+    from dataclasses import replace
+
+    keep = [c for c in df.columns if c not in (column, height, width)] if keep is None else list(keep)
+    output = output or ("prediction" if handle is not None else "tensor")
+    out_dtype = dtype or ("float32" if handle is not None else preprocess.output.dtype)
+    np_out = TensorSpec((1,), "D", out_dtype).numpy_dtype
+    schema = _out_schema(df, keep, output, T.ArrayType(TensorSpec((1,), "D", out_dtype).element_type, False))
+    base = preprocess.input
+    names = keep + [output]
+
+    def run(batches):
+        model = handle.get() if handle is not None else None
+        for b in batches:
+            hs = b.column(height).to_numpy(zero_copy_only=False)
+            ws = b.column(width).to_numpy(zero_copy_only=False)
+            vals = b.column(column)
+            n = b.num_rows
+            ok = ~(vals.is_null().to_numpy(zero_copy_only=False) | np.isnan(hs.astype(float))
+                   | np.isnan(ws.astype(float)))
+            if not ok.all() and on_invalid != "null":
+                raise TensorShapeError(f"null image in {_partition()}")
+            parts: list = [None] * n
+            for h, w in {(int(h), int(w)) for h, w, k in zip(hs, ws, ok) if k}:
+                idx = np.flatnonzero(ok & (hs == h) & (ws == w))
+                spec = base.with_(shape=tuple({"H": h, "W": w}.get(a, base.dim(a)) for a in base.layout))
+                x = replace(preprocess, input=spec).numpy(nd.stack(vals.take(pa.array(idx)), spec))
+                if model is not None:
+                    x = checked_predict(model, x)
+                for j, row in zip(idx, nd.rows2d(x).astype(np_out, copy=False)):
+                    parts[j] = row
+            col = pa.array(parts, pa.list_(pa.from_numpy_dtype(np_out)))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [col], names=names)
+
+    return df.select(*keep, height, width, column).mapInArrow(run, schema)

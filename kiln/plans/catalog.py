@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from kiln.functions import native as nat
 from kiln.functions import ndarray as nd
 from kiln.functions.preprocess import IMAGENET_MEAN, IMAGENET_STD, Preprocess
-from kiln.models import LinearModel, ModelHandle, save_model
+from kiln.models import MLP, LinearModel, ModelHandle, save_model
 from kiln.operators import measure, resources
-from kiln.operators.score import map_batches, map_tensor, named_prediction, predict_map, predict_udf, preprocess_udf
+from kiln.operators.score import (map_batches, map_images, map_tensor, named_prediction, predict_map, predict_udf,
+                                  preprocess_udf)
 from kiln.plans import oracle as q
 from kiln.plans.inspect import exchanges, python_nodes
 from kiln.plans.pipeline import ScoringPlan
 from kiln.session import fresh_path
 from kiln.sources import images, parquet
-from kiln.sources.derived import F1_SPEC, F2_SPEC, f1_embeddings, f2_orders, f4_part_images, table
+from kiln.sources.derived import (F1_SPEC, F2_SPEC, f1_embeddings, f2_orders, f4_part_images,
+                                  f5_variable_part_images, table, variable_size)
 from kiln.spec import TensorSpec
 from kiln.streaming.batches import drain
 
@@ -39,6 +41,8 @@ PRE_F2 = Preprocess(F2_SPEC, resize=None, crop=6, scale=256.0, layout="CHW", dty
 PRE_F2_RESIZE = Preprocess(F2_SPEC, resize=10, crop=8, scale=255.0, layout="CHW", dtype="float64")
 PRE_F2_U8 = Preprocess(F2_SPEC, resize=None, crop=6, scale=256.0, as_uint8=True, layout="CHW", dtype="float64")
 F2_FLOAT = F2_SPEC.with_(dtype="float64")
+# images of several sizes: resize the shorter side to 8, centre crop 8x8, /255, CHW
+PRE_VAR = Preprocess(TensorSpec.image(8, 8, 3), resize=8, crop=8, scale=255.0, layout="CHW", dtype="float64")
 
 _HANDLES: dict = {}
 
@@ -495,6 +499,53 @@ def a8_batch_report(spark, sf):
     return measure.batch_report(_orders(spark, sf))
 
 
+def i2_predict_mlp(spark, sf):
+    key = (id(spark.sparkContext), "mlp")
+    if key not in _HANDLES:
+        _HANDLES[key] = ModelHandle.create(spark, MLP.formula(10, 32, 64))
+    return logits_out(predict_map(emb(spark, sf), _HANDLES[key], "embedding", keep=["vec_id"], dtype="float64"),
+                      "vec_id")
+
+
+def t8_resize_variable(spark, sf):
+    out = map_images(f5_variable_part_images(spark, sf), PRE_VAR, keep=["p_partkey"])
+    return out.select("p_partkey", r("tensor", 6).alias("tensor"))
+
+
+def s3_score_files(spark, sf):
+    """Files of different sizes -> JVM decode -> resize/crop/normalise -> model
+    (the per-request path of the reference, as one distributed job)."""
+    path = fresh_path(spark, "kiln-png-var")
+    pngs = images.encode_png_column(f5_variable_part_images(spark, sf), "image", keep=["p_partkey"],
+                                    height="height", width="width")
+    images.write_image_files(pngs, "p_partkey", "png", path)
+    files = images.load_images(spark, path, format="image")
+    files = files.select(images.key_from_path("path").alias("p_partkey"), "height", "width", "image")
+    out = map_images(files, PRE_VAR, handle=handle(spark, 10, 192), keep=["p_partkey"], dtype="float64")
+    return logits_out(out, "p_partkey")
+
+
+def _variable_sql(select) -> str:
+    """UNION ALL over the size classes of ``f5_variable_part_images``: each branch
+    has constant geometry, so the preprocessing SQL stays a plain expression."""
+    fh, fw = variable_size("p_partkey")
+    parts = []
+    for hk in range(3):
+        for wk in range(4):
+            h, w = fh(hk), fw(wk)
+            pre = Preprocess(TensorSpec.image(h, w, 3), resize=8, crop=8, scale=255.0, layout="CHW", dtype="float64")
+            raw = (lambda i: q.gen_pixel(i, key="p_partkey", mult=17, step=5))
+            parts.append(select(pre, raw) + f" FROM part WHERE p_partkey % 3 = {hk} AND p_size % 4 = {wk}")
+    return " UNION ALL ".join(parts)
+
+
+SQL_VAR_TENSOR = _variable_sql(lambda pre, raw: f"SELECT p_partkey, {q.preprocess(pre, raw)} AS tensor")
+SQL_VAR_LOGITS = _variable_sql(
+    lambda pre, raw: f"SELECT p_partkey, {q.logits(q.preprocess(pre, raw, None), 10, 192)} AS logits")
+SQL_MLP_LOGITS = (f"WITH h AS (SELECT vec_id, {q.logits('embedding', 32, 64, None, relu=True)} AS hid "
+                  f"FROM embeddings) SELECT vec_id, {q.logits('hid', 10, 32, 4, a=13, b=7)} AS logits FROM h")
+
+
 # ---- registry ------------------------------------------------------------------------------
 
 def _sql_t7(scale):
@@ -511,6 +562,9 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S2_scan_staged": (s2_scan_staged, SQL_F1_PRE),
         "S3_image_files": (s3_image_files, SQL_PART_IMAGES),
         "S3_binary_files": (s3_binary_files, SQL_PART_IMAGES),
+        "S3_score_files": (s3_score_files, SQL_VAR_LOGITS),
+        "T8_resize_variable_np": (t8_resize_variable, SQL_VAR_TENSOR),
+        "I2_predict_mlp": (i2_predict_mlp, SQL_MLP_LOGITS),
         "S4_parquet_payload": (s4_parquet_payload, SQL_F2_IMAGE),
         "S5_load_dispatch": (s5_load_dispatch, SQL_F2_IMAGE),
         "S6_write_parquet": (s6_write_parquet, SQL_F2_PRE),

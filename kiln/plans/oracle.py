@@ -15,6 +15,11 @@ def dbl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
+def rnd(expr: str, digits: int) -> str:
+    """round() that never yields -0.0 (Spark's round gives +0.0 there)."""
+    return f"(round({expr}, {digits}) + CAST(0 AS DOUBLE))"
+
+
 def over(n: int, body, var: str = "i") -> str:
     return f"list_transform(range({n}), lambda {var}: {body(var)})"
 
@@ -99,8 +104,8 @@ def center_crop(raw, spec: TensorSpec, crop, cast: str = "SMALLINT") -> str:
 
 
 def rescale(raw, n: int, scale, digits: int = 6) -> str:
-    body = (lambda i: f"round(CAST({raw(i)} AS DOUBLE), {digits})") if scale is None else \
-        (lambda i: f"round(CAST({raw(i)} AS DOUBLE) / {dbl(scale)}, {digits})")
+    body = (lambda i: rnd(f"CAST({raw(i)} AS DOUBLE)", digits)) if scale is None else \
+        (lambda i: rnd(f"CAST({raw(i)} AS DOUBLE) / {dbl(scale)}", digits))
     return over(n, body)
 
 
@@ -116,7 +121,7 @@ def resize(raw, spec: TensorSpec, size, digits: int = 6) -> str:
         def sample(yy, xx):
             return f"CAST({raw(flat(dict(p, H=yy, W=xx), spec.layout, spec.shape))} AS DOUBLE)"
 
-        return f"round({bilinear(sample, spec.height, spec.width, oh, ow, p['H'], p['W'])}, {digits})"
+        return rnd(bilinear(sample, spec.height, spec.width, oh, ow, p['H'], p['W']), digits)
 
     return over(out.size, at)
 
@@ -127,7 +132,7 @@ def normalize(raw, spec: TensorSpec, mean, std, scale=None, digits: int = 6) ->
         v = f"CAST({raw(i)} AS DOUBLE)"
         if scale is not None:
             v = f"{v} / {dbl(scale)}"
-        return f"round(({v} - {pick(mean, c)}) / {pick(std, c)}, {digits})"
+        return rnd(f"({v} - {pick(mean, c)}) / {pick(std, c)}", digits)
 
     return over(spec.size, at)
 
@@ -156,13 +161,21 @@ def preprocess(pre: Preprocess, raw, digits: int | None = 6) -> str:
         else:
             v = bilinear(lambda yy, xx: sample(yy, xx, c), h, w, rh, rw, y, x)
         v = f"(({v} - {pick(pre.mean, c)}) / {pick(pre.std, c)})"
-        return v if digits is None else f"round({v}, {digits})"
+        return v if digits is None else rnd(v, digits)
 
     return over(out.size, at)
 
 
-def logits(vec: str, n_out: int, n_in: int, digits: int = 4) -> str:
-    """Formula linear model (``LinearModel.formula``) applied to the SQL list ``vec``."""
-    wt = f"(CAST(((k * 31 + j * 17) % 101) - 50 AS DOUBLE) / {dbl(100.0)})"
-    return (f"list_transform(range({n_out}), lambda k: round(list_sum(list_transform(range({n_in}), "
-            f"lambda j: CAST(({vec})[j + 1] AS DOUBLE) * {wt})), {digits}))")
+def weight(k: str, j: str, a: int = 31, b: int = 17) -> str:
+    return f"(CAST((({k}) * {a} + ({j}) * {b}) % 101 - 50 AS DOUBLE) / {dbl(100.0)})"
+
+
+def logits(vec: str, n_out: int, n_in: int, digits: int | None = 4, a: int = 31, b: int = 17,
+           relu: bool = False) -> str:
+    """Formula linear layer (``LinearModel.formula``) applied to the SQL list ``vec``."""
+    body = f"list_sum(list_transform(range({n_in}), lambda j: CAST(({vec})[j + 1] AS DOUBLE) * {weight('k', 'j', a, b)}))"
+    if relu:
+        body = f"greatest({body}, {dbl(0.0)})"
+    if digits is not None:
+        body = rnd(body, digits)
+    return f"list_transform(range({n_out}), lambda k: {body})"

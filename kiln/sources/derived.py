@@ -74,3 +74,31 @@ def f3_images(spark: SparkSession, sf_dir: str, table_name: str = "embeddings",
 def f4_part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 RGB images keyed by ``p_partkey``: image[i] = (p_partkey*17 + i*5) % 256."""
     return generated_images(table(spark, sf_dir, "part"), "p_partkey", F2_SPEC, mult=17, step=5)
+
+
+def variable_size(key: str, h_base: int = 6, h_mod: int = 3, w_col: str = "p_size", w_mod: int = 4):
+    """Per-row image size rule: H = base + (key % h_mod)*2, W = base + (w_col % w_mod)*2."""
+    return (lambda k: h_base + (k % h_mod) * 2), (lambda v: h_base + (v % w_mod) * 2)
+
+
+def f5_variable_part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RGB images of different sizes keyed by ``p_partkey``: H in {6, 8, 10} from
+    p_partkey, W in {6, 8, 10, 12} from p_size, image[i] = (p_partkey*17 + i*5) % 256
+    over the row's own H*W*3 values."""
+    src = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    fh, fw = variable_size("p_partkey")
+
+    def gen(batches):
+        for b in batches:
+            keys = b.column("p_partkey").to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = b.column("p_size").to_numpy(zero_copy_only=False).astype(np.int64)
+            hs, ws, imgs = [], [], []
+            for k, v in zip(keys, sizes):
+                h, w = int(fh(k)), int(fw(v))
+                hs.append(h), ws.append(w)
+                imgs.append(((k * 17 + np.arange(h * w * 3, dtype=np.int64) * 5) % 256).astype(np.int16))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("p_partkey"), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()),
+                 pa.array(imgs, pa.list_(pa.int16()))], names=["p_partkey", "height", "width", "image"])
+
+    return src.mapInArrow(gen, "p_partkey long, height int, width int, image array<short>")

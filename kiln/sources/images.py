@@ -126,23 +126,32 @@ def decode_png_column(df: DataFrame, column: str, output: str = "image", keep: l
     return df.select(*keep, column).mapInArrow(run, T.StructType(fields))
 
 
-def encode_png_column(df: DataFrame, column: str, spec: TensorSpec, output: str = "png",
-                      keep: list[str] | None = None) -> DataFrame:
-    """Encode an HWC uint8-valued tensor column as PNG bytes."""
-    keep = [c for c in df.columns if c != column] if keep is None else keep
+def encode_png_column(df: DataFrame, column: str, spec: TensorSpec | None = None, output: str = "png",
+                      keep: list[str] | None = None, height: str | None = None, width: str | None = None) -> DataFrame:
+    """Encode an HWC uint8-valued tensor column as PNG bytes.  Fixed-size rows take
+    ``spec``; rows of different sizes name their ``height`` / ``width`` columns."""
+    drop = {column, height, width}
+    keep = [c for c in df.columns if c not in drop] if keep is None else keep
     fields = [df.schema[c] for c in keep] + [T.StructField(output, T.BinaryType())]
-    hwc = spec if spec.layout == "HWC" else None
-    if hwc is None:
+    if spec is not None and spec.layout != "HWC":
         raise ValueError("encode_png_column needs an HWC spec")
+    if spec is None and (height is None or width is None):
+        raise ValueError("pass spec= for fixed-size rows or height=/width= columns")
+    extra = [c for c in (height, width) if c]
 
     def run(batches):
         for b in batches:
-            arr = nd.stack(b.column(column), spec).astype(np.uint8)
-            pngs = [encode_png(a) for a in arr]
+            if spec is not None:
+                arr = nd.stack(b.column(column), spec).astype(np.uint8)
+                pngs = [encode_png(a) for a in arr]
+            else:
+                pngs = [encode_png(np.asarray(v, dtype=np.int64).astype(np.uint8).reshape(h, w, -1))
+                        for v, h, w in zip(b.column(column).to_pylist(), b.column(height).to_pylist(),
+                                           b.column(width).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(pngs, pa.binary())],
                                              names=keep + [output])
 
-    return df.select(*keep, column).mapInArrow(run, T.StructType(fields))
+    return df.select(*keep, *extra, column).mapInArrow(run, T.StructType(fields))
 
 
 def write_image_files(df: DataFrame, key: str, png_column: str, path: str) -> dict:
