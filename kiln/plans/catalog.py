@@ -184,7 +184,7 @@ def t1_stack(spark, sf):
 
 def t1_validate(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.size("embedding").alias("n_values"),
+    return e.select("vec_id", F.size("embedding").cast("long").alias("n_values"),
                     nat._c("embedding").isNotNull().alias("present"),
                     (F.size("embedding") == 64).alias("right_length"))
 

@@ -61,6 +61,11 @@ def compare(spark, key: str, fn, sql: str | None, sf_dir: str, con) -> dict:
     if sorted(sdf.columns) != sorted(ddf.columns):
         res["status"] = f"COLUMNS {sorted(sdf.columns)} vs {sorted(ddf.columns)}"
         return res
+    st = {c: str(t) for c, t in sdf.dtypes.items()}
+    dt = {c: str(t) for c, t in ddf.dtypes.items()}
+    if st != dt:
+        res["status"] = f"TYPES {st} vs {dt}"
+        return res
     a, b = rows_of(sdf), rows_of(ddf)
     if a == b:
         res["status"] = "match"
