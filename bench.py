@@ -29,10 +29,12 @@ from kiln.functions import Preprocess  # noqa: E402
 from kiln.models import LinearModel, ModelHandle  # noqa: E402
 from kiln.operators import measure, resources  # noqa: E402
 from kiln.plans import ScoringPlan  # noqa: E402
+from kiln.operators.score import encode_bytes  # noqa: E402
 from kiln.plans.catalog import ship_package  # noqa: E402
 from kiln.session import build_session, fresh_path  # noqa: E402
 from kiln.sources.derived import F2_SPEC, F3_SPEC, f2_orders, f3_images  # noqa: E402
 from kiln.sources.parquet import read_tensors, write_parquet  # noqa: E402
+from kiln.spec import TensorSpec  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -67,11 +69,15 @@ def main() -> None:
     t0 = time.perf_counter()
     full_path = fresh_path(spark, "bench-full")
     write_parquet(f3_images(spark, SF_DIR).repartition(CPUS), full_path)
+    bytes_path = fresh_path(spark, "bench-full-bytes")  # same images packed as uint8 bytes
+    write_parquet(encode_bytes(read_tensors(spark, full_path, "image", F3_SPEC, keep=["vec_id"]), "image",
+                               dtype="uint8"), bytes_path)
     small_path = fresh_path(spark, "bench-small")
     write_parquet(f2_orders(spark, SF_DIR), small_path)
     setup_s = time.perf_counter() - t0
 
     full = read_tensors(spark, full_path, "image", F3_SPEC, keep=["vec_id"])
+    full_bytes = read_tensors(spark, bytes_path, "image", keep=["vec_id"])
     small = read_tensors(spark, small_path, "image", F2_SPEC, keep=["o_orderkey"])
 
     pre_full = Preprocess(F3_SPEC, resize=256, crop=224, scale=None, layout="CHW", dtype="float32")
@@ -80,12 +86,15 @@ def main() -> None:
     model_small = ModelHandle.create(spark, LinearModel.formula(10, pre_small.output.size, dtype="float32"))
 
     pf = ScoringPlan(pre_full, model_full, "image", ["vec_id"], batch_size=FULL_BATCH)
+    pre_bytes = Preprocess(TensorSpec.of(full_bytes, "image"), resize=256, crop=224, layout="CHW", dtype="float32")
+    pf_bytes = ScoringPlan(pre_bytes, model_full, "image", ["vec_id"], batch_size=FULL_BATCH)
     pf_prefetch = ScoringPlan(pre_full, model_full, "image", ["vec_id"], batch_size=FULL_BATCH, depth=2)
     pf_arrow = ScoringPlan(pre_full, model_full, "image", ["vec_id"], batch_size=FULL_BATCH, flavor="arrow")
     ps = ScoringPlan(pre_small, model_small, "image", ["o_orderkey"])
 
     cases = {
         "full_fused": lambda: pf.fused(full),                       # I6, flagship
+        "full_fused_bytes": lambda: pf_bytes.fused(full_bytes),     # I6 on uint8 bytes storage
         "full_fused_prefetch": lambda: pf_prefetch.fused(full),     # I6 + B7
         "full_fused_udf": lambda: pf.fused_udf(full),               # I6 as iterator pandas UDF
         "full_fused_arrow_udf": lambda: pf_arrow.fused_udf(full),   # I6 as iterator Arrow UDF
@@ -106,16 +115,17 @@ def main() -> None:
         rows[name] = best["rows"]
 
     # Two jobs joined by files (job A preprocess + write, job B read + predict)
-    best = None
-    for _ in range(RUNS):
-        t0 = time.perf_counter()
-        path = fresh_path(spark, "bench-stage")
-        pf.stage_a(full, path)
-        t = measure.timed_run(lambda: pf.stage_b(spark, path))
-        total = time.perf_counter() - t0
-        best = total if best is None or total < best else best
-        rows["full_staged"] = t["rows"]
-    times["full_staged"] = round(best, 3)
+    for name, handoff in (("full_staged", "array"), ("full_staged_bytes", "bytes")):
+        best = None
+        for _ in range(RUNS):
+            t0 = time.perf_counter()
+            path = fresh_path(spark, "bench-stage")
+            pf.stage_a(full, path, handoff=handoff)
+            t = measure.timed_run(lambda: pf.stage_b(spark, path))
+            total = time.perf_counter() - t0
+            best = total if best is None or total < best else best
+            rows[name] = t["rows"]
+        times[name] = round(best, 3)
 
     n_full = rows["full_fused"]
     out = {

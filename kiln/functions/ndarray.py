@@ -30,6 +30,8 @@ def stack(values, spec: TensorSpec, ids=None) -> np.ndarray:
         values = values.combine_chunks()
     if isinstance(values, (pa.ListArray, pa.LargeListArray)):
         return _stack_arrow(values, spec, ids)
+    if isinstance(values, (pa.BinaryArray, pa.LargeBinaryArray)):
+        return _stack_binary(values, spec, ids)
     if isinstance(values, pd.Series):
         values = values.to_numpy(dtype=object)
     n = len(values)
@@ -65,6 +67,42 @@ def _stack_arrow(arr: pa.ListArray, spec: TensorSpec, ids) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(spec.numpy_dtype, copy=False).reshape(n, *spec.shape)
 
 
+def _binary_offsets(arr) -> np.ndarray:
+    odt = np.int64 if isinstance(arr, pa.LargeBinaryArray) else np.int32
+    return np.frombuffer(arr.buffers()[1], dtype=odt)[arr.offset: arr.offset + len(arr) + 1]
+
+
+def _stack_binary(arr, spec: TensorSpec, ids) -> np.ndarray:
+    """Binary rows of ``spec.nbytes`` each -> (n, *shape) view on the Arrow data buffer."""
+    spec = spec.with_(encoding="bytes")
+    n = len(arr)
+    if arr.null_count:
+        i = int(np.flatnonzero(arr.is_null().to_numpy(zero_copy_only=False))[0])
+        raise TensorShapeError(f"null tensor at {_row_label(ids, i)}")
+    if n == 0:
+        return np.empty((0, *spec.shape), dtype=spec.numpy_dtype)
+    offs = _binary_offsets(arr)
+    lengths = np.diff(offs)
+    if (lengths != spec.nbytes).any():
+        i = int(np.flatnonzero(lengths != spec.nbytes)[0])
+        raise TensorShapeError(
+            f"tensor of {int(lengths[i])} bytes at {_row_label(ids, i)}, expected {spec.nbytes} for {spec.shape}")
+    data = np.frombuffer(arr.buffers()[2], dtype=np.uint8)[offs[0]: offs[-1]]
+    return data.view(spec.numpy_dtype).reshape(n, *spec.shape)
+
+
+def to_binary(batch: np.ndarray, dtype) -> pa.BinaryArray:
+    """(n, ...) array -> one binary cell per row holding its little-endian values."""
+    n = batch.shape[0]
+    flat = np.ascontiguousarray(rows2d(batch).astype(np.dtype(dtype).newbyteorder("<"), copy=False))
+    width = flat.shape[1] * flat.itemsize
+    offsets = np.arange(0, (n + 1) * width, width, dtype=np.int64) if width else np.zeros(n + 1, np.int64)
+    if offsets[-1] < 2**31:
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)),
+                                                      pa.py_buffer(flat)])
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 def to_arrow(batch: np.ndarray, dtype=None) -> pa.ListArray:
     """(n, ...) array -> Arrow list array of flat rows (T11 flatten on the way out).
 

@@ -90,6 +90,8 @@ class Preprocess:
     def native(self, col) -> Column:
         """Same result as ``numpy`` as one Catalyst expression (no Python worker)."""
         s = self.input
+        if s.encoding != "array":
+            raise ValueError("native forms need array-encoded tensors; use decode_bytes first")
         h, w, rh, rw, top, left, ch, cw = self._geometry()
         if ch > rh or cw > rw:
             raise ValueError("native preprocess does not pad; crop must fit the resized image")

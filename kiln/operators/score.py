@@ -65,6 +65,8 @@ def _run(fn, batch: np.ndarray, size: int | None) -> np.ndarray:
 
 def _valid_rows(arr: pa.ListArray, spec: TensorSpec) -> np.ndarray:
     ok = ~arr.is_null().to_numpy(zero_copy_only=False)
+    if isinstance(arr, (pa.BinaryArray, pa.LargeBinaryArray)):
+        return ok & (np.diff(nd._binary_offsets(arr)) == spec.nbytes)
     lengths = np.diff(arr.offsets.to_numpy())
     ok &= lengths == spec.size
     if arr.flatten().null_count:
@@ -201,7 +203,9 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
     out_elem = out_spec.element_type if out_spec else TensorSpec((1,), "D", out_dtype).element_type
     np_out = out_spec.numpy_dtype if out_spec else TensorSpec((1,), "D", out_dtype).numpy_dtype
-    schema = _out_schema(df, keep, output, T.ArrayType(out_elem, False))
+    as_bytes = out_spec is not None and out_spec.encoding == "bytes"
+    out_type = T.BinaryType() if as_bytes else T.ArrayType(out_elem, False)
+    schema = _out_schema(df, keep, output, out_type)
     names = keep + [output]
     id_col = keep[0] if keep else None
 
@@ -212,7 +216,10 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
             vals = b.column(column)
             ids = b.column(id_col).to_pylist() if (id_col and on_invalid == "raise" and vals.null_count) else None
             try:
-                out = _apply_arrow(vals, spec, f, np_out, None, on_invalid, ids)
+                if as_bytes:
+                    out = nd.to_binary(f(nd.stack(vals, spec, ids)), np_out)
+                else:
+                    out = _apply_arrow(vals, spec, f, np_out, None, on_invalid, ids)
             except TensorShapeError as e:
                 raise TensorShapeError(f"{e} ({_partition()})") from None
             cols = [b.column(c) for c in keep] + [out]
@@ -308,6 +315,30 @@ def _needs_cast(b: pa.RecordBatch, schema: T.StructType) -> bool:
     return [f.type for f in b.schema] != _arrow_types(schema)
 
 
+def encode_bytes(df: DataFrame, column: str, spec: TensorSpec | None = None, dtype: str | None = None,
+                 output: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Array-encoded tensor column -> bytes-encoded (optionally narrowing ``dtype``,
+    e.g. int16 pixels to uint8; values that do not fit raise rather than wrap)."""
+    spec = spec_of(df, column, spec)
+    target = spec.with_(encoding="bytes", dtype=dtype or spec.dtype)
+    info = np.iinfo(target.numpy_dtype) if target.numpy_dtype.kind in "iu" else None
+
+    def fn(b):
+        if info is not None and b.size and (b.min() < info.min or b.max() > info.max):
+            raise ValueError(f"values outside {target.dtype} range in {_partition()}")
+        return b
+
+    return map_tensor(df, column, fn, output=output or column, keep=keep, spec=spec, out_spec=target)
+
+
+def decode_bytes(df: DataFrame, column: str, spec: TensorSpec | None = None, dtype: str | None = None,
+                 output: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Bytes-encoded tensor column -> ``array<...>`` (for native operators)."""
+    spec = spec_of(df, column, spec)
+    target = spec.with_(encoding="array", dtype=dtype or ("int16" if spec.dtype == "uint8" else spec.dtype))
+    return map_tensor(df, column, lambda b: b, output=output or column, keep=keep, spec=spec, out_spec=target)
+
+
 def named_prediction(df: DataFrame, handle: ModelHandle, column: str, spec: TensorSpec | None = None,
                      keep: list[str] | None = None, **kw) -> DataFrame:
     """I4: one request's payload scored into a column called ``predictions``."""

@@ -19,8 +19,8 @@ from kiln.functions import ndarray as nd
 from kiln.functions.preprocess import IMAGENET_MEAN, IMAGENET_STD, Preprocess
 from kiln.models import MLP, LinearModel, ModelHandle, save_model
 from kiln.operators import measure, resources
-from kiln.operators.score import (map_batches, map_images, map_tensor, named_prediction, predict_map, predict_udf,
-                                  preprocess_udf)
+from kiln.operators.score import (encode_bytes, map_batches, map_images, map_tensor, named_prediction, predict_map,
+                                  predict_udf, preprocess_udf)
 from kiln.plans import oracle as q
 from kiln.plans.inspect import exchanges, python_nodes
 from kiln.plans.pipeline import ScoringPlan
@@ -116,6 +116,17 @@ def _image_rows(df):
     return df.select(images.key_from_path("path").alias("p_partkey"), "height", "width", "channels", "image")
 
 
+def s12_pack_bytes(spark, sf):
+    """Pack images as uint8 bytes (half the size of int16 arrays, one buffer per
+    row on the Python border), then score the packed table."""
+    path = fresh_path(spark, "kiln-s12b")
+    parquet.pack(encode_bytes(f2_orders(spark, sf), "image", dtype="uint8"), path, rows_per_file=1000)
+    packed = parquet.read_tensors(spark, path, "image", keep=["o_orderkey"])
+    pre = Preprocess(TensorSpec.of(packed, "image"), resize=None, crop=6, scale=256.0, layout="CHW", dtype="float64")
+    plan = ScoringPlan(pre, handle(spark, 10, 108), "image", ["o_orderkey"], dtype="float64")
+    return logits_out(plan.fused(packed), "o_orderkey")
+
+
 def s3_image_files(spark, sf):
     return _image_rows(images.load_images(spark, _png_folder(spark, sf), format="image"))
 
@@ -408,6 +419,10 @@ def i7_staged_orders(spark, sf):
     return logits_out(plan_f2(spark).staged(spark, _orders(spark, sf)), "o_orderkey")
 
 
+def i7_staged_bytes(spark, sf):
+    return logits_out(plan_f2(spark).staged(spark, _orders(spark, sf), handoff="bytes"), "o_orderkey")
+
+
 def i8_cardinality(spark, sf):
     """Rows in and out of every model call, summed; equal when no batch lost rows."""
     h = handle(spark, 10, 64)
@@ -574,6 +589,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                                "SELECT label, count(*) AS rows FROM embeddings GROUP BY label"),
         "S10_manifest": (s10_manifest, "SELECT 'lineitem.parquet' AS file_name, count(*) AS rows FROM lineitem"),
         "S12_pack": (s12_pack, SQL_F2_IMAGE),
+        "S12_pack_bytes": (s12_pack_bytes, SQL_F2_LOGITS),
         "T1_stack": (t1_stack, "SELECT vec_id, embedding AS tensor FROM embeddings"),
         "T1_validate": (t1_validate, "SELECT vec_id, len(embedding) AS n_values, embedding IS NOT NULL AS present, "
                                      "len(embedding) = 64 AS right_length FROM embeddings"),
@@ -622,6 +638,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "I6_native_orders": (i6_native_orders, SQL_F2_LOGITS),
         "I7_staged": (i7_staged, SQL_F1_LOGITS),
         "I7_staged_orders": (i7_staged_orders, SQL_F2_LOGITS),
+        "I7_staged_bytes": (i7_staged_bytes, SQL_F2_LOGITS),
         "I8_cardinality": (i8_cardinality, "SELECT count(*) AS rows_in, count(*) AS rows_out FROM embeddings"),
         "B1_records_per_batch": (b1_records_per_batch,
                                  "SELECT count(*) AS rows, least(count(*), 64) AS max_batch_rows FROM orders"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.preprocess import Preprocess
 from kiln.models import ModelHandle
-from kiln.operators.score import predict_map, predict_udf, preprocess_udf
+from kiln.operators.score import map_tensor, predict_map, predict_udf, preprocess_udf
 from kiln.session import fresh_path
 from kiln.sources.parquet import read_tensors, write_parquet
 
@@ -72,23 +72,29 @@ class ScoringPlan:
         return staged.select(*self.keep, self._predict_udf(pre.output)(F.col("tensor")).alias(self.output))
 
     # I7
-    def stage_a(self, df: DataFrame, path: str, native: bool = False) -> dict:
-        """Job A: preprocess and persist (S6).  Returns the observed rows written."""
+    def stage_a(self, df: DataFrame, path: str, native: bool = False, handoff: str = "array") -> dict:
+        """Job A: preprocess and persist (S6).  Returns the observed rows written.
+        ``handoff="bytes"`` stores the tensor as raw little-endian values (one
+        binary cell per row): cheaper to write, read and hand to Python."""
         pre = self.preprocess
+        if handoff == "bytes":
+            out = map_tensor(df.select(*self.keep, self.column), self.column, pre.numpy, output="tensor",
+                             keep=self.keep, spec=pre.input, out_spec=pre.output.with_(encoding="bytes"))
+            return write_parquet(out, path)
         expr = pre.native(self.column) if native else self._pre_udf()(F.col(self.column))
         return write_parquet(df.select(*self.keep, pre.output.tag(expr, "tensor")), path)
 
     def stage_b(self, spark: SparkSession, path: str) -> DataFrame:
         """Job B: read the intermediate (S2) and score it."""
-        staged = read_tensors(spark, path, "tensor", self.preprocess.output, keep=self.keep)
-        return predict_map(staged, self.model, "tensor", self.preprocess.output, None, self.output, self.keep,
+        staged = read_tensors(spark, path, "tensor", keep=self.keep)  # spec (and encoding) from the file
+        return predict_map(staged, self.model, "tensor", None, None, self.output, self.keep,
                            self.dtype, self.batch_size, self.depth)
 
-    def staged(self, spark: SparkSession, df: DataFrame, path: str | None = None) -> DataFrame:
+    def staged(self, spark: SparkSession, df: DataFrame, path: str | None = None, handoff: str = "array") -> DataFrame:
         """Runs job A now, returns job B's DataFrame.  The hand-off folder defaults
         to a fresh folder in the shared checkpoint dir, so it also cuts lineage."""
         path = path or fresh_path(spark, "kiln-stage")
-        self.stage_a(df, path)
+        self.stage_a(df, path, handoff=handoff)
         return self.stage_b(spark, path)
 
     # B3

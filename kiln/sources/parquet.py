@@ -12,13 +12,31 @@ class SchemaMismatch(ValueError):
     pass
 
 
+READER_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
+DEFAULT_READER_BATCH_BYTES = 64 << 20
+
+
+def cap_reader_batch(spark: SparkSession, row_bytes: int, budget: int = DEFAULT_READER_BATCH_BYTES) -> int:
+    """Lower the parquet reader's rows per columnar batch so one batch of
+    ``row_bytes``-wide rows stays under ``budget`` (default 4,096 rows would be
+    1.6 GB per task for 256x256x3 int16 images).  Never raises the setting."""
+    current = int(spark.conf.get(READER_BATCH, "4096"))
+    rows = max(1, budget // max(1, row_bytes))
+    if rows < current:
+        spark.conf.set(READER_BATCH, str(rows))
+        return rows
+    return current
+
+
 def read_tensors(spark: SparkSession, path: str, column: str = "image", spec: TensorSpec | None = None,
-                 keep: list[str] | None = None, alias: str | None = None) -> DataFrame:
+                 keep: list[str] | None = None, alias: str | None = None,
+                 reader_batch_bytes: int = DEFAULT_READER_BATCH_BYTES) -> DataFrame:
     """Scan a parquet table of tensors (S1, and S2 for a persisted intermediate).
 
     Only ``keep`` + ``column`` are read (column pruning reaches the scan).  The
     column type is checked against ``spec`` before any job runs; the spec is
-    recorded in the column metadata for later operators.
+    recorded in the column metadata for later operators.  The session's parquet
+    reader batch is capped to ``reader_batch_bytes`` of tensor data per task.
     """
     df = spark.read.parquet(path)
     if column not in df.columns:
@@ -27,10 +45,12 @@ def read_tensors(spark: SparkSession, path: str, column: str = "image", spec: Te
     spec = spec or found
     if spec is None:
         raise SchemaMismatch(f"{path}: column {column!r} has no tensor spec; pass spec=")
-    dt = df.schema[column].dataType
-    if dt.simpleString().split("<")[0] != "array":
-        raise SchemaMismatch(f"{path}: column {column!r} is {dt.simpleString()}, not an array")
+    dt = df.schema[column].dataType.simpleString()
+    want = "binary" if spec.encoding == "bytes" else "array"
+    if dt.split("<")[0] != want:
+        raise SchemaMismatch(f"{path}: column {column!r} is {dt}, expected {want} for {spec.encoding} tensors")
     keep = list(keep) if keep is not None else [c for c in df.columns if c != column]
+    cap_reader_batch(spark, spec.nbytes, reader_batch_bytes)
     return df.select(*keep, spec.tag(column, alias or column))
 
 

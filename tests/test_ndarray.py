@@ -170,3 +170,18 @@ def test_prefetch_overlaps():
         time.sleep(0.05)
     overlapped = time.perf_counter() - t0
     assert overlapped < 0.55  # serial would be 0.6
+
+
+def test_bytes_encoding_roundtrip():
+    spec = TensorSpec((2, 3, 2), "HWC", "uint8", encoding="bytes")
+    assert spec.nbytes == 12 and spec.sql_type == "binary"
+    x = (np.arange(24) % 256).astype(np.uint8).reshape(2, 2, 3, 2)
+    arr = nd.to_binary(x, spec.numpy_dtype)
+    back = nd.stack(arr, spec)
+    np.testing.assert_array_equal(back, x)
+    np.testing.assert_array_equal(nd.stack(arr.slice(1), spec)[0], x[1])
+    with pytest.raises(TensorShapeError, match="bytes"):
+        nd.stack(pa.array([b"abc"], pa.binary()), spec)
+    f32 = TensorSpec((3,), "D", "float32", encoding="bytes")
+    v = np.array([[1.5, -2.0, 3.25]], dtype=np.float32)
+    np.testing.assert_array_equal(nd.stack(nd.to_binary(v, f32.numpy_dtype), f32), v)

@@ -148,3 +148,22 @@ def test_stack_error_names_partition(spark):
     with pytest.raises(TensorShapeError):
         from kiln.functions import ndarray as nd
         nd.stack([[1.0]], TensorSpec.vector(3))
+
+
+def test_bytes_encoded_pipeline_matches_array(spark, plan, expected, tmp_dir):
+    from kiln.operators.score import decode_bytes, encode_bytes
+    from kiln.sources.parquet import read_tensors, write_parquet
+
+    enc = encode_bytes(f1_embeddings(spark, SF), "image", keep=["vec_id"])
+    spec = TensorSpec.of(enc, "image")
+    assert spec.encoding == "bytes" and enc.schema["image"].dataType.simpleString() == "binary"
+    write_parquet(enc, tmp_dir + "/b")
+    back = read_tensors(spark, tmp_dir + "/b", "image", keep=["vec_id"])
+    bplan = ScoringPlan(PRE.__class__(**{**PRE.__dict__, "input": spec}), plan.model, "image", ["vec_id"],
+                        dtype="float64")
+    ids, pred = _pred(bplan.fused(back))
+    np.testing.assert_allclose(pred, expected[1], rtol=1e-12, atol=1e-12)
+    arr = decode_bytes(back, "image", keep=["vec_id"]).orderBy("vec_id").first()
+    assert len(arr.image) == 64
+    with pytest.raises(Exception, match="range"):
+        encode_bytes(f2_orders(spark, SF, mod=1000, shift=500), "image", dtype="uint8").collect()
