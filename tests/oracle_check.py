@@ -85,7 +85,12 @@ def main(argv):
     import __spark_entry__ as E
     from kiln.session import build_session
 
-    spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
+    if os.environ.get("PLAIN_SESSION"):  # what a driver with default settings would give
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
