@@ -124,8 +124,9 @@ class MLP:
 class OnnxModel:
     """An ONNX file run by onnxruntime; the session is created lazily in the worker.
 
-    ``device`` "cpu" or "cuda[:n]"; with "cuda" the CUDA provider is asked for
-    and onnxruntime falls back to CPU when it is absent.
+    ``device`` "cpu", "cuda[:n]" or "auto" (the GPU Spark assigned to the task,
+    else CPU); with CUDA the CUDA provider is asked for and onnxruntime falls
+    back to CPU when it is absent.
     """
 
     kind = "onnx"
@@ -148,9 +149,15 @@ class OnnxModel:
         if self._session is None:
             import onnxruntime as ort  # optional dependency
 
+            device = self.device
+            if device == "auto":
+                from kiln.operators.resources import task_device
+
+                device = task_device()
             providers = ["CPUExecutionProvider"]
-            if self.device.startswith("cuda"):
-                providers.insert(0, "CUDAExecutionProvider")
+            if device.startswith("cuda"):
+                idx = int(device.split(":")[1]) if ":" in device else 0
+                providers.insert(0, ("CUDAExecutionProvider", {"device_id": idx}))
             self._session = ort.InferenceSession(self.path, providers=providers)
             if self.input_name is None:
                 self.input_name = self._session.get_inputs()[0].name

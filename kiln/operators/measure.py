@@ -21,9 +21,16 @@ from pyspark.sql import functions as F
 from kiln.sources.parquet import write_noop, write_parquet
 
 
-def cache(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+def cache(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, reliable: bool = False) -> DataFrame:
     """Persist and materialise now (C1).  ``cache()`` alone is lazy.  Blocks lost
-    with an executor are recomputed from lineage."""
+    with an executor are recomputed from lineage; ``reliable=True`` instead writes
+    a checkpoint into ``spark.checkpoint.dir`` (shared storage), which cuts the
+    lineage and survives executor loss without recomputing."""
+    if reliable:
+        from kiln.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
     d = df.persist(level)
     d.write.mode("overwrite").format("noop").save()
     return d

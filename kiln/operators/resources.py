@@ -105,6 +105,13 @@ def stage_profile(cpus: int = 1, gpus: float = 0.0, executor_cores: int | None =
     return b.build
 
 
+def require_profiles(spark: SparkSession) -> None:
+    """Fail before any job when the cluster manager cannot honour resource profiles."""
+    if spark.sparkContext.master.startswith("local"):
+        raise StageResourcesUnavailable(
+            "stage-level resource profiles need a standalone, YARN or Kubernetes cluster manager")
+
+
 def with_resources(spark: SparkSession, df: DataFrame, fn, schema, profile, shuffle_to: int | None = None) -> DataFrame:
     """Run ``fn`` (a mapInArrow function) under ``profile``.
 
@@ -112,9 +119,7 @@ def with_resources(spark: SparkSession, df: DataFrame, fn, schema, profile, shuf
     first (``shuffle_to`` partitions, default: current count): shuffle the raw
     tensor, not the preprocessed one.  Local mode has no resource profiles; that
     is reported before any job starts."""
-    if spark.sparkContext.master.startswith("local"):
-        raise StageResourcesUnavailable(
-            "stage-level resource profiles need a standalone, YARN or Kubernetes cluster manager")
+    require_profiles(spark)
     n = shuffle_to or df.rdd.getNumPartitions()
     return df.repartition(n).mapInArrow(fn, schema, profile=profile)
 

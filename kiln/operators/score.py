@@ -192,12 +192,14 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
                out_dtype: str = "float32", output: str = "tensor", keep: list[str] | None = None,
                spec: TensorSpec | None = None, out_spec: TensorSpec | None = None,
                batch_size: int | None = None, depth: int = 0, on_invalid: str = "raise",
-               setup: Callable[[], Callable] | None = None) -> DataFrame:
+               setup: Callable[[], Callable] | None = None, profile=None) -> DataFrame:
     """Apply a vectorised batch function to ``column`` with ``mapInArrow``.
 
     ``keep`` columns are carried through unchanged (default: all others).
     ``batch_size`` makes model batches of exactly that many rows (B2), whatever
     the Arrow transport batches are; ``depth`` overlaps reading with compute (B7).
+    ``profile`` runs the map under a stage-level ResourceProfile (B6); the input
+    must then come out of a shuffle (see ``resources.profiled``).
     """
     spec = spec_of(df, column, spec)
     keep = [c for c in df.columns if c != column] if keep is None else list(keep)
@@ -225,7 +227,8 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
             cols = [b.column(c) for c in keep] + [out]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out_df = df.select(*keep, column).mapInArrow(run, schema)
+    src = df.select(*keep, column)
+    out_df = src.mapInArrow(run, schema) if profile is None else src.mapInArrow(run, schema, profile=profile)
     if out_spec is not None:
         out_df = out_df.withColumn(output, out_spec.tag(output, output))
     return out_df
@@ -234,7 +237,7 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
 def predict_map(df: DataFrame, handle: ModelHandle, column: str, spec: TensorSpec | None = None,
                 preprocess=None, output: str = "prediction", keep: list[str] | None = None,
                 dtype: str = "float32", batch_size: int | None = None, depth: int = 0,
-                reuse: str = "partition", on_invalid: str = "raise") -> DataFrame:
+                reuse: str = "partition", on_invalid: str = "raise", profile=None) -> DataFrame:
     """Score ``column`` in ``mapInArrow``; with ``preprocess`` this is the fused
     pipeline (I6).  Keys in ``keep`` come out next to the prediction."""
     spec = spec_of(df, column, spec)
@@ -249,7 +252,8 @@ def predict_map(df: DataFrame, handle: ModelHandle, column: str, spec: TensorSpe
 
         return f
 
-    return map_tensor(df, column, None, dtype, output, keep, spec, None, batch_size, depth, on_invalid, setup)
+    return map_tensor(df, column, None, dtype, output, keep, spec, None, batch_size, depth, on_invalid, setup,
+                      profile)
 
 
 def map_batches(df: DataFrame, fn, schema, batch_format: str = "numpy", batch_size: int | None = None,

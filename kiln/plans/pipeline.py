@@ -97,6 +97,19 @@ class ScoringPlan:
         self.stage_a(df, path, handoff=handoff)
         return self.stage_b(spark, path)
 
+    # B6
+    def profiled(self, spark: SparkSession, df: DataFrame, profile, n: int | None = None) -> DataFrame:
+        """Score fused under a stage-level ResourceProfile (e.g. 1 GPU per task)
+        while the scan keeps the default profile.  A profile applies per stage,
+        so the raw rows are shuffled to ``n`` partitions first (the smaller
+        tensor; the preprocessed one never crosses the network)."""
+        from kiln.operators.resources import require_profiles
+
+        require_profiles(spark)
+        src = df.select(*self.keep, self.column).repartition(n or df.rdd.getNumPartitions())
+        return predict_map(src, self.model, self.column, self.spec, self.preprocess, self.output, self.keep,
+                           self.dtype, self.batch_size, self.depth, profile=profile)
+
     # B3
     def repartitioned(self, df: DataFrame, n: int) -> DataFrame:
         """Round-robin the raw (smaller) rows to ``n`` partitions, then score fused.

@@ -76,6 +76,40 @@ def test_wrong_count_model_fails_the_job(spark):
         df.select(u("x")).collect()
 
 
-def test_onnx_adapter_optional():
-    ort = pytest.importorskip("onnxruntime")
-    assert ort is not None  # an ONNX file is needed to go further; none is shipped
+def test_onnx_model_in_process_and_in_spark(spark, tmp_dir):
+    pytest.importorskip("onnxruntime")
+    from kiln.models import OnnxModel
+    from tests.onnx_fixture import write_matmul_model
+
+    w = models.formula_weights(10, 16).T.astype(np.float32)  # (16, 10)
+    path = write_matmul_model(f"{tmp_dir}/linear.onnx", w)
+    m = OnnxModel(path, device="auto")
+    x = np.random.default_rng(3).random((7, 16)).astype(np.float32)
+    np.testing.assert_allclose(m.predict(x), x @ w, rtol=1e-5, atol=1e-5)
+    back = load_model(save_model(m, f"{tmp_dir}/onnx-ckpt"))
+    np.testing.assert_allclose(back.predict(x), x @ w, rtol=1e-5, atol=1e-5)
+
+    h = ModelHandle.create(spark, m)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(7)], "id long, x array<float>")
+    out = predict_map(df, h, "x", TensorSpec.vector(16), keep=["id"]).orderBy("id").toPandas()
+    np.testing.assert_allclose(np.stack(out.prediction.values), x @ w, rtol=1e-5, atol=1e-5)
+
+
+def test_reliable_cache(spark):
+    from kiln.operators.measure import cache
+
+    d = cache(spark.range(10), reliable=True)
+    assert d.count() == 10
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Range" not in plan  # lineage cut at the checkpoint
+
+
+def test_profiled_refused_locally(spark):
+    from kiln.functions import Preprocess
+    from kiln.operators.resources import StageResourcesUnavailable, stage_profile
+    from kiln.plans import ScoringPlan
+
+    plan = ScoringPlan(Preprocess(TensorSpec.image(4, 4, 3), resize=None, crop=2),
+                       ModelHandle.create(spark, LinearModel.formula(2, 12)), "image", ["id"])
+    with pytest.raises(StageResourcesUnavailable):
+        plan.profiled(spark, spark.range(1), stage_profile(gpus=1))
