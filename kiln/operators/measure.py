@@ -140,3 +140,55 @@ def observe_counts(df: DataFrame, name: str = "kiln") -> tuple[DataFrame, Observ
     """Attach a row counter to a plan; read ``obs.get`` after the action."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def event_log_task_stats(log_dir: str) -> dict:
+    """Task-time statistics per job description from Spark event logs (A5).
+
+    Set ``spark.eventLog.enabled=true`` and ``spark.eventLog.dir`` before the
+    session starts, label actions with ``sc.setJobDescription(name)``, stop the
+    session (flushes the log), then call this.  Returns
+    ``{description: {"tasks", "median_s", "max_s", "skew"}}`` – ``skew`` is the
+    slowest task over the median one, the straggler measure for a stage.
+    """
+    import glob
+    import json
+    import os
+
+    def lines(path):
+        if path.endswith(".zstd"):
+            import zstandard
+
+            with open(path, "rb") as raw, zstandard.ZstdDecompressor().stream_reader(raw) as z:
+                yield from io.TextIOWrapper(z, encoding="utf-8")
+        elif not path.endswith((".lz4", ".snappy", ".lzf", ".crc")):
+            with open(path, encoding="utf-8") as f:
+                yield from f
+
+    stage_desc: dict[int, str] = {}
+    durations: dict[str, list] = {}
+    files = [p for p in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True) if os.path.isfile(p)]
+    for path in sorted(files):
+        if os.path.basename(path).startswith((".", "appstatus")):
+            continue
+        if True:
+            for line in lines(path):
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    desc = (ev.get("Properties") or {}).get("spark.job.description")
+                    if desc:
+                        for sid in ev.get("Stage IDs", []):
+                            stage_desc[sid] = desc
+                elif kind == "SparkListenerTaskEnd":
+                    desc = stage_desc.get(ev.get("Stage ID"))
+                    info = ev.get("Task Info") or {}
+                    if desc and info.get("Finish Time") and not info.get("Failed"):
+                        durations.setdefault(desc, []).append((info["Finish Time"] - info["Launch Time"]) / 1000.0)
+    out = {}
+    for desc, ds in durations.items():
+        ds.sort()
+        med = ds[len(ds) // 2]
+        out[desc] = {"tasks": len(ds), "median_s": round(med, 3), "max_s": round(ds[-1], 3),
+                     "skew": round(ds[-1] / med, 2) if med > 0 else None}
+    return out

@@ -49,7 +49,7 @@ _HANDLES: dict = {}
 
 def handle(spark: SparkSession, n_out: int, n_in: int) -> ModelHandle:
     """One broadcast per model per session."""
-    key = (id(spark.sparkContext), n_out, n_in)
+    key = (spark.sparkContext.applicationId, n_out, n_in)
     if key not in _HANDLES:
         _HANDLES[key] = ModelHandle.create(spark, LinearModel.formula(n_out, n_in))
     return _HANDLES[key]
@@ -515,7 +515,7 @@ def a8_batch_report(spark, sf):
 
 
 def i2_predict_mlp(spark, sf):
-    key = (id(spark.sparkContext), "mlp")
+    key = (spark.sparkContext.applicationId, "mlp")
     if key not in _HANDLES:
         _HANDLES[key] = ModelHandle.create(spark, MLP.formula(10, 32, 64))
     return logits_out(predict_map(emb(spark, sf), _HANDLES[key], "embedding", keep=["vec_id"], dtype="float64"),

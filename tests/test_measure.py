@@ -78,3 +78,24 @@ def test_observe_counts(spark):
     d.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == 7
     assert d.select(F.col("id")).count() == 7
+
+
+def test_event_log_task_stats(tmp_dir):
+    import json
+    import os
+
+    import zstandard
+
+    events = [
+        {"Event": "SparkListenerJobStart", "Stage IDs": [3], "Properties": {"spark.job.description": "q"}},
+        *[{"Event": "SparkListenerTaskEnd", "Stage ID": 3,
+           "Task Info": {"Launch Time": 1000, "Finish Time": 1000 + ms, "Failed": False}} for ms in (100, 200, 400)],
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 9, "Task Info": {"Launch Time": 0, "Finish Time": 5}},
+    ]
+    d = os.path.join(tmp_dir, "eventlog_v2_app")
+    os.makedirs(d)
+    data = "\n".join(json.dumps(e) for e in events).encode()
+    with open(os.path.join(d, "events_1_app.zstd"), "wb") as f:
+        f.write(zstandard.ZstdCompressor().compress(data))
+    stats = measure.event_log_task_stats(tmp_dir)
+    assert stats == {"q": {"tasks": 3, "median_s": 0.2, "max_s": 0.4, "skew": 2.0}}
