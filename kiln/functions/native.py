@@ -73,7 +73,9 @@ def bound(col, fn) -> Column:
 
 
 def const_array(values, cast: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{cast}>")
+    """A constant array column built from one SQL literal (one call, not one per value)."""
+    body = ", ".join(repr(int(v)) if cast in ("int", "bigint") else repr(float(v)) for v in values)
+    return F.expr(f"CAST(array({body}) AS array<{cast}>)")
 
 
 def pick(values, index: Column) -> Column:
@@ -136,9 +138,23 @@ def rescale(col, scale: float | None) -> Column:
 
 # ---- T6 / T8 / T9 / T10: index arithmetic -----------------------------------------------
 
+TABLE_MAX = 4096  # widest output gathered through a constant index table
+
+
+def gather(col, src) -> Column:
+    """out[i] = col[src[i]] with ``src`` computed on the driver (a pure gather)."""
+    table = const_array(src, "int")
+    return bound(col, lambda c: F.transform(table, lambda j: F.get(c, j)))
+
+
 def permute(col, spec: TensorSpec, layout: str) -> Column:
     """Reorder axes, e.g. HWC -> CHW."""
     out_shape = tuple(spec.dim(a) for a in layout)
+    if spec.size <= TABLE_MAX:
+        import numpy as np
+
+        at = dict(zip(layout, np.unravel_index(np.arange(spec.size), out_shape)))
+        return gather(col, np.ravel_multi_index(tuple(at[a] for a in spec.layout), spec.shape))
 
     def body(c):
         return over_indices(spec.size, lambda i: F.get(c, flat_index(coords(i, layout, out_shape), spec.layout,
@@ -153,6 +169,13 @@ def center_crop(col, spec: TensorSpec, crop) -> Column:
     if ch > spec.height or cw > spec.width:
         raise ValueError("native centre crop does not pad; crop must fit the image")
     out = spec.with_(shape=tuple({"H": ch, "W": cw}.get(a, spec.dim(a)) for a in spec.layout))
+    if out.size <= TABLE_MAX:
+        import numpy as np
+
+        at = dict(zip(out.layout, np.unravel_index(np.arange(out.size), out.shape)))
+        at["H"] = at["H"] + top
+        at["W"] = at["W"] + left
+        return gather(col, np.ravel_multi_index(tuple(at[a] for a in spec.layout), spec.shape))
 
     def body(c):
         def at(i):

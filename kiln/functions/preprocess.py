@@ -87,6 +87,19 @@ class Preprocess:
         return self.numpy(nd.stack(values, self.input, ids))
 
     # ---- native ---------------------------------------------------------------------
+    TABLE_MAX = 4096  # widest output gathered through constant index tables
+
+    def gather_tables(self):
+        """(source flat index, channel) for every output element, when no resize is
+        involved: a centre crop plus a layout change is a pure gather."""
+        s, out = self.input, self.output
+        *_, top, left, _, _ = self._geometry()
+        at = dict(zip(out.layout, np.unravel_index(np.arange(out.size), out.shape)))
+        at["H"] = at["H"] + top
+        at["W"] = at["W"] + left
+        src = np.ravel_multi_index(tuple(at[a] for a in s.layout), s.shape)
+        return src, at["C"]
+
     def native(self, col) -> Column:
         """Same result as ``numpy`` as one Catalyst expression (no Python worker)."""
         s = self.input
@@ -100,6 +113,23 @@ class Preprocess:
         def body(c):
             return nat.over_indices(out.size, lambda i: at(c, i))
 
+        def value(raw, chan):
+            v = raw
+            if self.as_uint8:
+                v = F.pmod(v.cast("int"), F.lit(256))
+            v = v.cast("double")
+            if self.scale is not None:
+                v = v / F.lit(float(self.scale))
+            v = (v - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)
+            return v.cast(out.sql_type[6:-1])
+
+        if (rh, rw) == (h, w) and out.size <= self.TABLE_MAX:
+            # gather through driver-computed tables: same values, far fewer
+            # interpreted operations per element than index arithmetic
+            src, chans = self.gather_tables()
+            src_t, chan_t = nat.const_array(src, "int"), nat.const_array(chans, "int")
+            return nat.bound(col, lambda c: F.zip_with(src_t, chan_t, lambda j, ch_: value(F.get(c, j), ch_)))
+
         def sample(c, y, x, ch_):
             v = F.get(c, nat.flat_index({"H": y, "W": x, "C": ch_}, s.layout, s.shape))
             if self.as_uint8:
