@@ -542,7 +542,9 @@ def s3_score_files(spark, sf):
 
 def _variable_sql(select) -> str:
     """UNION ALL over the size classes of ``f5_variable_part_images``: each branch
-    has constant geometry, so the preprocessing SQL stays a plain expression."""
+    has constant geometry, so the preprocessing SQL stays a plain expression.  The
+    12 branches partition ``part`` (every row lands in exactly one), so the oracle
+    covers the whole table."""
     fh, fw = variable_size("p_partkey")
     parts = []
     for hk in range(3):
