@@ -147,3 +147,27 @@ def run_report(spark: SparkSession, keys: tuple[str, ...] = ("spark.executor.mem
     except ImportError:
         out["onnxruntime"] = None
     return out
+
+
+def tune_for(spark: SparkSession, spec, rows_per_task: int = 1024, batch_rows: int = 64,
+             reader_batch_bytes: int = 64 << 20) -> dict:
+    """Session settings for scoring rows of ``spec`` (the capacity plan in one call).
+
+    * ``spark.sql.files.maxPartitionBytes``: about ``rows_per_task`` rows per scan task;
+    * ``spark.sql.parquet.columnarReaderBatchSize``: at most ``reader_batch_bytes`` per
+      columnar batch (lowered only);
+    * Arrow batches of ``batch_rows`` rows, with a byte cap that lets them through.
+
+    Returns the values set.  Applies to plans executed afterwards."""
+    from kiln.sources.parquet import READER_BATCH, cap_reader_batch
+
+    row = spec.nbytes
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes_for(rows_per_task, row)),
+        BATCH_ROWS: str(int(batch_rows)),
+        BATCH_BYTES: str(batch_bytes_for(batch_rows, row)),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    conf[READER_BATCH] = str(cap_reader_batch(spark, row, reader_batch_bytes))
+    return conf

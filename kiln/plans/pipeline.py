@@ -75,14 +75,15 @@ class ScoringPlan:
     def stage_a(self, df: DataFrame, path: str, native: bool = False, handoff: str = "array") -> dict:
         """Job A: preprocess and persist (S6).  Returns the observed rows written.
         ``handoff="bytes"`` stores the tensor as raw little-endian values (one
-        binary cell per row): cheaper to write, read and hand to Python."""
+        binary cell per row): cheaper to write, read and hand to Python.
+        ``native=True`` preprocesses with the Catalyst form (array hand-off only)."""
         pre = self.preprocess
-        if handoff == "bytes":
-            out = map_tensor(df.select(*self.keep, self.column), self.column, pre.numpy, output="tensor",
-                             keep=self.keep, spec=pre.input, out_spec=pre.output.with_(encoding="bytes"))
-            return write_parquet(out, path)
-        expr = pre.native(self.column) if native else self._pre_udf()(F.col(self.column))
-        return write_parquet(df.select(*self.keep, pre.output.tag(expr, "tensor")), path)
+        if native:
+            return write_parquet(df.select(*self.keep, pre.output.tag(pre.native(self.column), "tensor")), path)
+        out_spec = pre.output.with_(encoding="bytes") if handoff == "bytes" else pre.output
+        out = map_tensor(df.select(*self.keep, self.column), self.column, pre.numpy, output="tensor",
+                         keep=self.keep, spec=pre.input, out_spec=out_spec)
+        return write_parquet(out, path)
 
     def stage_b(self, spark: SparkSession, path: str) -> DataFrame:
         """Job B: read the intermediate (S2) and score it."""

@@ -99,3 +99,18 @@ def test_event_log_task_stats(tmp_dir):
         f.write(zstandard.ZstdCompressor().compress(data))
     stats = measure.event_log_task_stats(tmp_dir)
     assert stats == {"q": {"tasks": 3, "median_s": 0.2, "max_s": 0.4, "skew": 2.0}}
+
+
+def test_tune_for(spark):
+    from kiln.spec import TensorSpec
+
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", resources.BATCH_ROWS,
+                                                 resources.BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize")}
+    try:
+        conf = resources.tune_for(spark, TensorSpec.image(256, 256, 3), rows_per_task=1024, batch_rows=64)
+        assert conf["spark.sql.files.maxPartitionBytes"] == str(1024 * 393216)
+        assert int(conf["spark.sql.parquet.columnarReaderBatchSize"]) <= 170
+        assert spark.conf.get(resources.BATCH_ROWS) == "64"
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
