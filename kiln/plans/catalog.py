@@ -127,6 +127,16 @@ def s12_pack_bytes(spark, sf):
     return logits_out(plan.fused(packed), "o_orderkey")
 
 
+def s3_sharded_files(spark, sf):
+    """Files in shard folders, listed and read by the executors (the driver
+    lists only the shard folders)."""
+    path = fresh_path(spark, "kiln-png-sharded")
+    pngs = images.encode_png_column(f4_part_images(spark, sf).withColumn("shard", F.col("p_partkey") % 16),
+                                    "image", F2_SPEC, keep=["p_partkey", "shard"])
+    images.write_image_files(pngs, "p_partkey", "png", path, shard="shard")
+    return _image_rows(images.load_images(spark, path, format="sharded"))
+
+
 def s3_image_files(spark, sf):
     return _image_rows(images.load_images(spark, _png_folder(spark, sf), format="image"))
 
@@ -580,6 +590,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S3_image_files": (s3_image_files, SQL_PART_IMAGES),
         "S3_binary_files": (s3_binary_files, SQL_PART_IMAGES),
         "S3_score_files": (s3_score_files, SQL_VAR_LOGITS),
+        "S3_sharded_files": (s3_sharded_files, SQL_PART_IMAGES),
         "T8_resize_variable_np": (t8_resize_variable, SQL_VAR_TENSOR),
         "I2_predict_mlp": (i2_predict_mlp, SQL_MLP_LOGITS),
         "S4_parquet_payload": (s4_parquet_payload, SQL_F2_IMAGE),

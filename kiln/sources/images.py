@@ -22,7 +22,7 @@ from kiln.functions import ndarray as nd
 from kiln.functions.png import ImageDecodeError, decode_image, encode_png, to_rgb
 from kiln.spec import TensorSpec
 
-IMAGE_FORMATS = ("parquet", "image", "binary")
+IMAGE_FORMATS = ("parquet", "image", "binary", "sharded")
 DEFAULT_MAX_PAYLOAD_BYTES = 100 << 20  # per-request ceiling the reference hit
 
 _IMAGE_SCHEMA = "path string, height int, width int, channels int, image array<short>"
@@ -154,28 +154,117 @@ def encode_png_column(df: DataFrame, column: str, spec: TensorSpec | None = None
     return df.select(*keep, *extra, column).mapInArrow(run, T.StructType(fields))
 
 
-def write_image_files(df: DataFrame, key: str, png_column: str, path: str) -> dict:
-    """Write each row's PNG bytes to ``<path>/<key>.png`` from the executors
-    (a deterministic name, so a retried task rewrites the same file).  Uses
-    ``pyarrow.fs`` so any filesystem URI pyarrow knows works."""
+def _filesystem(path: str):
+    from pyarrow import fs as pafs
+
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
 
-    def run(batches):
-        from pyarrow import fs as pafs
 
-        filesystem, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        filesystem.create_dir(root, recursive=True)
+def write_image_files(df: DataFrame, key: str, png_column: str, path: str, shard: str | None = None) -> dict:
+    """Write each row's PNG bytes to ``<path>/<key>.png`` (or ``<path>/<shard>/<key>.png``)
+    from the executors; a deterministic name, so a retried task rewrites the same
+    file.  Uses ``pyarrow.fs`` so any filesystem URI pyarrow knows works."""
+    cols = [key, png_column] + ([shard] if shard else [])
+
+    def run(batches):
+        filesystem, root = _filesystem(path)
+        made = set()
         n = 0
         for b in batches:
-            for k, data in zip(b.column(key).to_pylist(), b.column(png_column).to_pylist()):
-                with filesystem.open_output_stream(f"{root}/{k}.png") as f:
+            shards = b.column(shard).to_pylist() if shard else [None] * b.num_rows
+            for k, data, sh in zip(b.column(key).to_pylist(), b.column(png_column).to_pylist(), shards):
+                folder = root if sh is None else f"{root}/{sh}"
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with filesystem.open_output_stream(f"{folder}/{k}.png") as f:
                     f.write(data)
                 n += 1
-        yield pa.RecordBatch.from_pydict({"files": [n]})
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
 
-    rows = df.select(key, png_column).mapInArrow(run, "files long").agg(F.sum("files").alias("files")).collect()
+    rows = df.select(*cols).mapInArrow(run, "files long").agg(F.sum("files").alias("files")).collect()
     return {"files": int(rows[0]["files"] or 0)}
 
 
+# ---- S3 at scale: listing on the executors -----------------------------------------------------
+
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".tif", ".tiff", ".webp")
+
+
+def shard_folders(path: str) -> list[str]:
+    """The immediate sub-folders of ``path`` (one listing level on the driver)."""
+    from pyarrow import fs as pafs
+
+    filesystem, root = _filesystem(path)
+    prefix = path[: len(path) - len(root)] if "://" in path and path.endswith(root) else ""
+    infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=False))
+    return sorted(prefix + i.path for i in infos if i.type == pafs.FileType.Directory)
+
+
+def list_files(spark: SparkSession, shards: list[str], suffixes=IMAGE_SUFFIXES,
+               partitions: int | None = None) -> DataFrame:
+    """(path, size) of every file under each shard folder, listed by the executors.
+
+    Spark's own file index lists every file on the driver; for a billion small
+    images that is more FileStatus objects than a driver holds.  Here the driver
+    only knows the shard folders; each task lists its shards with ``pyarrow.fs``."""
+    n = partitions or max(1, min(len(shards), spark.sparkContext.defaultParallelism * 4))
+    df = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(n)
+    suffixes = tuple(x.lower() for x in suffixes)
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        for b in batches:
+            for shard in b.column("shard").to_pylist():
+                filesystem, root = _filesystem(shard)
+                prefix = shard[: len(shard) - len(root)] if "://" in shard and shard.endswith(root) else ""
+                infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=True))
+                files = [i for i in infos if i.type == pafs.FileType.File and i.path.lower().endswith(suffixes)]
+                if files:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([prefix + i.path for i in files], pa.string()),
+                         pa.array([i.size for i in files], pa.int64())], names=["path", "size"])
+
+    return df.mapInArrow(run, "path string, size long")
+
+
+def read_listed_images(files: DataFrame, on_invalid: str = "drop", decoder=decode_image,
+                       partitions: int | None = None) -> DataFrame:
+    """Read and decode the files named in ``files.path`` on the executors (S3 at
+    scale, T12).  Output as ``read_image_files``.  ``partitions`` spreads the
+    paths first (a shuffle of path strings only)."""
+    src = files.select("path")
+    if partitions:
+        src = src.repartition(partitions)
+
+    def run(batches):
+        for b in batches:
+            paths, imgs, hs, ws, cs = [], [], [], [], []
+            for p in b.column("path").to_pylist():
+                filesystem, real = _filesystem(p)
+                try:
+                    with filesystem.open_input_stream(real) as f:
+                        px = to_rgb(decoder(f.read()))
+                except ImageDecodeError:
+                    if on_invalid == "raise":
+                        raise
+                    if on_invalid == "drop":
+                        continue
+                    paths.append(p), imgs.append(None), hs.append(None), ws.append(None), cs.append(None)
+                    continue
+                paths.append(p), imgs.append(px.reshape(-1).astype(np.int16))
+                hs.append(px.shape[0]), ws.append(px.shape[1]), cs.append(3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(hs, pa.int32()), pa.array(ws, pa.int32()),
+                 pa.array(cs, pa.int32()), pa.array(imgs, pa.list_(pa.int16()))],
+                names=["path", "height", "width", "channels", "image"])
+
+    return src.mapInArrow(run, _IMAGE_SCHEMA)
+
+
 # ---- S4: parquet payloads -------------------------------------------------------------------
 
 def to_payloads(df: DataFrame, rows_per_payload: int = 1000, max_payload_bytes: int = DEFAULT_MAX_PAYLOAD_BYTES,
@@ -233,6 +322,9 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
         return read_image_files(spark, path, **kw)
     if format == "binary":
         return read_binary_images(spark, path, **kw)
+    if format == "sharded":
+        on_invalid = kw.pop("on_invalid", "drop")
+        return read_listed_images(list_files(spark, shard_folders(path), **kw), on_invalid=on_invalid)
     raise ValueError(f"unsupported image format {format!r}; accepted: {', '.join(IMAGE_FORMATS)}")
 
 

@@ -100,3 +100,28 @@ def test_noop_and_drain(spark):
     assert drain(d).agg(F.sum("rows")).first()[0] == 1500
     batches = list(iter_batches(d.limit(25), batch_size=10))
     assert [b.num_rows for b in batches] == [10, 10, 5]
+
+
+def test_sharded_listing_on_executors(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "sharded")
+    want = {}
+    for shard in ("a", "b"):
+        os.makedirs(os.path.join(root, shard, "deeper"))
+        for k in range(3):
+            img = ((np.arange(5 * 4 * 3) + k + ord(shard)) % 256).astype(np.uint8).reshape(5, 4, 3)
+            p = os.path.join(root, shard, "deeper" if k == 2 else "", f"{shard}{k}.png")
+            with open(p, "wb") as f:
+                f.write(encode_png(img))
+            want[f"{shard}{k}"] = img
+    with open(os.path.join(root, "a", "notes.txt"), "w") as f:
+        f.write("not an image")
+    with open(os.path.join(root, "b", "broken.png"), "wb") as f:
+        f.write(b"\x89PNG\r\n\x1a\nbroken")
+    assert [os.path.basename(s) for s in images.shard_folders(root)] == ["a", "b"]
+    listed = images.list_files(spark, images.shard_folders(root)).collect()
+    assert len(listed) == 7  # 6 images + the broken one; the .txt is skipped
+    rows = images.load_images(spark, root, format="sharded").collect()
+    got = {os.path.basename(r.path)[:-4]: r for r in rows}
+    assert set(got) == set(want)
+    for k, img in want.items():
+        np.testing.assert_array_equal(np.array(got[k].image).reshape(img.shape), img)
