@@ -234,8 +234,9 @@ def list_files(spark: SparkSession, shards: list[str], suffixes=IMAGE_SUFFIXES,
 def read_listed_images(files: DataFrame, on_invalid: str = "drop", decoder=decode_image,
                        partitions: int | None = None) -> DataFrame:
     """Read and decode the files named in ``files.path`` on the executors (S3 at
-    scale, T12).  Output as ``read_image_files``.  ``partitions`` spreads the
-    paths first (a shuffle of path strings only)."""
+    scale, T12).  Output as ``read_image_files``.  ``partitions`` round-robins
+    the paths first – a shuffle of short strings only – so a shard holding a
+    large share of the files does not become one long read task."""
     src = files.select("path")
     if partitions:
         src = src.repartition(partitions)
@@ -324,7 +325,9 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
         return read_binary_images(spark, path, **kw)
     if format == "sharded":
         on_invalid = kw.pop("on_invalid", "drop")
-        return read_listed_images(list_files(spark, shard_folders(path), **kw), on_invalid=on_invalid)
+        spread = kw.pop("partitions", None) or spark.sparkContext.defaultParallelism * 4
+        return read_listed_images(list_files(spark, shard_folders(path), **kw), on_invalid=on_invalid,
+                                  partitions=spread)
     raise ValueError(f"unsupported image format {format!r}; accepted: {', '.join(IMAGE_FORMATS)}")
 
 
