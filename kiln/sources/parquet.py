@@ -55,7 +55,7 @@ def read_tensors(spark: SparkSession, path: str, column: str = "image", spec: Te
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", max_records_per_file: int | None = None,
-                  observe: bool = True) -> dict:
+                  observe: bool = True, compression: str | None = None) -> dict:
     """Parquet sink (S6).  Returns the rows actually written (via an ``Observation``
     on the executed plan, so it counts what the UDFs produced, not the input)."""
     obs = Observation("kiln_write") if observe else None
@@ -63,6 +63,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", max_records
     w = d.write.mode(mode).format("parquet")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    if compression:
+        w = w.option("compression", compression)  # e.g. "none" for float hand-offs that barely compress
     w.save(path)
     return dict(obs.get) if observe else {}
 
