@@ -24,7 +24,6 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from kiln.functions import Preprocess  # noqa: E402
 from kiln.models import LinearModel, ModelHandle  # noqa: E402

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.functions import native as nat
 from kiln.functions import ndarray as nd
 from kiln.spec import TensorSpec
 
