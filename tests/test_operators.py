@@ -113,11 +113,29 @@ def test_plan_shapes(spark, plan):
     assert any("vec_id" in s and "embedding" in s and "label" not in s for s in read_schema(fused))
 
 
-def test_count_prunes_udf_but_observation_does_not(spark, plan):
+class _Counting:
+    """Model that counts the rows it scores (in an accumulator)."""
+
+    def __init__(self, acc):
+        self.acc = acc
+
+    def predict(self, batch):
+        self.acc.add(len(batch))
+        return batch.reshape(len(batch), -1)[:, :1]
+
+
+def test_count_prunes_udf_but_observation_does_not(spark):
+    """``count()`` never runs the model; the Observation on the executed write does."""
     from kiln.operators.measure import count_rows
 
-    d = plan.fused(f1_embeddings(spark, SF))
-    assert count_rows(d) == 500
+    acc = spark.sparkContext.accumulator(0)
+    h = ModelHandle.create(spark, _Counting(acc))
+    d = predict_map(spark.read.parquet(f"{SF}/embeddings.parquet"), h, "embedding", TensorSpec.vector(64),
+                    keep=["vec_id"])
+    u = predict_udf(h, TensorSpec.vector(64))
+    projected = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", u("embedding").alias("p"))
+    assert projected.count() == 500 and acc.value == 0  # the UDF column was pruned
+    assert count_rows(d) == 500 and acc.value == 500
 
 
 def test_filter_pushdown_below_udf(spark, plan):
