@@ -132,6 +132,14 @@ def main() -> None:
             rows[name] = t["rows"]
         times[name] = round(best, 3)
 
+    # UDF overhead microbenchmark (identity UDF sleeping per batch on materialised input),
+    # the reference's overhead row; reported beside the queries, not summed into them
+    spark.sparkContext.setJobDescription("overhead")
+    delay = 0.05
+    ov = measure.overhead_run(spark, full, "image", delay=delay)
+    ov["ideal_seconds"] = round(ov["batches"] * delay / CPUS, 3)
+    ov["seconds"] = round(ov["seconds"], 3)
+
     n_full = rows["full_fused"]
     out = {
         "metric": "pipeline_seconds_total",
@@ -142,6 +150,7 @@ def main() -> None:
         "rows": rows,
         "images_per_second_flagship": round(n_full / times["full_fused"], 2) if times["full_fused"] else None,
         "setup_seconds": round(setup_s, 2),
+        "overhead": ov,
         "cpus": CPUS,
         "settings": tuned,
         "runs": RUNS,
