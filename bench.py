@@ -136,9 +136,11 @@ def main() -> None:
     # the reference's overhead row; reported beside the queries, not summed into them
     spark.sparkContext.setJobDescription("overhead")
     delay = 0.05
-    ov = measure.overhead_run(spark, full, "image", delay=delay)
-    ov["ideal_seconds"] = round(ov["batches"] * delay / CPUS, 3)
-    ov["seconds"] = round(ov["seconds"], 3)
+    ov = {}
+    for flavor in ("pandas", "arrow"):
+        r = measure.overhead_run(spark, full, "image", delay=delay, flavor=flavor)
+        ov[flavor] = {"seconds": round(r["seconds"], 3), "batches": r["batches"],
+                      "ideal_seconds": round(r["batches"] * delay / CPUS, 3)}
 
     n_full = rows["full_fused"]
     out = {

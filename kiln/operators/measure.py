@@ -100,10 +100,12 @@ def profile(spark: SparkSession, df: DataFrame, kind: str = "perf") -> str:
             spark.conf.set("spark.sql.pyspark.udf.profiler", old)
 
 
-def overhead_run(spark: SparkSession, df: DataFrame, column: str, delay: float = 1.0) -> dict:
+def overhead_run(spark: SparkSession, df: DataFrame, column: str, delay: float = 1.0,
+                 flavor: str = "pandas") -> dict:
     """UDF overhead microbenchmark (A7): materialise the input (C1), pass
-    ``column`` through an identity pandas UDF that sleeps ``delay`` per batch,
-    time the run.  Ideal time = batches x delay / concurrent tasks."""
+    ``column`` through an identity UDF that sleeps ``delay`` per batch, time the
+    run.  Ideal time = batches x delay / concurrent tasks.  ``flavor="arrow"``
+    uses an Arrow UDF, which skips the pandas conversion of every row."""
     src = cache(df.select(column))
     acc = spark.sparkContext.accumulator(0)
     dt = src.schema[column].dataType
@@ -113,7 +115,13 @@ def overhead_run(spark: SparkSession, df: DataFrame, column: str, delay: float =
         acc.add(1)
         return s
 
-    out = src.select(F.pandas_udf(ident, dt)(F.col(column)).alias(column))
+    def ident_arrow(a: pa.Array) -> pa.Array:
+        time.sleep(delay)
+        acc.add(1)
+        return a
+
+    udf = F.arrow_udf(ident_arrow, dt) if flavor == "arrow" else F.pandas_udf(ident, dt)
+    out = src.select(udf(F.col(column)).alias(column))
     t = timed_run(out)
     src.unpersist()
     return {"rows": t["rows"], "batches": acc.value, "seconds": t["seconds"], "delay": delay}

@@ -114,3 +114,8 @@ def test_tune_for(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_overhead_run_arrow(spark):
+    res = measure.overhead_run(spark, f2_orders(spark, SF), "image", delay=0.0, flavor="arrow")
+    assert res["rows"] == 1500 and res["batches"] >= 1
