@@ -13,10 +13,12 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    # model batches are bounded by rows (B1) and by bytes; a 1000-row batch of
-    # 256x256x3 int16 images is 393 MB, so the byte cap is raised on purpose
+    # transport batches are bounded by rows (B1) and by bytes: 1000 small rows, or
+    # 64 MiB of wide ones (162 rows of 256x256x3 int16 images) – whichever comes
+    # first, so one Python worker's input stays bounded; resources.tune_for sets
+    # both from the row width
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(512 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.python.worker.reuse": "true",
     "spark.ui.showConsoleProgress": "false",
 }
