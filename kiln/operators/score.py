@@ -132,8 +132,10 @@ def tensor_udf(fn: Callable[[np.ndarray], np.ndarray], spec: TensorSpec, out_dty
 
         return F.arrow_udf(iter_a, rtype)
 
+    in_type = pa.binary() if spec.encoding == "bytes" else pa.list_(pa.from_numpy_dtype(spec.numpy_dtype))
+
     def series_apply(s: pd.Series, f) -> pd.Series:
-        arr = pa.array(s, type=pa.list_(pa.from_numpy_dtype(spec.numpy_dtype)), from_pandas=True)
+        arr = pa.array(s, type=in_type, from_pandas=True)
         out = _apply_arrow(arr, spec, f, np_out, batch_size, on_invalid)
         return out.to_pandas()
 
@@ -216,14 +218,19 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
         stream = batches if not batch_size else _rebatch(batches, batch_size)
         for b in _prefetch(stream, depth):
             vals = b.column(column)
-            ids = b.column(id_col).to_pylist() if (id_col and on_invalid == "raise" and vals.null_count) else None
             try:
                 if as_bytes:
-                    out = nd.to_binary(f(nd.stack(vals, spec, ids)), np_out)
+                    out = nd.to_binary(f(nd.stack(vals, spec)), np_out)
                 else:
-                    out = _apply_arrow(vals, spec, f, np_out, None, on_invalid, ids)
+                    out = _apply_arrow(vals, spec, f, np_out, None, on_invalid)
             except TensorShapeError as e:
-                raise TensorShapeError(f"{e} ({_partition()})") from None
+                msg = str(e)
+                if id_col:  # name the row by its key; ids are only read on the error path
+                    try:
+                        nd.stack(vals, spec, b.column(id_col).to_pylist())
+                    except TensorShapeError as named:
+                        msg = str(named)
+                raise TensorShapeError(f"{msg} ({_partition()})") from None
             cols = [b.column(c) for c in keep] + [out]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -185,3 +185,20 @@ def test_bytes_encoded_pipeline_matches_array(spark, plan, expected, tmp_dir):
     assert len(arr.image) == 64
     with pytest.raises(Exception, match="range"):
         encode_bytes(f2_orders(spark, SF, mod=1000, shift=500), "image", dtype="uint8").collect()
+
+
+def test_shape_error_names_the_key(spark):
+    df = spark.createDataFrame([(7, [1.0, 2.0, 3.0]), (42, [1.0])], "id long, x array<float>")
+    with pytest.raises(Exception, match="id 42"):
+        map_tensor(df, "x", lambda b: b, spec=TensorSpec.vector(3), keep=["id"]).collect()
+
+
+def test_pandas_udf_on_bytes_input(spark, plan, expected):
+    from kiln.operators.score import encode_bytes
+
+    enc = encode_bytes(f1_embeddings(spark, SF), "image", keep=["vec_id"])
+    spec = TensorSpec.of(enc, "image")
+    bplan = ScoringPlan(PRE.__class__(**{**PRE.__dict__, "input": spec}), plan.model, "image", ["vec_id"],
+                        dtype="float64")
+    ids, pred = _pred(bplan.fused_udf(enc))
+    np.testing.assert_allclose(pred, expected[1], rtol=1e-12, atol=1e-12)
