@@ -265,7 +265,7 @@ def predict_map(df: DataFrame, handle: ModelHandle, column: str, spec: TensorSpe
 
 def map_batches(df: DataFrame, fn, schema, batch_format: str = "numpy", batch_size: int | None = None,
                 fn_constructor_kwargs: dict | None = None, depth: int = 0) -> DataFrame:
-    """Run ``fn`` over record batches (U3), Ray-style.
+    """Run ``fn`` over record batches (U3) as dicts of arrays, DataFrames or Arrow.
 
     ``fn`` takes and returns a batch in ``batch_format``: "numpy" (dict of column
     name -> ndarray; list columns become 2-d arrays when their rows have one
