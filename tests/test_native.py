@@ -1,6 +1,8 @@
 """Native (Catalyst) tensor functions agree with the vectorised NumPy forms."""
 
 import numpy as np
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,22 @@ def test_let_evaluates_expression_once(spark):
     expr = F.transform("a", lambda v: v * 2)
     got = df.select(nat.let(expr, lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda s, v: s + v)).alias("s"))
     assert [r["s"] for r in got.orderBy("s").collect()] == [2, 6, 10]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(h=st.integers(2, 7), w=st.integers(2, 7), c=st.integers(1, 4), in_layout=st.sampled_from(["HWC", "CHW"]),
+       out_layout=st.sampled_from(["HWC", "CHW"]), resize=st.one_of(st.none(), st.integers(2, 9)),
+       crop_frac=st.floats(0.3, 1.0), scale=st.sampled_from([None, 255.0, 256.0]), as_uint8=st.booleans())
+def test_native_equals_numpy_property(spark, h, w, c, in_layout, out_layout, resize, crop_frac, scale, as_uint8):
+    spec = TensorSpec.image(h, w, c, layout=in_layout)
+    probe = Preprocess(spec, resize=resize, crop=None)
+    rh, rw = probe.output.height, probe.output.width
+    crop = (max(1, int(rh * crop_frac)), max(1, int(rw * crop_frac)))
+    pre = Preprocess(spec, resize=resize, crop=crop, scale=scale, as_uint8=as_uint8, mean=(0.5,) * c if c != 3
+                     else IMAGENET_MEAN, std=(0.25,) * c if c != 3 else IMAGENET_STD, layout=out_layout,
+                     dtype="float64")
+    rng = np.random.default_rng(h * 100 + w * 10 + c)
+    data = rng.integers(-300, 300, size=(6, spec.size)).astype(np.int16)
+    df = spark.createDataFrame([(i, [int(v) for v in data[i]]) for i in range(6)], "id long, image array<short>")
+    got = collect(df.select("id", pre.native("image").alias("t")), "t")
+    np.testing.assert_array_equal(got, pre.numpy(data.reshape(-1, *spec.shape)))
