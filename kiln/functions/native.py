@@ -9,6 +9,7 @@ because Spark interprets higher-order lambdas element by element.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,12 +73,53 @@ def bound(col, fn) -> Column:
     return fn(c) if _is_plain(c) else let(c, fn)
 
 
+def _sql_num(v, integral: bool) -> str:
+    return repr(int(v)) if integral else f"{float(v)!r}D"  # D: a double literal, not a decimal
+
+
 def const_array(values, cast: str) -> Column:
     """A constant array column built from one SQL literal (one call, not one per value)."""
-    body = ", ".join(repr(int(v)) if cast in ("int", "bigint") else repr(float(v)) for v in values)
+    body = ", ".join(_sql_num(v, cast in ("int", "bigint")) for v in values)
     return F.expr(f"CAST(array({body}) AS array<{cast}>)")
 
 
+def const_structs(columns: dict) -> Column:
+    """A constant array of structs, one per position: {name: int or float ndarray}."""
+    names = list(columns)
+    n = len(next(iter(columns.values())))
+    integral = {k: np.issubdtype(np.asarray(v).dtype, np.integer) for k, v in columns.items()}
+    items = []
+    for i in range(n):
+        fields = ", ".join(f"'{k}', {_sql_num(columns[k][i], integral[k])}" for k in names)
+        items.append(f"named_struct({fields})")
+    return F.expr(f"array({', '.join(items)})")
+
+
+def bilinear_table(spec: TensorSpec, oh: int, ow: int, out_layout: str, out_shape, top: int = 0, left: int = 0):
+    """Per output element: the four source flat indices, the four weights and the
+    channel of a half-pixel bilinear sample (``ndarray.bilinear_taps`` values)."""
+    n = int(np.prod(out_shape))
+    at = dict(zip(out_layout, np.unravel_index(np.arange(n), out_shape)))
+    y, x = at["H"] + top, at["W"] + left
+    ch = at.get("C", np.zeros(n, dtype=np.int64))
+    y0, y1, hw0, hw1 = (t[y] for t in bilinear_taps(spec.height, oh))
+    x0, x1, ww0, ww1 = (t[x] for t in bilinear_taps(spec.width, ow))
+
+    def src(yy, xx):
+        pos = {"H": yy, "W": xx, "C": ch}
+        return np.ravel_multi_index(tuple(pos[a] for a in spec.layout), spec.shape)
+
+    return {"a": src(y0, x0), "b": src(y0, x1), "c": src(y1, x0), "d": src(y1, x1),
+            "hw0": hw0, "hw1": hw1, "ww0": ww0, "ww1": ww1, "ch": ch}
+
+
+def bilinear_from_table(t: Column, sample) -> Column:
+    """h0*(w0*a + w1*b) + h1*(w0*c + w1*d) for one table entry ``t``."""
+    top = t["ww0"] * sample(t["a"]) + t["ww1"] * sample(t["b"])
+    bot = t["ww0"] * sample(t["c"]) + t["ww1"] * sample(t["d"])
+    return t["hw0"] * top + t["hw1"] * bot
+
+
 def pick(values, index: Column) -> Column:
     """values[index] for a Python list of constants and a 0-based column index."""
     if len(values) == 1:
@@ -218,6 +260,10 @@ def resize(col, spec: TensorSpec, size) -> Column:
     if (oh, ow) == (spec.height, spec.width):
         return rescale(col, None)
     out = spec.with_(shape=tuple({"H": oh, "W": ow}.get(a, spec.dim(a)) for a in spec.layout))
+    if out.size <= TABLE_MAX:
+        table = const_structs(bilinear_table(spec, oh, ow, out.layout, out.shape))
+        return bound(col, lambda c: F.transform(
+            table, lambda t: bilinear_from_table(t, lambda j: F.get(c, j).cast("double"))))
 
     def body(c):
         def at(i):
