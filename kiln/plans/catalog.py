@@ -8,7 +8,6 @@ vectorised and Catalyst forms of the same function and share one oracle.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from kiln.operators.score import (encode_bytes, map_batches, map_images, map_ten
 from kiln.plans import oracle as q
 from kiln.plans.inspect import exchanges, python_nodes
 from kiln.plans.pipeline import ScoringPlan
-from kiln.session import fresh_path
+from kiln.session import fresh_path, ship_package  # noqa: F401  (ship_package re-exported)
 from kiln.sources import images, parquet
 from kiln.sources.derived import (F1_SPEC, F2_SPEC, f1_embeddings, f2_orders, f4_part_images,
                                   f5_variable_part_images, table, variable_size)
@@ -698,23 +697,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in registry().items() if v[1] is not None}
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``kiln`` importable in the Python workers (zip + ``addPyFile``)."""
-    import tempfile
-    import zipfile
-
-    sc = spark.sparkContext
-    if getattr(sc, "_kiln_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="kiln-pkg-"), "kiln.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for dirpath, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(out)
-    sc._kiln_shipped = True

@@ -73,3 +73,23 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 def fresh_path(spark: SparkSession, prefix: str) -> str:
     """A new, unused folder name inside the shared checkpoint folder."""
     return shared_path(spark, f"{prefix}-{uuid.uuid4().hex[:12]}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kiln`` importable in the Python workers: zip the package once per
+    SparkContext and ``addPyFile`` it (Spark distributes it to every executor)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_kiln_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="kiln-pkg-"), "kiln.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    sc._kiln_shipped = True
