@@ -30,8 +30,7 @@ from kiln.models import LinearModel, ModelHandle  # noqa: E402
 from kiln.operators import measure, resources  # noqa: E402
 from kiln.plans import ScoringPlan  # noqa: E402
 from kiln.operators.score import encode_bytes  # noqa: E402
-from kiln.plans.catalog import ship_package  # noqa: E402
-from kiln.session import build_session, fresh_path  # noqa: E402
+from kiln.session import build_session, fresh_path, ship_package  # noqa: E402
 from kiln.sources.derived import F2_SPEC, F3_SPEC, f2_orders, f3_images  # noqa: E402
 from kiln.sources.parquet import read_tensors, write_parquet  # noqa: E402
 from kiln.spec import TensorSpec  # noqa: E402

@@ -11,7 +11,7 @@ if ROOT not in sys.path:
 
 @pytest.fixture(scope="session")
 def spark():
-    from kiln.plans.catalog import ship_package
+    from kiln.session import ship_package
     from kiln.session import build_session
 
     s = build_session("local[*]", "kiln-tests", {"spark.sql.shuffle.partitions": "8"})

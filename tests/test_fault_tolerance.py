@@ -14,8 +14,7 @@ SCRIPT = textwrap.dedent('''
     sys.path.insert(0, ROOT)
     import numpy as np
     from pyspark import TaskContext
-    from kiln.session import build_session
-    from kiln.plans.catalog import ship_package
+    from kiln.session import build_session, ship_package
     from kiln.models import LinearModel, ModelHandle
     from kiln.operators.score import predict_map
     from kiln.sources.parquet import write_parquet
