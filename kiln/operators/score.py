@@ -356,15 +356,6 @@ def named_prediction(df: DataFrame, handle: ModelHandle, column: str, spec: Tens
     return predict_map(df, handle, column, spec, output="predictions", keep=keep, **kw)
 
 
-def column_udf_select(df: DataFrame, udf, column: str, output: str, keep: list[str]) -> DataFrame:
-    """Project one column through a UDF, always aliased."""
-    return df.select(*keep, udf(F.col(column)).alias(output))
-
-
-def udf_column(udf, column: str) -> Column:
-    return udf(F.col(column))
-
-
 # ---- images of different sizes (S3 -> T8/T9/T10 -> I4) -----------------------------------
 
 def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "height", width: str = "width",

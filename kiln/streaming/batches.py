@@ -135,7 +135,3 @@ def iter_batches(df: DataFrame, batch_size: int = 1000, prefetch_partitions: boo
             rows = []
     if rows:
         yield pa.RecordBatch.from_pylist([x.asDict() for x in rows]).select(names)
-
-
-def total_rows(report: DataFrame) -> DataFrame:
-    return report.agg(F.sum("rows").alias("rows"), F.sum("batches").alias("batches"))

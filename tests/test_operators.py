@@ -202,3 +202,26 @@ def test_pandas_udf_on_bytes_input(spark, plan, expected):
                         dtype="float64")
     ids, pred = _pred(bplan.fused_udf(enc))
     np.testing.assert_allclose(pred, expected[1], rtol=1e-12, atol=1e-12)
+
+
+def test_valid_tensor_native_check(spark):
+    from kiln.spec import valid_tensor
+
+    got = {r.id: r.valid for r in _faulty(spark).select("id", valid_tensor("x", TensorSpec.vector(4))).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
+    b = spark.createDataFrame([(1, bytearray(8)), (2, bytearray(3)), (3, None)], "id long, x binary")
+    got = {r.id: r.valid for r in b.select("id", valid_tensor("x", TensorSpec.vector(2, "float32").with_(
+        encoding="bytes"))).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_map_images_null_rows(spark):
+    from kiln.operators.score import map_images
+
+    rows = [(1, 4, 4, list(range(48))), (2, None, None, None), (3, 2, 6, list(range(36)))]
+    df = spark.createDataFrame(rows, "id long, height int, width int, image array<short>")
+    pre = Preprocess(TensorSpec.image(4, 4, 3), resize=2, crop=2, scale=255.0, dtype="float64")
+    out = {r.id: r.tensor for r in map_images(df, pre, keep=["id"], on_invalid="null").collect()}
+    assert out[2] is None and len(out[1]) == 12 and len(out[3]) == 12
+    with pytest.raises(Exception, match="null image"):
+        map_images(df, pre, keep=["id"]).collect()
