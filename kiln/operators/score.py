@@ -360,38 +360,62 @@ def named_prediction(df: DataFrame, handle: ModelHandle, column: str, spec: Tens
 
 def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "height", width: str = "width",
                handle: ModelHandle | None = None, output: str | None = None, keep: list[str] | None = None,
-               dtype: str | None = None, on_invalid: str = "raise") -> DataFrame:
+               dtype: str | None = None, on_invalid: str = "raise", channels: str | None = None,
+               bgr: bool = False) -> DataFrame:
     """Preprocess (and with ``handle``, score) rows whose images differ in size, as
-    decoded files do.  Each Arrow batch is grouped by (height, width); every group
-    runs ``preprocess`` with its own input size, so resize + centre crop bring all
-    rows to one output shape.  Row order is kept.  Rows with a null image get a
-    null output with ``on_invalid="null"``."""
+    decoded files do.  Each Arrow batch is grouped by size; every group runs
+    ``preprocess`` with its own input size, so resize + centre crop bring all rows
+    to one output shape.  Row order is kept.  Rows with a null image get a null
+    output with ``on_invalid="null"``.
+
+    ``column`` is either an RGB HWC array (as ``read_image_files`` returns) or the
+    raw pixel bytes of the JVM ``image`` source (``read_image_files(raw=True)``):
+    then name the ``channels`` column and set ``bgr=True``; grey is repeated to
+    three channels, alpha dropped, and decode → preprocess → model is one Python
+    step with no intermediate hand-back to the JVM."""
     from dataclasses import replace
 
-    keep = [c for c in df.columns if c not in (column, height, width)] if keep is None else list(keep)
+    drop = {column, height, width} | ({channels} if channels else set())
+    keep = [c for c in df.columns if c not in drop] if keep is None else list(keep)
     output = output or ("prediction" if handle is not None else "tensor")
     out_dtype = dtype or ("float32" if handle is not None else preprocess.output.dtype)
     np_out = TensorSpec((1,), "D", out_dtype).numpy_dtype
     schema = _out_schema(df, keep, output, T.ArrayType(TensorSpec((1,), "D", out_dtype).element_type, False))
     base = preprocess.input
     names = keep + [output]
+    extra = [channels] if channels else []
+
+    def rgb(px: np.ndarray) -> np.ndarray:
+        c = px.shape[-1]
+        if c >= 3:
+            return px[..., [2, 1, 0]] if bgr else px[..., :3]
+        return np.repeat(px[..., :1], 3, axis=-1)
 
     def run(batches):
         model = handle.get() if handle is not None else None
         for b in batches:
             hs = b.column(height).to_numpy(zero_copy_only=False)
             ws = b.column(width).to_numpy(zero_copy_only=False)
+            cs = b.column(channels).to_numpy(zero_copy_only=False) if channels else np.full(b.num_rows, 3)
             vals = b.column(column)
+            raw = pa.types.is_binary(vals.type) or pa.types.is_large_binary(vals.type)
             n = b.num_rows
             ok = ~(vals.is_null().to_numpy(zero_copy_only=False) | np.isnan(hs.astype(float))
-                   | np.isnan(ws.astype(float)))
+                   | np.isnan(ws.astype(float)) | np.isnan(cs.astype(float)))
+            ok &= np.where(ok, hs.astype(float) > 0, False)  # the JVM source marks undecodable files with -1
             if not ok.all() and on_invalid != "null":
-                raise TensorShapeError(f"null image in {_partition()}")
+                raise TensorShapeError(f"null or undecodable image in {_partition()}")
             parts: list = [None] * n
-            for h, w in {(int(h), int(w)) for h, w, k in zip(hs, ws, ok) if k}:
-                idx = np.flatnonzero(ok & (hs == h) & (ws == w))
-                spec = base.with_(shape=tuple({"H": h, "W": w}.get(a, base.dim(a)) for a in base.layout))
-                x = replace(preprocess, input=spec).numpy(nd.stack(vals.take(pa.array(idx)), spec))
+            for h, w, c in {(int(h), int(w), int(c)) for h, w, c, k in zip(hs, ws, cs, ok) if k}:
+                idx = np.flatnonzero(ok & (hs == h) & (ws == w) & (cs == c))
+                sub = vals.take(pa.array(idx))
+                if raw:
+                    px = rgb(nd.stack(sub, TensorSpec((h, w, c), "HWC", "uint8", encoding="bytes")))
+                else:
+                    px = nd.stack(sub, TensorSpec((h, w, 3), "HWC", base.dtype))
+                spec = base.with_(shape=tuple({"H": h, "W": w}.get(a, base.dim(a)) for a in base.layout),
+                                  encoding="array")
+                x = replace(preprocess, input=spec).numpy(nd.permute(px, "HWC", spec.layout))
                 if model is not None:
                     x = checked_predict(model, x)
                 for j, row in zip(idx, nd.rows2d(x).astype(np_out, copy=False)):
@@ -399,4 +423,4 @@ def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "
             col = pa.array(parts, pa.list_(pa.from_numpy_dtype(np_out)))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [col], names=names)
 
-    return df.select(*keep, height, width, column).mapInArrow(run, schema)
+    return df.select(*keep, height, width, *extra, column).mapInArrow(run, schema)

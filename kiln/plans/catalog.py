@@ -543,9 +543,10 @@ def s3_score_files(spark, sf):
     pngs = images.encode_png_column(f5_variable_part_images(spark, sf), "image", keep=["p_partkey"],
                                     height="height", width="width")
     images.write_image_files(pngs, "p_partkey", "png", path)
-    files = images.load_images(spark, path, format="image")
-    files = files.select(images.key_from_path("path").alias("p_partkey"), "height", "width", "image")
-    out = map_images(files, PRE_VAR, handle=handle(spark, 10, 192), keep=["p_partkey"], dtype="float64")
+    files = images.load_images(spark, path, format="image", raw=True)  # JVM decode, no Python step
+    files = files.select(images.key_from_path("path").alias("p_partkey"), "height", "width", "channels", "data")
+    out = map_images(files, PRE_VAR, column="data", channels="channels", bgr=True, handle=handle(spark, 10, 192),
+                     keep=["p_partkey"], dtype="float64")
     return logits_out(out, "p_partkey")
 
 

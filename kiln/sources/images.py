@@ -45,12 +45,15 @@ def _rgb_rows(datas, heights, widths, nchannels, on_invalid: str):
 
 
 def read_image_files(spark: SparkSession, path: str, on_invalid: str = "drop",
-                     glob: str | None = None) -> DataFrame:
+                     glob: str | None = None, raw: bool = False) -> DataFrame:
     """Folder of image files -> (path, height, width, channels=3, image HWC RGB) (S3).
 
     ``on_invalid``: "drop" removes undecodable files, "null" keeps them with a
     null image, "raise" fails the task.  Images keep their own size; follow with
-    ``Preprocess(resize=..., crop=...)`` per size group or ``resize_images``.
+    ``score.map_images`` (resize + crop per size group).  ``raw=True`` returns the
+    JVM decoder's columns untouched (``data`` = BGR(A) bytes, ``channels`` as
+    stored) with no Python step; ``map_images(..., channels="channels", bgr=True)``
+    then decodes, preprocesses and scores in one pass.
     """
     r = spark.read.format("image").option("dropInvalid", on_invalid == "drop")
     if glob:
@@ -59,6 +62,8 @@ def read_image_files(spark: SparkSession, path: str, on_invalid: str = "drop",
         F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
         F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"))
+    if raw:
+        return df
 
     def run(batches):
         for b in batches:

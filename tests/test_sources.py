@@ -125,3 +125,18 @@ def test_sharded_listing_on_executors(spark, tmp_dir):
     assert set(got) == set(want)
     for k, img in want.items():
         np.testing.assert_array_equal(np.array(got[k].image).reshape(img.shape), img)
+
+
+def test_raw_jvm_images_fused_into_map_images(spark, png_dir):
+    from kiln.functions import Preprocess
+    from kiln.operators.score import map_images
+
+    d, imgs = png_dir
+    pre = Preprocess(TensorSpec.image(8, 8, 3), resize=4, crop=4, scale=255.0, dtype="float64")
+    two_step = map_images(images.read_image_files(spark, d), pre, keep=["path"])
+    raw = images.read_image_files(spark, d, raw=True, on_invalid="null")
+    fused = map_images(raw, pre, column="data", channels="channels", bgr=True, keep=["path"], on_invalid="null")
+    a = {os.path.basename(r.path): r.tensor for r in two_step.collect()}
+    b = {os.path.basename(r.path): r.tensor for r in fused.collect()}
+    assert b.pop("99.png") is None  # the corrupt file: -1 size from the JVM decoder -> null output
+    assert a == b and len(a) == len(imgs)
