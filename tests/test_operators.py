@@ -223,5 +223,5 @@ def test_map_images_null_rows(spark):
     pre = Preprocess(TensorSpec.image(4, 4, 3), resize=2, crop=2, scale=255.0, dtype="float64")
     out = {r.id: r.tensor for r in map_images(df, pre, keep=["id"], on_invalid="null").collect()}
     assert out[2] is None and len(out[1]) == 12 and len(out[3]) == 12
-    with pytest.raises(Exception, match="null image"):
+    with pytest.raises(Exception, match="null or undecodable image"):
         map_images(df, pre, keep=["id"]).collect()
