@@ -406,6 +406,7 @@ def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "
             if not ok.all() and on_invalid != "null":
                 raise TensorShapeError(f"null or undecodable image in {_partition()}")
             parts: list = [None] * n
+            dense = None  # one (n, d) matrix when every row is valid and widths agree
             for h, w, c in {(int(h), int(w), int(c)) for h, w, c, k in zip(hs, ws, cs, ok) if k}:
                 idx = np.flatnonzero(ok & (hs == h) & (ws == w) & (cs == c))
                 sub = vals.take(pa.array(idx))
@@ -418,9 +419,21 @@ def map_images(df: DataFrame, preprocess, column: str = "image", height: str = "
                 x = replace(preprocess, input=spec).numpy(nd.permute(px, "HWC", spec.layout))
                 if model is not None:
                     x = checked_predict(model, x)
-                for j, row in zip(idx, nd.rows2d(x).astype(np_out, copy=False)):
+                x = nd.rows2d(x).astype(np_out, copy=False)
+                if ok.all() and (dense is None or dense.shape[1] == x.shape[1]):
+                    if dense is None:
+                        dense = np.empty((n, x.shape[1]), dtype=np_out)
+                    dense[idx] = x
+                    continue
+                if dense is not None:  # widths differ: fall back to per-row lists; rows of groups
+                    parts = list(dense)  # not seen yet are overwritten when their group comes
+                    dense = None
+                for j, row in zip(idx, x):
                     parts[j] = row
-            col = pa.array(parts, pa.list_(pa.from_numpy_dtype(np_out)))
+            if dense is not None:
+                col = nd.to_arrow(dense)
+            else:
+                col = pa.array(parts, pa.list_(pa.from_numpy_dtype(np_out)))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [col], names=names)
 
     return df.select(*keep, height, width, *extra, column).mapInArrow(run, schema)

@@ -225,3 +225,16 @@ def test_map_images_null_rows(spark):
     assert out[2] is None and len(out[1]) == 12 and len(out[3]) == 12
     with pytest.raises(Exception, match="null or undecodable image"):
         map_images(df, pre, keep=["id"]).collect()
+
+
+def test_map_images_output_widths_differ(spark):
+    """No crop: outputs keep each image's own size, so the dense path falls back to lists."""
+    from kiln.operators.score import map_images
+
+    rows = [(1, 2, 2, list(range(12))), (2, 3, 2, list(range(18))), (3, 2, 2, list(range(12, 24)))]
+    df = spark.createDataFrame(rows, "id long, height int, width int, image array<short>").coalesce(1)
+    pre = Preprocess(TensorSpec.image(2, 2, 3), resize=None, crop=None, scale=None, mean=(0.0,), std=(1.0,),
+                     layout="HWC", dtype="float64")
+    out = {r.id: r.tensor for r in map_images(df, pre, keep=["id"]).collect()}
+    assert out[1] == [float(v) for v in range(12)] and out[3] == [float(v) for v in range(12, 24)]
+    assert out[2] == [float(v) for v in range(18)]
