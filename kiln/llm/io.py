@@ -1,0 +1,47 @@
+"""Scratch tables in the shared folder, and broadcasts behind a check of their size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kiln.session import ensure_checkpoint_dir, fresh_path, ship_package
+
+#: A side of a join is broadcast only if its rows take no more than this; beyond it Spark joins by sort and merge.
+BROADCAST_BYTES = 16 << 20
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package for the Python workers, and the shared folder named by ``spark.checkpoint.dir``."""
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are of no more use once the table stands, so Spark may drop them; the
+    session's own setting is put back.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, f"llm-{name}"), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of ``row_bytes`` each at most, fit into ``most`` bytes.
+
+    ``df`` should be a written table: its rows are counted from the file footers.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
