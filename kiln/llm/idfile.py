@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.io import sized, written
+from kiln.llm.scratch import sized, written
 from kiln.llm.tokens import encoder
 
 _ENCODE_BYTES = 4 << 20

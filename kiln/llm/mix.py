@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.io import BROADCAST_BYTES, written
+from kiln.llm.scratch import BROADCAST_BYTES, written
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,26 +56,23 @@ def targets(sizes: DataFrame, weights, share: float, cap: float) -> DataFrame:
         spark.catalog.dropTempView(view)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per input row: doc_id, size, source, source_size, target, whole (copies taken whole), cut (words of
-    one more copy that the budget cuts, else 0), taken (all words taken).
-
-    Sources come by code point, null last, and take the weights in turn.  Null text is of size 0; an empty table
-    gives no rows; other columns are not read.  Rows with equal ids have equal hashes: if a budget ends among
-    them they share what is left by size, rounded down.  A null id has a hash of its own.
-    """
-    sizes = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("_source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long").alias("_h"),
-        ),
-        "sizes",
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with a source without null, a size and a hash."""
+    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+    return docs.withColumns(
+        {
+            "_source": F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))),
+            "_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"),
+            "_h": F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"),
+        }
     )
+
+
+def thresholds(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(_source, source_size, target, copies, _t, rest, part) from (source, _source, _size, _h): every document is
+    taken ``copies`` times, once more if its hash is below ``_t``; at ``_t`` lie ``part`` words, ``rest`` are left."""
     first, second = F.expr(f"shiftright(_h, {BITS - FIRST})"), F.expr(f"shiftright(_h, {BITS - SECOND})")
-    whole = written(sizes.groupBy("_source", "source", first.alias("_b")).agg(F.sum("size").alias("words")), "histogram")
+    whole = written(sizes.groupBy("_source", "source", first.alias("_b")).agg(F.sum("_size").alias("words")), "histogram")
     goal = targets(whole.groupBy("_source", "source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     goal = written(
         goal.withColumn("budget", F.floor("target"))
@@ -85,15 +82,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     at = written(_boundary(whole.select("_source", "_b", "words"), goal.where("rest > 0").select("_source", "rest"), "_b"), "boundary")
     inside = sizes.withColumn("_b", first).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
-    at = written(_boundary(inside.groupBy("_source", second.alias("_b")).agg(F.sum("size").alias("words")), at.select("_source", "rest"), "_b"), "boundary")
+    at = written(_boundary(inside.groupBy("_source", second.alias("_b")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_b"), "boundary")
     inside = sizes.withColumn("_b", second).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
-    at = _boundary(inside.groupBy("_source", F.col("_h").alias("_t")).agg(F.sum("size").alias("words")), at.select("_source", "rest"), "_t")
-    state = written(goal.select("_source", "source_size", "target", "copies").join(at, "_source", "left"), "thresholds")
-    more = F.expr("if(_h < _t, 1L, 0L)")
-    cut = F.expr("if(_h = _t, cast(floor(cast(size as decimal(38, 0)) * rest / part) as long), 0L)")
+    at = _boundary(inside.groupBy("_source", F.col("_h").alias("_t")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_t")
+    return written(goal.select("_source", "source_size", "target", "copies").join(at, "_source", "left"), "thresholds")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per input row: doc_id, size, source, source_size, target, whole (copies taken whole), cut (words of
+    one more copy that the budget cuts, else 0), taken (all words taken).
+
+    Sources come by code point, null last, and take the weights in turn.  Null text is of size 0; an empty table
+    gives no rows; other columns are not read.  Rows with equal ids have equal hashes: if a budget ends among
+    them they share what is left by size, rounded down.  A null id has a hash of its own.
+    """
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sizes = written(_keyed(plain, "doc_id", "text", "source").drop("text"), "sizes")
+    state = thresholds(sizes, weights, share, cap)
+    cut = F.expr("if(_h = _t, cast(floor(cast(_size as decimal(38, 0)) * rest / part) as long), 0L)")
     return (
         sizes.join(_small(state), "_source")
-        .withColumn("whole", F.col("copies") + F.coalesce(more, F.lit(0)))
+        .withColumn("whole", F.col("copies") + F.coalesce(F.expr("if(_h < _t, 1L, 0L)"), F.lit(0)))
         .withColumn("cut", F.coalesce(cut, F.lit(0)))
-        .select("doc_id", "size", "source", "source_size", "target", "whole", "cut", (F.col("size") * F.col("whole") + F.col("cut")).alias("taken"))
+        .select("doc_id", F.col("_size").alias("size"), "source", "source_size", "target", "whole", "cut", (F.col("_size") * F.col("whole") + F.col("cut")).alias("taken"))
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, whole: a row that the budget cuts is taken if the
+    larger part of it is inside.  Rows without words are taken as often as their source's whole copies, once at
+    least.  All columns are kept."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    state = thresholds(written(_keyed(plain, "doc_id", "text", "source").drop("text"), "sizes"), weights, share, cap)
+    times = F.expr("cast(if(_size = 0, greatest(copies, 1L), copies + coalesce(if(_h < _t or (_h = _t and 2 * rest >= part), 1L, 0L), 0L)) as int)")
+    rows = _keyed(docs, id_col, text_col, source_col).join(_small(state.drop("source_size", "target")), "_source").withColumn("_times", times).where("_times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.io import sized, written
+from kiln.llm.scratch import sized, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = (

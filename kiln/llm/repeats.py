@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.io import written
+from kiln.llm.scratch import written
 
 LENGTH = 20
 K = 8

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.io import sized, written
+from kiln.llm.scratch import sized, written
 from kiln.llm.redact import replaced
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.io import sized, written
+from kiln.llm.scratch import sized, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints in a tree, and pairs of query and node that may be looked at together.
@@ -58,15 +58,21 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.nda
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per input row; null text counts as empty, whose fingerprint is zero."""
+    """(doc_id, text_hash, fp): one row per input row; null text counts as empty, whose fingerprint is zero."""
 
     def run(it):
         for batch in it:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in W.blocks(batch.column(1), 1 << 19):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(_fingerprints(data, offsets, shingle).view(np.int64))], ["doc_id", "fp"])
+            for lo, hi, data, offsets in W.blocks(batch.column(2), 1 << 19):
+                fp = pa.array(_fingerprints(data, offsets, shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), fp], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(id_col, text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(id_col: str, text_col: str):
+    """With the id it tells rows apart; a null id goes into the hash, since joins drop nulls."""
+    return F.xxhash64(F.col(text_col), F.col(text_col).isNull(), F.col(id_col).isNull())
 
 
 class Forest:
@@ -192,6 +198,17 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) of each row; root is the group's smallest fingerprint."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    star = components(links(fps.select("fp"), radius))
+    root = fps.join(star.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "low", F.coalesce("b", "fp").alias("root"))
+    least = root.groupBy("root").agg(F.min("low").alias("component_id"))
+    member = written(root.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "members")
+    return rows.join(sized(member, 40), "fp")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id, the smallest id that is reachable over fingerprints
     that differ in ``radius`` bits or fewer.
@@ -200,10 +217,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its smallest only if all are null.  Rows with equal ids or texts each give a row; an empty table gives none;
     other columns are not read.  Texts are taken whole.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    star = components(links(fps.select("fp"), radius))
-    root = fps.join(star.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "low", F.coalesce("b", "fp").alias("root"))
-    least = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = written(root.select("fp", "root").join(least, "root").select("fp", "component_id"), "members")
-    return rows.join(sized(member, 32), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, shingle, radius).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group (null last; then any one text), one a group; all
+    columns are kept."""
+    best = _grouped(docs, id_col, text_col, shingle, radius).groupBy("root", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
+    best = written(best.groupBy("root").agg(F.min("_id").alias("_id"), F.min_by(F.struct("_hash", "n"), F.struct("_id", "_hash")).alias("h")).select("_id", "h._hash", "h.n"), "kept")
+    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("_hash", _text_hash(id_col, text_col))
+    kept = rows.join(sized(best.where("n = 1").select("_id", "_hash"), 24), ["_id", "_hash"], "left_semi")
+    again = best.where("n > 1").select("_id", "_hash")
+    if again.limit(1).count():  # equal rows: any one of them
+        kept = kept.union(rows.join(sized(again, 24), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
