@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.scratch import sized, written
-from kiln.llm.tokens import encoder
+from kiln.llm.tokens import binaries, encoder
 
-_ENCODE_BYTES = 4 << 20
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 20
 
@@ -51,17 +50,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -
 
     def run(it):
         enc, cuts = encoder(tokenizer), np.array(bounds, np.int64)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in it:
-            doc, text = batch.column(0), batch.column(1)
-            size, lo = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0)).cumsum(), 0
-            while lo < len(doc):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _ENCODE_BYTES, "right")))
-                part = doc.slice(lo, hi - lo)
-                shard = np.searchsorted(cuts, np.asarray(pa.compute.fill_null(part, -(2**63))), "right").astype(np.int32)
-                ids = [x.tobytes() + end for x in enc.ids([t or "" for t in text.slice(lo, hi - lo).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part, pa.array(shard), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
-                lo = hi
+            for lo, hi, flat, at in enc.blocks(batch.column(1), end_id):
+                doc = batch.column(0).slice(lo, hi - lo)
+                shard = np.searchsorted(cuts, np.asarray(pa.compute.fill_null(doc, -(2**63))), "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(shard), binaries(flat, at).cast(pa.binary())], ["doc_id", "shard", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, shard int, ids binary")
 

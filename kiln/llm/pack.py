@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,6 @@ from kiln.llm.tokens import encoder
 
 SEQUENCE = 2048
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 8 << 20
-_ENCODE_BYTES = 4 << 20
 
 
 def assign(lengths: np.ndarray, size: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
@@ -87,22 +85,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         enc, seq = encoder(tokenizer), TaskContext.get().partitionId() << 40
         names, ids, tokens = [], [], 0
         for batch in it:
-            doc, text = batch.column(0).to_pylist(), batch.column(1)
-            size_of = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0)).cumsum() if len(doc) else []
-            lo = 0
-            while lo < len(doc):
-                base = size_of[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(size_of, base + _ENCODE_BYTES, "right")))
-                hi = min(hi, lo + BLOCK_DOCS - len(ids))
-                for name, x in zip(doc[lo:hi], enc.ids([t or "" for t in text.slice(lo, hi - lo).to_pylist()]), strict=True):
-                    names.append(name)
-                    ids.append(np.append(x, enc.kind.type(end_id)))
-                    tokens += len(x) + 1
-                lo = hi
-                if len(ids) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
-                    for seq_next, out in block(seq, names, ids):
-                        yield out
-                    seq, names, ids, tokens = seq_next, [], [], 0
+            doc = batch.column(0).to_pylist()
+            for lo, hi, flat, at in enc.blocks(batch.column(1), end_id):
+                for d in range(lo, hi):
+                    names.append(doc[d])
+                    ids.append(flat[at[d - lo] : at[d - lo + 1]])
+                    tokens += len(ids[-1])
+                    if len(ids) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                        for seq_next, out in block(seq, names, ids):
+                            yield out
+                        seq, names, ids, tokens = seq_next, [], [], 0
         if ids:
             for _, out in block(seq, names, ids):
                 yield out
