@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.scratch import sized, written
+from kiln.llm.scratch import sized, tidy, written
 from kiln.llm.tokens import binaries, encoder
 
 #: Ids in a block, about.
@@ -56,7 +56,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -
                 shard = np.searchsorted(cuts, np.asarray(pa.compute.fill_null(doc, -(2**63))), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(shard), binaries(flat, at).cast(pa.binary())], ["doc_id", "shard", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, shard int, ids binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, shard int, ids binary")
 
 
 def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     # at most one row per id of the vocabulary, whatever the corpus
-    order = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    order = ids.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     vocabulary = order["id"].to_numpy(np.int64)
     rank = np.zeros(n_ids, np.uint32)
     rank[vocabulary] = np.arange(len(vocabulary))
@@ -115,7 +115,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
                     ["shard", "first", "doc_ids", "lengths", "control", "data"],
                 )
 
-    coded = ids.select("doc_id", "shard", "ids", "seq").mapInArrow(blocks, "shard int, first long, doc_ids array<long>, lengths array<long>, control binary, data binary")
+    coded = ids.select("doc_id", "shard", "ids", "seq").mapInArrow(tidy(blocks), "shard int, first long, doc_ids array<long>, lengths array<long>, control binary, data binary")
     coded.sortWithinPartitions("shard", "first").write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
 
 
@@ -143,5 +143,5 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     shard = block.groupBy("shard").agg(F.sum("n").alias("all")).withColumn("base", F.sum("all").over(Window.orderBy("shard")) - F.col("all")).select("shard", "base")
     within = F.sum("n").over(Window.partitionBy("shard").orderBy("first")) - F.col("n")
     offset = written(block.withColumn("before", within).join(shard, "shard").select("first", (F.col("before") + F.col("base")).alias("before")), "offsets")
-    docs = files.select("first", "doc_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, first long, within long, n_tokens long, ids binary")
+    docs = files.select("first", "doc_ids", "lengths", "control", "data").mapInArrow(tidy(run), "doc_id long, first long, within long, n_tokens long, ids binary")
     return docs.join(sized(offset, 16), "first").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
+from kiln.llm.scratch import tidy
 
 #: Bounds of the sample, and the share of words in content lines that a document needs.
 TRAIN, TRAIN_LINES, CONTENT = 500, 64, 0.5
@@ -213,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(rows, pa.list_(pa.float32()))], ["id", "label", "f"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_id", "_label", "_text")
-    rows = texts.mapInArrow(run, "id long, label int, f array<float>").groupBy("id", "label").agg(F.min("f").alias("f")).collect()  # a bounded sample
+    rows = texts.mapInArrow(tidy(run), "id long, label int, f array<float>").groupBy("id", "label").agg(F.min("f").alias("f")).collect()  # a bounded sample
     rows = sorted((r for r in rows if r["f"]), key=lambda r: (r["id"], r["label"]))
     label = np.array([r["label"] for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
@@ -239,7 +240,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, field: Field, text_col: str = "text", content: float = CONTENT) -> DataFrame:
@@ -252,4 +253,4 @@ def keep(docs: DataFrame, field: Field, text_col: str = "text", content: float =
                 b = Block(data, offsets)
                 yield batch.slice(lo, hi - lo).filter(pa.array(~b.failed & (b.content(field) >= content)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.scratch import sized, written
+from kiln.llm.scratch import sized, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = (
@@ -118,7 +118,7 @@ def _found(docs: DataFrame, near: int) -> DataFrame:
                         near_by[r] = context(text, found)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(spans, pa.list_(span)), pa.array(near_by, pa.list_(word))], ["doc_id", "spans", "context"])
 
-    return docs.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>, context array<struct<entity:string,term:long,cls:int,start:int,end:int>>")
+    return docs.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int>>, context array<struct<entity:string,term:long,cls:int,start:int,end:int>>")
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, "term long, n long")
+    return docs.mapInArrow(tidy(run), "term long, n long")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.scratch import written
+from kiln.llm.scratch import tidy, written
 
 LENGTH = 20
 K = 8
@@ -111,7 +111,7 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 at = at[order[new | second]]  # a second that begins a group is there anyway
                 yield pa.RecordBatch.from_arrays([pa.array(b.gram[at].view(np.int64)), pa.array(ids[lo + b.row[at]])], ["h", "_id"])
 
-    return docs.mapInArrow(run, "h long, _id long")
+    return docs.mapInArrow(tidy(run), "h long, _id long")
 
 
 def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
                 first = order[new]
                 yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(w2[first].view(np.int64)), pa.array(ids[lo + row[first]])], ["w", "w2", "_id"])
 
-    return docs.mapInArrow(run, "w long, w2 long, _id long")
+    return docs.mapInArrow(tidy(run), "w long, w2 long, _id long")
 
 
 def _marked(docs: DataFrame, length: int, k: int, text_out: bool) -> DataFrame:
@@ -172,7 +172,7 @@ def _marked(docs: DataFrame, length: int, k: int, text_out: bool) -> DataFrame:
                 pieces = [*arrays, pa.array([x.decode() for x in texts], pa.string())] if text_out else arrays
                 yield pa.RecordBatch.from_arrays(pieces, ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", *["kept"] * text_out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, text_out: bool = True) -> DataFrame:

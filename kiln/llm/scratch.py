@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,18 @@ def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFra
     ``df`` should be a written table: its rows are counted from the file footers.
     """
     return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``; once a partition is done its worker, which may wait long for the next one, gives
+    the memory that it no longer uses back to the machine."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return tidied

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.scratch import sized, written
+from kiln.llm.scratch import sized, tidy, written
 from kiln.llm.redact import replaced
 
 
@@ -65,7 +65,7 @@ def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.binary(), pa.string(), pa.int32(), kind], strict=True)], names)
 
-    return blobs.select("blob", "_text", "todo").mapInArrow(run, f"blob binary, kind string, version int, found {_FOUND}")
+    return blobs.select("blob", "_text", "todo").mapInArrow(tidy(run), f"blob binary, kind string, version int, found {_FOUND}")
 
 
 def _ledger(spark, path: str) -> DataFrame:

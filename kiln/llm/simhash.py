@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import words as W
-from kiln.llm.scratch import sized, written
+from kiln.llm.scratch import sized, tidy, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints in a tree, and pairs of query and node that may be looked at together.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), fp], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(id_col, text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 def _text_hash(id_col: str, text_col: str):
@@ -178,7 +178,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     rows = asked.select("g", "fp", (F.col("t") == F.col("own")).alias("node"))
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
