@@ -218,33 +218,35 @@ BUILD_COUNT = {"n": 0}  # how many times this worker process built a model (for
 class ModelHandle:
     """Serializable reference to a model for use inside UDFs.
 
-    ``ModelHandle.create(spark, model)`` broadcasts when the pickled model is at
-    most ``max_broadcast_bytes``; otherwise it saves the model under
-    ``shared_dir`` (default: ``<spark.checkpoint.dir>/kiln-models``) and the
-    workers load it from there.  ``ModelHandle.from_path(path)`` uses an existing
-    checkpoint folder (C3).
+    ``ModelHandle.create(spark, model)`` pickles the model once.  At most
+    ``max_broadcast_bytes`` are broadcast; a larger pickle is a file that Spark
+    sends to every executor (``SparkContext.addFile``), so the size of a model never
+    changes what is run.  ``ModelHandle.from_path(path)`` uses an existing checkpoint
+    folder (C3).
     """
 
-    def __init__(self, key: str, broadcast=None, path: str | None = None, nbytes: int = 0):
+    def __init__(self, key: str, broadcast=None, path: str | None = None, nbytes: int = 0, file: str | None = None):
         self.key = key
         self._bc = broadcast
         self.path = path
         self.nbytes = nbytes
+        self.file = file  # name among Spark's files
 
     @classmethod
-    def create(cls, spark, model, max_broadcast_bytes: int = DEFAULT_BROADCAST_LIMIT,
-               shared_dir: str | None = None) -> "ModelHandle":
+    def create(cls, spark, model, max_broadcast_bytes: int = DEFAULT_BROADCAST_LIMIT) -> "ModelHandle":
+        import tempfile
+
         from pyspark import cloudpickle  # classes defined in __main__ / notebooks travel by value
 
         blob = cloudpickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
         key = f"{getattr(model, 'name', 'model')}-{uuid.uuid4().hex}"
         if len(blob) <= max_broadcast_bytes:
             return cls(key, broadcast=spark.sparkContext.broadcast(blob), nbytes=len(blob))
-        from kiln.session import shared_path
-
-        path = save_model(model, shared_path(spark, "kiln-models", key) if shared_dir is None
-                          else os.path.join(shared_dir, key))
-        return cls(key, path=path, nbytes=len(blob))
+        file = os.path.join(tempfile.mkdtemp(prefix="kiln-model-"), f"{key}.pickle")
+        with open(file, "wb") as f:
+            f.write(blob)
+        spark.sparkContext.addFile(file)
+        return cls(key, nbytes=len(blob), file=os.path.basename(file))
 
     @classmethod
     def from_path(cls, path: str) -> "ModelHandle":
@@ -259,6 +261,11 @@ class ModelHandle:
         BUILD_COUNT["n"] += 1
         if self._bc is not None:
             return pickle.loads(self._bc.value)
+        if self.file is not None:
+            from pyspark import SparkFiles
+
+            with open(SparkFiles.get(self.file), "rb") as f:
+                return pickle.load(f)
         return load_model(self.path)
 
     def get(self):

@@ -67,14 +67,11 @@ def _valid_rows(arr: pa.ListArray, spec: TensorSpec) -> np.ndarray:
     ok = ~arr.is_null().to_numpy(zero_copy_only=False)
     if isinstance(arr, (pa.BinaryArray, pa.LargeBinaryArray)):
         return ok & (np.diff(nd._binary_offsets(arr)) == spec.nbytes)
-    lengths = np.diff(arr.offsets.to_numpy())
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(arr), 0))
     ok &= lengths == spec.size
-    if arr.flatten().null_count:
-        flat = arr.flatten().is_null().to_numpy(zero_copy_only=False)
-        starts = arr.offsets.to_numpy()[:-1]
-        bad = np.add.reduceat(flat.astype(np.int64), starts[lengths > 0]) > 0 if flat.size else []
-        idx = np.flatnonzero(lengths > 0)
-        ok[idx[bad]] = False
+    flat = arr.flatten()  # without the values of null rows, and of this slice only
+    if flat.null_count:
+        ok[np.repeat(np.arange(len(arr)), lengths)[np.asarray(flat.is_null())]] = False
     return ok
 
 

@@ -408,6 +408,43 @@ def i6_fused(spark, sf):
     return logits_out(plan_f1(spark).fused(f1_embeddings(spark, sf)), "vec_id")
 
 
+# Every seventh key is null, the next too short, the next has a null element
+def _faulty_orders(spark, sf):
+    k, x = F.pmod("o_orderkey", F.lit(7)), F.col("image")
+    bad = F.when(k == 0, F.lit(None)).when(k == 1, F.slice(x, 1, 191))
+    hole = F.transform(x, lambda v, i: F.when(i != 5, v))
+    return _orders(spark, sf).select("o_orderkey", bad.when(k == 2, hole).otherwise(x).alias("image"))
+
+
+def _faulty_out(df):
+    """An empty list where there is no prediction."""
+    return df.select("o_orderkey", F.coalesce(r("prediction", 4), F.array().cast("array<double>")).alias("logits"))
+
+
+def _faulty_plan(spark, **kw):
+    return plan_f2(spark, on_invalid="null", **kw)
+
+
+def d13_rejects(spark, sf):
+    return _faulty_plan(spark).rejects(_faulty_orders(spark, sf))
+
+
+def d13_fused(spark, sf):
+    return _faulty_out(_faulty_plan(spark).fused(_faulty_orders(spark, sf)))
+
+
+def d13_fused_batched(spark, sf):
+    return _faulty_out(_faulty_plan(spark, batch_size=100).fused(_faulty_orders(spark, sf)))
+
+
+def d13_chained(spark, sf):
+    return _faulty_out(_faulty_plan(spark).chained(_faulty_orders(spark, sf)))
+
+
+def d13_staged(spark, sf):
+    return _faulty_out(_faulty_plan(spark).staged(spark, _faulty_orders(spark, sf)))
+
+
 def i6_fused_udf(spark, sf):
     return logits_out(plan_f1(spark).fused_udf(f1_embeddings(spark, sf)), "vec_id")
 
@@ -567,12 +604,19 @@ def _variable_sql(select) -> str:
 
 
 SQL_VAR_TENSOR = _variable_sql(lambda pre, raw: f"SELECT p_partkey, {q.preprocess(pre, raw)} AS tensor")
-SQL_VAR_LOGITS = _variable_sql(
-    lambda pre, raw: f"SELECT p_partkey, {q.logits(q.preprocess(pre, raw, None), 10, 192)} AS logits")
+SQL_VAR_LOGITS = (
+    "WITH t AS MATERIALIZED ("
+    + _variable_sql(lambda pre, raw: f"SELECT p_partkey, {q.preprocess(pre, raw, None)} AS tensor")
+    + f") SELECT p_partkey, {q.logits('tensor', 10, 192)} AS logits FROM t")
 SQL_MLP_LOGITS = (f"WITH h AS (SELECT vec_id, {q.logits('embedding', 32, 64, None, relu=True)} AS hid "
                   f"FROM embeddings) SELECT vec_id, {q.logits('hid', 10, 32, 4, a=13, b=7)} AS logits FROM h")
 
 
+SQL_REJECTS = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'null' WHEN 1 THEN 'length' ELSE 'null element' END AS reason
+FROM orders WHERE o_orderkey % 7 < 3"""
+SQL_FAULTY_LOGITS = f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 >= 3 THEN logits ELSE [] END AS logits FROM ({SQL_F2_LOGITS}) g"
+
+
 # ---- registry ------------------------------------------------------------------------------
 
 def _sql_t7(scale):
@@ -647,6 +691,11 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "I5_chained_orders": (i5_chained_orders, SQL_F2_LOGITS),
         "I6_fused": (i6_fused, SQL_F1_LOGITS),
         "I6_fused_udf": (i6_fused_udf, SQL_F1_LOGITS),
+        "D13_rejects": (d13_rejects, SQL_REJECTS),
+        "D13_fused": (d13_fused, SQL_FAULTY_LOGITS),
+        "D13_fused_batched": (d13_fused_batched, SQL_FAULTY_LOGITS),
+        "D13_chained": (d13_chained, SQL_FAULTY_LOGITS),
+        "D13_staged": (d13_staged, SQL_FAULTY_LOGITS),
         "I6_fused_orders": (i6_fused_orders, SQL_F2_LOGITS),
         "I6_native_orders": (i6_native_orders, SQL_F2_LOGITS),
         "I7_staged": (i7_staged, SQL_F1_LOGITS),

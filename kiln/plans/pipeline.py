@@ -35,16 +35,17 @@ class ScoringPlan:
     batch_size: int | None = None
     depth: int = 0
     flavor: str = "pandas"
+    on_invalid: str = "raise"  # "null": rows that fail the spec get a null prediction; see ``rejects``
 
     @property
     def spec(self):
         return self.preprocess.input
 
     def _pre_udf(self, form="iterator"):
-        return preprocess_udf(self.preprocess, form=form, flavor=self.flavor)
+        return preprocess_udf(self.preprocess, form=form, flavor=self.flavor, on_invalid=self.on_invalid)
 
     def _predict_udf(self, spec, reuse="partition", form=None, preprocess=None):
-        kw = {"flavor": self.flavor, "batch_size": self.batch_size}
+        kw = {"flavor": self.flavor, "batch_size": self.batch_size, "on_invalid": self.on_invalid}
         if form:
             kw["form"] = form
         if (form or ("scalar" if reuse == "batch" else "iterator")) == "iterator":
@@ -60,7 +61,18 @@ class ScoringPlan:
     # I6
     def fused(self, df: DataFrame) -> DataFrame:
         return predict_map(df, self.model, self.column, self.spec, self.preprocess, self.output, self.keep,
-                           self.dtype, self.batch_size, self.depth)
+                           self.dtype, self.batch_size, self.depth, on_invalid=self.on_invalid)
+
+    # D13
+    def rejects(self, df: DataFrame) -> DataFrame:
+        """The rows that fail the input spec: their keys and a reason (``null``, ``length``, ``null element``).
+        No Python step; with ``on_invalid="null"`` these are the rows whose prediction is null."""
+        c, s = F.col(self.column), self.spec
+        if s.encoding == "bytes":
+            reason = F.when(c.isNull(), "null").when(F.octet_length(c) != s.nbytes, "length")
+        else:
+            reason = F.when(c.isNull(), "null").when(F.size(c) != s.size, "length").when(F.exists(c, lambda x: x.isNull()), "null element")
+        return df.select(*self.keep, reason.alias("reason")).where("reason is not null")
 
     def fused_udf(self, df: DataFrame) -> DataFrame:
         u = self._predict_udf(self.spec, "partition", "iterator", preprocess=self.preprocess)
@@ -82,14 +94,14 @@ class ScoringPlan:
             return write_parquet(df.select(*self.keep, pre.output.tag(pre.native(self.column), "tensor")), path)
         out_spec = pre.output.with_(encoding="bytes") if handoff == "bytes" else pre.output
         out = map_tensor(df.select(*self.keep, self.column), self.column, pre.numpy, output="tensor",
-                         keep=self.keep, spec=pre.input, out_spec=out_spec)
+                         keep=self.keep, spec=pre.input, out_spec=out_spec, on_invalid=self.on_invalid)
         return write_parquet(out, path)
 
     def stage_b(self, spark: SparkSession, path: str) -> DataFrame:
         """Job B: read the intermediate (S2) and score it."""
         staged = read_tensors(spark, path, "tensor", keep=self.keep)  # spec (and encoding) from the file
         return predict_map(staged, self.model, "tensor", None, None, self.output, self.keep,
-                           self.dtype, self.batch_size, self.depth)
+                           self.dtype, self.batch_size, self.depth, on_invalid=self.on_invalid)
 
     def staged(self, spark: SparkSession, df: DataFrame, path: str | None = None, handoff: str = "array") -> DataFrame:
         """Runs job A now, returns job B's DataFrame.  The hand-off folder defaults

@@ -9,7 +9,6 @@
 from __future__ import annotations
 
 import io
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +43,19 @@ def _rgb_rows(datas, heights, widths, nchannels, on_invalid: str):
     return out, hs, ws, cs, ok
 
 
-def read_image_files(spark: SparkSession, path: str, on_invalid: str = "drop",
+def read_image_files(spark: SparkSession, path: str, on_invalid: str = "raise",
                      glob: str | None = None, raw: bool = False) -> DataFrame:
     """Folder of image files -> (path, height, width, channels=3, image HWC RGB) (S3).
 
-    ``on_invalid``: "drop" removes undecodable files, "null" keeps them with a
-    null image, "raise" fails the task.  Images keep their own size; follow with
+    All files under ``path`` are read, at any depth and whatever their suffix.
+    ``on_invalid``: "raise" fails the task at an undecodable file, "null" keeps it
+    with a null image (so it can be counted), "drop" leaves it out.  Images keep their own size; follow with
     ``score.map_images`` (resize + crop per size group).  ``raw=True`` returns the
     JVM decoder's columns untouched (``data`` = BGR(A) bytes, ``channels`` as
     stored) with no Python step; ``map_images(..., channels="channels", bgr=True)``
     then decodes, preprocesses and scores in one pass.
     """
-    r = spark.read.format("image").option("dropInvalid", on_invalid == "drop")
+    r = spark.read.format("image").option("dropInvalid", on_invalid == "drop").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path).select(
@@ -77,11 +77,11 @@ def read_image_files(spark: SparkSession, path: str, on_invalid: str = "drop",
     return df.mapInArrow(run, _IMAGE_SCHEMA)
 
 
-def read_binary_images(spark: SparkSession, path: str, on_invalid: str = "drop", glob: str | None = None,
+def read_binary_images(spark: SparkSession, path: str, on_invalid: str = "raise", glob: str | None = None,
                        decoder=decode_image) -> DataFrame:
     """``binaryFile`` + a Python decoder (T12) – for formats the JVM reader lacks.
     Same output as ``read_image_files``."""
-    r = spark.read.format("binaryFile")
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path).select("path", "content")
@@ -195,7 +195,8 @@ def write_image_files(df: DataFrame, key: str, png_column: str, path: str, shard
 
 # ---- S3 at scale: listing on the executors -----------------------------------------------------
 
-IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".tif", ".tiff", ".webp")
+#: Files that are listed in one record batch.
+LIST_ROWS = 10_000
 
 
 def shard_folders(path: str) -> list[str]:
@@ -205,38 +206,55 @@ def shard_folders(path: str) -> list[str]:
     filesystem, root = _filesystem(path)
     prefix = path[: len(path) - len(root)] if "://" in path and path.endswith(root) else ""
     infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=False))
-    return sorted(prefix + i.path for i in infos if i.type == pafs.FileType.Directory)
+    return sorted(prefix + i.path for i in infos if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", ".")))
 
 
-def list_files(spark: SparkSession, shards: list[str], suffixes=IMAGE_SUFFIXES,
-               partitions: int | None = None) -> DataFrame:
-    """(path, size) of every file under each shard folder, listed by the executors.
+def list_files(spark: SparkSession, shards: list[str], suffixes: tuple[str, ...] | None = None,
+               partitions: int | None = None, root: str | None = None) -> DataFrame:
+    """(path, size) of every file under each shard folder, listed by the executors,
+    and of the files that lie directly in ``root``.
 
     Spark's own file index lists every file on the driver; for a billion small
     images that is more FileStatus objects than a driver holds.  Here the driver
-    only knows the shard folders; each task lists its shards with ``pyarrow.fs``."""
-    n = partitions or max(1, min(len(shards), spark.sparkContext.defaultParallelism * 4))
-    df = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(n)
-    suffixes = tuple(x.lower() for x in suffixes)
+    only knows the shard folders; each task lists its shards folder by folder with
+    ``pyarrow.fs`` and sends the files on in bounded batches.  As in Spark's index,
+    names that begin with "_" or "." are not listed; ``suffixes`` narrows the rest."""
+    todo = [(s, True) for s in shards] + ([(root, False)] if root else [])
+    n = partitions or max(1, min(len(todo), spark.sparkContext.defaultParallelism * 4))
+    df = spark.createDataFrame(todo, "shard string, deep boolean").repartition(n)
+    endings = tuple(x.lower() for x in suffixes) if suffixes else ("",)
 
     def run(batches):
         from pyarrow import fs as pafs
 
+        def out(prefix, files):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([prefix + i.path for i in files], pa.string()),
+                 pa.array([i.size for i in files], pa.int64())], names=["path", "size"])
+
         for b in batches:
-            for shard in b.column("shard").to_pylist():
-                filesystem, root = _filesystem(shard)
-                prefix = shard[: len(shard) - len(root)] if "://" in shard and shard.endswith(root) else ""
-                infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=True))
-                files = [i for i in infos if i.type == pafs.FileType.File and i.path.lower().endswith(suffixes)]
+            for shard, deep in zip(b.column("shard").to_pylist(), b.column("deep").to_pylist()):
+                filesystem, top = _filesystem(shard)
+                prefix = shard[: len(shard) - len(top)] if "://" in shard and shard.endswith(top) else ""
+                folders, files = [top], []
+                while folders:
+                    for i in filesystem.get_file_info(pafs.FileSelector(folders.pop(), recursive=False)):
+                        if i.base_name.startswith(("_", ".")):
+                            continue
+                        if i.type == pafs.FileType.Directory and deep:
+                            folders.append(i.path)
+                        elif i.type == pafs.FileType.File and i.path.lower().endswith(endings):
+                            files.append(i)
+                    while len(files) >= LIST_ROWS:
+                        yield out(prefix, files[:LIST_ROWS])
+                        files = files[LIST_ROWS:]
                 if files:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([prefix + i.path for i in files], pa.string()),
-                         pa.array([i.size for i in files], pa.int64())], names=["path", "size"])
+                    yield out(prefix, files)
 
     return df.mapInArrow(run, "path string, size long")
 
 
-def read_listed_images(files: DataFrame, on_invalid: str = "drop", decoder=decode_image,
+def read_listed_images(files: DataFrame, on_invalid: str = "raise", decoder=decode_image,
                        partitions: int | None = None) -> DataFrame:
     """Read and decode the files named in ``files.path`` on the executors (S3 at
     scale, T12).  Output as ``read_image_files``.  ``partitions`` round-robins
@@ -299,7 +317,8 @@ def to_payloads(df: DataFrame, rows_per_payload: int = 1000, max_payload_bytes:
 
 
 def read_payloads(df: DataFrame, schema, column: str = "payload") -> DataFrame:
-    """Decode a column of parquet-file payloads into their rows."""
+    """Decode a column of parquet-file payloads into their rows (S4).  A null payload
+    is an error: its rows are lost."""
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     names = [f.name for f in st.fields]
 
@@ -307,7 +326,7 @@ def read_payloads(df: DataFrame, schema, column: str = "payload") -> DataFrame:
         for b in batches:
             for data in b.column(column).to_pylist():
                 if data is None:
-                    continue
+                    raise ValueError("null payload")
                 t = pq.read_table(pa.BufferReader(data), columns=names)
                 yield from t.to_batches()
 
@@ -329,9 +348,9 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
     if format == "binary":
         return read_binary_images(spark, path, **kw)
     if format == "sharded":
-        on_invalid = kw.pop("on_invalid", "drop")
+        on_invalid = kw.pop("on_invalid", "raise")
         spread = kw.pop("partitions", None) or spark.sparkContext.defaultParallelism * 4
-        return read_listed_images(list_files(spark, shard_folders(path), **kw), on_invalid=on_invalid,
+        return read_listed_images(list_files(spark, shard_folders(path), root=path, **kw), on_invalid=on_invalid,
                                   partitions=spread)
     raise ValueError(f"unsupported image format {format!r}; accepted: {', '.join(IMAGE_FORMATS)}")
 
@@ -339,7 +358,3 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
 def key_from_path(path_col: str = "path") -> F.Column:
     """``.../<key>.png`` -> key as bigint."""
     return F.regexp_extract(F.col(path_col), r"([^/]+)\.[A-Za-z0-9]+$", 1).cast("long")
-
-
-def basename(path: str) -> str:
-    return os.path.basename(path.rstrip("/"))

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _concat(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    if len(parts) == 1:
-        return parts[0]
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+def _concat(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One batch, or several where a column's offsets would overflow (2 GiB of bytes)."""
+    return parts if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
 def rebatch(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Regroup a stream of Arrow batches into batches of exactly ``n`` rows, the last
-    one shorter (B2).  Row order is kept, the tail is always flushed, and at most
-    one partial output batch is held besides the input batch."""
+    one shorter (B2); rows whose bytes exceed what one Arrow batch can address come
+    as several.  Row order is kept, the tail is always flushed, and at most one
+    partial output batch is held besides the input batch."""
     if n <= 0:
         raise ValueError("batch size must be positive")
     buf: list[pa.RecordBatch] = []
@@ -31,10 +31,10 @@ def rebatch(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             held += take
             b = b.slice(take)
             if held == n:
-                yield _concat(buf)
+                yield from _concat(buf)
                 buf, held = [], 0
     if held:
-        yield _concat(buf)
+        yield from _concat(buf)
 
 
 def rebatch_series(series: Iterable[pd.Series], n: int) -> Iterator[pd.Series]:

@@ -44,14 +44,22 @@ def test_handle_memo_and_build():
     assert h.build() is not a
 
 
-def test_broadcast_limit_falls_back_to_shared_path(spark):
-    small = ModelHandle.create(spark, LinearModel.formula(2, 2))
-    assert small.broadcast and small.path is None
-    big = ModelHandle.create(spark, LinearModel.formula(2, 2), max_broadcast_bytes=10)
-    assert not big.broadcast and big.path.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+class _Half(LinearModel):
+    """A subclass whose own ``predict`` must survive any way of sending it."""
+
+    def predict(self, batch):
+        return super().predict(batch) / 2
+
+
+def test_a_model_of_any_size_gives_one_answer(spark):
     df = spark.range(4).select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("x"))
-    out = predict_map(df, big, "x", TensorSpec.vector(2), keep=["id"], dtype="float64").collect()
-    assert len(out) == 4 and out[0]["prediction"] == list(LinearModel.formula(2, 2).predict(np.array([[1.0, 2.0]]))[0])
+    for model in (LinearModel.formula(2, 2), _Half(*LinearModel.formula(2, 2).__dict__.values())):
+        want = list(model.predict(np.array([[1.0, 2.0]]))[0])
+        small, big = ModelHandle.create(spark, model), ModelHandle.create(spark, model, max_broadcast_bytes=10)
+        assert small.broadcast and not big.broadcast
+        for h in (small, big):
+            out = predict_map(df, h, "x", TensorSpec.vector(2), keep=["id"], dtype="float64").collect()
+            assert [r["prediction"] for r in out] == [want] * 4
 
 
 class _Dropper:

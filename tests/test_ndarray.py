@@ -185,3 +185,34 @@ def test_bytes_encoding_roundtrip():
     f32 = TensorSpec((3,), "D", "float32", encoding="bytes")
     v = np.array([[1.5, -2.0, 3.25]], dtype=np.float32)
     np.testing.assert_array_equal(nd.stack(nd.to_binary(v, f32.numpy_dtype), f32), v)
+
+
+def test_rebatch_keeps_rows_that_one_batch_cannot_hold(monkeypatch):
+    from kiln.streaming import batches
+
+    class Split:  # what Arrow does beyond 2 GiB: several chunks
+        def __init__(self, parts):
+            self.parts = parts
+
+        def combine_chunks(self):
+            return self
+
+        def to_batches(self):
+            return self.parts
+
+    parts = [pa.record_batch({"a": [i]}) for i in range(5)]
+    monkeypatch.setattr(batches, "pa", type("P", (), {"Table": type("T", (), {"from_batches": staticmethod(Split)}), "RecordBatch": pa.RecordBatch}))
+    out = list(batches.rebatch(iter(parts), 3))
+    assert [x for b in out for x in b.column("a").to_pylist()] == list(range(5))
+
+
+def test_valid_rows_of_slices_with_nulls():
+    from kiln.operators.score import _valid_rows
+    from kiln.spec import TensorSpec
+
+    rows = [[1.0, 2.0], None, [1.0], [None, 1.0], [3.0, 4.0], [], [5.0, None], [6.0, 7.0]]
+    whole, spec = pa.array(rows, pa.list_(pa.float64())), TensorSpec.vector(2)
+    for lo in range(len(rows)):
+        for n in range(1, len(rows) - lo + 1):
+            want = [r is not None and len(r) == 2 and None not in r for r in rows[lo:lo + n]]
+            assert _valid_rows(whole.slice(lo, n), spec).tolist() == want

@@ -37,7 +37,7 @@ def png_dir(tmp_dir):
 @pytest.mark.parametrize("fmt", ["image", "binary"])
 def test_image_files(spark, png_dir, fmt):
     d, imgs = png_dir
-    df = images.load_images(spark, d, format=fmt)
+    df = images.load_images(spark, d, format=fmt, on_invalid="drop")
     rows = {int(os.path.basename(r.path).split(".")[0]): r for r in df.collect()}
     assert set(rows) == set(imgs)  # corrupt file dropped
     for k, img in imgs.items():
@@ -52,6 +52,29 @@ def test_image_files_keep_invalid_as_null(spark, png_dir):
     assert sum(r.image is None for r in rows) == 1
 
 
+@pytest.mark.parametrize("fmt", ["image", "binary"])
+def test_undecodable_files_fail_unless_asked(spark, png_dir, fmt):
+    with pytest.raises(Exception):
+        images.load_images(spark, png_dir[0], format=fmt).collect()
+
+
+def test_readers_see_the_same_files(spark, tmp_dir):
+    img = (np.arange(48) % 256).astype(np.uint8).reshape(4, 4, 3)
+    for p in ("a.png", "plain", "x/b.png", "x/y/c.PNG", "z/d", "_hidden/e.png", "x/.f.png"):
+        p = os.path.join(tmp_dir, p)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as f:
+            f.write(encode_png(img))
+    for fmt in ("image", "binary", "sharded"):
+        rows = images.load_images(spark, tmp_dir, format=fmt).collect()
+        assert sorted(os.path.basename(r.path) for r in rows) == ["a.png", "b.png", "c.PNG", "d", "plain"], fmt
+
+
+def test_null_payload_is_an_error(spark):
+    with pytest.raises(Exception, match="null payload"):
+        images.read_payloads(spark.createDataFrame([(None,)], "payload binary"), "a long").collect()
+
+
 def test_unknown_format():
     with pytest.raises(ValueError, match="accepted: parquet, image, binary"):
         images.load_images(None, "/nowhere", format="tiff")
@@ -118,9 +141,10 @@ def test_sharded_listing_on_executors(spark, tmp_dir):
     with open(os.path.join(root, "b", "broken.png"), "wb") as f:
         f.write(b"\x89PNG\r\n\x1a\nbroken")
     assert [os.path.basename(s) for s in images.shard_folders(root)] == ["a", "b"]
-    listed = images.list_files(spark, images.shard_folders(root)).collect()
-    assert len(listed) == 7  # 6 images + the broken one; the .txt is skipped
-    rows = images.load_images(spark, root, format="sharded").collect()
+    assert images.list_files(spark, images.shard_folders(root)).count() == 8  # 6 images, a broken one, a text
+    listed = images.list_files(spark, images.shard_folders(root), (".png",)).collect()
+    assert len(listed) == 7
+    rows = images.load_images(spark, root, format="sharded", on_invalid="drop").collect()
     got = {os.path.basename(r.path)[:-4]: r for r in rows}
     assert set(got) == set(want)
     for k, img in want.items():
@@ -133,7 +157,7 @@ def test_raw_jvm_images_fused_into_map_images(spark, png_dir):
 
     d, imgs = png_dir
     pre = Preprocess(TensorSpec.image(8, 8, 3), resize=4, crop=4, scale=255.0, dtype="float64")
-    two_step = map_images(images.read_image_files(spark, d), pre, keep=["path"])
+    two_step = map_images(images.read_image_files(spark, d, on_invalid="drop"), pre, keep=["path"])
     raw = images.read_image_files(spark, d, raw=True, on_invalid="null")
     fused = map_images(raw, pre, column="data", channels="channels", bgr=True, keep=["path"], on_invalid="null")
     a = {os.path.basename(r.path): r.tensor for r in two_step.collect()}
