@@ -53,9 +53,14 @@ def sized(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFra
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for ``mapInArrow``; once a partition is done its worker, which may wait long for the next one, gives
-    the memory that it no longer uses back to the machine."""
+    the memory that it no longer uses back to the machine.
+
+    Arrow's buffers and arrays of 1 MiB or more are taken from the machine one by one, so they go back at once."""
 
     def tidied(batches):
+        if option := getattr(ctypes.CDLL(None), "mallopt", None):
+            option(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

@@ -19,9 +19,9 @@ import pyarrow as pa
 from kiln.llm import words as W
 
 #: Pieces that a worker keeps at most; a full memo is emptied.
-MEMO = 1_500_000
+MEMO = 600_000
 #: Bytes of text that are cut together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
