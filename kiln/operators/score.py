@@ -75,23 +75,24 @@ def _valid_rows(arr: pa.ListArray, spec: TensorSpec) -> np.ndarray:
     return ok
 
 
-def _apply_arrow(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_invalid, ids=None) -> pa.Array:
-    """One Arrow list column in, one Arrow list column out, same length."""
+def _apply_arrow(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_invalid, ids=None, to=nd.to_arrow) -> pa.Array:
+    """One Arrow tensor column in, one out (lists, or binary cells with ``to=nd.to_binary``), same length."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     if on_invalid == "null":
         ok = _valid_rows(values, spec)
         if not ok.any():
-            return pa.nulls(len(ok), pa.list_(pa.from_numpy_dtype(np.dtype(out_dtype))))
+            kind = pa.binary() if to is nd.to_binary else pa.list_(pa.from_numpy_dtype(np.dtype(out_dtype)))
+            return pa.nulls(len(ok), kind)
         if not ok.all():
             good = _run(fn, nd.stack(values.filter(pa.array(ok)), spec), size)
-            out = nd.to_arrow(good, out_dtype)
+            out = to(good, out_dtype)
             # scatter back: rows that failed validation get a null
             pos = np.cumsum(ok) - 1
             taken = out.take(pa.array(np.where(ok, pos, 0)))
             return pc.if_else(pa.array(ok), taken, pa.nulls(len(ok), taken.type))
     batch = nd.stack(values, spec, ids)
-    return nd.to_arrow(_run(fn, batch, size), out_dtype)
+    return to(_run(fn, batch, size), out_dtype)
 
 
 # ---- column expressions (U1, U2, I1, I2) --------------------------------------------------
@@ -216,10 +217,7 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
         for b in _prefetch(stream, depth):
             vals = b.column(column)
             try:
-                if as_bytes:
-                    out = nd.to_binary(f(nd.stack(vals, spec)), np_out)
-                else:
-                    out = _apply_arrow(vals, spec, f, np_out, None, on_invalid)
+                out = _apply_arrow(vals, spec, f, np_out, None, on_invalid, to=nd.to_binary if as_bytes else nd.to_arrow)
             except TensorShapeError as e:
                 msg = str(e)
                 if id_col:  # name the row by its key; ids are only read on the error path

@@ -99,7 +99,7 @@ def s1_scan_project(spark, sf):
 def s2_scan_staged(spark, sf):
     plan = plan_f1(spark)
     path = fresh_path(spark, "kiln-s2")
-    plan.stage_a(f1_embeddings(spark, sf), path)
+    plan.stage_a(f1_embeddings(spark, sf), path, handoff="array")
     staged = parquet.read_tensors(spark, path, "tensor", keep=["vec_id"])
     return staged.select("vec_id", r("tensor", 6).alias("tensor"))
 
@@ -185,12 +185,32 @@ def s10_manifest(spark, sf):
     return parquet.manifest(table(spark, sf, "lineitem")).select("file_name", "rows")
 
 
+def s10_manifest_empty(spark, sf):
+    """A folder of which one file has no rows: it is listed too."""
+    path = fresh_path(spark, "kiln-s10")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    orders.coalesce(1).write.parquet(path)
+    orders.where("o_orderkey is null").coalesce(1).write.mode("append").parquet(path)
+    return parquet.manifest(spark.read.parquet(path)).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.count_if(F.col("rows") == 0).alias("empty"),
+        F.count_if(F.col("bytes") > 0).alias("with_bytes"))
+
+
 def s12_pack(spark, sf):
     path = fresh_path(spark, "kiln-s12")
     parquet.pack(f2_orders(spark, sf), path, rows_per_file=1000)
     return spark.read.parquet(path)
 
 
+def s12_pack_files(spark, sf):
+    """Fifty small partitions are merged into files of about, and never over, 1000 rows."""
+    path = fresh_path(spark, "kiln-s12f")
+    parquet.pack(f2_orders(spark, sf).repartition(50), path, rows_per_file=1000)
+    files = parquet.manifest(spark.read.parquet(path))
+    return files.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 1000).alias("bounded"),
+                     (F.count(F.lit(1)) <= 2 * F.ceil(F.sum("rows") / 1000)).alias("merged"))
+
+
 # ---- T: tensor functions ------------------------------------------------------------------
 
 def _orders(spark, sf, **kw):
@@ -458,11 +478,11 @@ def i6_native_orders(spark, sf):
 
 
 def i7_staged(spark, sf):
-    return logits_out(plan_f1(spark).staged(spark, f1_embeddings(spark, sf)), "vec_id")
+    return logits_out(plan_f1(spark).staged(spark, f1_embeddings(spark, sf), handoff="array"), "vec_id")
 
 
 def i7_staged_orders(spark, sf):
-    return logits_out(plan_f2(spark).staged(spark, _orders(spark, sf)), "o_orderkey")
+    return logits_out(plan_f2(spark).staged(spark, _orders(spark, sf), handoff="array"), "o_orderkey")
 
 
 def i7_staged_bytes(spark, sf):
@@ -523,20 +543,22 @@ def a1_row_count(spark, sf):
 
 def a2_timed_run(spark, sf):
     t = measure.timed_run(plan_f2(spark).fused(_orders(spark, sf)))
-    return one_row(spark, {"rows": t["rows"], "seconds": t["seconds"]}, "rows long, seconds double")
+    return one_row(spark, {"rows": t["rows"], "timed": t["seconds"] > 0}, "rows long, timed boolean")
 
 
 def a3_throughput(spark, sf):
     t = measure.timed_run(lambda: plan_f2(spark).fused(_orders(spark, sf)))
-    return one_row(spark, {k: t[k] for k in ("rows", "plan_seconds", "seconds", "rows_per_second",
-                                             "rows_per_second_total")},
-                   "rows long, plan_seconds double, seconds double, rows_per_second double, "
-                   "rows_per_second_total double")
+    near = abs(t["plan_seconds"] + t["seconds"] - t["total_seconds"]) < 0.01 * t["total_seconds"]
+    rates = abs(t["rows_per_second"] * t["seconds"] - t["rows"]) < 0.5
+    return one_row(spark, {"rows": t["rows"], "both_clocks": t["plan_seconds"] > 0 and t["seconds"] > 0,
+                           "clocks_add_up": near, "rate_fits": rates},
+                   "rows long, both_clocks boolean, clocks_add_up boolean, rate_fits boolean")
 
 
 def a4_bench(spark, sf):
-    runs, _ = measure.bench(spark, plan_f2(spark).fused(_orders(spark, sf)), n=2)
-    return runs
+    runs, mean = measure.bench(spark, plan_f2(spark).fused(_orders(spark, sf)), n=2)
+    return runs.select("run", "rows", (F.col("seconds") > 0).alias("timed"),
+                       F.col("seconds").between(mean["min"], mean["max"]).alias("in_range"))
 
 
 def a5_stats(spark, sf):
@@ -553,11 +575,17 @@ def a6_profile(spark, sf):
 
 def a7_overhead(spark, sf):
     res = measure.overhead_run(spark, _orders(spark, sf), "image", delay=0.01)
-    return one_row(spark, res, "rows long, batches long, seconds double, delay double")
+    # every batch slept once: the slots together waited at least batches x delay
+    slept = res["seconds"] * spark.sparkContext.defaultParallelism >= res["batches"] * res["delay"]
+    return one_row(spark, {"rows": res["rows"], "batched": 0 < res["batches"] <= res["rows"], "slept": slept},
+                   "rows long, batched boolean, slept boolean")
 
 
 def a8_batch_report(spark, sf):
-    return measure.batch_report(_orders(spark, sf))
+    most = int(spark.conf.get(resources.BATCH_ROWS))
+    report = measure.batch_report(_orders(spark, sf))
+    return report.agg(F.sum("rows").alias("rows"), (F.max("rows") <= most).alias("bounded"),
+                      (F.count_distinct("partition", "batch") == F.count(F.lit(1))).alias("numbered"))
 
 
 def i2_predict_mlp(spark, sf):
@@ -645,7 +673,10 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S9_collect_bounded": (s9_collect_bounded,
                                "SELECT label, count(*) AS rows FROM embeddings GROUP BY label"),
         "S10_manifest": (s10_manifest, "SELECT 'lineitem.parquet' AS file_name, count(*) AS rows FROM lineitem"),
+        "S10_manifest_empty": (s10_manifest_empty, "SELECT 2::bigint AS files, count(*) AS rows, 1::bigint AS empty, "
+                               "2::bigint AS with_bytes FROM orders"),
         "S12_pack": (s12_pack, SQL_F2_IMAGE),
+        "S12_pack_files": (s12_pack_files, "SELECT count(*) AS rows, true AS bounded, true AS merged FROM orders"),
         "S12_pack_bytes": (s12_pack_bytes, SQL_F2_LOGITS),
         "T1_stack": (t1_stack, "SELECT vec_id, embedding AS tensor FROM embeddings"),
         "T1_validate": (t1_validate, "SELECT vec_id, len(embedding) AS n_values, embedding IS NOT NULL AS present, "
@@ -711,13 +742,15 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "B4_partition_report": (b4_partition_report, SQL_ORDERS_ROWS),
         "B7_prefetch": (b7_prefetch, SQL_F2_LOGITS),
         "A1_row_count": (a1_row_count, SQL_ORDERS_ROWS),
-        "A2_timed_run": (a2_timed_run, None),
-        "A3_throughput": (a3_throughput, None),
-        "A4_bench": (a4_bench, None),
+        "A2_timed_run": (a2_timed_run, "SELECT count(*) AS rows, true AS timed FROM orders"),
+        "A3_throughput": (a3_throughput, "SELECT count(*) AS rows, true AS both_clocks, true AS clocks_add_up, "
+                                           "true AS rate_fits FROM orders"),
+        "A4_bench": (a4_bench, "SELECT run::int AS run, rows, true AS timed, true AS in_range FROM "
+                               "(SELECT count(*) AS rows FROM orders) n, range(2) r(run)"),
         "A5_stats": (a5_stats, "SELECT count(*) AS rows, 1 AS python_nodes, 0 AS exchanges FROM embeddings"),
         "A6_profile": (a6_profile, None),
-        "A7_overhead": (a7_overhead, None),
-        "A8_batch_report": (a8_batch_report, None),
+        "A7_overhead": (a7_overhead, "SELECT count(*) AS rows, true AS batched, true AS slept FROM orders"),
+        "A8_batch_report": (a8_batch_report, "SELECT count(*) AS rows, true AS bounded, true AS numbered FROM orders"),
     }
     sql_u8 = ("SELECT o_orderkey, list_transform(range(192), lambda i: CAST(((("
               + q.gen_pixel("i", mod=1000, shift=500) + ") % 256 + 256) % 256) AS SMALLINT)) AS tensor FROM orders")

@@ -34,7 +34,7 @@ class ScoringPlan:
     dtype: str = "float32"
     batch_size: int | None = None
     depth: int = 0
-    flavor: str = "pandas"
+    flavor: str = "arrow"
     on_invalid: str = "raise"  # "null": rows that fail the spec get a null prediction; see ``rejects``
 
     @property
@@ -84,10 +84,10 @@ class ScoringPlan:
         return staged.select(*self.keep, self._predict_udf(pre.output)(F.col("tensor")).alias(self.output))
 
     # I7
-    def stage_a(self, df: DataFrame, path: str, native: bool = False, handoff: str = "array") -> dict:
+    def stage_a(self, df: DataFrame, path: str, native: bool = False, handoff: str = "bytes") -> dict:
         """Job A: preprocess and persist (S6).  Returns the observed rows written.
-        ``handoff="bytes"`` stores the tensor as raw little-endian values (one
-        binary cell per row): cheaper to write, read and hand to Python.
+        ``handoff="bytes"`` (the default) stores the tensor as raw little-endian values
+        (one binary cell per row): cheaper to write, read and hand to Python than "array".
         ``native=True`` preprocesses with the Catalyst form (array hand-off only)."""
         pre = self.preprocess
         if native:
@@ -103,7 +103,7 @@ class ScoringPlan:
         return predict_map(staged, self.model, "tensor", None, None, self.output, self.keep,
                            self.dtype, self.batch_size, self.depth, on_invalid=self.on_invalid)
 
-    def staged(self, spark: SparkSession, df: DataFrame, path: str | None = None, handoff: str = "array") -> DataFrame:
+    def staged(self, spark: SparkSession, df: DataFrame, path: str | None = None, handoff: str = "bytes") -> DataFrame:
         """Runs job A now, returns job B's DataFrame.  The hand-off folder defaults
         to a fresh folder in the shared checkpoint dir, so it also cuts lineage."""
         path = path or fresh_path(spark, "kiln-stage")

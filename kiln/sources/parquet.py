@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,20 +94,30 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
 
 
 def manifest(df: DataFrame) -> DataFrame:
-    """Per-file listing of a file-based DataFrame (S10): path, rows, bytes.
+    """Per-file listing of a file-based DataFrame (S10): path, name, rows, bytes.
 
-    Uses the hidden ``_metadata`` column, so the work is a partial aggregate
-    per task (one row per file reaches the shuffle)."""
-    return (df.select(F.col("_metadata.file_path").alias("file_path"),
-                      F.col("_metadata.file_name").alias("file_name"),
-                      F.col("_metadata.file_size").alias("file_size"))
-            .groupBy("file_path", "file_name")
-            .agg(F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes")))
+    The files are those of the scan's own listing, so files without rows are there
+    too, with 0 rows; their contents are not read for it.  Rows come from the
+    hidden ``_metadata`` column by a partial aggregate per task (one row per file
+    reaches the shuffle).  A listing without any file gives no rows."""
+    spark, files = df.sparkSession, [unquote(f) for f in df.inputFiles()]
+    counted = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("_rows"))
+    if not files:
+        return counted.select("file_path", F.lit("").alias("file_name"), F.col("_rows").alias("rows"), F.lit(0).cast("long").alias("bytes")).limit(0)
+    listed = spark.read.format("binaryFile").load(files).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"))
+    return listed.join(counted, "file_path", "left").select("file_path", "file_name", F.coalesce("_rows", F.lit(0)).alias("rows"), "bytes")
 
 
 def pack(df: DataFrame, path: str, rows_per_file: int = 1000, partitions: int | None = None) -> dict:
     """Pack many small images into parquet files of at most ``rows_per_file`` rows
-    (S12).  ``partitions`` optionally rebalances first (round robin, no key skew)."""
+    (S12).  Small partitions are first merged, without a shuffle, to as many as the
+    rows need at ``rows_per_file`` each; a merged partition above that is cut, so
+    there are at most twice as many files as needed.  ``partitions`` rebalances
+    instead (round robin, no key skew).  The rows are counted for it once, with all
+    columns pruned (from the footers, for parquet)."""
     if partitions:
         df = df.repartition(partitions)
+    else:
+        df = df.coalesce(max(1, -(-df.count() // rows_per_file)))
     return write_parquet(df, path, max_records_per_file=rows_per_file)

@@ -98,6 +98,26 @@ def test_pack_rows_per_file(spark, tmp_dir):
     assert sum(r.rows for r in man) == 1500 and max(r.rows for r in man) <= 200 and len(man) >= 8
 
 
+def test_pack_merges_small_partitions(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "merged")
+    assert parquet.pack(f2_orders(spark, SF).repartition(50), out, rows_per_file=1000)["rows"] == 1500
+    rows = sorted(r.rows for r in parquet.manifest(spark.read.parquet(out)).collect())
+    assert sum(rows) == 1500 and rows[-1] <= 1000 and len(rows) <= 4
+
+
+def test_manifest_lists_files_without_rows(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "with space")
+    spark.range(5).coalesce(1).write.parquet(out)
+    spark.range(0).coalesce(1).write.mode("append").parquet(out)
+    man = parquet.manifest(spark.read.parquet(out)).collect()
+    assert sorted(r.rows for r in man) == [0, 5] and all(r.bytes > 0 for r in man)
+
+
+def test_manifest_of_an_empty_folder(spark, tmp_dir):
+    os.makedirs(empty := os.path.join(tmp_dir, "none"))
+    assert parquet.manifest(spark.read.schema("id long").parquet(empty)).collect() == []
+
+
 def test_read_tensors_checks(spark, tmp_dir):
     p = os.path.join(tmp_dir, "t")
     parquet.write_parquet(f2_orders(spark, SF), p)
