@@ -125,43 +125,55 @@ class OnnxModel:
     """An ONNX file run by onnxruntime; the session is created lazily in the worker.
 
     ``device`` "cpu", "cuda[:n]" or "auto" (the GPU Spark assigned to the task,
-    else CPU); with CUDA the CUDA provider is asked for and onnxruntime falls
-    back to CPU when it is absent.
+    else CPU).  A CUDA device without the CUDA provider raises; a worker keeps one
+    session per device, as Spark may give its next task another GPU.
+
+    The file's bytes travel with the pickled model and lie in its checkpoint folder,
+    so other machines need no copy.  ``ship=False`` sends the path alone, for a file
+    with external weights on a mount that all machines share.
     """
 
     kind = "onnx"
 
     def __init__(self, path: str, input_name: str | None = None, device: str = "cpu",
-                 input_shape: tuple | None = None, name: str = "onnx"):
+                 input_shape: tuple | None = None, name: str = "onnx", ship: bool = True):
         self.path = path
+        self.ship = ship
+        self.data: bytes | None = None
         self.input_name = input_name
         self.device = device
         self.input_shape = input_shape
         self.name = name
-        self._session = None
+        self._sessions: dict = {}
+
+    def _bytes(self) -> bytes:
+        if self.data is not None:
+            return self.data
+        with open(self.path, "rb") as f:
+            return f.read()
 
     def __getstate__(self):
-        d = dict(self.__dict__)
-        d["_session"] = None
-        return d
+        return self.__dict__ | {"_sessions": {}, "data": self._bytes() if self.ship else None}
 
     def _sess(self):
-        if self._session is None:
-            import onnxruntime as ort  # optional dependency
+        device = self.device
+        if device == "auto":
+            from kiln.operators.resources import task_device
 
-            device = self.device
-            if device == "auto":
-                from kiln.operators.resources import task_device
+            device = task_device()
+        if device not in self._sessions:
+            import onnxruntime as ort  # optional dependency
 
-                device = task_device()
             providers = ["CPUExecutionProvider"]
             if device.startswith("cuda"):
+                if "CUDAExecutionProvider" not in ort.get_available_providers():
+                    raise RuntimeError(f"device {device!r} needs onnxruntime's CUDA provider, which is not installed")
                 idx = int(device.split(":")[1]) if ":" in device else 0
                 providers.insert(0, ("CUDAExecutionProvider", {"device_id": idx}))
-            self._session = ort.InferenceSession(self.path, providers=providers)
+            self._sessions[device] = ort.InferenceSession(self.path if self.data is None else self.data, providers=providers)
             if self.input_name is None:
-                self.input_name = self._session.get_inputs()[0].name
-        return self._session
+                self.input_name = self._sessions[device].get_inputs()[0].name
+        return self._sessions[device]
 
     def predict(self, batch: np.ndarray) -> np.ndarray:
         s = self._sess()
@@ -171,12 +183,14 @@ class OnnxModel:
         return _rows(s.run(None, {self.input_name: x})[0])
 
     def arrays(self) -> dict:
-        return {}
+        return {"onnx": np.frombuffer(self._bytes(), np.uint8)} if self.ship else {}
 
     @classmethod
     def from_arrays(cls, arrays: dict, meta: dict) -> "OnnxModel":
-        return cls(meta["path"], meta.get("input_name"), meta.get("device", "cpu"),
-                   tuple(meta["input_shape"]) if meta.get("input_shape") else None)
+        m = cls(meta["path"], meta.get("input_name"), meta.get("device", "cpu"),
+                tuple(meta["input_shape"]) if meta.get("input_shape") else None, ship="onnx" in arrays)
+        m.data = arrays["onnx"].tobytes() if m.ship else None
+        return m
 
 
 _KINDS = {"linear": LinearModel, "mlp": MLP, "onnx": OnnxModel}

@@ -121,3 +121,29 @@ def test_profiled_refused_locally(spark):
                        ModelHandle.create(spark, LinearModel.formula(2, 12)), "image", ["id"])
     with pytest.raises(StageResourcesUnavailable):
         plan.profiled(spark, spark.range(1), stage_profile(gpus=1))
+
+
+def test_onnx_weights_travel_with_the_model(tmp_dir):
+    ort = pytest.importorskip("onnxruntime")
+    import pickle
+
+    from kiln.models import OnnxModel
+    from tests.onnx_fixture import write_matmul_model
+
+    w = np.arange(12, dtype=np.float32).reshape(4, 3)
+    x = np.ones((2, 4), np.float32)
+    path = write_matmul_model(f"{tmp_dir}/travels.onnx", w)
+    want = OnnxModel(path).predict(x)
+    sent, saved = pickle.dumps(OnnxModel(path)), save_model(OnnxModel(path), f"{tmp_dir}/travels-ckpt")
+    by_path = pickle.dumps(OnnxModel(path, ship=False))
+    with open(path, "wb"):
+        pass  # the file is of no use any more
+    assert (pickle.loads(sent).predict(x) == want).all() and (load_model(saved).predict(x) == want).all()
+    assert (pickle.loads(pickle.dumps(pickle.loads(sent))).predict(x) == want).all()
+    with pytest.raises(Exception):
+        pickle.loads(by_path).predict(x)
+    if "CUDAExecutionProvider" not in ort.get_available_providers():
+        moved = pickle.loads(sent)
+        moved.device = "cuda:0"
+        with pytest.raises(RuntimeError, match="CUDA provider"):
+            moved.predict(x)
