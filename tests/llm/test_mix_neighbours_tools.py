@@ -1,3 +1,4 @@
+import json
 import re
 
 import numpy as np
@@ -103,6 +104,31 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.where("false"), results.where("false"), SCHEMAS).count() == 0
 
 
+def test_tool_calls_carry_whole_texts(spark):
+    odd = ["Étion dans l'été", 'say "hi" \\ twice', "line\nfeed\ttab \x01\x1f", "日本 😀", "{[1,2]}", "", None, "plain words " * 30, "x" * 13, "y" * 26]
+    data = [(c, t, ("system", "assistant", "user", "assistant", "tool", None)[t], odd[(c + t) % 10]) for c in range(40) for t in range(6)]
+    data += [(100 + n, 0, "assistant", "é" * n) for n in range(80)]
+    calls, results = catalog.whole_calls(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    text = {(c, t): x or "" for c, t, _, x in data}
+    assert sorted(r.turn for r in results.collect()) == sorted(t for _, t, role, _ in data if role != "assistant")
+    for r in calls.collect():
+        got = json.loads(r.arguments)
+        assert text[r.conv_id, r.turn] in (got if isinstance(got, list) else got.values())
+    rows = tool_calls.link(calls, results, catalog.WHOLE_TOOLS).collect()
+    assert len(rows) == len(data) - sum(r.n_results for r in rows)
+    valid = 0
+    for r in rows:
+        if r.kind == "orphan":
+            assert r.result == text[r.conv_id, r.turn]
+            continue
+        line = json.loads(r.json)
+        assert line["result"] == r.result == (text[r.conv_id, r.turn + 1] if r.n_results else None)
+        if line["arguments"]:
+            valid += 1
+            assert text[r.conv_id, r.turn] in line["arguments"].values()
+    assert valid > 20
+
+
 @pytest.mark.parametrize("key", sorted(catalog.oracle_sql()))
 def test_oracle(spark, key):
     import duckdb
