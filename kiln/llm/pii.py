@@ -3,9 +3,9 @@
 Patterns find the protected entities (addresses, numbers).  A word near an entity reveals it if the corpus says
 so: with N documents, n(e) that mention the entity, n(t) that hold the word and n(t, e) in which the word stands
 near the entity, the word's pointwise mutual information log2(N n(t,e) / (n(t) n(e))) is held against the
-entity's own information content log2(N / n(e)).  A word that gives away ``disclosure`` of it or more, in
-``support`` documents or more, is generalised to its class (NUMBER, NAME, WORD) if the class itself does not
-reveal the entity, and removed otherwise.
+entity's own information content log2(N / n(e)).  A word that gives away ``disclosure`` of it or more is
+generalised to its class (NUMBER, NAME, WORD) if the class itself does not reveal the entity, and removed
+otherwise.  Words seen with an entity in one document only are judged like all others.
 
 All counts are over the whole corpus.  Only words near an entity are joined; the document counts of words are
 summed in the tasks that read them, and only those of candidate words are shuffled.
@@ -31,8 +31,8 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 CLASSES = ("NUMBER", "NAME", "WORD")
-#: Words on either side of an entity; share of an entity's information; documents.
-NEAR, DISCLOSURE, SUPPORT = 8, 0.9, 2
+#: Words on either side of an entity; share of an entity's information.
+NEAR, DISCLOSURE = 8, 0.9
 
 _COMPILED = tuple(re.compile(p) for p in PATTERNS)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,7 +150,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), "term long, n long")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per input row: doc_id, spans (kind, start, end in code points, replacement), by kind as listed, the
     words that reveal an entity (kind ``term``) last, then by start.
 
@@ -163,7 +163,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     n_docs = max(1, found.count())
     context = found.select("row", F.explode("context").alias("c")).select("row", "c.*")
     places = context.select("row", "entity", "term").union(context.select("row", "entity", F.col("cls").cast("long").alias("term"))).distinct()
-    joint = written(places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(f"n_te >= {int(support)}"), "joint")
+    joint = written(places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "joint")
     mentions = context.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     candidates = written(joint.select("term").distinct(), "candidates")
     held = _document_counts(rows.select("text")).join(sized(candidates, 16), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))

@@ -96,6 +96,14 @@ def test_terms_that_reveal_are_found(spark):
     assert pii.sanitise(docs.where("false")).count() == 0
 
 
+def test_terms_of_an_entity_in_one_document_are_found(spark):
+    text = "this text was sent by Wilhelmina from w@x.org here"
+    docs = spark.createDataFrame([*((i, "this text was sent by someone from here") for i in range(60)), (60, text)], "doc_id long, text string")
+    got = {r.doc_id: [(text[s["start"] : s["end"]], s["replacement"]) for s in r.spans] for r in pii.sanitise(docs).collect() if r.spans}
+    # no other document holds a name either, so the class reveals too
+    assert got == {60: [("w@x.org", "[EMAIL]"), ("Wilhelmina", "")]}
+
+
 def test_secret_ledger(spark, docs, empty):
     ledger = fresh_path(spark, "test-ledger")
     got = secret_scan.scan(docs, ledger).collect()
