@@ -1,14 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of the words that reveal it.
 
-Patterns find the protected entities (addresses, numbers).  A word near an entity reveals it if the corpus says
-so: with N documents, n(e) that mention the entity, n(t) that hold the word and n(t, e) in which the word stands
-near the entity, the word's pointwise mutual information log2(N n(t,e) / (n(t) n(e))) is held against the
-entity's own information content log2(N / n(e)).  A word that gives away ``disclosure`` of it or more is
-generalised to its class (NUMBER, NAME, WORD) if the class itself does not reveal the entity, and removed
-otherwise.  Words seen with an entity in one document only are judged like all others.
-
-All counts are over the whole corpus.  Only words near an entity are joined; the document counts of words are
-summed in the tasks that read them, and only those of candidate words are shuffled.
+Patterns find the protected entities (addresses, numbers).  A word of a document that mentions an entity reveals
+it if the corpus says so: with N documents, n(e) that mention the entity, n(t) that hold the word and n(t, e) that
+mention the entity and hold the word outside of entities, the word's pointwise mutual information
+log2(N n(t,e) / (n(t) n(e))) is held against the entity's own information content log2(N / n(e)).  A word that
+gives away ``disclosure`` of it or more is generalised, wherever it stands in a document that mentions the entity,
+to its class (NUMBER, NAME, WORD) if the class itself does not reveal the entity, and removed otherwise.  Words
+seen with an entity in one document only are judged like all others.
+
+All counts are over the whole corpus and whole documents.  As n(t, e) <= n(e), a word can only reach the
+threshold if n(t) <= N^(1 - disclosure) n(e)^disclosure: only such pairs are formed.  Entities that stand in the
+same documents are judged as one.  Document counts of words are summed in the tasks that read them, and only those
+of words of documents with entities are shuffled.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 CLASSES = ("NUMBER", "NAME", "WORD")
-#: Words on either side of an entity; share of an entity's information.
-NEAR, DISCLOSURE = 8, 0.9
+#: Share of an entity's information.
+DISCLOSURE = 0.9
 
 _COMPILED = tuple(re.compile(p) for p in PATTERNS)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,42 +86,82 @@ class _Terms:
         self.cls = np.where(digits[self.end] > digits[self.start], 0, np.where((first >= 65) & (first <= 90), 1, 2))
 
 
-def _found(docs: DataFrame, near: int) -> DataFrame:
-    """(doc_id, spans, context): context has the words near an entity, with the entity they are near."""
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans, entities, text): each entity of a row once; the text only of rows with entities."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    word = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("cls", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-
-    def context(text: str, found: list[tuple[int, int, int]]) -> list[dict]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        t = _Terms(raw, np.array([0, len(raw)]))
-        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # bytes to code points
-        start, end = points[t.start], points[t.end]
-        free = np.ones(len(start), bool)
-        for _, lo, hi in found:
-            free &= (end <= lo) | (start >= hi)
-        out: dict[tuple, dict] = {}
-        for k, lo, hi in found:
-            entity = f"{KINDS[k]}:{text[lo:hi].lower()}"
-            before, after = np.flatnonzero(free & (end <= lo))[-near:], np.flatnonzero(free & (start >= hi))[:near]
-            for i in (*before.tolist(), *after.tolist()):
-                out[entity, i] = {"entity": entity, "term": int(t.term[i].view(np.int64)), "cls": int(t.cls[i]), "start": int(start[i]), "end": int(end[i])}
-        return list(out.values())
 
     def run(it):
         for batch in it:
             ids, column = batch.column(0), batch.column(1)
             for lo, hi, data, offsets in W.blocks(column):
                 spans: list[list[dict]] = [[] for _ in range(hi - lo)]
-                near_by: list[list[dict]] = [[] for _ in range(hi - lo)]
+                entity: list[list[str]] = [[] for _ in range(hi - lo)]
+                texts: list[str | None] = [None] * (hi - lo)
                 hint = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
                 for r in np.unique(np.searchsorted(offsets, hint, "right") - 1).tolist():
                     text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
                     if found := entities(text):
                         spans[r] = [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in found]
-                        near_by[r] = context(text, found)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(spans, pa.list_(span)), pa.array(near_by, pa.list_(word))], ["doc_id", "spans", "context"])
+                        entity[r] = sorted({f"{KINDS[k]}:{text[a:b].lower()}" for k, a, b in found})
+                        texts[r] = text
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo), pa.array(spans, pa.list_(span)), pa.array(entity, pa.list_(pa.string())), pa.array(texts, pa.string())], ["doc_id", "spans", "entities", "text"]
+                )
 
-    return docs.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int>>, context array<struct<entity:string,term:long,cls:int,start:int,end:int>>")
+    return docs.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, text string")
+
+
+def _words(text: str, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Term, class, start and end (in code points) of the words of a text outside its entities."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    t = _Terms(raw, np.array([0, len(raw)]))
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # bytes to code points
+    start, end = points[t.start], points[t.end]
+    inside = np.zeros(points[-1] + 1, np.int64)
+    for s in found:
+        inside[s["start"]] += 1
+        inside[s["end"]] -= 1
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(inside) > 0)])
+    free = covered[end] == covered[start]
+    return t.term[free].view(np.int64), t.cls[free], start[free], end[free]
+
+
+def _terms(found: DataFrame) -> DataFrame:
+    """(row, term): the words of rows with entities, and their classes (as the terms 0, 1, 2), each once a row."""
+
+    def run(it):
+        for batch in it:
+            for row, spans, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                term, cls, _, _ = _words(text.as_py(), spans.as_py())
+                own = np.unique(np.concatenate([term, cls.astype(np.int64)]))
+                for lo in range(0, len(own), 1 << 16):
+                    part = own[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row.as_py(), np.int64)), pa.array(part)], ["row", "term"])
+
+    return found.where("text is not null").select("row", "spans", "text").mapInArrow(tidy(run), "row long, term long")
+
+
+def _marked(found: DataFrame) -> DataFrame:
+    """(doc_id, spans) from (doc_id, spans, text, marks): every word of a text whose term is marked; the bits of a
+    mark are the classes that reveal as well."""
+    out = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
+
+    def marked(spans: list[dict], text: str | None, marks: list[dict] | None) -> list[dict]:
+        all_ = [s | {"replacement": f"[{s['kind'].upper()}]"} for s in spans]
+        if marks:
+            bits = {m["term"]: m["bits"] for m in marks}
+            term, cls, start, end = _words(text, spans)
+            for i in np.flatnonzero(np.isin(term, np.array(list(bits), np.int64))).tolist():
+                c = int(cls[i])
+                all_.append({"kind": "term", "start": int(start[i]), "end": int(end[i]), "replacement": "" if bits[int(term[i])] >> c & 1 else f"[{CLASSES[c]}]"})
+        return all_
+
+    def run(it):
+        for batch in it:
+            rows = (batch.column(i).to_pylist() for i in range(1, 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([marked(*r) for r in zip(*rows, strict=True)], out)], ["doc_id", "spans"])
+
+    return found.mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:int,end:int,replacement:string>>")
 
 
 def _document_counts(docs: DataFrame) -> DataFrame:
@@ -150,7 +193,7 @@ def _document_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), "term long, n long")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per input row: doc_id, spans (kind, start, end in code points, replacement), by kind as listed, the
     words that reveal an entity (kind ``term``) last, then by start.
 
@@ -159,21 +202,25 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     table gives none; other columns are not read.  Texts are searched whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(_found(rows, near).withColumn("row", F.monotonically_increasing_id()), "entities")
-    n_docs = max(1, found.count())
-    context = found.select("row", F.explode("context").alias("c")).select("row", "c.*")
-    places = context.select("row", "entity", "term").union(context.select("row", "entity", F.col("cls").cast("long").alias("term"))).distinct()
-    joint = written(places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "joint")
-    mentions = context.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    candidates = written(joint.select("term").distinct(), "candidates")
+    found = written(_found(rows).withColumn("row", F.monotonically_increasing_id()), "entities")
+    n_docs = float(max(1, found.count()))
+    # entities of the same documents have the same verdicts: they are one group, known by two hashes of its rows
+    group = ["n_e", "h", "k"]
+    mentions = found.select("row", F.explode("entities").alias("entity"))
+    of = written(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("k")), "groups")
+    groups = written(mentions.join(of, "entity").select("row", *group).distinct(), "mentions")
+    # n_te <= n_e, so a word in more documents than this cannot reach the threshold; the margin is for rounding
+    most = F.lit(n_docs ** (1 - disclosure) * (1 + 1e-6)) * F.pow("n_e", F.lit(disclosure))
+    terms = written(_terms(found), "terms")
+    candidates = written(terms.select("term").distinct(), "candidates")
     held = _document_counts(rows.select("text")).join(sized(candidates, 16), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    share = F.log2(F.lit(float(n_docs)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(F.lit(float(n_docs)) / F.col("n_e")), F.lit(1e-9))
-    reveals = written(joint.join(held, "term").join(mentions, "entity").withColumn("share", share).where(F.col("share") >= disclosure).select("entity", "term"), "reveals")
-    named = F.expr("element_at(array(" + ", ".join(f"'[{c}]'" for c in CLASSES) + "), cls + 1)")
-    general = reveals.where(f"term between 0 and {len(CLASSES) - 1}").select("entity", F.col("term").cast("int").alias("cls"), F.lit(True).alias("too"))
-    terms = context.join(sized(reveals, 128), ["entity", "term"]).join(general, ["entity", "cls"], "left")
-    each = terms.groupBy("row", "start", "end").agg(F.min(F.when(F.col("too"), F.lit("")).otherwise(named)).alias("replacement"))
-    extra = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("extra"))
-    base = F.expr("transform(spans, s -> struct(s.kind as kind, s.start as start, s.end as end, concat('[', upper(s.kind), ']') as replacement))")
-    more = F.expr("coalesce(transform(extra, s -> struct('term' as kind, s.start as start, s.end as end, s.replacement as replacement)), array())")
-    return found.select("row", "doc_id", "spans").join(extra, "row", "left").select("doc_id", F.concat(base, more).alias("spans"))
+    top = F.broadcast(groups.agg(F.max("n_e").alias("n_e")).select(F.coalesce(most, F.lit(0.0)).alias("top")))
+    held = written(held.join(top, F.col("n_t") <= F.col("top")).drop("top"), "held")
+    pairs = written(terms.join(sized(held, 32), "term").join(sized(groups, 48), "row").where(F.col("n_t") <= most), "pairs")
+    share = F.log2(F.lit(n_docs) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(F.lit(n_docs) / F.col("n_e")), F.lit(1e-9))
+    joint = pairs.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_t").alias("n_t"))
+    reveals = written(joint.where(share >= disclosure).select(*group, "term"), "reveals")
+    general = reveals.where(f"term between 0 and {len(CLASSES) - 1}").groupBy(*group).agg(F.bit_or(F.expr("shiftleft(1, cast(term as int))")).alias("bits"))
+    marks = pairs.join(sized(reveals, 64), [*group, "term"]).join(general, group, "left").groupBy("row", "term").agg(F.bit_or(F.coalesce("bits", F.lit(0))).alias("bits"))
+    each = marks.where(f"term not between 0 and {len(CLASSES) - 1}").groupBy("row").agg(F.collect_list(F.struct("term", "bits")).alias("marks"))
+    return _marked(found.select("row", "doc_id", "spans", "text").join(each, "row", "left").select("doc_id", "spans", "text", "marks"))

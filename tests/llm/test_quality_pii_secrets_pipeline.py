@@ -104,6 +104,62 @@ def test_terms_of_an_entity_in_one_document_are_found(spark):
     assert got == {60: [("w@x.org", "[EMAIL]"), ("Wilhelmina", "")]}
 
 
+def brute_spans(texts):
+    """Spans with replacements of each text, every pair of entity and word judged."""
+    n, entity, held, words = len(texts), [], [], []
+    for text in (t or "" for t in texts):
+        found = pii.entities(text)
+        own, all_ = [], set()
+        for m in WORD.finditer(text):
+            core = re.search(r"[A-Za-z0-9\x80-\U0010ffff](.*[A-Za-z0-9\x80-\U0010ffff])?", m[0])
+            if core:
+                a, b, w = m.start() + core.start(), m.start() + core.end(), core[0]
+                cls = "NUMBER" if re.search("[0-9]", w) else "NAME" if "A" <= w[0] <= "Z" else "WORD"
+                term = re.sub("[A-Z]", lambda x: x[0].lower(), w)
+                all_ |= {term, (cls,)}
+                if all(b <= lo or a >= hi for _, lo, hi in found):
+                    own.append((a, b, term, cls))
+        entity.append({(k, text[a:b].lower()) for k, a, b in found})
+        held.append(all_)
+        words.append(own)
+    free = [{w[2] for w in own} | {(w[3],) for w in own} for own in words]
+    n_t, n_e = Counter(x for h in held for x in h), Counter(x for e in entity for x in e)
+    n_te = Counter((e, t) for es, ts in zip(entity, free, strict=True) for e in es for t in ts)
+    reveals = {(e, t) for (e, t), c in n_te.items() if np.log2(n * c / (n_t[t] * n_e[e])) / max(np.log2(n / n_e[e]), 1e-9) >= pii.DISCLOSURE}
+    out = []
+    for text, es, own in zip(texts, entity, words, strict=True):
+        spans = [(pii.KINDS[k], a, b, f"[{pii.KINDS[k].upper()}]") for k, a, b in pii.entities(text or "")]
+        for a, b, term, cls in own:
+            by = [e for e in es if (e, term) in reveals]
+            if by:
+                spans.append(("term", a, b, "" if any((e, (cls,)) in reveals for e in by) else f"[{cls}]"))
+        out.append(spans)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    common = [f"word{c}" for c in "abcdefghijklmnop"]
+    rare = ["Zebulon", "zebulon", "(Straße", "Ökonom", "Tarn,", "tarn", "x-9", "1887", "Quill", "quill.", "日本", "Vesper"]
+    mail = ["a@x.org", "B@x.org", "c.d@y.example.org", "10.0.255.1", "+49 (30) 1234-5678", "4111 1111 1111 1111"]
+    texts = [None, "", " .,- "]
+    for i in range(120):
+        own = [common[j] for j in rng.integers(0, len(common), 30)]
+        if i % 3 == 0:
+            # a word far from the entity, more than once
+            m, w = int(rng.integers(0, len(mail))), int(rng.integers(0, len(rare)))
+            own = [f"Only{i}", *own, mail[m] + ("" if m else f" m{i}@z.org n{i}@z.org"), *own[:12], rare[m * 2 + i % 2], f"only{i}"]
+            own += [rare[w]] * (i % 4 == 0)
+        texts.append(" ".join(own))
+    texts += [f"{texts[3]} {mail[1]} Lonely {' '.join(common)} lonely", *[texts[9]] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.sanitise(docs).collect()}
+    want = dict(enumerate(brute_spans(texts)))
+    assert got == want
+    terms = [(texts[i][a:b], c) for i, spans in want.items() for k, a, b, c in spans if k == "term"]
+    assert len(terms) > 40 and ("Lonely", "[NAME]") in terms and ("lonely", "[WORD]") in terms
+
+
 def test_secret_ledger(spark, docs, empty):
     ledger = fresh_path(spark, "test-ledger")
     got = secret_scan.scan(docs, ledger).collect()
