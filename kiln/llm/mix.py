@@ -68,10 +68,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     )
 
 
+def _located(sizes: DataFrame, whole: DataFrame, budget: DataFrame) -> DataFrame:
+    """(_source, _t, rest, part): the hash at which a source's budget (_source, rest) ends; ``whole`` has the words
+    of ``sizes`` by source and leading bits."""
+    first, second = F.expr(f"shiftright(_h, {BITS - FIRST})"), F.expr(f"shiftright(_h, {BITS - SECOND})")
+    at = written(_boundary(whole.select("_source", "_b", "words"), budget, "_b"), "boundary")
+    inside = sizes.withColumn("_b", first).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
+    at = written(_boundary(inside.groupBy("_source", second.alias("_b")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_b"), "boundary")
+    inside = sizes.withColumn("_b", second).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
+    return _boundary(inside.groupBy("_source", F.col("_h").alias("_t")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_t")
+
+
 def thresholds(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(_source, source_size, target, copies, _t, rest, part) from (source, _source, _size, _h): every document is
     taken ``copies`` times, once more if its hash is below ``_t``; at ``_t`` lie ``part`` words, ``rest`` are left."""
-    first, second = F.expr(f"shiftright(_h, {BITS - FIRST})"), F.expr(f"shiftright(_h, {BITS - SECOND})")
+    first = F.expr(f"shiftright(_h, {BITS - FIRST})")
     whole = written(sizes.groupBy("_source", "source", first.alias("_b")).agg(F.sum("_size").alias("words")), "histogram")
     goal = targets(whole.groupBy("_source", "source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     goal = written(
@@ -80,11 +91,7 @@ def thresholds(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float
         .withColumn("rest", F.col("budget") - F.col("copies") * F.col("source_size")),
         "targets",
     )
-    at = written(_boundary(whole.select("_source", "_b", "words"), goal.where("rest > 0").select("_source", "rest"), "_b"), "boundary")
-    inside = sizes.withColumn("_b", first).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
-    at = written(_boundary(inside.groupBy("_source", second.alias("_b")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_b"), "boundary")
-    inside = sizes.withColumn("_b", second).join(_small(at.select("_source", "_b")), ["_source", "_b"], "left_semi")
-    at = _boundary(inside.groupBy("_source", F.col("_h").alias("_t")).agg(F.sum("_size").alias("words")), at.select("_source", "rest"), "_t")
+    at = _located(sizes, whole, goal.where("rest > 0").select("_source", "rest"))
     return written(goal.select("_source", "source_size", "target", "copies").join(at, "_source", "left"), "thresholds")
 
 
@@ -111,9 +118,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, whole: a row that the budget cuts is taken if the
     larger part of it is inside.  Rows without words are taken as often as their source's whole copies, once at
-    least.  All columns are kept."""
+    least.  All columns are kept.
+
+    If the budget ends among rows with equal ids or none, a hash of text and a row's number decides among them:
+    these rows are written with their hashes and the boundary is looked for once more, inside them.
+    """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    state = thresholds(written(_keyed(plain, "doc_id", "text", "source").drop("text"), "sizes"), weights, share, cap)
-    times = F.expr("cast(if(_size = 0, greatest(copies, 1L), copies + coalesce(if(_h < _t or (_h = _t and 2 * rest >= part), 1L, 0L), 0L)) as int)")
-    rows = _keyed(docs, id_col, text_col, source_col).join(_small(state.drop("source_size", "target")), "_source").withColumn("_times", times).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sizes = written(_keyed(plain, "doc_id", "text", "source").drop("text"), "sizes")
+    state = thresholds(sizes, weights, share, cap)
+    rows = _keyed(docs, id_col, text_col, source_col).join(_small(state.drop("source_size", "target")), "_source")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def taken(rows: DataFrame, inside: str) -> DataFrame:
+        times = F.expr(f"cast(if(_size = 0, greatest(copies, 1L), copies + coalesce(if({inside}, 1L, 0L), 0L)) as int)")
+        rows = rows.withColumn("_times", times).where("_times > 0")
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+
+    shared = sizes.where("_size > 0").join(_small(state.select("_source", "_t")), "_source").where("_h = _t").groupBy("_source").count().where("count > 1")
+    if not shared.limit(1).count():
+        return taken(rows, "_h < _t or (_h = _t and 2 * rest >= part)")
+    # what is written holds the rows' numbers, so all that follows sees the same ones
+    own = F.md5(F.concat_ws("-", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    at = written(rows.where("_h = _t and _size > 0").withColumn("_g", F.conv(F.substring(own, 1, 15), 16, 10).cast("long")), "shared")
+    inner = at.select("_source", F.col("_g").alias("_h"), "_size")
+    whole = inner.groupBy("_source", F.expr(f"shiftright(_h, {BITS - FIRST})").alias("_b")).agg(F.sum("_size").alias("words"))
+    ends = written(_located(inner, whole, state.where("_t is not null and rest > 0").select("_source", "rest")).select("_source", F.col("_t").alias("_u"), F.col("rest").alias("_rest"), F.col("part").alias("_part")), "inside")
+    cut = taken(at.join(_small(ends), "_source", "left"), "_g < _u or (_g = _u and 2 * _rest >= _part)")
+    return taken(rows.where("not coalesce(_h = _t and _size > 0, false)"), "_h < _t").unionByName(cut)

@@ -39,6 +39,26 @@ def test_mix_meets_its_targets(docs, empty):
     assert out.columns == docs.columns and mix.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["null", "equal id", "equal rows"])
+def test_rows_that_share_an_id_are_cut_among_themselves(spark, kind):
+    size = {"a": 400, "b": 1000}
+    data = []
+    for s, n in size.items():
+        for i in range(n):
+            same = i % 3 == 0 if s == "b" else i >= 0
+            words = 4 if kind == "equal rows" and same else 1 + i % 7
+            text = " ".join(["same" if kind == "equal rows" and same else f"{s}{i}"] * words)
+            data.append(((None if kind == "null" else -1) if same else i, text, s))
+    docs = spark.createDataFrame([*data, (None, None, "a"), (7, "", "b")], "doc_id long, text string, source string").repartition(5)
+    for share in (0.2, 0.55, 1.5):
+        state = {r.source: (r.target, r.source_size) for r in mix.mix(docs, share=share).select("source", "target", "source_size").distinct().collect()}
+        out = mix.mixed(docs, share=share).collect()
+        for s, (target, whole) in state.items():
+            words = sum(len((r.text or "").split()) for r in out if r.source == s)
+            assert abs(words - target) <= 8, (share, s, words, target, whole)
+        assert {r.text for r in out if not r.text} == {None, ""}
+
+
 def test_a_larger_budget_takes_all_that_a_smaller_one_takes(docs):
     small, large = ({repr((r.doc_id, r.size)): r.taken for r in mix.mix(docs, share=s).collect()} for s in (0.3, 0.6))
     assert all(large[k] >= v - 1 for k, v in small.items())
