@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, tool_calls
+from kiln.llm import idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, spellings, tool_calls
 from kiln.llm.redact import joined
 from kiln.llm.scratch import prepare, table
 from kiln.session import fresh_path
@@ -132,6 +132,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their near words, their form and their root."""
+    return spellings.group(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with d as (
     select doc_id, coalesce(source, '') as s, source is null as no_source, source,
@@ -234,7 +239,38 @@ select s.conv_id, s.call_id, s.turn, 'orphan', -1, 'no call', 0, s.content, null
 from res s left join calls c on s.conv_id = c.conv_id and s.call_id = c.call_id where c.call_id is null
 """
 
-_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets)
+OP11_SQL = r"""
+with recursive crc_table as (
+    select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i)) as t),
+runs as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{7,}')) as run
+    from documents where text is not null),
+bytes as (select run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as h from (select doc_id, run, count(*) as n from runs group by doc_id, run)),
+crcs as (
+    select run, n, xor(list_reduce(range(length(h) // 2), lambda c, i: xor(c // 256, t[(xor(c % 256, ('0x' || substr(h, 2 * i + 1, 2))::bigint) + 1)::bigint]), 4294967295), 4294967295) as crc
+    from bytes, crc_table),
+cut as (select case when crc % 31 = 0 then substr(run, 1, (crc % length(run))::bigint) || substr(run, (crc % length(run) + 2)::bigint) else run end as word, n from crcs),
+words as (select word, sum(n)::bigint as n from cut where length(word) >= 7 group by word having sum(n) >= 2),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+    select distinct a.word, b.word as other, b.n as m from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (
+    select word, count(*) as n_near, max(m) as m from near group by word),
+formed as (
+    select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.m >= 10 * w.n then b.m end as form_n,
+        case when b.m >= 10 * w.n then (select min(other) from near x where x.word = w.word and x.m = b.m) end as form
+    from words w left join best b on w.word = b.word),
+walk as (
+    select word, word as at_word, 0 as steps from formed
+    union all
+    select w.word, f.form, w.steps + 1 from walk w join formed f on w.at_word = f.word where f.form is not null),
+ends as (select word, arg_max(at_word, steps) as root from walk group by word)
+select f.word, f.form, e.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from formed f join ends e on f.word = e.word
+"""
+
+_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets, op11_spellings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -250,4 +286,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3_SQL, "op6_toolcalls": OP6_SQL, "op6_toolcalls_whole": OP6_WHOLE_SQL}
+    return {"op3_mix": OP3_SQL, "op6_toolcalls": OP6_SQL, "op6_toolcalls_whole": OP6_WHOLE_SQL, "op11_spellings": OP11_SQL}
