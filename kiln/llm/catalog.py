@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, spellings, tool_calls
+from kiln.llm import embed_dedup, idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, spellings, tool_calls
 from kiln.llm.redact import joined
 from kiln.llm.scratch import prepare, table
 from kiln.session import fresh_path
@@ -137,6 +137,11 @@ def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.group(table(spark, sf_dir, "documents"))
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = r"""
 with d as (
     select doc_id, coalesce(source, '') as s, source is null as no_source, source,
@@ -270,7 +275,7 @@ ends as (select word, arg_max(at_word, steps) as root from walk group by word)
 select f.word, f.form, e.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from formed f join ends e on f.word = e.word
 """
 
-_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets, op11_spellings)
+_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets, op11_spellings, op12_embeddings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
