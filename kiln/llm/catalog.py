@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import embed_dedup, idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, spellings, tool_calls
+from kiln.llm import align, embed_dedup, idfile, lines, mix, neighbours, pack, pii, repeats, secret_scan, simhash, spellings, tool_calls
 from kiln.llm.redact import joined
 from kiln.llm.scratch import prepare, table
 from kiln.session import fresh_path
 
-PACK_TOKENIZER, FILE_TOKENIZER, END = "byte_bpe_50k.json", "word_bpe_49k.json", 1
+PACK_TOKENIZER, FILE_TOKENIZER, PIECE_TOKENIZER, END = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", 1
 
 TOOLS: tool_calls.Schemas = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
@@ -142,6 +142,11 @@ def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned by bytes, with counts of linked id pairs over all documents."""
+    return align.align(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PIECE_TOKENIZER)
+
+
 OP3_SQL = r"""
 with d as (
     select doc_id, coalesce(source, '') as s, source is null as no_source, source,
@@ -275,7 +280,7 @@ ends as (select word, arg_max(at_word, steps) as root from walk group by word)
 select f.word, f.form, e.root, f.n::bigint as n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from formed f join ends e on f.word = e.word
 """
 
-_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets, op11_spellings, op12_embeddings)
+_QUERIES = (op1_pack, op2_repeats, op3_mix, op4_idfile, op5_simhash, op6_toolcalls, op6_toolcalls_whole, op7_pii, op8_neighbours, op9_lines, op10_secrets, op11_spellings, op12_embeddings, op13_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
