@@ -1,19 +1,19 @@
 """Native tensor functions: Catalyst higher-order expressions, no Python worker.
 
-Every function maps a flat array column to a flat array column by index
-arithmetic inside ``transform(sequence(0, n-1), i -> ...)``.  They are the
-reference form for small tensors and the shape of the SQL oracle; for large
-tensors the vectorised NumPy forms (``kiln.functions.ndarray``) are faster,
-because Spark interprets higher-order lambdas element by element.
+Every function maps a flat array column to a flat array column.  Elements are moved by nested ``transform`` over the
+output's axes: what lies together in the input is taken by one ``slice``, what lies at a constant distance by one
+``sequence`` of positions, and the pieces are joined by ``flatten``.  The expression has one size whatever the width of
+the tensor, from an 8x8 thumbnail to 150,528 values.  They are the form the SQL oracle mirrors; for large
+tensors the vectorised NumPy forms (``kiln.functions.ndarray``) are faster, because Spark interprets
+higher-order lambdas element by element.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kiln.functions.ndarray import bilinear_taps, crop_offsets, resized_shape  # noqa: F401
+from kiln.functions.ndarray import bilinear_taps, crop_offsets, resized_shape
 from kiln.spec import TensorSpec
 
 
@@ -43,14 +43,6 @@ def _total(shape) -> int:
     return n
 
 
-def flat_index(at: dict[str, Column], layout: str, shape) -> Column:
-    """{axis: coordinate} -> flat index for a row-major tensor."""
-    idx = None
-    for axis, dim in zip(layout, shape):
-        idx = at[axis] if idx is None else idx * F.lit(dim) + at[axis]
-    return idx
-
-
 def over_indices(n: int, fn) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), fn)
 
@@ -77,49 +69,6 @@ def _sql_num(v, integral: bool) -> str:
     return repr(int(v)) if integral else f"{float(v)!r}D"  # D: a double literal, not a decimal
 
 
-def const_array(values, cast: str) -> Column:
-    """A constant array column built from one SQL literal (one call, not one per value)."""
-    body = ", ".join(_sql_num(v, cast in ("int", "bigint")) for v in values)
-    return F.expr(f"CAST(array({body}) AS array<{cast}>)")
-
-
-def const_structs(columns: dict) -> Column:
-    """A constant array of structs, one per position: {name: int or float ndarray}."""
-    names = list(columns)
-    n = len(next(iter(columns.values())))
-    integral = {k: np.issubdtype(np.asarray(v).dtype, np.integer) for k, v in columns.items()}
-    items = []
-    for i in range(n):
-        fields = ", ".join(f"'{k}', {_sql_num(columns[k][i], integral[k])}" for k in names)
-        items.append(f"named_struct({fields})")
-    return F.expr(f"array({', '.join(items)})")
-
-
-def bilinear_table(spec: TensorSpec, oh: int, ow: int, out_layout: str, out_shape, top: int = 0, left: int = 0):
-    """Per output element: the four source flat indices, the four weights and the
-    channel of a half-pixel bilinear sample (``ndarray.bilinear_taps`` values)."""
-    n = int(np.prod(out_shape))
-    at = dict(zip(out_layout, np.unravel_index(np.arange(n), out_shape)))
-    y, x = at["H"] + top, at["W"] + left
-    ch = at.get("C", np.zeros(n, dtype=np.int64))
-    y0, y1, hw0, hw1 = (t[y] for t in bilinear_taps(spec.height, oh))
-    x0, x1, ww0, ww1 = (t[x] for t in bilinear_taps(spec.width, ow))
-
-    def src(yy, xx):
-        pos = {"H": yy, "W": xx, "C": ch}
-        return np.ravel_multi_index(tuple(pos[a] for a in spec.layout), spec.shape)
-
-    return {"a": src(y0, x0), "b": src(y0, x1), "c": src(y1, x0), "d": src(y1, x1),
-            "hw0": hw0, "hw1": hw1, "ww0": ww0, "ww1": ww1, "ch": ch}
-
-
-def bilinear_from_table(t: Column, sample) -> Column:
-    """h0*(w0*a + w1*b) + h1*(w0*c + w1*d) for one table entry ``t``."""
-    top = t["ww0"] * sample(t["a"]) + t["ww1"] * sample(t["b"])
-    bot = t["ww0"] * sample(t["c"]) + t["ww1"] * sample(t["d"])
-    return t["hw0"] * top + t["hw1"] * bot
-
-
 def pick(values, index: Column) -> Column:
     """values[index] for a Python list of constants and a 0-based column index."""
     if len(values) == 1:
@@ -178,80 +127,93 @@ def rescale(col, scale: float | None) -> Column:
     return F.transform(_c(col), lambda x: x.cast("double") / F.lit(float(scale)))
 
 
-# ---- T6 / T8 / T9 / T10: index arithmetic -----------------------------------------------
+# ---- T6 / T8 / T9 / T10: moving elements ---------------------------------------------------
 
-TABLE_MAX = 4096  # widest output gathered through a constant index table
+def strides(spec: TensorSpec) -> dict[str, int]:
+    """Distance of neighbours along each axis in the flat row."""
+    out, step = {}, 1
+    for axis, dim in reversed(list(zip(spec.layout, spec.shape))):
+        out[axis] = step
+        step *= dim
+    return out
 
 
-def gather(col, src) -> Column:
-    """out[i] = col[src[i]] with ``src`` computed on the driver (a pure gather)."""
-    table = const_array(src, "int")
-    return bound(col, lambda c: F.transform(table, lambda j: F.get(c, j)))
+def take(c: Column, spec: TensorSpec, layout: str, window: dict[str, tuple[int, int]] | None = None) -> Column:
+    """The elements of ``window`` ({axis: (start, count)}, default all) of a flat row, in the axis order ``layout``."""
+    window = {a: (window or {}).get(a, (0, spec.dim(a))) for a in layout}
+    step = strides(spec)
 
+    def together(axes: str) -> bool:
+        """Whether these axes lie in the input as they do in the output, only the first of them cut."""
+        return spec.layout.endswith(axes) and all(window[a] == (0, spec.dim(a)) for a in axes[1:])
 
-def permute(col, spec: TensorSpec, layout: str) -> Column:
-    """Reorder axes, e.g. HWC -> CHW."""
-    out_shape = tuple(spec.dim(a) for a in layout)
-    if spec.size <= TABLE_MAX:
-        import numpy as np
+    def build(axes: str, base: Column) -> Column:
+        start, count = window[axes[0]]
+        first = base + F.lit(start * step[axes[0]])
+        if together(axes):
+            return F.slice(c, first + F.lit(1), F.lit(count * step[axes[0]]))
+        if len(axes) == 1:
+            last = first + F.lit((count - 1) * step[axes])
+            return F.transform(F.sequence(first, last, F.lit(step[axes])), lambda j: F.get(c, j))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: build(axes[1:], first + k * F.lit(step[axes[0]]))))
 
-        at = dict(zip(layout, np.unravel_index(np.arange(spec.size), out_shape)))
-        return gather(col, np.ravel_multi_index(tuple(at[a] for a in spec.layout), spec.shape))
+    return build(layout, F.lit(0))
 
-    def body(c):
-        return over_indices(spec.size, lambda i: F.get(c, flat_index(coords(i, layout, out_shape), spec.layout,
-                                                                      spec.shape)))
 
-    return bound(col, body)
+def permute(col, spec: TensorSpec, layout: str) -> Column:
+    """Reorder axes, e.g. HWC -> CHW."""
+    return bound(col, lambda c: take(c, spec, layout))
 
 
-def center_crop(col, spec: TensorSpec, crop) -> Column:
-    """Centre crop of an image tensor (T9); layout is kept."""
+def crop_window(spec: TensorSpec, crop) -> dict[str, tuple[int, int]]:
     top, left, ch, cw = crop_offsets(spec.height, spec.width, crop)
     if ch > spec.height or cw > spec.width:
         raise ValueError("native centre crop does not pad; crop must fit the image")
-    out = spec.with_(shape=tuple({"H": ch, "W": cw}.get(a, spec.dim(a)) for a in spec.layout))
-    if out.size <= TABLE_MAX:
-        import numpy as np
-
-        at = dict(zip(out.layout, np.unravel_index(np.arange(out.size), out.shape)))
-        at["H"] = at["H"] + top
-        at["W"] = at["W"] + left
-        return gather(col, np.ravel_multi_index(tuple(at[a] for a in spec.layout), spec.shape))
-
-    def body(c):
-        def at(i):
-            p = coords(i, out.layout, out.shape)
-            p["H"] = p["H"] + F.lit(top)
-            p["W"] = p["W"] + F.lit(left)
-            return F.get(c, flat_index(p, spec.layout, spec.shape))
-
-        return over_indices(out.size, at)
-
-    return bound(col, body)
-
-
-def _bilinear(sample, h: int, w: int, oh: int, ow: int, y: Column, x: Column) -> Column:
-    """Half-pixel bilinear value at output (y, x); ``sample(yy, xx)`` reads a source pixel.
+    return {"H": (top, ch), "W": (left, cw)}
 
-    Tap indices and weights depend only on the output coordinate, so they are
-    computed once on the driver (``ndarray.bilinear_taps``, the same float64
-    arithmetic) and looked up from small constant arrays.  The value is
-    h0*(w0*a + w1*b) + h1*(w0*c + w1*d), as in ``ndarray.resize``."""
 
-    def taps(pos, n_in, n_out):
-        i0, i1, w0, w1 = bilinear_taps(n_in, n_out)
-        at = pos + F.lit(1)
-        return (F.element_at(const_array([int(v) for v in i0], "int"), at),
-                F.element_at(const_array([int(v) for v in i1], "int"), at),
-                F.element_at(const_array([float(v) for v in w0], "double"), at),
-                F.element_at(const_array([float(v) for v in w1], "double"), at))
-
-    y0, y1, hw0, hw1 = taps(y, h, oh)
-    x0, x1, ww0, ww1 = taps(x, w, ow)
-    top = ww0 * sample(y0, x0) + ww1 * sample(y0, x1)
-    bot = ww0 * sample(y1, x0) + ww1 * sample(y1, x1)
-    return hw0 * top + hw1 * bot
+def center_crop(col, spec: TensorSpec, crop) -> Column:
+    """Centre crop of an image tensor (T9); layout is kept."""
+    return bound(col, lambda c: take(c, spec, spec.layout, crop_window(spec, crop)))
+
+
+def taps(n_in: int, n_out: int, start: int, count: int, step: int) -> Column:
+    """Outputs ``start`` to ``start + count`` of a bilinear resize along one axis: an array of (i, j, v, w), the two source
+    positions in the flat row and their weights (``ndarray.bilinear_taps``).  One entry per row or column of the
+    image, never one per pixel."""
+    i0, i1, w0, w1 = (t[start:start + count] for t in bilinear_taps(n_in, n_out))
+    i, j = (f"array({', '.join(str(int(x) * step) for x in t)})" for t in (i0, i1))
+    v, w = (f"array({', '.join(_sql_num(x, False) for x in t)})" for t in (w0, w1))
+    return F.expr(f"transform({i}, (x, k) -> named_struct('i', x, 'j', {j}[k], 'v', {v}[k], 'w', {w}[k]))")
+
+
+def bilinear(c: Column, spec: TensorSpec, oh: int, ow: int, layout: str, window: dict[str, tuple[int, int]], read, write) -> Column:
+    """Half-pixel bilinear samples of ``window`` of the resized image, in the axis order ``layout``: each is
+    h0*(w0*a + w1*b) + h1*(w0*c + w1*d), as in ``ndarray.resize``.  ``read`` makes a double of a stored value, ``write``
+    the output element of (sample, channel); channels are written out, their number being part of the plan."""
+    step = strides(spec)
+    ys, xs = (taps(n, out, *window[a], step[a]) for a, n, out in (("H", spec.height, oh), ("W", spec.width, ow)))
+    channels = range(spec.channels) if "C" in layout else [0]
+
+    def value(ty, tx, ch):
+        at = lambda y, x: read(F.get(c, y + x + F.lit(ch * step.get("C", 0))))
+        top = tx["v"] * at(ty["i"], tx["i"]) + tx["w"] * at(ty["i"], tx["j"])
+        bot = tx["v"] * at(ty["j"], tx["i"]) + tx["w"] * at(ty["j"], tx["j"])
+        return write(ty["v"] * top + ty["w"] * bot, ch)
+
+    def build(axes: str, ty, tx, ch) -> Column:
+        """The elements of the rest of the axes; an array, or one element if none is left."""
+        if not axes:
+            return value(ty, tx, ch)
+        if axes[0] == "C":
+            parts = F.array(*[build(axes[1:], ty, tx, k) for k in channels])
+        elif axes[0] == "H":
+            parts = F.transform(ys, lambda t: build(axes[1:], t, tx, ch))
+        else:
+            parts = F.transform(xs, lambda t: build(axes[1:], ty, t, ch))
+        return F.flatten(parts) if len(axes) > 1 else parts
+
+    return build(layout, None, None, 0)
 
 
 def resize(col, spec: TensorSpec, size) -> Column:
@@ -259,25 +221,8 @@ def resize(col, spec: TensorSpec, size) -> Column:
     oh, ow = resized_shape(spec.height, spec.width, size)
     if (oh, ow) == (spec.height, spec.width):
         return rescale(col, None)
-    out = spec.with_(shape=tuple({"H": oh, "W": ow}.get(a, spec.dim(a)) for a in spec.layout))
-    if out.size <= TABLE_MAX:
-        table = const_structs(bilinear_table(spec, oh, ow, out.layout, out.shape))
-        return bound(col, lambda c: F.transform(
-            table, lambda t: bilinear_from_table(t, lambda j: F.get(c, j).cast("double"))))
-
-    def body(c):
-        def at(i):
-            p = coords(i, out.layout, out.shape)
-
-            def sample(yy, xx):
-                q = dict(p, H=yy, W=xx)
-                return F.get(c, flat_index(q, spec.layout, spec.shape)).cast("double")
-
-            return _bilinear(sample, spec.height, spec.width, oh, ow, p["H"], p["W"])
-
-        return over_indices(out.size, at)
-
-    return bound(col, body)
+    whole = {"H": (0, oh), "W": (0, ow)}
+    return bound(col, lambda c: bilinear(c, spec, oh, ow, spec.layout, whole, lambda v: v.cast("double"), lambda v, ch: v))
 
 
 def normalize(col, spec: TensorSpec, mean, std) -> Column:

@@ -87,86 +87,38 @@ class Preprocess:
         return self.numpy(nd.stack(values, self.input, ids))
 
     # ---- native ---------------------------------------------------------------------
-    TABLE_MAX = 4096  # widest output gathered through constant index tables
-
-    def gather_tables(self):
-        """(source flat index, channel) for every output element, when no resize is
-        involved: a centre crop plus a layout change is a pure gather."""
-        s, out = self.input, self.output
-        *_, top, left, _, _ = self._geometry()
-        at = dict(zip(out.layout, np.unravel_index(np.arange(out.size), out.shape)))
-        at["H"] = at["H"] + top
-        at["W"] = at["W"] + left
-        src = np.ravel_multi_index(tuple(at[a] for a in s.layout), s.shape)
-        return src, at["C"]
-
     def native(self, col) -> Column:
-        """Same result as ``numpy`` as one Catalyst expression (no Python worker)."""
+        """Same result as ``numpy`` as one Catalyst expression (no Python worker), of one shape for all widths."""
         s = self.input
         if s.encoding != "array":
             raise ValueError("native forms need array-encoded tensors; use decode_bytes first")
         h, w, rh, rw, top, left, ch, cw = self._geometry()
         if ch > rh or cw > rw:
             raise ValueError("native preprocess does not pad; crop must fit the resized image")
-        out = self.output
-
-        def body(c):
-            return nat.over_indices(out.size, lambda i: at(c, i))
+        out, window = self.output, {"H": (top, ch), "W": (left, cw)}
 
-        def value(raw, chan):
-            v = raw
-            if self.as_uint8:
-                v = F.pmod(v.cast("int"), F.lit(256))
-            v = v.cast("double")
-            if self.scale is not None:
-                v = v / F.lit(float(self.scale))
-            v = (v - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)
-            return v.cast(out.sql_type[6:-1])
-
-        if (rh, rw) == (h, w) and out.size <= self.TABLE_MAX:
-            # gather through driver-computed tables: same values, far fewer
-            # interpreted operations per element than index arithmetic
-            src, chans = self.gather_tables()
-            src_t, chan_t = nat.const_array(src, "int"), nat.const_array(chans, "int")
-            return nat.bound(col, lambda c: F.zip_with(src_t, chan_t, lambda j, ch_: value(F.get(c, j), ch_)))
-
-        if (rh, rw) != (h, w) and out.size <= self.TABLE_MAX:
-            tab = nat.bilinear_table(s, rh, rw, out.layout, out.shape, top, left)
-            table = nat.const_structs(tab)
-
-            def scaled(c, j):
-                v = F.get(c, j)
-                if self.as_uint8:
-                    v = F.pmod(v.cast("int"), F.lit(256))
-                v = v.cast("double")
-                return v / F.lit(float(self.scale)) if self.scale is not None else v
-
-            def entry(c, t):
-                v = nat.bilinear_from_table(t, lambda j: scaled(c, j))
-                v = (v - nat.pick(self.mean, t["ch"])) / nat.pick(self.std, t["ch"])
-                return v.cast(out.sql_type[6:-1])
-
-            return nat.bound(col, lambda c: F.transform(table, lambda t: entry(c, t)))
-
-        def sample(c, y, x, ch_):
-            v = F.get(c, nat.flat_index({"H": y, "W": x, "C": ch_}, s.layout, s.shape))
+        def read(v):
             if self.as_uint8:
                 v = F.pmod(v.cast("int"), F.lit(256))
             v = v.cast("double")
-            if self.scale is not None:
-                v = v / F.lit(float(self.scale))
-            return v
-
-        def at(c, i):
-            p = nat.coords(i, out.layout, out.shape)
-            y = p["H"] + F.lit(top)
-            x = p["W"] + F.lit(left)
-            chan = p["C"] if "C" in out.layout else F.lit(0)
-            if (rh, rw) == (h, w):
-                v = sample(c, y, x, chan)
-            else:
-                v = nat._bilinear(lambda yy, xx: sample(c, yy, xx, chan), h, w, rh, rw, y, x)
-            v = (v - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)
-            return v.cast(out.sql_type[6:-1])
-
-        return nat.bound(col, body)
+            return v / F.lit(float(self.scale)) if self.scale is not None else v
+
+        def write(v, chan: int):
+            mean, std = (x[chan if len(x) > 1 else 0] for x in (self.mean, self.std))
+            return ((v - F.lit(float(mean))) / F.lit(float(std))).cast(out.sql_type[6:-1])
+
+        if (rh, rw) != (h, w):
+            return nat.bound(col, lambda c: nat.bilinear(c, s, rh, rw, out.layout, window, read, write))
+        if "C" not in out.layout:
+            return nat.bound(col, lambda c: F.transform(nat.take(c, s, out.layout, window), lambda v: write(read(v), 0)))
+        if out.layout.startswith("C"):  # channel by channel: mean and deviation are constants of each
+            def plane(c, k):
+                return F.transform(nat.take(c, s, out.layout, window | {"C": (k, 1)}), lambda v: write(read(v), k))
+
+            return nat.bound(col, lambda c: F.flatten(F.array(*[plane(c, k) for k in range(s.channels)])))
+
+        def at(v, i):
+            chan = nat.coords(i, out.layout, out.shape)["C"]
+            return ((read(v) - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)).cast(out.sql_type[6:-1])
+
+        return nat.bound(col, lambda c: F.transform(nat.take(c, s, out.layout, window), at))

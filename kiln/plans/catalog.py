@@ -25,7 +25,7 @@ from kiln.plans.inspect import exchanges, python_nodes
 from kiln.plans.pipeline import ScoringPlan
 from kiln.session import fresh_path, ship_package  # noqa: F401  (ship_package re-exported)
 from kiln.sources import images, parquet
-from kiln.sources.derived import (F1_SPEC, F2_SPEC, f1_embeddings, f2_orders, f4_part_images,
+from kiln.sources.derived import (F1_SPEC, F2_SPEC, F3_SPEC, f1_embeddings, f2_orders, f3_images, f4_part_images,
                                   f5_variable_part_images, table, variable_size)
 from kiln.spec import TensorSpec
 from kiln.streaming.batches import drain
@@ -334,6 +334,50 @@ def _t13(pre: Preprocess, src, key, form):
     return np_q if form == "np" else native_q
 
 
+# Full-size images (256x256x3), one for each row of supplier; results as exact sums, one for each image
+PRE_F3 = Preprocess(F3_SPEC, resize=256, crop=224, scale=255.0, layout="CHW", dtype="float64")
+PRE_F3_RESIZE = Preprocess(F3_SPEC, resize=230, crop=224, scale=255.0, layout="CHW", dtype="float64")
+
+
+def _wide(spark, sf):
+    return f3_images(spark, sf, "supplier", "s_suppkey")
+
+
+def digest(col, scale: float = 1.0):
+    """Sum of the elements, in whole units of 1 / scale, each times a weight by its place: exact in 64 bits."""
+    unit = lambda x, i: F.floor(x.cast("double") * F.lit(scale) + F.lit(0.5)).cast("long") * (i % 1009 + 1)
+    return F.aggregate(F.transform(col, unit), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _digested(df: DataFrame, col, scale: float = 1.0) -> DataFrame:
+    """The tensor is bound first: it is read once for its length and once for its sum."""
+    both = nat.let(col, lambda t: F.struct(F.size(t).cast("long").alias("n_values"), digest(t, scale).alias("digest")))
+    return df.select("s_suppkey", both.alias("d")).select("s_suppkey", "d.n_values", "d.digest")
+
+
+def t6_permute_wide(spark, sf):
+    return _digested(_wide(spark, sf), nat.permute("image", F3_SPEC, "CHW"))
+
+
+def t9_crop_wide(spark, sf):
+    return _digested(_wide(spark, sf), nat.center_crop("image", F3_SPEC, 224))
+
+
+def t8_resize_wide(spark, sf):
+    return _digested(_wide(spark, sf), nat.resize("image", F3_SPEC, 224), 1e6)
+
+
+def _t13_wide(pre: Preprocess, form):
+    def np_q(spark, sf):
+        d = map_tensor(_wide(spark, sf), "image", pre.numpy, pre.output.dtype, "tensor", keep=["s_suppkey"], batch_size=16)
+        return _digested(d, F.col("tensor"), 1e6)
+
+    def native_q(spark, sf):
+        return _digested(_wide(spark, sf), pre.native("image"), 1e6)
+
+    return np_q if form == "np" else native_q
+
+
 # ---- P: projections --------------------------------------------------------------------------
 
 def p1_project_udf(spark, sf):
@@ -752,6 +796,13 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "A7_overhead": (a7_overhead, "SELECT count(*) AS rows, true AS batched, true AS slept FROM orders"),
         "A8_batch_report": (a8_batch_report, "SELECT count(*) AS rows, true AS bounded, true AS numbered FROM orders"),
     }
+    wide = lambda lst, scale=1.0: f"SELECT s_suppkey, len(t) AS n_values, {q.digest('t', scale)} AS digest FROM (SELECT s_suppkey, {lst} AS t FROM supplier) w"
+    reg["T6_permute_wide_native"] = (t6_permute_wide, wide(q.permute(q.f3, F3_SPEC, "CHW")))
+    reg["T9_center_crop_wide_native"] = (t9_crop_wide, wide(q.center_crop(q.f3, F3_SPEC, 224)))
+    reg["T8_resize_wide_native"] = (t8_resize_wide, wide(q.resize(q.f3, F3_SPEC, 224, None), 1e6))
+    for name, pre in (("", PRE_F3), ("_resize", PRE_F3_RESIZE)):
+        for form in ("np", "native"):
+            reg[f"T13_preprocess{name}_wide_{form}"] = (_t13_wide(pre, form), wide(q.preprocess(pre, q.f3, None), 1e6))
     sql_u8 = ("SELECT o_orderkey, list_transform(range(192), lambda i: CAST(((("
               + q.gen_pixel("i", mod=1000, shift=500) + ") % 256 + 256) % 256) AS SMALLINT)) AS tensor FROM orders")
     reg["T5_uint8_np"] = (t5_uint8_np, sql_u8)

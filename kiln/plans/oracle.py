@@ -64,6 +64,16 @@ def f2_image(mod: int = 256, shift: int = 0, key: str = "o_orderkey", mult: int
     return over(192, lambda i: f"CAST({gen_pixel(i, key, mult, step, mod, shift)} AS SMALLINT)")
 
 
+def f3(idx: str) -> str:
+    return gen_pixel(idx, key="s_suppkey", mult=1)
+
+
+def digest(vec: str, scale: float = 1.0) -> str:
+    """Sum of the elements in whole units of 1 / scale, each times a weight by its place."""
+    unit = f"CAST(floor(CAST(v AS DOUBLE) * {dbl(scale)} + {dbl(0.5)}) AS BIGINT)"
+    return f"CAST(list_sum(list_transform({vec}, lambda v, j: {unit} * ((j - 1) % 1009 + 1))) AS BIGINT)"
+
+
 def f1(idx: str) -> str:
     return f"CAST(embedding[({idx}) + 1] AS DOUBLE)"
 
@@ -109,7 +119,7 @@ def rescale(raw, n: int, scale, digits: int = 6) -> str:
     return over(n, body)
 
 
-def resize(raw, spec: TensorSpec, size, digits: int = 6) -> str:
+def resize(raw, spec: TensorSpec, size, digits: int | None = 6) -> str:
     oh, ow = resized_shape(spec.height, spec.width, size)
     if (oh, ow) == (spec.height, spec.width):
         return rescale(raw, spec.size, None, digits)
@@ -121,7 +131,8 @@ def resize(raw, spec: TensorSpec, size, digits: int = 6) -> str:
         def sample(yy, xx):
             return f"CAST({raw(flat(dict(p, H=yy, W=xx), spec.layout, spec.shape))} AS DOUBLE)"
 
-        return rnd(bilinear(sample, spec.height, spec.width, oh, ow, p['H'], p['W']), digits)
+        v = bilinear(sample, spec.height, spec.width, oh, ow, p['H'], p['W'])
+        return v if digits is None else rnd(v, digits)
 
     return over(out.size, at)
 
