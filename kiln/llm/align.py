@@ -157,12 +157,13 @@ def _same_bytes(side, ids: np.ndarray, n: np.ndarray, texts: pa.Array) -> np.nda
 
 
 def _ends(side, ids: pa.ListArray) -> pa.Table:
-    """doc, end (bytes from the document's start) of each token of a list column."""
+    """doc, key (document and end, in bytes from the document's start) and place of each token of a list column."""
     flat, doc = np.asarray(pc.list_flatten(ids)), pc.list_parent_indices(ids)
     total = np.asarray(pc.cumulative_sum(pa.array(side.table.length[flat])))
     n = np.asarray(pc.list_value_length(ids), dtype=np.int64)
     before = np.concatenate([np.zeros(1, np.int64), total])[np.cumsum(n) - n]
-    return pa.table({"doc": doc, "end": total - np.repeat(before, n), "at": np.arange(len(flat))})
+    end = total - np.repeat(before, n)
+    return pa.table({"doc": doc, "key": (np.asarray(doc, dtype=np.int64) << 40) + end, "at": np.arange(len(flat), dtype=np.int32)})
 
 
 def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
@@ -171,7 +172,7 @@ def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
 
 def _grouped(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The group of each token of both sides; groups are numbered through all documents."""
-    both = a.join(b, keys=["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    both = a.select(["key", "at"]).join(b.select(["key", "at"]), keys="key", join_type="inner", right_suffix="_b", use_threads=False)
     out = []
     for side, at in ((a, both["at"]), (b, both["at_b"])):
         last = np.zeros(len(side), np.int64)
@@ -217,6 +218,23 @@ def _digests(a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, doc_o
     return out
 
 
+def _links(a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, doc_of_group: np.ndarray, size_a: int, size_b: int) -> pa.Table:
+    """doc, a, b, links: how often each document links each id pair.  Groups of one token a side are pairs as they are;
+    the others' ids are counted by group and joined on it."""
+    n_groups, once = len(doc_of_group), {"use_threads": False}
+    plain = (np.bincount(ga, minlength=n_groups) == 1) & (np.bincount(gb, minlength=n_groups) == 1)
+    on_a, on_b = plain[ga], plain[gb]  # in both sides in the order of groups
+    left = pa.table({"g": ga[~on_a], "a": a[~on_a]}).group_by(["g", "a"], **once).aggregate([([], "count_all")]).rename_columns(["g", "a", "n"])
+    right = pa.table({"g": gb[~on_b], "b": b[~on_b]}).group_by(["g", "b"], **once).aggregate([([], "count_all")]).rename_columns(["g", "b", "m"])
+    rest = left.join(right, keys="g", join_type="inner", use_threads=False)
+    doc = np.concatenate([doc_of_group[plain], doc_of_group[np.asarray(rest["g"])]])
+    key = (doc * size_a + np.concatenate([a[on_a], np.asarray(rest["a"])])) * size_b + np.concatenate([b[on_b], np.asarray(rest["b"])])
+    times = np.concatenate([np.ones(int(plain.sum()), np.int64), np.asarray(rest["n"]) * np.asarray(rest["m"])])
+    links = pa.table({"key": key, "links": times}).group_by("key", **once).aggregate([("links", "sum")])
+    key = np.asarray(links["key"])
+    return pa.table({"doc": key // (size_a * size_b), "a": key // size_b % size_a, "b": key % size_b, "links": links["links_sum"]})
+
+
 def _piece(texts: pa.Array, side_a, side_b) -> tuple[pa.Table, pa.Table]:
     """Of some texts (none null or empty): n_a, n_b, n_groups, n_links and groups_sha256 of each; and doc, a, b, links."""
     (a, n_a), (b, n_b) = side_a.ids(texts), side_b.ids(texts)
@@ -226,12 +244,7 @@ def _piece(texts: pa.Array, side_a, side_b) -> tuple[pa.Table, pa.Table]:
     ga, gb = _grouped(table_a, table_b)
     doc_a = np.asarray(table_a["doc"], dtype=np.int64)
     doc_of_group = doc_a[np.flatnonzero(np.diff(ga, prepend=-1))]
-    once = {"use_threads": False}
-    left = pa.table({"g": ga, "a": a}).group_by(["g", "a"], **once).aggregate([([], "count_all")]).rename_columns(["g", "a", "n"])
-    right = pa.table({"g": gb, "b": b}).group_by(["g", "b"], **once).aggregate([([], "count_all")]).rename_columns(["g", "b", "m"])
-    links = left.join(right, keys="g", join_type="inner", use_threads=False)
-    links = pa.table({"doc": doc_of_group[np.asarray(links["g"])], "a": links["a"], "b": links["b"], "links": pc.multiply(links["n"], links["m"])})
-    links = links.group_by(["doc", "a", "b"], **once).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
+    links = _links(a, ga, b, gb, doc_of_group, len(side_a.table.length), len(side_b.table.length))
     n_links = np.bincount(np.asarray(links["doc"]), np.asarray(links["links"]).astype(np.float64), len(texts)).astype(np.int64) if len(links) else np.zeros(len(texts), np.int64)
     docs = pa.table({"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_of_group, minlength=len(texts)).astype(np.int64), "n_links": n_links, "groups_sha256": pa.array(_digests(a, ga, b, gb, doc_of_group, len(texts)), pa.string())})
     return docs, links
