@@ -158,8 +158,10 @@ def main() -> None:
     }
     spark.sparkContext.setJobDescription(None)
     spark.stop()  # flushes the event log
-    stats = measure.event_log_task_stats(EVENT_DIR)
+    reader = build_session(f"local[{CPUS}]", "kiln-bench-log", {"spark.sql.shuffle.partitions": "8", "spark.eventLog.enabled": "false"})
+    stats = {r.description: {k: round(r[k], 3) for k in ("tasks", "median_s", "max_s", "skew")} for r in measure.event_log_task_stats(reader, EVENT_DIR).collect()}
     out["task_stats"] = {k: stats[k] for k in ("full_fused", "full_fused_bytes", "small_fused") if k in stats}
+    reader.stop()
     print(json.dumps(out))
 
 

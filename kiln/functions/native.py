@@ -147,17 +147,26 @@ def take(c: Column, spec: TensorSpec, layout: str, window: dict[str, tuple[int,
         """Whether these axes lie in the input as they do in the output, only the first of them cut."""
         return spec.layout.endswith(axes) and all(window[a] == (0, spec.dim(a)) for a in axes[1:])
 
-    def build(axes: str, base: Column) -> Column:
+    def build(axes: str, base: Column | None, offset: int) -> Column:
+        """The rest of the axes at flat position ``base + offset``."""
         start, count = window[axes[0]]
-        first = base + F.lit(start * step[axes[0]])
+        offset += start * step[axes[0]]
         if together(axes):
-            return F.slice(c, first + F.lit(1), F.lit(count * step[axes[0]]))
+            return F.slice(c, plus(base, offset + 1), F.lit(count * step[axes[0]]))
+        places = F.sequence(plus(base, offset), plus(base, offset + (count - 1) * step[axes[0]]), F.lit(step[axes[0]]))
         if len(axes) == 1:
-            last = first + F.lit((count - 1) * step[axes])
-            return F.transform(F.sequence(first, last, F.lit(step[axes])), lambda j: F.get(c, j))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: build(axes[1:], first + k * F.lit(step[axes[0]]))))
+            return F.transform(places, lambda j: F.get(c, j))
+        return F.flatten(F.transform(places, lambda o: build(axes[1:], o, 0)))
 
-    return build(layout, F.lit(0))
+    return build(layout, None, 0)
+
+
+def plus(base: Column | None, n: int) -> Column:
+    """``base + n``, written as a subtraction: Catalyst orders the operands of additions by hash, and the argument of a
+    Python UDF that adds lambda variables may then not be found again when the UDF is taken out of the plan."""
+    if base is None:
+        return F.lit(n)
+    return base - F.lit(-n) if n else base
 
 
 def permute(col, spec: TensorSpec, layout: str) -> Column:
@@ -190,13 +199,11 @@ def taps(n_in: int, n_out: int, start: int, count: int, step: int) -> Column:
 def bilinear(c: Column, spec: TensorSpec, oh: int, ow: int, layout: str, window: dict[str, tuple[int, int]], read, write) -> Column:
     """Half-pixel bilinear samples of ``window`` of the resized image, in the axis order ``layout``: each is
     h0*(w0*a + w1*b) + h1*(w0*c + w1*d), as in ``ndarray.resize``.  ``read`` makes a double of a stored value, ``write``
-    the output element of (sample, channel); channels are written out, their number being part of the plan."""
+    the output element of (sample, channel)."""
     step = strides(spec)
     ys, xs = (taps(n, out, *window[a], step[a]) for a, n, out in (("H", spec.height, oh), ("W", spec.width, ow)))
-    channels = range(spec.channels) if "C" in layout else [0]
-
     def value(ty, tx, ch):
-        at = lambda y, x: read(F.get(c, y + x + F.lit(ch * step.get("C", 0))))
+        at = lambda y, x: read(F.get(c, y + x + ch * F.lit(step.get("C", 0))))
         top = tx["v"] * at(ty["i"], tx["i"]) + tx["w"] * at(ty["i"], tx["j"])
         bot = tx["v"] * at(ty["j"], tx["i"]) + tx["w"] * at(ty["j"], tx["j"])
         return write(ty["v"] * top + ty["w"] * bot, ch)
@@ -206,14 +213,14 @@ def bilinear(c: Column, spec: TensorSpec, oh: int, ow: int, layout: str, window:
         if not axes:
             return value(ty, tx, ch)
         if axes[0] == "C":
-            parts = F.array(*[build(axes[1:], ty, tx, k) for k in channels])
+            parts = over_indices(spec.channels, lambda k: build(axes[1:], ty, tx, k))
         elif axes[0] == "H":
             parts = F.transform(ys, lambda t: build(axes[1:], t, tx, ch))
         else:
             parts = F.transform(xs, lambda t: build(axes[1:], ty, t, ch))
         return F.flatten(parts) if len(axes) > 1 else parts
 
-    return build(layout, None, None, 0)
+    return build(layout, None, None, F.lit(0))
 
 
 def resize(col, spec: TensorSpec, size) -> Column:
@@ -222,7 +229,7 @@ def resize(col, spec: TensorSpec, size) -> Column:
     if (oh, ow) == (spec.height, spec.width):
         return rescale(col, None)
     whole = {"H": (0, oh), "W": (0, ow)}
-    return bound(col, lambda c: bilinear(c, spec, oh, ow, spec.layout, whole, lambda v: v.cast("double"), lambda v, ch: v))
+    return let(_c(col), lambda c: bilinear(c, spec, oh, ow, spec.layout, whole, lambda v: v.cast("double"), lambda v, ch: v))
 
 
 def normalize(col, spec: TensorSpec, mean, std) -> Column:

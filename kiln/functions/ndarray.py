@@ -91,33 +91,45 @@ def _stack_binary(arr, spec: TensorSpec, ids) -> np.ndarray:
     return data.view(spec.numpy_dtype).reshape(n, *spec.shape)
 
 
+#: Values (or bytes) that the offsets of one Arrow column can address in the types Spark takes.
+MAX_VALUES = 2**31 - 1
+
+
+class TooWide(ValueError):
+    """More values than one Arrow batch of Spark's list or binary type can hold."""
+
+
+def row_pieces(n: int, width: int, limit: int = MAX_VALUES):
+    """(start, end) of runs of rows of ``width`` values that fit one Arrow batch."""
+    if width > limit:
+        raise TooWide(f"a row of {width} values does not fit an Arrow batch ({limit})")
+    step = max(1, limit // max(1, width))
+    return [(i, min(n, i + step)) for i in range(0, n, step)] or [(0, 0)]
+
+
 def to_binary(batch: np.ndarray, dtype) -> pa.BinaryArray:
     """(n, ...) array -> one binary cell per row holding its little-endian values."""
     n = batch.shape[0]
     flat = np.ascontiguousarray(rows2d(batch).astype(np.dtype(dtype).newbyteorder("<"), copy=False))
     width = flat.shape[1] * flat.itemsize
-    offsets = np.arange(0, (n + 1) * width, width, dtype=np.int64) if width else np.zeros(n + 1, np.int64)
-    if offsets[-1] < 2**31:
-        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)),
-                                                      pa.py_buffer(flat)])
-    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    if n * width > MAX_VALUES:
+        raise TooWide(f"{n} rows of {width} bytes; cut them with row_pieces")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(flat)])
 
 
 def to_arrow(batch: np.ndarray, dtype=None) -> pa.ListArray:
     """(n, ...) array -> Arrow list array of flat rows (T11 flatten on the way out).
 
-    Spark's Arrow border takes variable-size lists only, so the fixed row width
-    is expressed with offsets.
+    Spark's Arrow border takes variable-size lists with 32-bit offsets only, so the fixed row width
+    is expressed with offsets, and more values than they address raise ``TooWide``.
     """
     n = batch.shape[0]
     flat = np.ascontiguousarray(rows2d(batch))
     if dtype is not None:
         flat = flat.astype(dtype, copy=False)
-    width = flat.shape[1] if flat.ndim == 2 else 0
-    offsets = np.arange(0, (n + 1) * width, width, dtype=np.int64) if width else np.zeros(n + 1, np.int64)
-    if offsets[-1] < 2**31:
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.reshape(-1)))
-    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1)))
+    if flat.size > MAX_VALUES:
+        raise TooWide(f"{n} rows of {flat.shape[1]} values; cut them with row_pieces")
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(flat.shape[1])), pa.array(flat.reshape(-1)))
 
 
 def to_series(batch: np.ndarray) -> pd.Series:

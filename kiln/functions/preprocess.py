@@ -103,22 +103,10 @@ class Preprocess:
             v = v.cast("double")
             return v / F.lit(float(self.scale)) if self.scale is not None else v
 
-        def write(v, chan: int):
-            mean, std = (x[chan if len(x) > 1 else 0] for x in (self.mean, self.std))
-            return ((v - F.lit(float(mean))) / F.lit(float(std))).cast(out.sql_type[6:-1])
+        def write(v, chan):
+            return ((v - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)).cast(out.sql_type[6:-1])
 
         if (rh, rw) != (h, w):
-            return nat.bound(col, lambda c: nat.bilinear(c, s, rh, rw, out.layout, window, read, write))
-        if "C" not in out.layout:
-            return nat.bound(col, lambda c: F.transform(nat.take(c, s, out.layout, window), lambda v: write(read(v), 0)))
-        if out.layout.startswith("C"):  # channel by channel: mean and deviation are constants of each
-            def plane(c, k):
-                return F.transform(nat.take(c, s, out.layout, window | {"C": (k, 1)}), lambda v: write(read(v), k))
-
-            return nat.bound(col, lambda c: F.flatten(F.array(*[plane(c, k) for k in range(s.channels)])))
-
-        def at(v, i):
-            chan = nat.coords(i, out.layout, out.shape)["C"]
-            return ((read(v) - nat.pick(self.mean, chan)) / nat.pick(self.std, chan)).cast(out.sql_type[6:-1])
-
-        return nat.bound(col, lambda c: F.transform(nat.take(c, s, out.layout, window), at))
+            return nat.let(nat._c(col), lambda c: nat.bilinear(c, s, rh, rw, out.layout, window, read, write))
+        channel = (lambda i: nat.coords(i, out.layout, out.shape)["C"]) if "C" in out.layout else (lambda i: F.lit(0))
+        return nat.bound(col, lambda c: F.transform(nat.take(c, s, out.layout, window), lambda v, i: write(read(v), channel(i))))

@@ -13,6 +13,7 @@ that reuse the Python worker (``spark.python.worker.reuse``) share one copy.
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import pickle
@@ -198,25 +199,59 @@ _KINDS = {"linear": LinearModel, "mlp": MLP, "onnx": OnnxModel}
 
 # ---- C3: checkpoint folder -----------------------------------------------------------------
 
-def save_model(model, path: str) -> str:
-    """Write ``model`` to a checkpoint folder: ``model.json`` + ``weights.npz``."""
-    os.makedirs(path, exist_ok=True)
+#: Bytes that go to the file system in one call.
+_WRITE_BYTES = 8 << 20
+
+
+def _write_file(spark, path: str, data: bytes) -> None:
+    """Through Hadoop's file API, so any path or URI that Spark can write will do."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for lo in range(0, len(data), _WRITE_BYTES):
+            out.write(bytearray(data[lo:lo + _WRITE_BYTES]))
+    finally:
+        out.close()
+
+
+def _read_file(spark, path: str) -> bytes:
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()  # one file
+    if len(rows) != 1:
+        raise FileNotFoundError(path)
+    return bytes(rows[0][0])
+
+
+def _session(spark=None):
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("a checkpoint folder is read and written through Spark: pass spark=")
+    return spark
+
+
+def save_model(model, path: str, spark=None) -> str:
+    """Write ``model`` to a checkpoint folder, ``model.json`` + ``weights.npz``; ``path`` is any path or URI that
+    Spark can write (``spark``: default the active session)."""
+    spark, path = _session(spark), path.rstrip("/")
     meta = {"kind": model.kind, "name": getattr(model, "name", model.kind),
             "dtype": getattr(model, "dtype", "float64")}
     if model.kind == "onnx":
         meta.update(path=model.path, input_name=model.input_name, device=model.device,
                     input_shape=list(model.input_shape) if model.input_shape else None)
-    with open(os.path.join(path, "model.json"), "w") as f:
-        json.dump(meta, f)
-    np.savez(os.path.join(path, "weights.npz"), **model.arrays())
+    weights = io.BytesIO()
+    np.savez(weights, **model.arrays())
+    _write_file(spark, f"{path}/weights.npz", weights.getvalue())
+    _write_file(spark, f"{path}/model.json", json.dumps(meta).encode())
     return path
 
 
-def load_model(path: str):
-    """Build a model from a checkpoint folder written by ``save_model``."""
-    with open(os.path.join(path, "model.json")) as f:
-        meta = json.load(f)
-    with np.load(os.path.join(path, "weights.npz")) as z:
+def load_model(path: str, spark=None):
+    """Build a model from a checkpoint folder written by ``save_model``, on the driver; ``ModelHandle.from_path`` sends
+    it to the workers."""
+    spark, path = _session(spark), path.rstrip("/")
+    meta = json.loads(_read_file(spark, f"{path}/model.json"))
+    with np.load(io.BytesIO(_read_file(spark, f"{path}/weights.npz"))) as z:
         arrays = {k: z[k] for k in z.files}
     return _KINDS[meta["kind"]].from_arrays(arrays, meta)
 
@@ -235,14 +270,13 @@ class ModelHandle:
     ``ModelHandle.create(spark, model)`` pickles the model once.  At most
     ``max_broadcast_bytes`` are broadcast; a larger pickle is a file that Spark
     sends to every executor (``SparkContext.addFile``), so the size of a model never
-    changes what is run.  ``ModelHandle.from_path(path)`` uses an existing checkpoint
-    folder (C3).
+    changes what is run.  ``ModelHandle.from_path(path)`` reads an existing checkpoint
+    folder (C3) on the driver, from any file system that Spark reads, and sends it the same way.
     """
 
-    def __init__(self, key: str, broadcast=None, path: str | None = None, nbytes: int = 0, file: str | None = None):
+    def __init__(self, key: str, broadcast=None, nbytes: int = 0, file: str | None = None):
         self.key = key
         self._bc = broadcast
-        self.path = path
         self.nbytes = nbytes
         self.file = file  # name among Spark's files
 
@@ -263,8 +297,9 @@ class ModelHandle:
         return cls(key, nbytes=len(blob), file=os.path.basename(file))
 
     @classmethod
-    def from_path(cls, path: str) -> "ModelHandle":
-        return cls(f"path:{os.path.abspath(path)}", path=path)
+    def from_path(cls, path: str, spark=None, max_broadcast_bytes: int = DEFAULT_BROADCAST_LIMIT) -> "ModelHandle":
+        spark = _session(spark)
+        return cls.create(spark, load_model(path, spark), max_broadcast_bytes)
 
     @property
     def broadcast(self) -> bool:
@@ -275,12 +310,10 @@ class ModelHandle:
         BUILD_COUNT["n"] += 1
         if self._bc is not None:
             return pickle.loads(self._bc.value)
-        if self.file is not None:
-            from pyspark import SparkFiles
+        from pyspark import SparkFiles
 
-            with open(SparkFiles.get(self.file), "rb") as f:
-                return pickle.load(f)
-        return load_model(self.path)
+        with open(SparkFiles.get(self.file), "rb") as f:
+            return pickle.load(f)
 
     def get(self):
         """The model, built at most once per Python worker process (C4)."""
@@ -301,6 +334,3 @@ class ModelHandle:
         if self._bc is not None:
             self._bc.destroy()
 
-
-def as_handle(spark, model) -> ModelHandle:
-    return model if isinstance(model, ModelHandle) else ModelHandle.create(spark, model)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 import statistics
 import time
 from collections.abc import Callable
@@ -100,6 +101,24 @@ def profile(spark: SparkSession, df: DataFrame, kind: str = "perf") -> str:
             spark.conf.set("spark.sql.pyspark.udf.profiler", old)
 
 
+_PROFILE_LINE = re.compile(r"^\s*(\d+)(?:/\d+)?\s+([\d.]+)\s+[\d.]+\s+([\d.]+)\s+[\d.]+\s+(\S.*)$")
+_PROFILE_PLACE = re.compile(r"^(?:(.*):(\d+)\((.*)\)|\{(.*)\})$")
+
+
+def profile_rows(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``profile`` as data (A6): udf (its number), function, file, line, calls, own_seconds, seconds (with what it calls),
+    one row per function that the Python UDFs of one run called, summed over all tasks by Spark."""
+    rows, udf = [], None
+    for text in profile(spark, df).splitlines():
+        if found := re.search(r"UDF<id=(\d+)>", text):
+            udf = int(found[1])
+        elif found := _PROFILE_LINE.match(text):
+            place = _PROFILE_PLACE.match(found[4])
+            file, line, name, built_in = place.groups() if place else (None, None, found[4], None)
+            rows.append((udf, name or built_in, file, int(line) if line else None, int(found[1]), float(found[2]), float(found[3])))
+    return spark.createDataFrame(rows, "udf int, function string, file string, line int, calls long, own_seconds double, seconds double")
+
+
 def overhead_run(spark: SparkSession, df: DataFrame, column: str, delay: float = 1.0,
                  flavor: str = "pandas") -> dict:
     """UDF overhead microbenchmark (A7): materialise the input (C1), pass
@@ -150,53 +169,78 @@ def observe_counts(df: DataFrame, name: str = "kiln") -> tuple[DataFrame, Observ
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
-def event_log_task_stats(log_dir: str) -> dict:
-    """Task-time statistics per job description from Spark event logs (A5).
-
-    Set ``spark.eventLog.enabled=true`` and ``spark.eventLog.dir`` before the
-    session starts, label actions with ``sc.setJobDescription(name)``, stop the
-    session (flushes the log), then call this.  Returns
-    ``{description: {"tasks", "median_s", "max_s", "skew"}}`` – ``skew`` is the
-    slowest task over the median one, the straggler measure for a stage.
+_COMPRESSED = (".zstd", ".zst", ".lz4", ".snappy")
+_EVENTS = (b'"SparkListenerJobStart"', b'"SparkListenerTaskEnd"')
+
+
+def _lz4_blocks(raw: bytes):
+    """Spark's lz4 streams: blocks of magic, kind, sizes and checksum, then data."""
+    codec, at = pa.Codec("lz4_raw"), 0
+    while raw[at:at + 8] == b"LZ4Block":
+        packed, plain = (int.from_bytes(raw[at + i:at + i + 4], "little") for i in (9, 13))
+        data = raw[at + 21:at + 21 + packed]
+        yield (data if raw[at + 8] & 0xF0 == 0x10 else codec.decompress(data, plain).to_pybytes()) if plain else b""
+        at += 21 + packed
+
+
+def _snappy_blocks(raw: bytes):
+    """Spark's snappy streams: a header of 16 bytes, then blocks behind their length."""
+    codec, at = pa.Codec("snappy"), 16
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at:at + 4], "big")
+        plain = shift = 0
+        for i, byte in enumerate(raw[at + 4:end]):  # its own length comes first, seven bits to a byte
+            plain |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                break
+        yield codec.decompress(raw[at + 4:end], plain).to_pybytes()
+        at = end
+
+
+def _log_lines(batches):
+    """The job-start and task-end events of compressed logs, one line each."""
+    for batch in batches:
+        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            if path.endswith((".zstd", ".zst")):
+                import zstandard
+
+                data = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
+            else:
+                data = b"".join((_lz4_blocks if path.endswith(".lz4") else _snappy_blocks)(raw))
+            lines = [x for x in data.split(b"\n") if any(e in x for e in _EVENTS)]
+            for lo in range(0, len(lines), 10_000):
+                part = lines[lo:lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([x.decode() for x in part])], ["path", "value"])
+
+
+def event_log_task_stats(spark: SparkSession, log_dir: str) -> DataFrame:
+    """Task times per job description from Spark event logs (A5), as a Spark job: description, tasks, median_s, max_s,
+    skew (the slowest task over the median one, the straggler measure).
+
+    Set ``spark.eventLog.enabled=true`` and ``spark.eventLog.dir`` before a session starts, label actions with
+    ``sc.setJobDescription(name)`` and stop it (which flushes the log).  Logs may be single files or rolling folders,
+    plain or compressed by zstd, lz4 or snappy; another ending raises, no log is skipped.  Events are joined to jobs by stage
+    within one application; failed tasks, and stages without a description, do not count.
     """
-    import glob
-    import json
-    import os
-
-    def lines(path):
-        if path.endswith(".zstd"):
-            import zstandard
-
-            with open(path, "rb") as raw, zstandard.ZstdDecompressor().stream_reader(raw) as z:
-                yield from io.TextIOWrapper(z, encoding="utf-8")
-        elif not path.endswith((".lz4", ".snappy", ".lzf", ".crc")):
-            with open(path, encoding="utf-8") as f:
-                yield from f
-
-    stage_desc: dict[int, str] = {}
-    durations: dict[str, list] = {}
-    files = [p for p in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True) if os.path.isfile(p)]
-    for path in sorted(files):
-        if os.path.basename(path).startswith((".", "appstatus")):
-            continue
-        if True:
-            for line in lines(path):
-                ev = json.loads(line)
-                kind = ev.get("Event")
-                if kind == "SparkListenerJobStart":
-                    desc = (ev.get("Properties") or {}).get("spark.job.description")
-                    if desc:
-                        for sid in ev.get("Stage IDs", []):
-                            stage_desc[sid] = desc
-                elif kind == "SparkListenerTaskEnd":
-                    desc = stage_desc.get(ev.get("Stage ID"))
-                    info = ev.get("Task Info") or {}
-                    if desc and info.get("Finish Time") and not info.get("Failed"):
-                        durations.setdefault(desc, []).append((info["Finish Time"] - info["Launch Time"]) / 1000.0)
-    out = {}
-    for desc, ds in durations.items():
-        ds.sort()
-        med = ds[len(ds) // 2]
-        out[desc] = {"tasks": len(ds), "median_s": round(med, 3), "max_s": round(ds[-1], 3),
-                     "skew": round(ds[-1] / med, 2) if med > 0 else None}
-    return out
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(log_dir)
+    files = files.where("not regexp_extract(path, '[^/]*$', 0) like 'appstatus%'")
+    ending = F.regexp_extract("path", r"\.([a-z0-9]+)$", 1)
+    odd = files.where(ending.isin("lzf", "gz")).select("path").first()
+    if odd:
+        raise ValueError(f"event log {odd[0]}: its compression is not known here")
+    packed = ending.isin(*(x[1:] for x in _COMPRESSED))
+    plain = [r.path for r in files.where(~packed).select("path").collect()]  # one name for each log
+    lines = files.where(packed).select("path", "content").mapInArrow(_log_lines, "path string, value string")
+    if plain:
+        lines = lines.union(spark.read.text(plain).select(F.col("_metadata.file_path").alias("path"), "value"))
+    schema = ("Event string, `Job ID` long, `Stage IDs` array<long>, Properties map<string,string>, `Stage ID` long, "
+              "`Task Info` struct<`Launch Time`:long,`Finish Time`:long,Failed:boolean>")
+    app = F.regexp_replace(F.regexp_replace("path", r"/events_[^/]*$", ""), r"(\.inprogress)?(\.[a-z0-9]+)?$", "")
+    event = lines.where(F.col("value").rlike("SparkListener(JobStart|TaskEnd)")).select(app.alias("app"), F.from_json("value", schema).alias("e")).select("app", "e.*")
+    jobs = event.where("Event = 'SparkListenerJobStart'").select("app", "Job ID", F.col("Properties")["spark.job.description"].alias("description"), F.explode("Stage IDs").alias("stage"))
+    jobs = jobs.where("description is not null").groupBy("app", "stage").agg(F.max_by("description", "Job ID").alias("description"))
+    tasks = event.where("Event = 'SparkListenerTaskEnd' and `Task Info`.`Finish Time` > 0 and not coalesce(`Task Info`.Failed, false)")
+    tasks = tasks.select("app", F.col("Stage ID").alias("stage"), ((F.col("`Task Info`.`Finish Time`") - F.col("`Task Info`.`Launch Time`")) / 1000).alias("s"))
+    out = tasks.join(jobs, ["app", "stage"]).groupBy("description").agg(F.count(F.lit(1)).alias("tasks"), F.percentile("s", 0.5).alias("median_s"), F.max("s").alias("max_s"))
+    return out.withColumn("skew", F.when(F.col("median_s") > 0, F.col("max_s") / F.col("median_s")))

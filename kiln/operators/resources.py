@@ -159,7 +159,7 @@ def tune_for(spark: SparkSession, spec, rows_per_task: int = 1024, batch_rows: i
     * Arrow batches of ``batch_rows`` rows, with a byte cap that lets them through.
 
     Returns the values set.  Applies to plans executed afterwards."""
-    from kiln.sources.parquet import READER_BATCH, cap_reader_batch
+    from kiln.sources.parquet import READER_BATCH, reader_rows
 
     row = spec.nbytes
     conf = {
@@ -167,7 +167,7 @@ def tune_for(spark: SparkSession, spec, rows_per_task: int = 1024, batch_rows: i
         BATCH_ROWS: str(int(batch_rows)),
         BATCH_BYTES: str(batch_bytes_for(batch_rows, row)),
     }
+    conf[READER_BATCH] = str(reader_rows(spark, row, reader_batch_bytes))
     for k, v in conf.items():
         spark.conf.set(k, v)
-    conf[READER_BATCH] = str(cap_reader_batch(spark, row, reader_batch_bytes))
     return conf

@@ -26,6 +26,7 @@ from kiln.models import ModelHandle, ModelOutputError
 from kiln.spec import TensorShapeError, TensorSpec, spec_of
 from kiln.streaming.batches import prefetch as _prefetch
 from kiln.streaming.batches import rebatch as _rebatch
+from kiln.streaming.batches import rebatch_arrays, rebatch_series
 
 _SQL_FLOAT = {"float32": T.FloatType(), "float64": T.DoubleType()}
 
@@ -75,24 +76,39 @@ def _valid_rows(arr: pa.ListArray, spec: TensorSpec) -> np.ndarray:
     return ok
 
 
-def _apply_arrow(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_invalid, ids=None, to=nd.to_arrow) -> pa.Array:
-    """One Arrow tensor column in, one out (lists, or binary cells with ``to=nd.to_binary``), same length."""
+def _apply_pieces(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_invalid, ids=None, to=nd.to_arrow, limit: int = nd.MAX_VALUES):
+    """(start, end, Arrow column) of runs of rows: one Arrow tensor column in, the same rows out (lists, or binary cells
+    with ``to=nd.to_binary``), in several arrays where one would hold more than ``limit`` values."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    if on_invalid == "null":
-        ok = _valid_rows(values, spec)
-        if not ok.any():
-            kind = pa.binary() if to is nd.to_binary else pa.list_(pa.from_numpy_dtype(np.dtype(out_dtype)))
-            return pa.nulls(len(ok), kind)
-        if not ok.all():
-            good = _run(fn, nd.stack(values.filter(pa.array(ok)), spec), size)
-            out = to(good, out_dtype)
-            # scatter back: rows that failed validation get a null
-            pos = np.cumsum(ok) - 1
-            taken = out.take(pa.array(np.where(ok, pos, 0)))
-            return pc.if_else(pa.array(ok), taken, pa.nulls(len(ok), taken.type))
-    batch = nd.stack(values, spec, ids)
-    return to(_run(fn, batch, size), out_dtype)
+    n, cell = len(values), np.dtype(out_dtype).itemsize if to is nd.to_binary else 1
+    ok = _valid_rows(values, spec) if on_invalid == "null" else None
+    if ok is None or ok.all():
+        out = nd.rows2d(_run(fn, nd.stack(values, spec, ids), size))
+        for lo, hi in nd.row_pieces(n, out.shape[1] * cell, limit):
+            yield lo, hi, to(out[lo:hi], out_dtype)
+        return
+    if not ok.any():
+        yield 0, n, pa.nulls(n, pa.binary() if to is nd.to_binary else pa.list_(pa.from_numpy_dtype(np.dtype(out_dtype))))
+        return
+    good = nd.rows2d(_run(fn, nd.stack(values.filter(pa.array(ok)), spec), size))
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(ok)])
+    for lo, hi in nd.row_pieces(n, good.shape[1] * cell, limit):
+        part, on = to(good[before[lo]:before[hi]], out_dtype), ok[lo:hi]
+        if not len(part):
+            yield lo, hi, pa.nulls(hi - lo, part.type)
+            continue
+        # rows that failed validation get a null
+        taken = part.take(pa.array(np.where(on, np.cumsum(on) - 1, 0)))
+        yield lo, hi, pc.if_else(pa.array(on), taken, pa.nulls(hi - lo, taken.type))
+
+
+def _apply_arrow(values: pa.Array, spec: TensorSpec, fn, out_dtype, size, on_invalid, ids=None, to=nd.to_arrow) -> pa.Array:
+    """One Arrow tensor column in, one out, same length."""
+    parts = [x for _, _, x in _apply_pieces(values, spec, fn, out_dtype, size, on_invalid, ids, to)]
+    if len(parts) > 1:
+        raise nd.TooWide("the output does not fit one Arrow batch; use an iterator form or smaller batches")
+    return parts[0]
 
 
 # ---- column expressions (U1, U2, I1, I2) --------------------------------------------------
@@ -106,7 +122,9 @@ def tensor_udf(fn: Callable[[np.ndarray], np.ndarray], spec: TensorSpec, out_dty
                partition, U2: ``setup`` runs once and returns the batch function)
     ``flavor`` "pandas" (``pandas_udf``, the reference's form) or "arrow"
                (``arrow_udf``: no pandas conversion)
-    ``batch_size`` split Arrow batches into model batches of at most this many rows
+    ``batch_size`` the iterator form calls the function with exactly this many rows (B2), whatever the Arrow
+               batches are: rows are held over their borders, and only a partition's last call sees fewer.
+               The scalar form must answer batch by batch, so there it is an upper bound
     ``depth``  prefetch depth for the iterator form (B7)
     ``on_invalid`` "raise" (error naming the partition) or "null" (null output row)
     """
@@ -125,28 +143,28 @@ def tensor_udf(fn: Callable[[np.ndarray], np.ndarray], spec: TensorSpec, out_dty
 
         def iter_a(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
             f = get_fn()
-            for v in _prefetch(it, depth):
-                yield _apply_arrow(v, spec, f, np_out, batch_size, on_invalid)
+            for v in _prefetch(rebatch_arrays(it, batch_size) if batch_size else it, depth):
+                for _, _, out in _apply_pieces(v, spec, f, np_out, None, on_invalid):
+                    yield out
 
         return F.arrow_udf(iter_a, rtype)
 
     in_type = pa.binary() if spec.encoding == "bytes" else pa.list_(pa.from_numpy_dtype(spec.numpy_dtype))
 
-    def series_apply(s: pd.Series, f) -> pd.Series:
-        arr = pa.array(s, type=in_type, from_pandas=True)
-        out = _apply_arrow(arr, spec, f, np_out, batch_size, on_invalid)
-        return out.to_pandas()
+    def arrow(s: pd.Series) -> pa.Array:
+        return pa.array(s, type=in_type, from_pandas=True)
 
     if form == "scalar":
         def scalar_p(s: pd.Series) -> pd.Series:
-            return series_apply(s, get_fn())
+            return _apply_arrow(arrow(s), spec, get_fn(), np_out, batch_size, on_invalid).to_pandas()
 
         return F.pandas_udf(scalar_p, rtype)
 
     def iter_p(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = get_fn()
-        for s in _prefetch(it, depth):
-            yield series_apply(s, f)
+        for s in _prefetch(rebatch_series(it, batch_size) if batch_size else it, depth):
+            for _, _, out in _apply_pieces(arrow(s), spec, f, np_out, None, on_invalid):
+                yield out.to_pandas()
 
     return F.pandas_udf(iter_p, rtype)
 
@@ -192,7 +210,7 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
                out_dtype: str = "float32", output: str = "tensor", keep: list[str] | None = None,
                spec: TensorSpec | None = None, out_spec: TensorSpec | None = None,
                batch_size: int | None = None, depth: int = 0, on_invalid: str = "raise",
-               setup: Callable[[], Callable] | None = None, profile=None) -> DataFrame:
+               setup: Callable[[], Callable] | None = None, profile=None, max_values: int = nd.MAX_VALUES) -> DataFrame:
     """Apply a vectorised batch function to ``column`` with ``mapInArrow``.
 
     ``keep`` columns are carried through unchanged (default: all others).
@@ -217,7 +235,8 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
         for b in _prefetch(stream, depth):
             vals = b.column(column)
             try:
-                out = _apply_arrow(vals, spec, f, np_out, None, on_invalid, to=nd.to_binary if as_bytes else nd.to_arrow)
+                for lo, hi, out in _apply_pieces(vals, spec, f, np_out, None, on_invalid, None, nd.to_binary if as_bytes else nd.to_arrow, max_values):
+                    yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in keep] + [out], names=names)
             except TensorShapeError as e:
                 msg = str(e)
                 if id_col:  # name the row by its key; ids are only read on the error path
@@ -226,8 +245,6 @@ def map_tensor(df: DataFrame, column: str, fn: Callable[[np.ndarray], np.ndarray
                     except TensorShapeError as named:
                         msg = str(named)
                 raise TensorShapeError(f"{msg} ({_partition()})") from None
-            cols = [b.column(c) for c in keep] + [out]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = df.select(*keep, column)
     out_df = src.mapInArrow(run, schema) if profile is None else src.mapInArrow(run, schema, profile=profile)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from kiln.functions.preprocess import IMAGENET_MEAN, IMAGENET_STD, Preprocess
 from kiln.models import MLP, LinearModel, ModelHandle, save_model
 from kiln.operators import measure, resources
 from kiln.operators.score import (encode_bytes, map_batches, map_images, map_tensor, named_prediction, predict_map,
-                                  predict_udf, preprocess_udf)
+                                  predict_udf, preprocess_udf, tensor_udf)
 from kiln.plans import oracle as q
 from kiln.plans.inspect import exchanges, python_nodes
 from kiln.plans.pipeline import ScoringPlan
@@ -27,8 +28,8 @@ from kiln.session import fresh_path, ship_package  # noqa: F401  (ship_package r
 from kiln.sources import images, parquet
 from kiln.sources.derived import (F1_SPEC, F2_SPEC, F3_SPEC, f1_embeddings, f2_orders, f3_images, f4_part_images,
                                   f5_variable_part_images, table, variable_size)
-from kiln.spec import TensorSpec
-from kiln.streaming.batches import drain
+from kiln.spec import TensorSpec, valid_tensor
+from kiln.streaming.batches import drain, iter_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +137,16 @@ def s3_sharded_files(spark, sf):
     return _image_rows(images.load_images(spark, path, format="sharded"))
 
 
+def s3_frontier_files(spark, sf):
+    """A skewed tree, a third of the files in one folder five levels down: listed level by level by the executors."""
+    path = fresh_path(spark, "kiln-png-tree")
+    k = F.col("p_partkey")
+    deep = F.when(k % 3 == 0, F.lit("a/b/c/d/e")).when(k % 3 == 1, F.concat(F.lit("w/"), (k % 31).cast("string"))).otherwise(F.lit("z"))
+    pngs = images.encode_png_column(f4_part_images(spark, sf).withColumn("shard", deep), "image", F2_SPEC, keep=["p_partkey", "shard"])
+    images.write_image_files(pngs, "p_partkey", "png", path, shard="shard")
+    return _image_rows(images.load_images(spark, path, format="sharded"))
+
+
 def s3_image_files(spark, sf):
     return _image_rows(images.load_images(spark, _png_folder(spark, sf), format="image"))
 
@@ -175,6 +186,18 @@ def s8_drain(spark, sf):
     return drain(plan_f2(spark).fused(f2_orders(spark, sf))).agg(F.sum("rows").alias("rows"))
 
 
+def s8_iter_batches(spark, sf):
+    """Predictions pulled to a consumer as Arrow batches: rows, keys and whole units of 1/10,000 of the logits summed there."""
+    import numpy as np
+
+    rows = keys = units = 0
+    for b in iter_batches(logits_out(plan_f2(spark).fused(f2_orders(spark, sf)), "o_orderkey"), batch_size=500):
+        rows += b.num_rows
+        keys += int(np.asarray(b.column("o_orderkey")).sum())
+        units += int(np.rint(np.asarray(b.column("logits").flatten()) * 10_000).astype(np.int64).sum())
+    return one_row(spark, {"rows": rows, "keys": keys, "units": units}, "rows long, keys long, units long")
+
+
 def s9_collect_bounded(spark, sf):
     counts = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     rows = parquet.collect_bounded(counts, max_rows=10_000)
@@ -182,18 +205,18 @@ def s9_collect_bounded(spark, sf):
 
 
 def s10_manifest(spark, sf):
-    return parquet.manifest(table(spark, sf, "lineitem")).select("file_name", "rows")
+    return parquet.manifest(spark, f"{sf}/lineitem.parquet", by_executors=False).select("file_name", "rows")
 
 
 def s10_manifest_empty(spark, sf):
     """A folder of which one file has no rows: it is listed too."""
     path = fresh_path(spark, "kiln-s10")
     orders = table(spark, sf, "orders").select("o_orderkey")
-    orders.coalesce(1).write.parquet(path)
-    orders.where("o_orderkey is null").coalesce(1).write.mode("append").parquet(path)
-    return parquet.manifest(spark.read.parquet(path)).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.count_if(F.col("rows") == 0).alias("empty"),
-        F.count_if(F.col("bytes") > 0).alias("with_bytes"))
+    orders.write.parquet(path)
+    spark.createDataFrame([], orders.schema).coalesce(1).write.mode("append").parquet(path)
+    return parquet.manifest(spark, path).agg(
+        F.sum("rows").alias("rows"), F.count_if(F.col("rows") == 0).alias("empty"),
+        (F.count_if(F.col("bytes") > 0) == F.count(F.lit(1))).alias("with_bytes"))
 
 
 def s12_pack(spark, sf):
@@ -206,7 +229,7 @@ def s12_pack_files(spark, sf):
     """Fifty small partitions are merged into files of about, and never over, 1000 rows."""
     path = fresh_path(spark, "kiln-s12f")
     parquet.pack(f2_orders(spark, sf).repartition(50), path, rows_per_file=1000)
-    files = parquet.manifest(spark.read.parquet(path))
+    files = parquet.manifest(spark, path)
     return files.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 1000).alias("bounded"),
                      (F.count(F.lit(1)) <= 2 * F.ceil(F.sum("rows") / 1000)).alias("merged"))
 
@@ -223,10 +246,8 @@ def t1_stack(spark, sf):
 
 
 def t1_validate(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.size("embedding").cast("long").alias("n_values"),
-                    nat._c("embedding").isNotNull().alias("present"),
-                    (F.size("embedding") == 64).alias("right_length"))
+    """``valid_tensor`` on good rows and on null, short and holed ones (one of each in seven)."""
+    return _faulty_orders(spark, sf).select("o_orderkey", valid_tensor("image", F2_SPEC))
 
 
 def t2_reshape_hwc(spark, sf):
@@ -392,11 +413,40 @@ def c1_cache(spark, sf):
 
 
 def c3_checkpoint_model(spark, sf):
-    path = save_model(LinearModel.formula(10, 64), fresh_path(spark, "kiln-model"))
-    h = ModelHandle.from_path(path)
+    path = save_model(LinearModel.formula(10, 64), fresh_path(spark, "kiln-model"), spark)
+    h = ModelHandle.from_path(path, spark)
     return logits_out(predict_map(emb(spark, sf), h, "embedding", keep=["vec_id"], dtype="float64"), "vec_id")
 
 
+def c3_checkpoint_uri(spark, sf):
+    """The folder written by its URI and read by its plain path."""
+    path = fresh_path(spark, "kiln-model-uri")
+    uri = path if ":" in path.split("/")[0] else f"file:{path}"
+    h = ModelHandle.from_path(save_model(LinearModel.formula(10, 64), uri, spark).removeprefix("file:"), spark)
+    return logits_out(predict_map(emb(spark, sf), h, "embedding", keep=["vec_id"], dtype="float64"), "vec_id")
+
+
+def c2_model_file(spark, sf):
+    """The same model above the broadcast limit: a file that Spark sends to every executor."""
+    h = ModelHandle.create(spark, LinearModel.formula(10, 64), max_broadcast_bytes=0)
+    return logits_out(predict_map(emb(spark, sf), h, "embedding", keep=["vec_id"], dtype="float64"), "vec_id")
+
+
+def c4_worker_memo(spark, sf):
+    """Batches of 50 rows: each worker process builds the model once, however many batches and partitions it scores."""
+    h = ModelHandle.create(spark, LinearModel.formula(10, 64))
+
+    def fn(batch: dict) -> dict:
+        import os
+
+        model = h.get()
+        return {"rows": [len(model.predict(batch["embedding"]))], "worker": [f"{os.uname().nodename}-{os.getpid()}"], "model": [id(model)]}
+
+    rep = map_batches(emb(spark, sf), fn, "rows long, worker string, model long", batch_size=50)
+    per = rep.groupBy("worker").agg(F.sum("rows").alias("rows"), F.count_distinct("model").alias("models"))
+    return per.agg(F.sum("rows").alias("rows"), F.max("models").alias("models"))
+
+
 # ---- U / I: UDF surface and inference -----------------------------------------------------
 
 def _udf_logits(form, flavor, reuse="partition"):
@@ -445,13 +495,9 @@ def i2_predict_per_partition(spark, sf):
 
 
 def i3_predict_pool(spark, sf):
-    """Score with a pool as wide as the task slots: the model is built once per
-    Python worker (memo), and the input is spread over the pool when it has
-    fewer partitions than slots."""
-    pool = spark.sparkContext.defaultParallelism
-    d = emb(spark, sf)
-    if d.rdd.getNumPartitions() < pool:
-        d = d.repartition(pool)
+    """Score with a pool as wide as the task slots: the model is built once per Python worker (memo), and the scan
+    itself is cut into as many splits, so no tensor is shuffled."""
+    d = parquet.read_tensors(spark, f"{sf}/embeddings.parquet", "embedding", VEC64, keep=["vec_id"], tasks=spark.sparkContext.defaultParallelism)
     return logits_out(predict_map(d, handle(spark, 10, 64), "embedding", keep=["vec_id"], dtype="float64"), "vec_id")
 
 
@@ -567,6 +613,28 @@ def b2_rebatch_sizes(spark, sf):
     return rep.agg(F.sum("rows").alias("rows"), F.max("rows").alias("max_batch_rows"))
 
 
+def _b2_udf(flavor):
+    def run(spark, sf):
+        """Every value a model call returns is the number of rows it saw: exactly 100 but in a partition's last call."""
+        import numpy as np
+
+        u = tensor_udf(lambda b: np.full((len(b), 1), len(b), np.int32), F2_SPEC, "int32", flavor=flavor, batch_size=100)
+        seen = _orders(spark, sf).select(F.spark_partition_id().alias("p"), F.element_at(u(F.col("image")), 1).alias("n"))
+        per = seen.groupBy("p").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == 100).alias("full"), F.max("n").alias("most"))
+        exact = F.bool_and((F.col("rows") - F.col("full") == F.col("rows") % 100) & (F.col("most") <= 100))
+        return per.agg(F.sum("rows").alias("rows"), exact.alias("exact"))
+
+    return run
+
+
+def _b2_udf_logits(flavor):
+    def run(spark, sf):
+        u = predict_udf(handle(spark, 10, 64), VEC64, dtype="float64", flavor=flavor, batch_size=64)
+        return emb(spark, sf).select("vec_id", r(u(F.col("embedding")), 4).alias("logits"))
+
+    return run
+
+
 def b3_repartition(spark, sf):
     return logits_out(plan_f2(spark).repartitioned(_orders(spark, sf), 4), "o_orderkey")
 
@@ -613,8 +681,18 @@ def a5_stats(spark, sf):
 
 
 def a6_profile(spark, sf):
-    text = measure.profile(spark, plan_f2(spark).fused_udf(_orders(spark, sf)))
-    return one_row(spark, {"report_lines": len(text.splitlines())}, "report_lines int")
+    """Calls as the profiler counts them: one of ``each_value`` for each row, one of ``each_batch`` for each Arrow batch."""
+    def each_value(x):
+        return x % 7
+
+    def each_batch(s: pd.Series) -> pd.Series:
+        return s.map(each_value)
+
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    found = measure.profile_rows(spark, orders.select(F.pandas_udf(each_batch, "long")("o_orderkey").alias("x")))
+    batches = measure.batch_report(orders).count()
+    calls = lambda name: F.sum(F.when(F.col("function") == name, F.col("calls")))
+    return found.agg(calls("each_value").alias("values"), (calls("each_batch") == batches).alias("batches_match"))
 
 
 def a7_overhead(spark, sf):
@@ -707,6 +785,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S3_binary_files": (s3_binary_files, SQL_PART_IMAGES),
         "S3_score_files": (s3_score_files, SQL_VAR_LOGITS),
         "S3_sharded_files": (s3_sharded_files, SQL_PART_IMAGES),
+        "S3_frontier_files": (s3_frontier_files, SQL_PART_IMAGES),
         "T8_resize_variable_np": (t8_resize_variable, SQL_VAR_TENSOR),
         "I2_predict_mlp": (i2_predict_mlp, SQL_MLP_LOGITS),
         "S4_parquet_payload": (s4_parquet_payload, SQL_F2_IMAGE),
@@ -714,17 +793,17 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S6_write_parquet": (s6_write_parquet, SQL_F2_PRE),
         "S7_noop_sink": (s7_noop_sink, SQL_ORDERS_ROWS),
         "S8_drain": (s8_drain, SQL_ORDERS_ROWS),
+        "S8_iter_batches": (s8_iter_batches, "SELECT count(*) AS rows, sum(o_orderkey)::bigint AS keys, sum(list_sum(list_transform(logits, "
+                            f"lambda x: CAST(round(x * 10000) AS BIGINT))))::bigint AS units FROM ({SQL_F2_LOGITS}) g"),
         "S9_collect_bounded": (s9_collect_bounded,
                                "SELECT label, count(*) AS rows FROM embeddings GROUP BY label"),
         "S10_manifest": (s10_manifest, "SELECT 'lineitem.parquet' AS file_name, count(*) AS rows FROM lineitem"),
-        "S10_manifest_empty": (s10_manifest_empty, "SELECT 2::bigint AS files, count(*) AS rows, 1::bigint AS empty, "
-                               "2::bigint AS with_bytes FROM orders"),
+        "S10_manifest_empty": (s10_manifest_empty, "SELECT count(*) AS rows, 1::bigint AS empty, true AS with_bytes FROM orders"),
         "S12_pack": (s12_pack, SQL_F2_IMAGE),
         "S12_pack_files": (s12_pack_files, "SELECT count(*) AS rows, true AS bounded, true AS merged FROM orders"),
         "S12_pack_bytes": (s12_pack_bytes, SQL_F2_LOGITS),
         "T1_stack": (t1_stack, "SELECT vec_id, embedding AS tensor FROM embeddings"),
-        "T1_validate": (t1_validate, "SELECT vec_id, len(embedding) AS n_values, embedding IS NOT NULL AS present, "
-                                     "len(embedding) = 64 AS right_length FROM embeddings"),
+        "T1_validate": (t1_validate, "SELECT o_orderkey, o_orderkey % 7 >= 3 AS valid FROM orders"),
         "T2_reshape_hwc": (t2_reshape_hwc, "SELECT o_orderkey, list_transform(range(8), lambda y: "
                                            "list_transform(range(8), lambda x: list_transform(range(3), lambda c: "
                                            f"CAST({q.f2('(y * 8 + x) * 3 + c')} AS SMALLINT)))) AS hwc FROM orders"),
@@ -751,6 +830,9 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "P1_project_udf": (p1_project_udf, SQL_F1_PRE),
         "C1_cache": (c1_cache, SQL_F2_IMAGE),
         "C3_checkpoint_model": (c3_checkpoint_model, SQL_F7_LOGITS),
+        "C3_checkpoint_uri": (c3_checkpoint_uri, SQL_F7_LOGITS),
+        "C2_model_file": (c2_model_file, SQL_F7_LOGITS),
+        "C4_worker_memo": (c4_worker_memo, "SELECT count(*) AS rows, 1::bigint AS models FROM embeddings"),
         "U1_scalar_udf": (_udf_logits("scalar", "pandas"), SQL_F7_LOGITS),
         "U1_scalar_arrow_udf": (_udf_logits("scalar", "arrow"), SQL_F7_LOGITS),
         "U2_iterator_udf": (_udf_logits("iterator", "pandas"), SQL_F7_LOGITS),
@@ -782,6 +864,10 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "B2_rebatch": (b2_rebatch, SQL_F2_LOGITS),
         "B2_rebatch_sizes": (b2_rebatch_sizes,
                              "SELECT count(*) AS rows, least(count(*), 100) AS max_batch_rows FROM orders"),
+        "B2_udf_sizes": (_b2_udf("pandas"), "SELECT count(*) AS rows, true AS exact FROM orders"),
+        "B2_arrow_udf_sizes": (_b2_udf("arrow"), "SELECT count(*) AS rows, true AS exact FROM orders"),
+        "B2_udf_exact": (_b2_udf_logits("pandas"), SQL_F7_LOGITS),
+        "B2_arrow_udf_exact": (_b2_udf_logits("arrow"), SQL_F7_LOGITS),
         "B3_repartition": (b3_repartition, SQL_F2_LOGITS),
         "B4_partition_report": (b4_partition_report, SQL_ORDERS_ROWS),
         "B7_prefetch": (b7_prefetch, SQL_F2_LOGITS),
@@ -792,7 +878,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "A4_bench": (a4_bench, "SELECT run::int AS run, rows, true AS timed, true AS in_range FROM "
                                "(SELECT count(*) AS rows FROM orders) n, range(2) r(run)"),
         "A5_stats": (a5_stats, "SELECT count(*) AS rows, 1 AS python_nodes, 0 AS exchanges FROM embeddings"),
-        "A6_profile": (a6_profile, None),
+        "A6_profile": (a6_profile, "SELECT count(*) AS \"values\", true AS batches_match FROM orders"),
         "A7_overhead": (a7_overhead, "SELECT count(*) AS rows, true AS batched, true AS slept FROM orders"),
         "A8_batch_report": (a8_batch_report, "SELECT count(*) AS rows, true AS bounded, true AS numbered FROM orders"),
     }

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.functions.preprocess import Preprocess
@@ -81,6 +81,9 @@ class ScoringPlan:
     def native(self, df: DataFrame) -> DataFrame:
         pre = self.preprocess
         staged = df.select(*self.keep, pre.output.tag(pre.native(self.column), "tensor"))
+        # a node between the expression and the UDF: Catalyst would make the expression the UDF's argument, and then
+        # does not find it again where it adds or multiplies lambda variables (a resize)
+        staged = staged.observe(Observation(), F.count(F.lit(1)).alias("rows"))
         return staged.select(*self.keep, self._predict_udf(pre.output)(F.col("tensor")).alias(self.output))
 
     # I7

@@ -64,6 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def reader_session(spark: SparkSession, conf: dict) -> SparkSession:
+    """A session of its own on the same context: the settings of ``spark`` as they are now, and ``conf`` on top.
+
+    For settings that Spark reads from the session when a scan runs: a DataFrame read by it keeps them, and
+    ``spark`` and all its other DataFrames are as before."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key, value in conf.items():
+        own.conf.set(key, value)
+    return own
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

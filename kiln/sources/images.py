@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from kiln.functions import ndarray as nd
 from kiln.functions.png import ImageDecodeError, decode_image, encode_png, to_rgb
+from kiln.sources.listing import filesystem_of, list_files
 from kiln.spec import TensorSpec
 
 IMAGE_FORMATS = ("parquet", "image", "binary", "sharded")
@@ -159,14 +160,6 @@ def encode_png_column(df: DataFrame, column: str, spec: TensorSpec | None = None
     return df.select(*keep, *extra, column).mapInArrow(run, T.StructType(fields))
 
 
-def _filesystem(path: str):
-    from pyarrow import fs as pafs
-
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def write_image_files(df: DataFrame, key: str, png_column: str, path: str, shard: str | None = None) -> dict:
     """Write each row's PNG bytes to ``<path>/<key>.png`` (or ``<path>/<shard>/<key>.png``)
     from the executors; a deterministic name, so a retried task rewrites the same
@@ -174,7 +167,7 @@ def write_image_files(df: DataFrame, key: str, png_column: str, path: str, shard
     cols = [key, png_column] + ([shard] if shard else [])
 
     def run(batches):
-        filesystem, root = _filesystem(path)
+        filesystem, root = filesystem_of(path)
         made = set()
         n = 0
         for b in batches:
@@ -193,66 +186,7 @@ def write_image_files(df: DataFrame, key: str, png_column: str, path: str, shard
     return {"files": int(rows[0]["files"] or 0)}
 
 
-# ---- S3 at scale: listing on the executors -----------------------------------------------------
-
-#: Files that are listed in one record batch.
-LIST_ROWS = 10_000
-
-
-def shard_folders(path: str) -> list[str]:
-    """The immediate sub-folders of ``path`` (one listing level on the driver)."""
-    from pyarrow import fs as pafs
-
-    filesystem, root = _filesystem(path)
-    prefix = path[: len(path) - len(root)] if "://" in path and path.endswith(root) else ""
-    infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=False))
-    return sorted(prefix + i.path for i in infos if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", ".")))
-
-
-def list_files(spark: SparkSession, shards: list[str], suffixes: tuple[str, ...] | None = None,
-               partitions: int | None = None, root: str | None = None) -> DataFrame:
-    """(path, size) of every file under each shard folder, listed by the executors,
-    and of the files that lie directly in ``root``.
-
-    Spark's own file index lists every file on the driver; for a billion small
-    images that is more FileStatus objects than a driver holds.  Here the driver
-    only knows the shard folders; each task lists its shards folder by folder with
-    ``pyarrow.fs`` and sends the files on in bounded batches.  As in Spark's index,
-    names that begin with "_" or "." are not listed; ``suffixes`` narrows the rest."""
-    todo = [(s, True) for s in shards] + ([(root, False)] if root else [])
-    n = partitions or max(1, min(len(todo), spark.sparkContext.defaultParallelism * 4))
-    df = spark.createDataFrame(todo, "shard string, deep boolean").repartition(n)
-    endings = tuple(x.lower() for x in suffixes) if suffixes else ("",)
-
-    def run(batches):
-        from pyarrow import fs as pafs
-
-        def out(prefix, files):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([prefix + i.path for i in files], pa.string()),
-                 pa.array([i.size for i in files], pa.int64())], names=["path", "size"])
-
-        for b in batches:
-            for shard, deep in zip(b.column("shard").to_pylist(), b.column("deep").to_pylist()):
-                filesystem, top = _filesystem(shard)
-                prefix = shard[: len(shard) - len(top)] if "://" in shard and shard.endswith(top) else ""
-                folders, files = [top], []
-                while folders:
-                    for i in filesystem.get_file_info(pafs.FileSelector(folders.pop(), recursive=False)):
-                        if i.base_name.startswith(("_", ".")):
-                            continue
-                        if i.type == pafs.FileType.Directory and deep:
-                            folders.append(i.path)
-                        elif i.type == pafs.FileType.File and i.path.lower().endswith(endings):
-                            files.append(i)
-                    while len(files) >= LIST_ROWS:
-                        yield out(prefix, files[:LIST_ROWS])
-                        files = files[LIST_ROWS:]
-                if files:
-                    yield out(prefix, files)
-
-    return df.mapInArrow(run, "path string, size long")
-
+# ---- S3 at scale: files listed by the executors ----------------------------------------------
 
 def read_listed_images(files: DataFrame, on_invalid: str = "raise", decoder=decode_image,
                        partitions: int | None = None) -> DataFrame:
@@ -265,10 +199,11 @@ def read_listed_images(files: DataFrame, on_invalid: str = "raise", decoder=deco
         src = src.repartition(partitions)
 
     def run(batches):
+        local = filesystem_of("/")[0]
         for b in batches:
             paths, imgs, hs, ws, cs = [], [], [], [], []
             for p in b.column("path").to_pylist():
-                filesystem, real = _filesystem(p)
+                filesystem, real = filesystem_of(p) if "://" in p and not p.startswith("file://") else (local, p.removeprefix("file://"))
                 try:
                     with filesystem.open_input_stream(real) as f:
                         px = to_rgb(decoder(f.read()))
@@ -350,8 +285,7 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
     if format == "sharded":
         on_invalid = kw.pop("on_invalid", "raise")
         spread = kw.pop("partitions", None) or spark.sparkContext.defaultParallelism * 4
-        return read_listed_images(list_files(spark, shard_folders(path), root=path, **kw), on_invalid=on_invalid,
-                                  partitions=spread)
+        return read_listed_images(list_files(spark, path, **kw), on_invalid=on_invalid, partitions=spread)
     raise ValueError(f"unsupported image format {format!r}; accepted: {', '.join(IMAGE_FORMATS)}")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from kiln.session import reader_session
+from kiln.sources.listing import list_files, plain, spark_listing
 from kiln.spec import TensorSpec
 
 
@@ -18,27 +18,30 @@ READER_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
 DEFAULT_READER_BATCH_BYTES = 64 << 20
 
 
-def cap_reader_batch(spark: SparkSession, row_bytes: int, budget: int = DEFAULT_READER_BATCH_BYTES) -> int:
-    """Lower the parquet reader's rows per columnar batch so one batch of
-    ``row_bytes``-wide rows stays under ``budget`` (default 4,096 rows would be
-    1.6 GB per task for 256x256x3 int16 images).  Never raises the setting."""
-    current = int(spark.conf.get(READER_BATCH, "4096"))
-    rows = max(1, budget // max(1, row_bytes))
-    if rows < current:
-        spark.conf.set(READER_BATCH, str(rows))
-        return rows
-    return current
+def reader_rows(spark: SparkSession, row_bytes: int, budget: int = DEFAULT_READER_BATCH_BYTES) -> int:
+    """Rows per columnar batch of the parquet reader so that one batch of ``row_bytes``-wide rows stays under
+    ``budget`` (the default of 4,096 rows would be 1.6 GB per task for 256x256x3 int16 images); never above the
+    session's setting."""
+    return min(int(spark.conf.get(READER_BATCH, "4096")), max(1, budget // max(1, row_bytes)))
+
+
+def split_conf(tasks: int) -> dict:
+    """Reader settings that cut a scan into about ``tasks`` splits by bytes, instead of a shuffle behind it.  A row group is
+    never cut: its rows go to the split that holds its middle."""
+    return {"spark.sql.files.minPartitionNum": str(int(tasks)), "spark.sql.files.openCostInBytes": "1"}
 
 
 def read_tensors(spark: SparkSession, path: str, column: str = "image", spec: TensorSpec | None = None,
                  keep: list[str] | None = None, alias: str | None = None,
-                 reader_batch_bytes: int = DEFAULT_READER_BATCH_BYTES) -> DataFrame:
+                 reader_batch_bytes: int = DEFAULT_READER_BATCH_BYTES, tasks: int | None = None) -> DataFrame:
     """Scan a parquet table of tensors (S1, and S2 for a persisted intermediate).
 
     Only ``keep`` + ``column`` are read (column pruning reaches the scan).  The
     column type is checked against ``spec`` before any job runs; the spec is
-    recorded in the column metadata for later operators.  The session's parquet
-    reader batch is capped to ``reader_batch_bytes`` of tensor data per task.
+    recorded in the column metadata for later operators.  A columnar batch holds at most ``reader_batch_bytes`` of
+    tensor data, and with ``tasks`` the scan is cut into about that many splits; both belong to this read alone
+    (``session.reader_session``): the settings of ``spark`` stay as they are, and changes to them after this call
+    reach the DataFrame through ``df.sparkSession``.
     """
     df = spark.read.parquet(path)
     if column not in df.columns:
@@ -52,7 +55,11 @@ def read_tensors(spark: SparkSession, path: str, column: str = "image", spec: Te
     if dt.split("<")[0] != want:
         raise SchemaMismatch(f"{path}: column {column!r} is {dt}, expected {want} for {spec.encoding} tensors")
     keep = list(keep) if keep is not None else [c for c in df.columns if c != column]
-    cap_reader_batch(spark, spec.nbytes, reader_batch_bytes)
+    rows = reader_rows(spark, spec.nbytes, reader_batch_bytes)
+    own = {READER_BATCH: str(rows)} if rows < int(spark.conf.get(READER_BATCH, "4096")) else {}
+    own |= split_conf(tasks) if tasks else {}
+    if own:
+        df = reader_session(spark, own).read.schema(df.schema).parquet(path)
     return df.select(*keep, spec.tag(column, alias or column))
 
 
@@ -93,20 +100,24 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
     return rows
 
 
-def manifest(df: DataFrame) -> DataFrame:
-    """Per-file listing of a file-based DataFrame (S10): path, name, rows, bytes.
-
-    The files are those of the scan's own listing, so files without rows are there
-    too, with 0 rows; their contents are not read for it.  Rows come from the
-    hidden ``_metadata`` column by a partial aggregate per task (one row per file
-    reaches the shuffle).  A listing without any file gives no rows."""
-    spark, files = df.sparkSession, [unquote(f) for f in df.inputFiles()]
-    counted = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("_rows"))
-    if not files:
-        return counted.select("file_path", F.lit("").alias("file_name"), F.col("_rows").alias("rows"), F.lit(0).cast("long").alias("bytes")).limit(0)
-    listed = spark.read.format("binaryFile").load(files).select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"))
-    return listed.join(counted, "file_path", "left").select("file_path", "file_name", F.coalesce("_rows", F.lit(0)).alias("rows"), "bytes")
+def manifest(spark: SparkSession, path: str, by_executors: bool = True) -> DataFrame:
+    """Per-file listing of a parquet folder or file (S10): file_path (without scheme), file_name, rows, bytes.
+
+    ``by_executors``: the executors list the folder level by level (``listing.list_files``); else Spark's index does,
+    for file systems that only Spark's readers open.  Either way the listing is a table, joined to the rows counted by
+    the hidden ``_metadata`` column (a partial aggregate per task, one row per file reaches the shuffle); no list of
+    names passes through the program.  Files without rows are there too, with 0 rows; a folder without files
+    gives no rows."""
+    if by_executors:
+        listed = list_files(spark, path).select(plain("path").alias("file_path"), F.col("size").alias("bytes"))
+    else:
+        listed = spark_listing(spark, path).select(plain("file_path").alias("file_path"), "bytes")
+    read = spark.read.option("recursiveFileLookup", "true").format("parquet")
+    if not listed.limit(1).count():
+        return listed.select("file_path", F.lit("").alias("file_name"), F.lit(0).cast("long").alias("rows"), "bytes")
+    counted = read.load(path).groupBy(plain("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("rows"))
+    named = listed.withColumn("file_name", F.regexp_extract("file_path", "[^/]*$", 0))
+    return named.join(counted, "file_path", "left").select("file_path", "file_name", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
 
 
 def pack(df: DataFrame, path: str, rows_per_file: int = 1000, partitions: int | None = None) -> dict:

@@ -6,6 +6,6 @@ only stream is the flow of Arrow batches through a scoring task, which is what
 this package handles.
 """
 
-from kiln.streaming.batches import drain, iter_batches, prefetch, rebatch, rebatch_series
+from kiln.streaming.batches import drain, ipc_cells, iter_batches, prefetch, rebatch, rebatch_arrays, rebatch_series
 
-__all__ = ["drain", "iter_batches", "prefetch", "rebatch", "rebatch_series"]
+__all__ = ["drain", "ipc_cells", "iter_batches", "prefetch", "rebatch", "rebatch_arrays", "rebatch_series"]

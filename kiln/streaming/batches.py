@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401 - pa.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,12 @@ def rebatch_series(series: Iterable[pd.Series], n: int) -> Iterator[pd.Series]:
         yield pd.concat(buf, ignore_index=True) if len(buf) > 1 else buf[0].reset_index(drop=True)
 
 
+def rebatch_arrays(arrays: Iterable[pa.Array], n: int) -> Iterator[pa.Array]:
+    """``rebatch`` for Arrow arrays (iterator Arrow UDFs)."""
+    for b in rebatch((pa.RecordBatch.from_arrays([a], ["x"]) for a in arrays), n):
+        yield b.column(0)
+
+
 _ITEM, _DONE, _ERROR = 0, 1, 2
 
 
@@ -123,15 +130,23 @@ def drain(df: DataFrame) -> DataFrame:
     return df.mapInArrow(consume, "partition int, batches long, rows long")
 
 
-def iter_batches(df: DataFrame, batch_size: int = 1000, prefetch_partitions: bool = True) -> Iterator[pa.RecordBatch]:
-    """Pull a result to the driver as Arrow batches, one partition in memory at a time
-    (S8 on the driver).  Use for results the driver must see; ``drain`` for timing."""
-    rows: list = []
-    names = df.columns
-    for r in df.toLocalIterator(prefetchPartitions=prefetch_partitions):
-        rows.append(r)
-        if len(rows) == batch_size:
-            yield pa.RecordBatch.from_pylist([x.asDict() for x in rows]).select(names)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist([x.asDict() for x in rows]).select(names)
+def ipc_cells(df: DataFrame, batch_size: int | None = None) -> DataFrame:
+    """(ipc): each record batch of ``df`` as one binary cell in Arrow's stream format, schema included, made by the
+    tasks; with ``batch_size`` each holds exactly that many rows, but the last of a partition."""
+
+    def run(batches):
+        for b in batches if batch_size is None else rebatch(batches, batch_size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as stream:
+                stream.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["ipc"])
+
+    return df.mapInArrow(run, "ipc binary")
+
+
+def iter_batches(df: DataFrame, batch_size: int | None = 1000, prefetch_partitions: bool = True) -> Iterator[pa.RecordBatch]:
+    """Pull a result to a consumer as Arrow batches, one partition in memory at a time, the next being computed
+    meanwhile (S8 on the driver).  Rows never become Python objects: a task sends each batch as one cell.
+    Use for results the consumer must see; ``drain`` for timing.  No rows give no batches."""
+    for cell in ipc_cells(df, batch_size).toLocalIterator(prefetchPartitions=prefetch_partitions):
+        yield from pa.ipc.open_stream(pa.py_buffer(cell[0]))

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from kiln.operators import measure, resources
 from kiln.sources.derived import f2_orders
@@ -80,25 +81,75 @@ def test_observe_counts(spark):
     assert d.select(F.col("id")).count() == 7
 
 
-def test_event_log_task_stats(tmp_dir):
+def _events(stage, millis, description="q", job=0):
     import json
-    import os
-
-    import zstandard
 
     events = [
-        {"Event": "SparkListenerJobStart", "Stage IDs": [3], "Properties": {"spark.job.description": "q"}},
-        *[{"Event": "SparkListenerTaskEnd", "Stage ID": 3,
-           "Task Info": {"Launch Time": 1000, "Finish Time": 1000 + ms, "Failed": False}} for ms in (100, 200, 400)],
-        {"Event": "SparkListenerTaskEnd", "Stage ID": 9, "Task Info": {"Launch Time": 0, "Finish Time": 5}},
+        {"Event": "SparkListenerJobStart", "Job ID": job, "Stage IDs": [stage], "Properties": {"spark.job.description": description}},
+        *[{"Event": "SparkListenerTaskEnd", "Stage ID": stage,
+           "Task Info": {"Launch Time": 1000, "Finish Time": 1000 + ms, "Failed": False}} for ms in millis],
+        {"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Task Info": {"Launch Time": 0, "Finish Time": 5, "Failed": True}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 99, "Task Info": {"Launch Time": 0, "Finish Time": 5}},
+        {"Event": "SparkListenerLogStart", "Spark Version": "x" * 70_000},
     ]
-    d = os.path.join(tmp_dir, "eventlog_v2_app")
-    os.makedirs(d)
-    data = "\n".join(json.dumps(e) for e in events).encode()
-    with open(os.path.join(d, "events_1_app.zstd"), "wb") as f:
-        f.write(zstandard.ZstdCompressor().compress(data))
-    stats = measure.event_log_task_stats(tmp_dir)
-    assert stats == {"q": {"tasks": 3, "median_s": 0.2, "max_s": 0.4, "skew": 2.0}}
+    return "\n".join(json.dumps(e) for e in events).encode()
+
+
+def test_event_log_task_stats(spark, tmp_dir):
+    """The same stage number in four applications, each log in another form, and a rolling one in two files."""
+    import os
+
+    jvm, conf = spark._jvm, spark.sparkContext._conf._jconf
+    for i, (codec, ending) in enumerate((("ZStd", "zstd"), ("LZ4", "lz4"), ("Snappy", "snappy"))):
+        out = getattr(jvm.org.apache.spark.io, f"{codec}CompressionCodec")(conf).compressedOutputStream(
+            jvm.java.io.FileOutputStream(f"{tmp_dir}/app-{i}.{ending}"))
+        out.write(bytearray(_events(3, (100, 200, 400), f"q{i}")))
+        out.close()
+    with open(f"{tmp_dir}/local-17.inprogress", "wb") as f:
+        f.write(_events(3, (100, 300), "plain"))
+    os.makedirs(rolling := f"{tmp_dir}/eventlog_v2_app-9")
+    first, *rest = _events(3, (50, 60, 70), "rolling").split(b"\n")
+    for i, lines in ((1, [first]), (2, rest)):
+        with open(f"{rolling}/events_{i}_app-9", "wb") as f:
+            f.write(b"\n".join(lines))
+    with open(f"{rolling}/appstatus_app-9", "w"):
+        pass
+    stats = {r.description: (r.tasks, r.median_s, r.max_s, round(r.skew, 3)) for r in measure.event_log_task_stats(spark, tmp_dir).collect()}
+    assert stats == {"q0": (3, 0.2, 0.4, 2.0), "q1": (3, 0.2, 0.4, 2.0), "q2": (3, 0.2, 0.4, 2.0), "plain": (2, 0.2, 0.3, 1.5), "rolling": (3, 0.06, 0.07, 1.167)}
+    with open(f"{tmp_dir}/other.lzf", "wb") as f:
+        f.write(b"ZV")
+    with pytest.raises(ValueError, match="compression"):
+        measure.event_log_task_stats(spark, tmp_dir)
+
+
+def test_event_log_of_a_run_with_known_partitions(spark, tmp_dir):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "{tmp_dir}").getOrCreate()
+s.sparkContext.setJobDescription("seven")
+s.range(0, 70, numPartitions=7).write.format("noop").mode("overwrite").save()
+s.stop()"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+    assert [(r.description, r.tasks) for r in measure.event_log_task_stats(spark, tmp_dir).collect()] == [("seven", 7)]
+
+
+def test_profile_rows(spark):
+    import pandas as pd
+
+    def one(x):
+        return x + 1
+
+    def plus(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    d = spark.range(0, 90, numPartitions=3)
+    rows = measure.profile_rows(spark, d.select(pandas_udf(plus, "long")("id").alias("x"))).collect()
+    calls = {r.function: r.calls for r in rows if r.function in ("one", "plus")}
+    assert calls == {"one": 90, "plus": 3}
+    assert all(r.seconds >= r.own_seconds >= 0 and r.udf is not None for r in rows)
 
 
 def test_tune_for(spark):

@@ -28,15 +28,20 @@ def test_linear_and_mlp_predict():
         lin.predict(np.ones((2, 3)))
 
 
-def test_save_load_roundtrip(tmp_dir):
+def test_save_load_roundtrip(spark, tmp_dir):
     for m in (LinearModel.formula(3, 4), MLP.formula(2, 3, 4)):
         p = save_model(m, f"{tmp_dir}/{m.kind}")
         back = load_model(p)
         x = np.ones((2, 4))
         np.testing.assert_array_equal(back.predict(x), m.predict(x))
+        by_uri = save_model(m, f"file:{tmp_dir}/uri-{m.kind}/", spark)
+        np.testing.assert_array_equal(load_model(f"{tmp_dir}/uri-{m.kind}").predict(x), m.predict(x))
+        np.testing.assert_array_equal(load_model(by_uri).predict(x), load_model(f"file://{tmp_dir}/{m.kind}").predict(x))
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        load_model(f"{tmp_dir}/nowhere")
 
 
-def test_handle_memo_and_build():
+def test_handle_memo_and_build(spark):
     h = ModelHandle.from_path(save_model(LinearModel.formula(2, 2), __import__("tempfile").mkdtemp()))
     before = models.BUILD_COUNT["n"]
     a, b = h.get(), h.get()

@@ -10,7 +10,7 @@ from kiln.operators import resources
 from kiln.operators.score import map_batches, map_tensor, predict_map, predict_udf
 from kiln.plans import ScoringPlan
 from kiln.plans.inspect import exchanges, node_counts, pushed_filters, python_nodes, read_schema
-from kiln.sources.derived import F1_SPEC, f1_embeddings, f2_orders
+from kiln.sources.derived import F1_SPEC, F2_SPEC, f1_embeddings, f2_orders
 from kiln.spec import TensorShapeError, TensorSpec
 
 SF = "/root/testdata/sf0.001"
@@ -238,3 +238,77 @@ def test_map_images_output_widths_differ(spark):
     out = {r.id: r.tensor for r in map_images(df, pre, keep=["id"]).collect()}
     assert out[1] == [float(v) for v in range(12)] and out[3] == [float(v) for v in range(12, 24)]
     assert out[2] == [float(v) for v in range(18)]
+
+
+@pytest.mark.parametrize("on_invalid", ["raise", "null"])
+@pytest.mark.parametrize("encoding", ["array", "bytes"])
+def test_output_beyond_one_arrow_batch(spark, on_invalid, encoding):
+    """With the limit lowered: one input batch leaves as several, all rows in order."""
+    from kiln.spec import TensorSpec
+
+    d = f2_orders(spark, SF).coalesce(1)
+    if on_invalid == "null":
+        d = d.withColumn("image", F.when(F.col("o_orderkey") % 3 != 0, F.col("image")))
+    out = TensorSpec((192,), "D", "int16", encoding)
+    kw = dict(spec=F2_SPEC, out_spec=out, on_invalid=on_invalid)
+    run = lambda **more: map_tensor(d, "image", lambda b: b, **kw, **more).collect()
+    limit = 192 * 7 * (2 if encoding == "bytes" else 1) + 5
+    assert run(max_values=limit) == run() and len(run()) == 1500
+    report = map_tensor(d, "image", lambda b: b, max_values=limit, **kw)
+    with pytest.raises(Exception, match="does not fit"):
+        map_tensor(d, "image", lambda b: b, max_values=100, **kw).collect()
+    assert report.count() == 1500
+
+
+def test_too_wide_arrays_are_refused(monkeypatch):
+    import numpy as np
+
+    from kiln.functions import ndarray as nd
+
+    monkeypatch.setattr(nd, "MAX_VALUES", 100)
+    assert len(nd.to_arrow(np.zeros((10, 10)))) == 10 and len(nd.to_binary(np.zeros((10, 5)), "int16")) == 10
+    for make in (lambda: nd.to_arrow(np.zeros((11, 10))), lambda: nd.to_binary(np.zeros((11, 5)), "int16")):
+        with pytest.raises(nd.TooWide):
+            make()
+    assert nd.row_pieces(7, 30, 100) == [(0, 3), (3, 6), (6, 7)] and nd.row_pieces(0, 5) == [(0, 0)]
+
+
+@pytest.mark.parametrize("flavor", ["pandas", "arrow"])
+def test_exact_batches_over_borders(spark, flavor):
+    import numpy as np
+
+    from kiln.operators import resources
+    from kiln.operators.score import tensor_udf
+
+    d = f2_orders(spark, SF).repartition(3)
+    with resources.batch_limits(spark, rows=37):
+        for n in (1, 36, 37, 38, 100, 10_000):
+            u = tensor_udf(lambda b: np.full((len(b), 1), len(b), np.int32), F2_SPEC, "int32", flavor=flavor, batch_size=n)
+            for (p,), rows in d.select(F.spark_partition_id().alias("p"), F.element_at(u("image"), 1).alias("n")).toPandas().groupby(["p"]):
+                full, rest = divmod(len(rows), n)
+                assert rows.n.tolist() == [n] * (full * n) + [rest] * rest
+
+
+def test_batches_for_a_consumer(spark):
+    from kiln.streaming import ipc_cells, iter_batches
+
+    d = f2_orders(spark, SF).repartition(4).withColumn("t", F.col("o_orderkey").cast("timestamp")).withColumn("n", F.when(F.col("o_orderkey") % 2 == 0, "x"))
+    cells = ipc_cells(d, 100)
+    assert cells.schema.simpleString() == "struct<ipc:binary>" and "Exchange RoundRobin" in cells._jdf.queryExecution().toString()
+    got = [b for b in iter_batches(d, batch_size=100)]
+    assert max(b.num_rows for b in got) == 100 and sum(b.num_rows for b in got) == 1500
+    keys = sorted(k for b in got for k in b.column("o_orderkey").to_pylist())
+    assert keys == sorted(r.o_orderkey for r in d.select("o_orderkey").collect())
+    assert sum(b.column("n").null_count for b in got) == d.where("n is null").count()
+    assert list(iter_batches(d.where("false"))) == [] or sum(b.num_rows for b in iter_batches(d.where("false"))) == 0
+
+
+@pytest.mark.parametrize("layout", ["CHW", "HWC"])
+@pytest.mark.parametrize("resize", [None, 6])
+def test_native_plan_under_a_udf(spark, layout, resize):
+    """The native expression below a Python UDF and a sort, many times over: whatever numbers Spark gives its variables."""
+    pre = Preprocess(F1_SPEC, resize=resize, crop=4, scale=2.0, mean=(0.485,), std=(0.229,), layout=layout, dtype="float64")
+    plan = ScoringPlan(pre, ModelHandle.create(spark, LinearModel.formula(10, 64)), "image", ["vec_id"], dtype="float64")
+    want = _pred(plan.fused(f1_embeddings(spark, SF)))[1]
+    for _ in range(4):
+        np.testing.assert_allclose(_pred(plan.native(f1_embeddings(spark, SF)))[1], want, rtol=1e-12, atol=1e-12)

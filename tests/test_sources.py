@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.png import encode_png
 from kiln.sources import images, parquet
-from kiln.sources.derived import F2_SPEC, f2_orders
+from kiln.sources.derived import f3_images, F2_SPEC, f2_orders
 from kiln.spec import TensorSpec
 
 SF = "/root/testdata/sf0.001"
@@ -94,14 +94,14 @@ def test_pack_rows_per_file(spark, tmp_dir):
     out = os.path.join(tmp_dir, "packed")
     res = parquet.pack(f2_orders(spark, SF), out, rows_per_file=200, partitions=2)
     assert res["rows"] == 1500
-    man = parquet.manifest(spark.read.parquet(out)).collect()
+    man = parquet.manifest(spark, out).collect()
     assert sum(r.rows for r in man) == 1500 and max(r.rows for r in man) <= 200 and len(man) >= 8
 
 
 def test_pack_merges_small_partitions(spark, tmp_dir):
     out = os.path.join(tmp_dir, "merged")
     assert parquet.pack(f2_orders(spark, SF).repartition(50), out, rows_per_file=1000)["rows"] == 1500
-    rows = sorted(r.rows for r in parquet.manifest(spark.read.parquet(out)).collect())
+    rows = sorted(r.rows for r in parquet.manifest(spark, out).collect())
     assert sum(rows) == 1500 and rows[-1] <= 1000 and len(rows) <= 4
 
 
@@ -109,13 +109,15 @@ def test_manifest_lists_files_without_rows(spark, tmp_dir):
     out = os.path.join(tmp_dir, "with space")
     spark.range(5).coalesce(1).write.parquet(out)
     spark.range(0).coalesce(1).write.mode("append").parquet(out)
-    man = parquet.manifest(spark.read.parquet(out)).collect()
+    man = parquet.manifest(spark, out).collect()
     assert sorted(r.rows for r in man) == [0, 5] and all(r.bytes > 0 for r in man)
+    by_spark = parquet.manifest(spark, out, by_executors=False).collect()
+    assert sorted(by_spark) == sorted(man) and all(os.path.exists(r.file_path) for r in man)
 
 
 def test_manifest_of_an_empty_folder(spark, tmp_dir):
     os.makedirs(empty := os.path.join(tmp_dir, "none"))
-    assert parquet.manifest(spark.read.schema("id long").parquet(empty)).collect() == []
+    assert parquet.manifest(spark, empty).collect() == [] == parquet.manifest(spark, empty, by_executors=False).collect()
 
 
 def test_read_tensors_checks(spark, tmp_dir):
@@ -160,10 +162,10 @@ def test_sharded_listing_on_executors(spark, tmp_dir):
         f.write("not an image")
     with open(os.path.join(root, "b", "broken.png"), "wb") as f:
         f.write(b"\x89PNG\r\n\x1a\nbroken")
-    assert [os.path.basename(s) for s in images.shard_folders(root)] == ["a", "b"]
-    assert images.list_files(spark, images.shard_folders(root)).count() == 8  # 6 images, a broken one, a text
-    listed = images.list_files(spark, images.shard_folders(root), (".png",)).collect()
-    assert len(listed) == 7
+    assert images.list_files(spark, root).count() == 8  # 6 images, a broken one, a text
+    listed = images.list_files(spark, [f"{root}/a", f"file://{root}/b"], (".PNG",)).collect()
+    assert len(listed) == 7 and sum(r.path.startswith("file://") for r in listed) == 4
+    assert images.list_files(spark, root, recursive=False).count() == 0
     rows = images.load_images(spark, root, format="sharded", on_invalid="drop").collect()
     got = {os.path.basename(r.path)[:-4]: r for r in rows}
     assert set(got) == set(want)
@@ -184,3 +186,42 @@ def test_raw_jvm_images_fused_into_map_images(spark, png_dir):
     b = {os.path.basename(r.path): r.tensor for r in fused.collect()}
     assert b.pop("99.png") is None  # the corrupt file: -1 size from the JVM decoder -> null output
     assert a == b and len(a) == len(imgs)
+
+
+def test_skewed_tree_is_listed_like_other_readers_do(spark, tmp_dir):
+    root = f"{tmp_dir}/tree"
+    folders = ["a/b/c/d/e/f"] * 40 + [f"wide/{i}" for i in range(30)] + ["", "_hidden", "a/.git", "a/b"]
+    for i, folder in enumerate(folders):
+        os.makedirs(f"{root}/{folder}", exist_ok=True)
+        with open(f"{root}/{folder}/f{i}.bin", "wb") as f:
+            f.write(b"x" * (i + 1))
+    for name in ("a/b/_SUCCESS", "a/empty/none/.keep"):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w"):
+            pass
+    got = sorted((r.path, r.size) for r in images.list_files(spark, root).collect())
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").collect()
+    assert got == sorted((r.path.removeprefix("file:"), r.length) for r in want) and len(got) == 72
+
+
+def test_read_leaves_the_session_as_it_was(spark, tmp_dir):
+    wide = TensorSpec.image(256, 256, 3)
+    path = f"{tmp_dir}/wide"
+    f3_images(spark, SF, "supplier", "s_suppkey").write.parquet(path)
+    before = dict(spark.conf.getAll)
+    df = parquet.read_tensors(spark, path, "image", wide, tasks=3)
+    assert df.count() == 10 and dict(spark.conf.getAll) == before
+    assert int(df.sparkSession.conf.get(parquet.READER_BATCH)) == (64 << 20) // wide.nbytes
+    both = df.join(spark.range(1, 6).withColumnRenamed("id", "s_suppkey"), "s_suppkey")  # of two sessions
+    assert both.count() == 5
+    narrow = parquet.read_tensors(spark, f"{SF}/embeddings.parquet", "embedding", TensorSpec.vector(64))
+    assert narrow.sparkSession is spark or narrow.sparkSession.conf.get(parquet.READER_BATCH, "4096") == "4096"
+
+
+def test_split_read_spreads_without_exchange(spark, tmp_dir):
+    path = f"{tmp_dir}/many"
+    f2_orders(spark, SF).repartition(12).write.parquet(path)
+    one = parquet.read_tensors(spark, path, "image", F2_SPEC, tasks=1)
+    many = parquet.read_tensors(spark, path, "image", F2_SPEC, tasks=12)
+    assert one.rdd.getNumPartitions() < many.rdd.getNumPartitions() and many.count() == 1500
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
