@@ -30,6 +30,8 @@ COSINE, TABLES, SEED = 0.9, 5, 7
 BUCKET = 2048
 #: Coordinates of a hash that probes look at, and cells of a block of products.
 _AXES, _CELLS = 5, 1 << 20
+#: Rows of a group that is looked at together with others.
+_SMALL = 64
 
 _U = np.uint64
 
@@ -76,7 +78,9 @@ class Hasher:
                 y = padded
                 for s in self.signs[t, h]:
                     y = _hadamard(y * s)
-                top = np.argsort(-np.abs(y), 1, kind="stable")[:, :axes]
+                size = np.abs(y)
+                top = np.sort(np.argpartition(-size, axes - 1, 1)[:, :axes], 1)
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), 1, kind="stable"), 1)
                 value = np.take_along_axis(y, top, 1)
                 loss = (np.abs(value[:, :1]) - np.abs(value)) ** 2
                 code = (code[:, :, None] * _U(2 * self.size) + (2 * top + (value < 0)).astype(np.uint64)[:, None, :]).reshape(len(x), -1)
@@ -89,41 +93,74 @@ class Hasher:
         return np.stack(out, 1)
 
 
-def _first_met(a: np.ndarray, b: np.ndarray, t: int, key: int) -> np.ndarray:
+def _first_met(a: np.ndarray, b: np.ndarray, t: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Of pairs of vectors (their keys: pairs x tables x probes) that meet in bucket ``key`` of table ``t``: whether it
     is the first where they do; within a table, the smaller of the two that they may share."""
-    first = np.ones(len(a), bool)
-    for u in range(t + 1):
+    first, far = np.ones(len(a), bool), _U(2**64 - 1)
+    for u in range(a.shape[1]):
         in_a = (b[:, u] == a[:, u, :1]).any(1)  # b visits a's bucket
         in_b = (a[:, u] == b[:, u, :1]).any(1)
-        if u < t:
-            first &= ~(in_a | in_b)
-        else:
-            far = _U(2**64 - 1)
-            first &= np.minimum(np.where(in_a, a[:, u, 0], far), np.where(in_b, b[:, u, 0], far)) == _U(key)
+        least = np.minimum(np.where(in_a, a[:, u, 0], far), np.where(in_b, b[:, u, 0], far))
+        first &= ~((in_a | in_b) & (u < t)) & ((u != t) | (least == key))
     return first
 
 
-def _group(hasher: Hasher, cosine: float, t: int, key: int, cross: bool, c: np.ndarray, x: np.ndarray, copies: np.ndarray, own: np.ndarray, part: np.ndarray):
-    """(c, links, low) of the vectors of one group: links counted here first, by copies; low is the smallest c that a
-    vector is connected to here.  ``own``: it is its own bucket; ``cross``: only pairs of different parts."""
-    keys = hasher.keys(x)
-    links, label, step = np.zeros(len(c), np.int64), np.arange(len(c)), max(1, _CELLS // len(c))
-    for lo in range(0, len(c), step):
-        near = x[lo : lo + step] @ x.T >= cosine
-        near &= own[lo : lo + step, None] | own[None, :]
-        near &= np.arange(len(c))[None, :] > np.arange(lo, min(lo + step, len(c)))[:, None]
-        if cross:
-            near &= part[lo : lo + step, None] != part[None, :]
-        a, b = np.nonzero(near)
-        a += lo
-        label = _labels(len(c), a, b, label)
-        for i in range(0, len(a), 1 << 15):
-            p, q = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
-            first = _first_met(keys[p], keys[q], t, key)
-            np.add.at(links, p[first], copies[q[first]])
-            np.add.at(links, q[first], copies[p[first]])
-    return links, c[label]
+class _Rows:
+    """Rows of whole groups, ordered by group: a vector's number, copies and unit vector, its group's table and key,
+    whether it is the vector's own bucket, and which part of a cut bucket it is in (``cross``: only pairs of
+    different parts count).  Gathers links and connected rows."""
+
+    def __init__(self, hasher: Hasher, cosine: float, x, t, key, own, part, cross, copies):
+        self.hasher, self.cosine = hasher, cosine
+        self.x, self.t, self.key, self.own, self.part, self.cross, self.copies = x, t, key, own, part, cross, copies
+        self.links, self.label = np.zeros(len(x), np.int64), np.arange(len(x))
+
+    def wanted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.own[a] | self.own[b]) & (~self.cross[a] | (self.part[a] != self.part[b]))
+
+    def small(self, at: np.ndarray, size: np.ndarray) -> None:
+        """Groups of few rows (``at``, in runs of ``size``), all of them together."""
+        later = np.repeat(np.cumsum(size), size) - np.arange(len(at)) - 1
+        total, lo = np.cumsum(later), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - later[lo] + _CELLS // self.x.shape[1], "right")))
+            n = later[lo:hi]
+            a = np.repeat(np.arange(lo, hi), n)
+            b = at[a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+            a = at[a]
+            on = self.wanted(a, b)
+            a, b = a[on], b[on]
+            on = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.cosine
+            self.add(a[on], b[on])
+            lo = hi
+
+    def large(self, start: int, end: int) -> None:
+        """One group of many rows, in blocks of products."""
+        x, step = self.x[start:end], max(1, _CELLS // (end - start))
+        keys = self.hasher.keys(x)
+        for lo in range(0, len(x), step):
+            a, b = np.nonzero(x[lo : lo + step] @ x.T >= self.cosine)
+            a += lo
+            a, b = a[a < b] + start, b[a < b] + start
+            on = self.wanted(a, b)
+            self.add(a[on], b[on], keys, start)
+
+    def add(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray | None = None, start: int = 0) -> None:
+        """Near pairs of rows; ``keys`` of the rows from ``start`` on, if they are there already."""
+        if not len(a):
+            return
+        self.label = _labels(len(self.x), a, b, self.label)
+        if keys is None:
+            rows = np.unique(np.concatenate([a, b]))
+            keys = self.hasher.keys(self.x[rows])
+            ka, kb = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        else:
+            ka, kb = a - start, b - start
+        for i in range(0, len(a), 1 << 14):
+            p, q = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+            first = _first_met(keys[ka[i : i + (1 << 14)]], keys[kb[i : i + (1 << 14)]], self.t[p], self.key[p])
+            np.add.at(self.links, p[first], self.copies[q[first]])
+            np.add.at(self.links, q[first], self.copies[p[first]])
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -176,21 +213,27 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     def out(table, hashers):
         cols = {x: np.asarray(table[x]) for x in (*order, "c", "own", "part", "copies")}
-        flat, size = lists(table["v"])
-        start = np.cumsum(size) - size
+        flat, dims = lists(table["v"])
+        start = np.cumsum(dims) - dims
         new = np.flatnonzero(np.any([np.diff(cols[x]) != 0 for x in order], 0)) + 1
-        rows = []
-        for a, b in zip(np.concatenate([[0], new]).tolist(), np.append(new, len(table)).tolist(), strict=True):
-            if b - a < 2:
+        size = np.diff(np.concatenate([[0], new, [len(table)]]))
+        dims_of, done = dims[np.cumsum(size) - size], []
+        for d in np.unique(dims).tolist():  # keys of vectors of other lengths differ
+            chosen = (dims_of == d) & (size > 1)
+            of, own_size = np.flatnonzero(np.repeat(chosen, size)), size[chosen]
+            if not len(of):
                 continue
-            d = int(size[a])  # the keys of vectors of other lengths differ
-            x = unit(flat[start[a] : start[a] + (b - a) * d].reshape(b - a, d))
-            cross = cols["i"][a] != cols["j"][a]
-            at = slice(a, b)
-            links, low = _group(hashers.setdefault(d, Hasher(d, k, tables)), cosine, int(cols["t"][a]), int(cols["key"][a]) % 2**64, cross, cols["c"][at], x, cols["copies"][at], cols["own"][at], cols["part"][at])
-            on = (links > 0) | (low != cols["c"][at])
-            rows.append((cols["c"][at][on], links[on], low[on]))
-        done = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
+            x = unit(flat[start[of][:, None] + np.arange(d)])
+            c = cols["c"][of]
+            rows = _Rows(hashers.setdefault(d, Hasher(d, k, tables)), cosine, x, cols["t"][of], cols["key"][of].view(np.uint64), cols["own"][of], cols["part"][of], cols["i"][of] != cols["j"][of], cols["copies"][of])
+            few = own_size <= _SMALL
+            rows.small(np.flatnonzero(np.repeat(few, own_size)), own_size[few])
+            for end, n in zip(np.cumsum(own_size)[~few].tolist(), own_size[~few].tolist(), strict=True):
+                rows.large(end - n, end)
+            low = c[rows.label]
+            on = (rows.links > 0) | (low != c)
+            done.append((c[on], rows.links[on], low[on]))
+        done = [np.concatenate(x) for x in zip(*done, strict=True)] if done else [np.zeros(0, np.int64)] * 3
         return pa.RecordBatch.from_arrays([pa.array(x) for x in done], ["c", "links", "low"])
 
     def verified(it):

@@ -94,6 +94,6 @@ def test_counts_once_what_meets_often():
             for i in range(40):
                 for j in range(i + 1, 40):
                     if inside[i] and inside[j] and (own[i] or own[j]):
-                        met[i, j] += embed_dedup._first_met(keys[i : i + 1], keys[j : j + 1], t, int(key))[0]
+                        met[i, j] += embed_dedup._first_met(keys[i : i + 1], keys[j : j + 1], np.array([t]), np.array([key]))[0]
     upper = np.triu_indices(40, 1)
     assert set(met[upper].tolist()) <= {0, 1} and met[upper].mean() > 0.95
