@@ -2,7 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as parquet into the shared
 folder and reads it again for the next.  All stages but the last return the columns of ``docs``.  No SQL is given:
-the first stages' verdicts are not SQL; tests hold the whole against brute force.
+the first stages' verdicts are not SQL; each stage's operator is held to brute force in its own tests, and the stages are
+tested for rows, columns and odd rows.
+
+Null and empty texts are documents without words: the quality rules drop them.  Rows with equal or null ids are rows of
+their own; texts are taken whole; an empty table goes through all stages; further columns, of any name, are kept by
+all stages but the last.
 """
 
 from __future__ import annotations

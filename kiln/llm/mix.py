@@ -118,28 +118,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, whole: a row that the budget cuts is taken if the
     larger part of it is inside.  Rows without words are taken as often as their source's whole copies, once at
-    least.  All columns are kept.
+    least.  All columns are kept, whatever their names; null text has no words; an empty table gives no rows.
 
-    If the budget ends among rows with equal ids or none, a hash of text and a row's number decides among them:
-    these rows are written with their hashes and the boundary is looked for once more, inside them.
+    If the budget ends among rows with equal ids or none, a hash of their columns decides among them, and a row's
+    number only among rows that are equal in all: these rows are written with their hashes and the boundary is
+    looked for once more, inside them.  So the rows taken do not depend on how the table is dealt to tasks.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     sizes = written(_keyed(plain, "doc_id", "text", "source").drop("text"), "sizes")
     state = thresholds(sizes, weights, share, cap)
-    rows = _keyed(docs, id_col, text_col, source_col).join(_small(state.drop("source_size", "target")), "_source")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole_row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = _keyed(rows, "doc_id", "text", "source").drop("doc_id", "text", "source").join(_small(state.drop("source_size", "target")), "_source")
 
     def taken(rows: DataFrame, inside: str) -> DataFrame:
         times = F.expr(f"cast(if(_size = 0, greatest(copies, 1L), copies + coalesce(if({inside}, 1L, 0L), 0L)) as int)")
         rows = rows.withColumn("_times", times).where("_times > 0")
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
     shared = sizes.where("_size > 0").join(_small(state.select("_source", "_t")), "_source").where("_h = _t").groupBy("_source").count().where("count > 1")
     if not shared.limit(1).count():
         return taken(rows, "_h < _t or (_h = _t and 2 * rest >= part)")
     # what is written holds the rows' numbers, so all that follows sees the same ones
-    own = F.md5(F.concat_ws("-", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.monotonically_increasing_id().cast("string")).cast("binary"))
-    at = written(rows.where("_h = _t and _size > 0").withColumn("_g", F.conv(F.substring(own, 1, 15), 16, 10).cast("long")), "shared")
+    lead = F.conv(F.substring(F.md5(F.to_json("row", {"ignoreNullFields": "false"}).cast("binary")), 1, 9), 16, 10).cast("long")
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << (BITS - 36)))
+    at = written(rows.where("_h = _t and _size > 0").withColumn("_g", F.shiftleft(lead, BITS - 36) + number), "shared")
     inner = at.select("_source", F.col("_g").alias("_h"), "_size")
     whole = inner.groupBy("_source", F.expr(f"shiftright(_h, {BITS - FIRST})").alias("_b")).agg(F.sum("_size").alias("words"))
     ends = written(_located(inner, whole, state.where("_t is not null and rest > 0").select("_source", "rest")).select("_source", F.col("_t").alias("_u"), F.col("rest").alias("_rest"), F.col("part").alias("_part")), "inside")

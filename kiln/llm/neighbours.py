@@ -7,8 +7,9 @@ round by round (virtual rehashing); a vector that falls into ``SHARE`` of the wi
 and is verified by its exact inner product.  Rounds end when ``ENOUGH`` vectors and ``ENOUGH_SHARE`` of the shard have
 collided, or all of a smaller shard.
 
-Queries come in blocks of at most ``BLOCK``; every block meets every shard, one pair a group, and the best ``k``
-of each shard meet in one ranking per query.
+Vectors are shuffled to their shard once and its arrays are built once; queries travel: each goes to every shard, behind
+its vectors, and is answered there in blocks of at most ``BLOCK``.  The best ``k`` of each shard meet in one ranking
+per query.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.scratch import written
+from kiln.llm.scratch import tidy, written
 
 SHARD, BLOCK = 16_384, 512
 PROJECTIONS, SHARE, WIDTH, GROWTH, SEED = 64, 0.85, 1.2, 1.15, 20
@@ -101,20 +102,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     data, asked = written(valid(vectors), "vectors"), written(valid(queries).distinct(), "queries")
     n, norm = data.agg(F.count(F.lit(1)), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked.count() // BLOCK))
-    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    data = data.withColumn("s", own(shards)).withColumn("b", every(blocks))
-    asked = asked.withColumn("b", own(blocks)).withColumn("s", every(shards))
-
-    def run(left, right):
-        if not (len(left) and len(right)):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rows, ids = _matrix(left["v"]), np.asarray(left["id"])
-        ask, ask_id = _matrix(right["v"]), np.asarray(right["id"])
-        q, i, score = Shard(rows, ids, float(norm)).nearest(ask, ask_id, k)
-        return pa.table({"query_id": ask_id[q], "vec_id": ids[i], "score": score})
-
-    pairs = data.groupBy("d", "s", "b").cogroup(asked.groupBy("d", "s", "b")).applyInArrow(run, "query_id long, vec_id long, score double")
+    shards = max(1, -(-n // SHARD))
+    data = data.select("d", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.lit(False).alias("asks"), "id", "v")
+    asked = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.lit(True).alias("asks"), "id", "v")
+
+    def run(it):
+        """Rows by shard, its vectors before the queries."""
+        place, rows, ids, shard = None, [], [], None
+        for batch in it:
+            d, s, asks = (np.asarray(batch.column(i)) for i in range(3))
+            new = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (asks[1:] != asks[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                vectors, own = _matrix(part.column(4)), np.asarray(part.column(3))
+                if place != (d[lo], s[lo]):
+                    place, rows, ids, shard = (d[lo], s[lo]), [], [], None
+                if not asks[lo]:
+                    rows.append(vectors)
+                    ids.append(own)
+                    continue
+                if not rows:
+                    continue
+                if shard is None:
+                    shard = Shard(np.concatenate(rows), np.concatenate(ids), float(norm))
+                for at in range(0, len(own), BLOCK):
+                    q, i, score = shard.nearest(vectors[at : at + BLOCK], own[at : at + BLOCK], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + BLOCK][q]), pa.array(shard.ids[i]), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    ordered = data.union(asked).repartition("d", "s").sortWithinPartitions("d", "s", "asks", "id")
+    pairs = ordered.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -38,6 +38,10 @@ CLASSES = ("NUMBER", "NAME", "WORD")
 DISCLOSURE = 0.9
 
 _COMPILED = tuple(re.compile(p) for p in PATTERNS)
+# The same matches in linear time: a start inside a run of digits meets the end that the run's first start meets.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PLAIN = np.zeros(256, bool)  # letters, digits, all of other scripts
@@ -59,10 +63,30 @@ def _holds(kind: int, match: str) -> bool:
     return {0: True, 2: 13 <= len(digits) <= 19, 3: 9 <= len(digits) <= 15}[kind] and (kind != 2 or luhn(digits))
 
 
+def _emails(text: str):
+    """(start, end) of the first pattern's matches: from each ``@``, back over what may stand before it and on over the
+    domain.  A part before ``@`` begins behind the last match and the last ``@`` at the earliest."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        run = text[end:at]
+        start = end + len(run.rstrip(_LOCAL))
+        end = at + 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            end = domain.end()
+            yield start, end
+        at = text.find("@", end)
+
+
+def _matches(kind: int, text: str):
+    if kind == 0:
+        return _emails(text)
+    return ((m.start(), m.end()) for m in (_IP if kind == 1 else _COMPILED[kind]).finditer(text))
+
+
 def entities(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind, then start."""
     hints = ("@", ".", "", "+")
-    return [(k, m.start(), m.end()) for k, p in enumerate(_COMPILED) if hints[k] in text for m in p.finditer(text) if _holds(k, m[0])]
+    return [(k, a, b) for k in range(len(KINDS)) if hints[k] in text for a, b in _matches(k, text) if _holds(k, text[a:b])]
 
 
 class _Terms:

@@ -103,16 +103,17 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
 def findings(spark, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, spans) of the blobs in which the current rule versions found something."""
     rank = F.expr("case " + " ".join(f"when kind = '{r.kind}' and version = {r.version} then {i}" for i, r in enumerate(rules)) + " end")
-    found = _ledger(spark, ledger).where(F.size("found") > 0).withColumn("rank", rank).where("rank is not null")
+    # a pair that two scans appended counts once
+    found = _ledger(spark, ledger).where(F.size("found") > 0).dropDuplicates(["blob", "kind", "version"]).withColumn("rank", rank).where("rank is not null")
     spans = found.select("blob", "kind", "rank", F.explode("found").alias("s")).select("blob", F.struct(F.col("s.start").alias("start"), "rank", F.col("s.end").alias("end"), "kind").alias("s"))
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list("s")).alias("s")).select("blob", F.expr("transform(s, x -> struct(x.kind as kind, x.start as start, x.end as end))").alias("spans"))
 
 
 def redacted(docs: DataFrame, ledger: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every finding of the ledger replaced by ``mark``; call ``scan`` before.  Same rows and columns;
-    null text stays null."""
-    spans = written(findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "findings")
-    n = F.size("_spans")
-    most = spans.agg(F.sum(n * 32 + 64)).first()[0] or 0
-    marked = docs.withColumn("_blob", F.unhex(F.sha2(text_col, 256))).join(F.broadcast(spans) if most <= 16 << 20 else spans, "_blob", "left")
-    return marked.withColumn(text_col, replaced(f"`{text_col}`", "_spans", mark)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every finding of the ledger replaced by ``mark``; call ``scan`` before.  Same rows and columns,
+    whatever their names; null text stays null, an empty table gives no rows, texts are taken whole."""
+    spans = written(findings(docs.sparkSession, ledger, rules), "findings")
+    most = spans.agg(F.sum(F.size("spans") * 32 + 64)).first()[0] or 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.col(text_col), 256)).alias("blob"))
+    marked = rows.join(F.broadcast(spans) if most <= 16 << 20 else spans, "blob", "left").withColumn("text", replaced("text", "spans", mark))
+    return marked.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -222,12 +222,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group (null last; then any one text), one a group; all
-    columns are kept."""
-    best = _grouped(docs, id_col, text_col, shingle, radius).groupBy("root", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
-    best = written(best.groupBy("root").agg(F.min("_id").alias("_id"), F.min_by(F.struct("_hash", "n"), F.struct("_id", "_hash")).alias("h")).select("_id", "h._hash", "h.n"), "kept")
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("_hash", _text_hash(id_col, text_col))
-    kept = rows.join(sized(best.where("n = 1").select("_id", "_hash"), 24), ["_id", "_hash"], "left_semi")
-    again = best.where("n > 1").select("_id", "_hash")
+    columns are kept, whatever their names.  An empty table gives no rows."""
+    last = F.lit(2**63 - 1)
+    best = _grouped(docs, id_col, text_col, shingle, radius).groupBy("root", F.coalesce("doc_id", last).alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    best = written(best.groupBy("root").agg(F.min("id").alias("id"), F.min_by(F.struct("hash", "n"), F.struct("id", "hash")).alias("h")).select("id", "h.hash", "h.n"), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), last).alias("id"), _text_hash(id_col, text_col).alias("hash"))
+    kept = rows.join(sized(best.where("n = 1").select("id", "hash"), 24), ["id", "hash"], "left_semi")
+    again = best.where("n > 1").select("id", "hash")
     if again.limit(1).count():  # equal rows: any one of them
-        kept = kept.union(rows.join(sized(again, 24), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.union(rows.join(sized(again, 24), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]))
+    return kept.select("row.*")

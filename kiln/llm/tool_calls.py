@@ -1,8 +1,8 @@
 """Tool-call linking for chat data, in DataFrame operations only.
 
 Calls and results meet in a hash join by (conversation, identifier).  A call may wait for others (``after``): its
-depth is one more than theirs, found round by round from the calls that wait for none, so (depth, turn) orders a
-conversation's calls topologically; calls on a cycle get no depth.  Arguments are parsed as variants and held
+depth is one more than theirs, found by doubling along chains and round by round where calls wait for several, so
+(depth, turn) orders a conversation's calls topologically; calls on a cycle get no depth.  Arguments are parsed as variants and held
 against a schema per tool.  Every call gives one line of canonical JSON: sorted keys, no white space.
 
 Nothing is gathered by conversation: a conversation of any length is rows that sort by (depth, turn, call_id).
@@ -42,23 +42,48 @@ def _errors(schemas: Schemas, tool: str, arguments: str) -> Column:
     return F.when(F.col(tool).isNull() | ~F.col(tool).isin(*schemas), F.array(F.lit("unknown tool"))).when(broken, F.array(F.lit("not an object"))).otherwise(known)
 
 
+def _anchors(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, steps): where the chain of calls that each wait for one other ends, and after how many
+    steps, by doubling: as many tables as the longest chain has binary digits.  Chains that run into a cycle end nowhere."""
+    now = written(single.select("conv_id", "call_id", F.col("dep").alias("at"), F.lit(1).alias("steps")), "chains")
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        on = now.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"))
+        step = now.select("conv_id", "call_id", "at", "steps").join(on, ["conv_id", "at"], "left")
+        now = written(step.select("conv_id", "call_id", F.coalesce("to", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("to").isNotNull().alias("moved")), "chains")
+        if not now.where("moved").limit(1).count():
+            break
+    return now.where("not moved").drop("moved")  # what still moves goes round
+
+
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth) of the calls that wait for no cycle; one table of newly placed calls a round, so
-    as many rounds as the longest chain has calls."""
-    keys = calls.select("conv_id", "call_id")
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct()
+    """(conv_id, call_id, depth) of the calls that wait for no cycle: one more than the deepest call waited for.
+
+    Calls that wait for one other only are followed to the end of their chain by doubling; calls that wait for
+    several are placed round by round, as many rounds as the longest chain of such calls has."""
+    key = ["conv_id", "call_id"]
+    keys = calls.select(*key)
+    waits = calls.select(*key, F.explode("after").alias("dep")).distinct()
     # identifiers that name no call are not waited for
-    waits = written(waits.join(keys.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), "waits")
-    placed = last = written(keys.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)), "depth")
-    depth = 0
-    while last.limit(1).count():
-        depth += 1
-        # calls that wait for one just placed, and for none that is not placed
-        touched = waits.join(last.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct()
-        open_ = waits.join(touched, ["conv_id", "call_id"], "left_semi").join(placed.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti")
-        last = written(touched.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)), "depth")
+    waits = written(waits.join(keys.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi").select(*key, "dep"), "waits")
+    number = written(waits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep")), "waits-for")
+    chain = _anchors(number.where("n = 1"))
+    placed = written(keys.join(number.select(*key), key, "left_anti").withColumn("depth", F.lit(0)), "depth")
+    many = waits.join(number.where("n > 1").select(*key), key, "left_semi")
+    # each call waited for, by the end of its chain; a chain without an end never lets its caller be placed
+    lost = number.where("n = 1").join(chain, key, "left_anti").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("lost"))
+    by_end = many.join(chain.select("conv_id", F.col("call_id").alias("dep"), "at", "steps"), ["conv_id", "dep"], "left").join(lost, ["conv_id", "dep"], "left")
+    by_end = written(by_end.select(*key, F.when(F.col("lost"), F.col("call_id")).otherwise(F.coalesce("at", "dep")).alias("at"), F.coalesce("steps", F.lit(0)).alias("steps")), "ends")
+    last = placed
+    while by_end.limit(1).count():
+        touched = by_end.join(last.select("conv_id", F.col("call_id").alias("at")), ["conv_id", "at"], "left_semi").select(*key).distinct()
+        known = by_end.join(touched, key, "left_semi").join(placed.select("conv_id", F.col("call_id").alias("at"), "depth"), ["conv_id", "at"], "left")
+        ready = known.groupBy(*key).agg(F.max(F.col("depth") + F.col("steps") + 1).alias("depth"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0")
+        last = written(ready.select(*key, "depth"), "depth")
+        if not last.limit(1).count():
+            break
         placed = placed.unionByName(last)
-    return placed
+    ends = chain.join(placed.select("conv_id", F.col("call_id").alias("at"), "depth"), ["conv_id", "at"])
+    return placed.unionByName(ends.select(*key, (F.col("depth") + F.col("steps")).alias("depth")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -71,7 +96,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     (then content) is its result.  A call without conversation or identifier is an error ``no id`` and is not
     linked; a result without them is an orphan.  Errors otherwise: ``unknown tool``, ``not an object``, ``missing
     F``, ``type F``, ``unexpected F``, ``cycle``, ``no result``.  Invalid arguments are null in the JSON line.
-    Equal rows are duplicates of each other; empty tables give no rows.
+    Equal rows are duplicates of each other; empty tables give no rows; texts are taken whole, whatever their length;
+    other columns are not read.
     """
     key = ["conv_id", "call_id"]
     calls = calls.select("conv_id", "call_id", "turn", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))

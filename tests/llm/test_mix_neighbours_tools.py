@@ -64,6 +64,32 @@ def test_a_larger_budget_takes_all_that_a_smaller_one_takes(docs):
     assert all(large[k] >= v - 1 for k, v in small.items())
 
 
+def test_rows_taken_do_not_depend_on_partitions(spark):
+    """A third of the rows have no id, some are equal: other partitions, the same rows."""
+    data = [(None if i % 3 else i, f"t{i % 40} " * (1 + i % 5), "ab"[i % 2], i % 40) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, extra int")
+    one, other = (sorted(map(repr, mix.mixed(docs.repartition(n), share=0.7).collect())) for n in (2, 5))
+    assert one == other and 0 < len(one) < 400
+
+
+def test_neighbours_in_many_shards(spark, monkeypatch):
+    """Vectors of two lengths over seven shards: the queries meet them all, none twice."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1500, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, [1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "SHARD", 230)
+    rows = neighbours.nearest(table, table.where("vec_id % 20 = 0")).collect()
+    y, hit = x.astype(np.float64), 0
+    for q in range(0, 1500, 20):
+        own = [r.vec_id for r in rows if r.query_id == q]
+        assert len(own) == len(set(own)) == 20 and q not in own and max(own) < 1500
+        score = y @ y[q]
+        score[q] = -np.inf
+        hit += len(set(own) & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.95 * 75 * 20
+    assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 2000] == list(range(2001, 2021))
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 16)).astype(np.float32)
@@ -124,17 +150,53 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.where("false"), results.where("false"), SCHEMAS).count() == 0
 
 
+def brute_depths(calls):
+    """Depth of each (conversation, call) that waits for no cycle."""
+    known, out = {(c, i): a for c, i, a in calls}, {}
+    for _ in range(len(calls) + 1):
+        for (c, i), after in known.items():
+            deps = [(c, d) for d in after if (c, d) in known]
+            if (c, i) not in out and all(d in out for d in deps):
+                out[c, i] = 1 + max((out[d] for d in deps), default=-1)
+    return out
+
+
+def test_depths_equal_brute_force(spark):
+    import random
+
+    random.seed(6)
+    calls = []
+    for c in range(30):
+        for i in range(25):
+            deps = [f"k{random.randint(0, 24 if c % 3 == 0 else max(0, i - 1))}" for _ in range(random.choice((0, 1, 1, 1, 2, 3)))]
+            calls.append((c, f"k{i}", sorted({d for d in deps if c % 3 == 0 or d != f"k{i}"} | ({"none"} if i % 5 == 0 else set()))))
+    calls += [(50, "self", ["self"]), (50, "on self", ["self"]), (50, "both", ["self", "free"]), (50, "free", [])]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.depth for r in tool_calls.depths(frame).collect()}
+    want = brute_depths(calls)
+    assert got == want and len(want) < len(calls) and max(want.values()) > 5
+
+
+def test_a_chain_of_a_thousand_calls(spark):
+    import time
+
+    calls = spark.createDataFrame([(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(1000)], "conv_id long, call_id string, after array<string>")
+    start = time.time()
+    assert {r.call_id: r.depth for r in tool_calls.depths(calls).collect()} == {f"c{i}": i for i in range(1000)}
+    assert time.time() - start < 60  # 30 s on a machine with nothing else to do
+
+
 def test_tool_calls_carry_whole_texts(spark):
     odd = ["Étion dans l'été", 'say "hi" \\ twice', "line\nfeed\ttab \x01\x1f", "日本 😀", "{[1,2]}", "", None, "plain words " * 30, "x" * 13, "y" * 26]
     data = [(c, t, ("system", "assistant", "user", "assistant", "tool", None)[t], odd[(c + t) % 10]) for c in range(40) for t in range(6)]
     data += [(100 + n, 0, "assistant", "é" * n) for n in range(80)]
-    calls, results = catalog.whole_calls(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    calls, results = catalog.chat_calls(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
     text = {(c, t): x or "" for c, t, _, x in data}
     assert sorted(r.turn for r in results.collect()) == sorted(t for _, t, role, _ in data if role != "assistant")
     for r in calls.collect():
         got = json.loads(r.arguments)
         assert text[r.conv_id, r.turn] in (got if isinstance(got, list) else got.values())
-    rows = tool_calls.link(calls, results, catalog.WHOLE_TOOLS).collect()
+    rows = tool_calls.link(calls, results, catalog.TOOLS).collect()
     assert len(rows) == len(data) - sum(r.n_results for r in rows)
     valid = 0
     for r in rows:

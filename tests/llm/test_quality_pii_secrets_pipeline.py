@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import re
 from collections import Counter
@@ -6,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from kiln.llm import lines, pii, secret_scan
+from pyspark.sql import functions as F
+
+from kiln.llm import catalog, lines, pii, secret_scan
 from kiln.llm import words as W
 from kiln.session import fresh_path
 
@@ -181,6 +184,109 @@ def test_secret_ledger(spark, docs, empty):
     assert secret_scan.scan(empty, fresh_path(spark, "test-ledger")).count() == 0
 
 
+def spans_of(text, rules):
+    """(kind, start, end) of each kind's matches, leftmost and without overlap."""
+    return [(kind, m.start(), m.end()) for kind, pattern, fits in rules for m in re.finditer(pattern, text) if fits(m)]
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+
+
+def test_op10_columns_equal_brute_force(spark):
+    kinds = [k for k, _, _ in SECRETS]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = catalog.queries()["op10_secrets"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        base = sorted(spans_of(text[r.doc_id], SECRETS), key=lambda s: (s[1], kinds.index(s[0])))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in kinds)
+        assert r.base_sha256 == digest(base)
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in kinds] == [f"{k}:{a}:{b}" for k, a, b in base]
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+
+
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def n_digits(m):
+    return sum(c.isdigit() for c in m[0])
+
+
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= n_digits(m) <= 19 and luhn(m[0])),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= n_digits(m) <= 15),
+]
+
+
+def test_op7_columns_equal_brute_force(spark):
+    kinds = [k for k, _, _ in PERSONAL]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = catalog.queries()["op7_pii"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        base = spans_of(text[r.doc_id], PERSONAL)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in kinds)
+        assert r.base_sha256 == digest(base)
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in kinds] == [f"{k}:{a}:{b}" for k, a, b in base]
+    assert sum(r.n_email + r.n_phone for r in rows) > 0
+
+
+def test_linear_patterns_equal_the_plain_ones():
+    import random
+    import time
+
+    random.seed(3)
+    for _ in range(30_000):
+        text = "".join(random.choice("a1.@_-+ (b2%é") for _ in range(random.randint(0, 24)))
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.entities(text)] == spans_of(text, PERSONAL)
+    for long in ("1" * 1_000_000 + ".", "a" * 1_000_000 + " @b", "a@" * 500_000, "+1(" * 333_000, "+1" + "(" * 1_000_000):
+        start = time.time()
+        pii.entities(long)
+        assert time.time() - start < 5  # quadratic ones take an hour
+
+
+def test_a_ledger_with_doubled_rows(spark, docs):
+    ledger = fresh_path(spark, "test-ledger")
+    first = sorted(map(repr, secret_scan.scan(docs, ledger).collect()))
+    kept = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(kept, spark.read.parquet(ledger).schema).write.mode("append").parquet(ledger)
+    assert sorted(map(repr, secret_scan.scan(docs, ledger).collect())) == first
+    assert {r.text for r in secret_scan.redacted(docs, ledger).where("doc_id = 33").collect()} == {"[SECRET]' [SECRET] [SECRET] Token:abc"}
+
+
+def test_a_ledger_grows_by_versions_of_a_path(spark):
+    """A document's text changes: its new blob is read, the old one stays in the ledger, and spans follow the text."""
+    ledger = fresh_path(spark, "test-ledger")
+    for text, spans in (("token = abcdefgh", [("assign", 0, 16)]), ("no longer", []), ("then token = abcdefgh", [("assign", 5, 21)]), ("token = abcdefgh", [("assign", 0, 16)])):
+        got = secret_scan.scan(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string"), ledger).collect()
+        assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == {1: spans, 2: []}
+    assert spark.read.parquet(ledger).select("blob").distinct().count() == 4
+
+
+def test_columns_of_all_names_pass_through_the_stages(spark, docs):
+    names = ["_id", "_hash", "_h", "_size", "_source", "_times", "_copy", "_blob", "_spans", "row", "id", "hash", "blob", "spans", "n", "root"]
+    table = docs.select("doc_id", "text", "source", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        path = fresh_path(spark, f"test-names-{name}")
+        stage(spark, table, SF).write.parquet(path)
+        table = spark.read.parquet(path)
+        rows = table.collect()
+        assert rows and table.columns == ["doc_id", "text", "source", *names]
+        assert all(r[c] == f"{c}-{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, empty):
     for start in (docs.withColumn("n_chars", docs.fp.cast("long")), empty):
         table = start
