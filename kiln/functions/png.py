@@ -109,7 +109,7 @@ def decode_image(data: bytes) -> np.ndarray:
     if _PIL is None:
         raise ImageDecodeError("not a PNG and PIL is not installed")
     try:
-        return np.asarray(_PIL.open(io.BytesIO(data)))
+        return np.asarray(_PIL.open(io.BytesIO(data)).convert("RGB"))  # palettes, CMYK and the like
     except Exception as e:  # noqa: BLE001
         raise ImageDecodeError(str(e)) from None
 

@@ -147,6 +147,29 @@ def s3_frontier_files(spark, sf):
     return _image_rows(images.load_images(spark, path, format="sharded"))
 
 
+def _cut_png_folder(spark, sf) -> str:
+    """As ``_png_folder``, every tenth file cut off after 20 bytes."""
+    path = fresh_path(spark, "kiln-png-cut")
+    pngs = images.encode_png_column(f4_part_images(spark, sf), "image", F2_SPEC, keep=["p_partkey"])
+    cut = F.when(F.col("p_partkey") % 10 == 0, F.substring("png", 1, 20)).otherwise(F.col("png"))
+    images.write_image_files(pngs.withColumn("png", cut), "p_partkey", "png", path)
+    return path
+
+
+def _s3_report(format):
+    def run(spark, sf):
+        return images.image_report(spark, _cut_png_folder(spark, sf), format)
+
+    return run
+
+
+def _s3_dropped(format):
+    def run(spark, sf):
+        return _image_rows(images.load_images(spark, _cut_png_folder(spark, sf), format=format, on_invalid="drop"))
+
+    return run
+
+
 def s3_image_files(spark, sf):
     return _image_rows(images.load_images(spark, _png_folder(spark, sf), format="image"))
 
@@ -786,6 +809,9 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "S3_score_files": (s3_score_files, SQL_VAR_LOGITS),
         "S3_sharded_files": (s3_sharded_files, SQL_PART_IMAGES),
         "S3_frontier_files": (s3_frontier_files, SQL_PART_IMAGES),
+        **{f"S3_report_{f}": (_s3_report(f), "SELECT count(*) AS files, count(*) FILTER (p_partkey % 10 <> 0) AS decoded, "
+                              "count(*) FILTER (p_partkey % 10 = 0) AS invalid FROM part") for f in ("image", "binary", "sharded")},
+        **{f"S3_dropped_{f}": (_s3_dropped(f), SQL_PART_IMAGES + " WHERE p_partkey % 10 <> 0") for f in ("image", "sharded")},
         "T8_resize_variable_np": (t8_resize_variable, SQL_VAR_TENSOR),
         "I2_predict_mlp": (i2_predict_mlp, SQL_MLP_LOGITS),
         "S4_parquet_payload": (s4_parquet_payload, SQL_F2_IMAGE),

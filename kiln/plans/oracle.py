@@ -6,10 +6,25 @@ after rounding.
 
 from __future__ import annotations
 
-from kiln.functions.ndarray import crop_offsets, resized_shape
 from kiln.functions.preprocess import Preprocess
 from kiln.spec import TensorSpec
 
+# Fixed values, worked out by hand and not by the engine, so that a wrong shape there cannot pass here.
+# (height, width, size) -> shape after a resize: the shorter side becomes size, the longer keeps the ratio, cut down
+RESIZED = {
+    (8, 8, 8): (8, 8), (8, 8, 4): (4, 4), (8, 8, 6): (6, 6), (8, 8, 10): (10, 10),
+    (256, 256, 224): (224, 224), (256, 256, 230): (230, 230), (256, 256, 256): (256, 256),
+    (6, 6, 8): (8, 8), (6, 8, 8): (8, 10), (6, 10, 8): (8, 13), (6, 12, 8): (8, 16),
+    (8, 6, 8): (10, 8), (8, 10, 8): (8, 10), (8, 12, 8): (8, 12),
+    (10, 6, 8): (13, 8), (10, 8, 8): (10, 8), (10, 10, 8): (8, 8), (10, 12, 8): (8, 9),
+}
+# (height, width, crop) -> top and left of a centre crop; halves go to the even number
+CROPPED = {
+    (4, 4, 2): (1, 1), (8, 8, 6): (1, 1), (10, 10, 8): (1, 1), (256, 256, 224): (16, 16), (230, 230, 224): (3, 3),
+    (8, 8, 8): (0, 0), (8, 10, 8): (0, 1), (8, 13, 8): (0, 2), (8, 16, 8): (0, 4), (8, 12, 8): (0, 2), (8, 9, 8): (0, 0),
+    (10, 8, 8): (1, 0), (13, 8, 8): (2, 0),
+}
+
 
 def dbl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
@@ -101,8 +116,8 @@ def permute(raw, spec: TensorSpec, layout: str, cast: str = "SMALLINT") -> str:
 
 
 def center_crop(raw, spec: TensorSpec, crop, cast: str = "SMALLINT") -> str:
-    top, left, ch, cw = crop_offsets(spec.height, spec.width, crop)
-    out = spec.with_(shape=tuple({"H": ch, "W": cw}.get(a, spec.dim(a)) for a in spec.layout))
+    top, left = CROPPED[spec.height, spec.width, crop]
+    out = spec.with_(shape=tuple({"H": crop, "W": crop}.get(a, spec.dim(a)) for a in spec.layout))
 
     def at(i):
         p = coords(i, out.layout, out.shape)
@@ -120,7 +135,7 @@ def rescale(raw, n: int, scale, digits: int = 6) -> str:
 
 
 def resize(raw, spec: TensorSpec, size, digits: int | None = 6) -> str:
-    oh, ow = resized_shape(spec.height, spec.width, size)
+    oh, ow = RESIZED[spec.height, spec.width, size]
     if (oh, ow) == (spec.height, spec.width):
         return rescale(raw, spec.size, None, digits)
     out = spec.with_(shape=tuple({"H": oh, "W": ow}.get(a, spec.dim(a)) for a in spec.layout))
@@ -152,8 +167,10 @@ def preprocess(pre: Preprocess, raw, digits: int | None = 6) -> str:
     """SQL list for ``Preprocess.native``; ``raw(idx)`` is the stored value at a
     flat input index."""
     s = pre.input
-    h, w, rh, rw, top, left, ch, cw = pre._geometry()
-    out = pre.output
+    h, w = s.height, s.width
+    rh, rw = RESIZED[h, w, pre.resize] if pre.resize else (h, w)
+    top, left = CROPPED[rh, rw, pre.crop]
+    out = TensorSpec.image(pre.crop, pre.crop, s.channels, pre.layout, pre.dtype)
 
     def sample(y, x, c):
         v = raw(flat({"H": y, "W": x, "C": c}, s.layout, s.shape))

@@ -289,6 +289,12 @@ def load_images(spark: SparkSession, path: str, format: str = "parquet", **kw) -
     raise ValueError(f"unsupported image format {format!r}; accepted: {', '.join(IMAGE_FORMATS)}")
 
 
+def image_report(spark: SparkSession, path: str, format: str = "image", **kw) -> DataFrame:
+    """(files, decoded, invalid) of a folder of image files: what ``on_invalid="drop"`` leaves out, counted."""
+    rows = load_images(spark, path, format=format, on_invalid="null", **kw)
+    return rows.agg(F.count(F.lit(1)).alias("files"), F.count("image").alias("decoded"), F.count_if(F.col("image").isNull()).alias("invalid"))
+
+
 def key_from_path(path_col: str = "path") -> F.Column:
     """``.../<key>.png`` -> key as bigint."""
     return F.regexp_extract(F.col(path_col), r"([^/]+)\.[A-Za-z0-9]+$", 1).cast("long")

@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -19,7 +20,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def canon(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(canon(x) for x in v)
@@ -50,7 +51,8 @@ def duck(sf_dir: str):
 
 def compare(spark, key: str, fn, sql: str | None, sf_dir: str, con) -> dict:
     t0 = time.time()
-    sdf = fn(spark, sf_dir).toPandas()
+    df = fn(spark, sf_dir)
+    types, sdf = dict(df.dtypes), df.toPandas()
     t1 = time.time()
     res = {"key": key, "rows": len(sdf), "spark_s": round(t1 - t0, 2)}
     if sql is None:
@@ -61,6 +63,9 @@ def compare(spark, key: str, fn, sql: str | None, sf_dir: str, con) -> dict:
     if sorted(sdf.columns) != sorted(ddf.columns):
         res["status"] = f"COLUMNS {sorted(sdf.columns)} vs {sorted(ddf.columns)}"
         return res
+    for c, t in ddf.dtypes.items():  # whole numbers with nulls: pandas makes floats of Spark's
+        if str(t) == "Int64" and types.get(c) == "bigint":
+            sdf[c] = sdf[c].astype("Int64")
     st = {c: str(t) for c, t in sdf.dtypes.items()}
     dt = {c: str(t) for c, t in ddf.dtypes.items()}
     if st != dt:
