@@ -1,3 +1,4 @@
+import zlib
 import random
 
 import numpy as np
@@ -5,11 +6,13 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kiln.llm import idfile, pack, tokens
+from kiln.llm import catalog, idfile, pack, tokens
 from kiln.session import fresh_path
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
+SF = "/root/testdata/sf0.001"
+
 
 def library(name):
     t = Tokenizer.from_file(tokens.file_of(name))
@@ -55,10 +58,48 @@ def test_pack_covers_every_id_once(docs):
             at += len(piece)
 
 
+def plain_assign(lengths, size, linear, quadratic):
+    """Longest first, into the cheapest sequence with room for all of it; what fits nowhere fills the cheapest ones."""
+    n = -(-sum(lengths) // size)
+    held, cost, out = [0] * n, [0.0] * n, {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, out[i] = 0, []
+        while start < lengths[i]:
+            left = lengths[i] - start
+            able = [s for s in range(n) if size - held[s] >= left] or [s for s in range(n) if held[s] < size]
+            s = min(able, key=lambda s: (cost[s], s))
+            part = min(left, size - held[s])
+            out[i].append((s, held[s], start, part))
+            held[s], cost[s], start = held[s] + part, cost[s] + linear * part + quadratic * part * part, start + part
+    return [out[i] for i in range(len(lengths))]
+
+
 def test_assign_takes_the_cheapest_with_room():
     parts = pack.assign(np.array([6, 5, 4, 3, 2]), 10, 1.0, 1.0)
-    assert [p[0][0] for p in parts] == [0, 1, 1, 0, 1] or sum(n for p in parts for *_, n in p) == 20
-    assert max(o + n for p in parts for _, o, _, n in p) == 10
+    assert parts == [[(0, 0, 0, 6)], [(1, 0, 0, 5)], [(1, 5, 0, 4)], [(0, 6, 0, 3)], [(1, 9, 0, 1), (0, 9, 1, 1)]]
+    rng = np.random.default_rng(4)
+    for linear, quadratic in ((1.0, 0.0), (1.0, 1 / 64), (0.0, 1.0)):
+        for n in (0, 1, 2, 30, 200):
+            lengths = rng.integers(1, 64, n)
+            assert pack.assign(lengths, 64, linear, quadratic) == plain_assign(lengths.tolist(), 64, linear, quadratic)
+
+
+def test_query_columns_of_packing_and_id_files(spark):
+    """The checksums of op1 and op4 against the tokenizer itself, over a whole table."""
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    byte, word = library(BYTE), library(WORD)
+    seen = {d: 0 for d in text}
+    for r in sorted(catalog.queries()["op1_pack"](spark, SF).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = byte(text[r.doc_id])
+        assert r.doc_tokens == len(ids) and r.start == seen[r.doc_id] and r.length <= 2048
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        seen[r.doc_id] += r.length
+    assert seen == {d: len(byte(t)) for d, t in text.items()}
+    at = 0
+    for r in sorted(catalog.queries()["op4_idfile"](spark, SF).collect(), key=lambda r: r.doc_id):
+        ids = word(text[r.doc_id])
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
 
 
 def test_id_files_round_trip(spark, docs, empty):
