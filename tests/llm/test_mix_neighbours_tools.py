@@ -90,6 +90,22 @@ def test_neighbours_in_many_shards(spark, monkeypatch):
     assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 2000] == list(range(2001, 2021))
 
 
+@pytest.mark.parametrize("n, dims, most", [(16_000, 64, 0.4), (4_000, 64, 0.6), (500, 64, 1.0)])
+def test_recall_and_share_verified_in_a_shard(n, dims, most):
+    """Random vectors, the hardest case: recall of the 20 nearest, and the share of the shard that collides often enough."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, dims))
+    asked = rng.choice(n, 60, replace=False)
+    shard = neighbours.Shard(x, np.arange(n), float(np.sqrt((x * x).sum(1)).max()))
+    found, hit = shard.collided(x[asked], 20), 0
+    for q, near in zip(asked, found, strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(near.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.92 * 20 * len(asked)
+    assert np.mean([len(f) for f in found]) <= most * n
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 16)).astype(np.float32)
