@@ -202,7 +202,7 @@ SECRETS = [
 
 def test_op10_columns_equal_brute_force(spark):
     kinds = [k for k, _, _ in SECRETS]
-    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet").collect()}
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = catalog.queries()["op10_secrets"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(r.doc_id for r in rows) == sorted(text)
     for r in rows:
