@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from kiln.llm.scratch import tidy, written
 
 SHARD, BLOCK = 16_384, 512
-PROJECTIONS, SHARE, WIDTH, GROWTH, SEED = 64, 0.85, 1.2, 1.15, 20
+PROJECTIONS, SHARE, WIDTH, SEED = 80, 0.85, 1.5, 20
+#: Growth of a window: far from the end, and once ``NEAR_END`` of the vectors that end a query have collided.
+GROWTH, FINE, NEAR_END = 1.15, 1.03, 0.3
 #: Vectors that must collide before a query ends: so many, and this share of the shard.
-ENOUGH, ENOUGH_SHARE = 1000, 0.1
+ENOUGH, ENOUGH_SHARE = 1000, 0.2
 
 
 class Shard:
@@ -34,7 +36,7 @@ class Shard:
         rest = np.sqrt(np.clip(1 - (scaled * scaled).sum(1), 0, None))
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         value = np.concatenate([scaled, rest[:, None]], 1) @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(value, 0, kind="stable").T)
+        self.order = np.ascontiguousarray(np.argsort(value, 0, kind="stable").T.astype(np.int32))
         self.value = np.take_along_axis(np.ascontiguousarray(value.T), self.order, 1)
 
     def collided(self, queries: np.ndarray, k: int):
@@ -43,7 +45,7 @@ class Shard:
         enough = min(n, max(k + 1, ENOUGH) + int(ENOUGH_SHARE * n))
         at = (queries / np.sqrt((queries * queries).sum(1, keepdims=True))) @ self.axes[:-1]
         out: list = [None] * len(queries)
-        live, half = np.arange(len(queries)), WIDTH
+        live, half = np.arange(len(queries)), np.full(len(queries), WIDTH)
         count = np.zeros((len(queries), n), np.uint8)
         lo = hi = None
         while len(live):
@@ -51,15 +53,17 @@ class Shard:
             new_hi = np.stack([np.searchsorted(v, at[live, j] + half, "right") for j, v in enumerate(self.value)], 1)
             if lo is None:
                 lo = hi = np.array(new_lo)
-            done = np.zeros(len(live), bool)
+            done, size = np.zeros(len(live), bool), np.zeros(len(live), np.int64)
             for i, q in enumerate(live):
                 parts = [self.order[j, a:b] for j in range(PROJECTIONS) for a, b in ((new_lo[i, j], lo[i, j]), (hi[i, j], new_hi[i, j])) if b > a]
                 if parts:
                     count[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.uint8)
                 found = np.flatnonzero(count[q] >= least)
+                size[i] = len(found)
                 if len(found) >= enough:
                     out[q], done[i] = found, True
-            live, lo, hi, half = live[~done], new_lo[~done], new_hi[~done], half * GROWTH
+            half = half * np.where(size >= NEAR_END * enough, FINE, GROWTH)
+            live, lo, hi, half = live[~done], new_lo[~done], new_hi[~done], half[~done]
         return out
 
     def nearest(self, queries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
