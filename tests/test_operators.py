@@ -312,3 +312,21 @@ def test_native_plan_under_a_udf(spark, layout, resize):
     want = _pred(plan.fused(f1_embeddings(spark, SF)))[1]
     for _ in range(4):
         np.testing.assert_allclose(_pred(plan.native(f1_embeddings(spark, SF)))[1], want, rtol=1e-12, atol=1e-12)
+
+
+def test_wide_images_are_generated_in_small_batches(spark, monkeypatch):
+    """A batch of keys is small; the images made from it come in batches of a bounded number of values."""
+    import numpy as np
+
+    from kiln.sources import derived
+    from kiln.spec import TensorSpec
+
+    monkeypatch.setattr(derived, "GENERATED_VALUES", 1000)
+    keys = spark.createDataFrame([(i,) for i in [*range(50), 7, 7]], "k long").coalesce(1)
+    for spec, most in ((TensorSpec.image(8, 8, 3), 1000 // 192), (TensorSpec.image(32, 16, 3), 1)):
+        made = derived.generated_images(keys, "k", spec)
+        sizes = [len(b) for b in derived.image_batches(np.arange(52), spec.size, 31, 7, 256, 0)]
+        assert max(sizes) <= most and sum(sizes) == 52
+        rows = made.collect()
+        want = (np.array([*range(50), 7, 7])[:, None] * 31 + np.arange(spec.size) * 7) % 256
+        assert sorted((x.k, x.image) for x in rows) == sorted((k, v) for k, v in zip([*range(50), 7, 7], want.tolist(), strict=True))
