@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: collision counting over single projections.
 
 Vectors are scaled by the largest norm and given one more component that makes them unit vectors, so the largest
-inner product is the smallest distance.  A shard of at most ``SHARD`` vectors has ``PROJECTIONS`` arrays, each
-sorted by one random projection.  A query's window in each array is centred at its own projection and widened
-round by round (virtual rehashing); a vector that falls into ``SHARE`` of the windows has collided often enough
-and is verified by its exact inner product.  Rounds end when ``ENOUGH`` vectors and ``ENOUGH_SHARE`` of the shard have
-collided, or all of a smaller shard.
+inner product is the smallest distance.  A shard of at most ``SHARD`` vectors has ``PROJECTIONS`` arrays, each of the
+vectors' cells in one random projection, of which there are 256 of equal width, one byte each.  A query's window in each
+array is centred at its own projection, begins at the width that a sample of the shard asks for, and is widened round by
+round (virtual rehashing); a vector whose cell falls into ``SHARE`` of the windows has collided often enough and is
+verified by its exact inner product.  Rounds end when ``ENOUGH`` vectors and ``ENOUGH_SHARE`` of the shard have collided,
+or all of a smaller shard.
 
 Vectors are shuffled to their shard once and its arrays are built once; queries travel: each goes to every shard, behind
 its vectors, and is answered there in blocks of at most ``BLOCK``.  The best ``k`` of each shard meet in one ranking
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from kiln.llm.scratch import tidy, written
 
 SHARD, BLOCK = 16_384, 512
-PROJECTIONS, SHARE, WIDTH, SEED = 80, 0.85, 1.5, 20
+PROJECTIONS, SHARE, SEED = 80, 0.85, 20
+#: Vectors of a shard by which a window's first width is chosen, and queries whose collisions are counted together.
+SAMPLE, AT_ONCE = 256, 64
 #: Growth of a window: far from the end, and once ``NEAR_END`` of the vectors that end a query have collided.
 GROWTH, FINE, NEAR_END = 1.15, 1.03, 0.3
 #: Vectors that must collide before a query ends: so many, and this share of the shard.
@@ -33,37 +36,52 @@ class Shard:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, norm: float):
         self.vectors, self.ids = vectors, ids
         scaled = vectors / norm
+        self.small = scaled.astype(np.float32)
         rest = np.sqrt(np.clip(1 - (scaled * scaled).sum(1), 0, None))
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         value = np.concatenate([scaled, rest[:, None]], 1) @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(value, 0, kind="stable").T.astype(np.int32))
-        self.value = np.take_along_axis(np.ascontiguousarray(value.T), self.order, 1)
+        self.sample = value[:: max(1, len(ids) // SAMPLE)].astype(np.float32)
+        self.low = value.min(0)
+        self.cell = np.maximum((value.max(0) - self.low) / 255, 1e-300)
+        self.cells = np.ascontiguousarray(((value - self.low) / self.cell).T.astype(np.uint8))
+
+    def _begin(self, at: np.ndarray, least: int, enough: int) -> np.ndarray:
+        """The half width at which about ``enough`` vectors collide with each query, by a sample of the shard."""
+        apart = np.partition(np.abs(self.sample[None] - at[:, None].astype(np.float32)), least - 1, axis=2)[:, :, least - 1]
+        nth = min(len(self.sample) - 1, int(enough / len(self.ids) * len(self.sample)))
+        return np.partition(apart, nth, axis=1)[:, nth].astype(np.float64)
+
+    def _counted(self, at: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """(query, vector): in how many projections the vector's cell is in the query's window."""
+        lo = np.clip((at - half[:, None] - self.low) / self.cell, 0, 255).astype(np.uint8)
+        wide = np.clip((at + half[:, None] - self.low) / self.cell, 0, 255).astype(np.uint8) - lo
+        count = np.zeros((len(at), self.cells.shape[1]), np.uint8)
+        apart, hit = np.empty_like(count), np.empty(count.shape, bool)
+        for j, cells in enumerate(self.cells):
+            np.subtract(cells, lo[:, j, None], out=apart)  # cells before the window wrap to beyond its end
+            np.less_equal(apart, wide[:, j, None], out=hit)
+            count += hit.view(np.uint8)
+        return count
 
     def collided(self, queries: np.ndarray, k: int):
         """The vectors that collide often enough with each query."""
         n, least = len(self.ids), int(np.ceil(SHARE * PROJECTIONS))
         enough = min(n, max(k + 1, ENOUGH) + int(ENOUGH_SHARE * n))
-        at = (queries / np.sqrt((queries * queries).sum(1, keepdims=True))) @ self.axes[:-1]
-        out: list = [None] * len(queries)
-        live, half = np.arange(len(queries)), np.full(len(queries), WIDTH)
-        count = np.zeros((len(queries), n), np.uint8)
-        lo = hi = None
-        while len(live):
-            new_lo = np.stack([np.searchsorted(v, at[live, j] - half) for j, v in enumerate(self.value)], 1)
-            new_hi = np.stack([np.searchsorted(v, at[live, j] + half, "right") for j, v in enumerate(self.value)], 1)
-            if lo is None:
-                lo = hi = np.array(new_lo)
-            done, size = np.zeros(len(live), bool), np.zeros(len(live), np.int64)
-            for i, q in enumerate(live):
-                parts = [self.order[j, a:b] for j in range(PROJECTIONS) for a, b in ((new_lo[i, j], lo[i, j]), (hi[i, j], new_hi[i, j])) if b > a]
-                if parts:
-                    count[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.uint8)
-                found = np.flatnonzero(count[q] >= least)
-                size[i] = len(found)
-                if len(found) >= enough:
-                    out[q], done[i] = found, True
-            half = half * np.where(size >= NEAR_END * enough, FINE, GROWTH)
-            live, lo, hi, half = live[~done], new_lo[~done], new_hi[~done], half[~done]
+        out: list = [np.arange(n)] * len(queries)
+        if enough == n:
+            return out
+        every = (queries / np.sqrt((queries * queries).sum(1, keepdims=True))) @ self.axes[:-1]
+        for first in range(0, len(queries), AT_ONCE):
+            at = every[first : first + AT_ONCE]
+            live, half = np.arange(len(at)), self._begin(at, least, enough)
+            while len(live):
+                hit = self._counted(at[live], half) >= least
+                size = hit.sum(1)
+                for i in np.flatnonzero(size >= enough):
+                    out[first + live[i]] = np.flatnonzero(hit[i])
+                more = size < enough
+                half = (half * np.where(size >= NEAR_END * enough, FINE, GROWTH))[more]
+                live = live[more]
         return out
 
     def nearest(self, queries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +92,9 @@ class Shard:
             near = near[self.ids[near] != ids[i]]
             if not len(near):
                 continue
-            rough = self.vectors[near] @ queries[i]
-            if len(near) > k:
-                near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * np.abs(rough).max()]
+            if len(near) > k:  # in single precision first, with a margin beyond its errors
+                rough = self.small.take(near, 0) @ (queries[i] / np.sqrt((queries[i] * queries[i]).sum())).astype(np.float32)
+                near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-6 * np.sqrt(queries.shape[1])]
             score = np.zeros(len(near))
             for j in range(queries.shape[1]):  # one order of addition, so that equal vectors tie
                 score += self.vectors[near, j] * queries[i, j]
@@ -134,7 +152,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     q, i, score = shard.nearest(vectors[at : at + BLOCK], own[at : at + BLOCK], k)
                     yield pa.RecordBatch.from_arrays([pa.array(own[at : at + BLOCK][q]), pa.array(shard.ids[i]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    ordered = data.union(asked).repartition("d", "s").sortWithinPartitions("d", "s", "asks", "id")
+    # a number of its own: by their bytes several shards would be merged into one task, but their work is in the queries
+    ordered = data.union(asked).repartition(4 * shards, "d", "s").sortWithinPartitions("d", "s", "asks", "id")
     pairs = ordered.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

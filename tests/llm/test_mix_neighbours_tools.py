@@ -238,3 +238,21 @@ def test_oracle(spark, key):
     mine = sorted(repr(tuple(r[c] for c in names)) for r in catalog.queries()[key](spark, SF).collect())
     sql = con.execute(f"select {', '.join(names)} from ({catalog.oracle_sql()[key]})").fetchall()
     assert mine == sorted(map(repr, sql))
+
+
+def test_collisions_counted_in_cells():
+    """Counts of whole blocks of queries equal a plain loop over projections, whose windows end at borders of cells."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 24))
+    x[7] = x[8]
+    shard = neighbours.Shard(x, np.arange(3000), float(np.sqrt((x * x).sum(1)).max()))
+    at = (x[:5] / np.sqrt((x[:5] * x[:5]).sum(1, keepdims=True))) @ shard.axes[:-1]
+    half = np.array([0.01, 0.3, 1.0, 2.5, 100.0])
+    count = shard._counted(at, half)
+    for q in range(5):
+        want = np.zeros(3000, int)
+        for j in range(neighbours.PROJECTIONS):
+            lo, hi = (int(np.clip((at[q, j] + h - shard.low[j]) / shard.cell[j], 0, 255)) for h in (-half[q], half[q]))
+            want += (shard.cells[j] >= lo) & (shard.cells[j] <= hi)
+        assert count[q].tolist() == want.tolist()
+    assert (count[4] == neighbours.PROJECTIONS).all() and (count[:, 7] == count[:, 8]).all()
