@@ -330,3 +330,21 @@ def test_wide_images_are_generated_in_small_batches(spark, monkeypatch):
         rows = made.collect()
         want = (np.array([*range(50), 7, 7])[:, None] * 31 + np.arange(spec.size) * 7) % 256
         assert sorted((x.k, x.image) for x in rows) == sorted((k, v) for k, v in zip([*range(50), 7, 7], want.tolist(), strict=True))
+
+
+def test_iter_batches_consumed_in_the_tasks(spark):
+    """With a consumer the driver gets what it makes of each batch, not the rows."""
+    import pyarrow as pa
+
+    from kiln.streaming import ipc_cells, iter_batches
+
+    def total(b):
+        return pa.RecordBatch.from_pydict({"rows": [b.num_rows], "sum": [sum(b.column("id").to_pylist())]})
+
+    d = spark.range(0, 5000, 1, 3)
+    got = [r for b in iter_batches(d, batch_size=100, consume=total) for r in b.to_pylist()]
+    assert sum(r["rows"] for r in got) == 5000 and sum(r["sum"] for r in got) == sum(range(5000))
+    assert max(r["rows"] for r in got) == 100 and len(got) == sum(-(-n // 100) for n in (1666, 1667, 1667))
+    sent = lambda cells: sum(len(c.ipc) for c in cells.collect())
+    assert sent(ipc_cells(d, 100, total)) < 0.2 * sent(ipc_cells(d, 100))
+    assert list(iter_batches(d.where("false"), consume=total)) == []
