@@ -225,3 +225,21 @@ def test_split_read_spreads_without_exchange(spark, tmp_dir):
     many = parquet.read_tensors(spark, path, "image", F2_SPEC, tasks=12)
     assert one.rdd.getNumPartitions() < many.rdd.getNumPartitions() and many.count() == 1500
     assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Tasks of the file readers are cut by what small files cost to open, not by Spark's 4 MiB for each."""
+    from kiln.sources import images
+
+    for i in range(100):
+        (tmp_path / f"{i}.png").write_bytes(encode_png(np.full((4, 4, 3), i, np.uint8)))
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, 1 << 20)
+    try:
+        for format in ("image", "binary"):
+            rows = images.load_images(spark, str(tmp_path), format=format)
+            assert rows.rdd.getNumPartitions() <= 20
+            assert sorted(r.image[0] for r in rows.select("image").collect()) == list(range(100))
+    finally:
+        spark.conf.set(key, before)
+    assert spark.conf.get("spark.sql.files.openCostInBytes").startswith("4194304")
