@@ -107,3 +107,21 @@ def test_native_equals_numpy_property(spark, h, w, c, in_layout, out_layout, res
     df = spark.createDataFrame([(i, [int(v) for v in data[i]]) for i in range(6)], "id long, image array<short>")
     got = collect(df.select("id", pre.native("image").alias("t")), "t")
     np.testing.assert_array_equal(got, pre.numpy(data.reshape(-1, *spec.shape)))
+
+
+def test_doubles_are_rounded_as_by_spark(spark):
+    """The fast rounding gives Spark's values: ties, neighbours of ties, large and tiny values, zeros, no numbers, nulls."""
+    import struct
+
+    rng = np.random.default_rng(3)
+    ties = (rng.integers(0, 10**9, 3000) + 0.5) / 1e6
+    x = np.concatenate([rng.standard_normal(3000), rng.standard_normal(500) * 1e6, np.arange(256) / 256, np.arange(256) / 255, ties, np.nextafter(ties, 0),
+                        np.nextafter(ties, 9e9), 10.0 ** np.arange(-12, 18), [0.0, 999.9999995, 1000.0000005, np.inf, np.nan]])
+    rows = [(0, [*x.tolist(), *(-x).tolist(), None]), (1, []), (2, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    bits = lambda v: None if v is None else [None if e is None or e != e else struct.pack("<d", e) for e in v]
+    for digits in (4, 6):
+        for r in df.select(nat.round_doubles("v", digits).alias("a"), nat.round_values("v", digits).alias("b")).collect():
+            assert bits(r.a) == bits(r.b)
+    plan = df.select(nat.round_doubles("v", 6).alias("a"))
+    assert plan.schema["a"].dataType == df.select(nat.round_values("v", 6).alias("a")).schema["a"].dataType
