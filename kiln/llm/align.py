@@ -31,6 +31,8 @@ from kiln.llm.tokens import _Memo, encoder, file_of
 #: Bytes of text that are encoded and joined together, and that make one row of the blocks' table; a longer text
 #: is a piece and a block of its own.
 PIECE_BYTES, BLOCK_BYTES = 1 << 19, 4 << 20
+#: Blocks that a scan of their table decodes at once: with lists of all their links they are several megabytes each.
+SCAN_BLOCKS = 2
 #: Units of text, and ids of theirs, that a worker remembers at most.
 MEMO, MEMO_IDS = 400_000, 1 << 23
 
@@ -323,7 +325,7 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_i
     zeros.  Texts are taken whole, whatever their length; rows with equal or null ids each give a row and count as
     documents of their own; an empty table gives no rows; other columns are not read.
     """
-    made = written(blocks(docs, byte_file, piece_file, id_col, text_col, block_bytes), "blocks")
+    made = written(blocks(docs, byte_file, piece_file, id_col, text_col, block_bytes), "blocks", batch_rows=SCAN_BLOCKS)
     total = written(pair_counts(made), "pairs")
     places = made.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "p")).select("block", "at", "p.a", "p.b")
     told = places.join(total, ["a", "b"]).select(F.col("block").alias("of"), "at", "count", "best")

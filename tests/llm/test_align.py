@@ -96,3 +96,16 @@ def test_whole_texts_where_cutting_is_not_safe(spark):
     side.cut = False
     whole = side.ids(texts)
     assert cut[0].tolist() == whole[0].tolist() and cut[1].tolist() == whole[1].tolist()
+
+
+def test_scan_of_blocks_holds_few_rows(spark, docs):
+    """Rows of the blocks' table are megabytes wide: its scan decodes ``SCAN_BLOCKS`` of them at once, however many a file has."""
+    from kiln.llm.scratch import written
+    from kiln.sources.parquet import READER_BATCH
+
+    before = spark.conf.get(READER_BATCH)
+    table = written(spark.range(9).coalesce(1), "few", batch_rows=2)
+    per_batch = table.sparkSession.conf.get(READER_BATCH)
+    assert (per_batch, spark.conf.get(READER_BATCH)) == ("2", before)
+    assert sorted(r.id for r in table.collect()) == list(range(9))
+    assert align.align(docs, A, B).sparkSession.conf.get(READER_BATCH) == str(align.SCAN_BLOCKS)
