@@ -27,22 +27,26 @@ _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes."""
-    r = ranks.astype("<u4")
+    r = ranks.astype("<u4", copy=False)
     extra = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
     control = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     control[: len(r)] = extra
     control = control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    return np.bitwise_or.reduce(control, axis=1, dtype=np.uint8).tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    control = control[:, 0] | control[:, 1] | control[:, 2] | control[:, 3]
+    at = np.arange(len(r)) + np.cumsum(extra, dtype=np.int64) - extra
+    data = np.empty(len(r) + int(extra.sum(dtype=np.int64)), np.uint8)
+    data[at] = r.astype(np.uint8)
+    for i in (1, 2, 3):
+        on = np.flatnonzero(extra >= i)
+        data[at[on] + i] = (r[on] >> np.uint32(8 * i)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     length = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     at = np.cumsum(length, dtype=np.int64) - length
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    value = raw[at].astype(np.uint32)
-    for i in (1, 2, 3):
-        value |= raw[at + i].astype(np.uint32) << np.uint32(8 * i)
-    return value & _MASKS[length]
+    four = np.ndarray(len(data), "<u4", data + b"\0\0\0", strides=(1,))  # the four bytes from each place on
+    return four[at] & _MASKS[length]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:

@@ -137,10 +137,25 @@ class Encoder:
         self.n_ids = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.n_ids <= 65536 else "<u4")
         self.memo = _Memo(self.kind)
+        # lower-case ASCII letters are one word of the model as they are, unless an added token is made of such letters
+        added = self.lib.get_added_tokens_decoder().values()
+        self.letters = self.cut == "drop" and all(t.special or not t.content.isalpha() for t in added)
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each piece.  Where a piece is a word that neither normalizer nor pre-tokenizer would change or cut,
+        the library's model gets it without these steps."""
+        if not self.letters:
+            return self._lists(texts)
+        word = self.lib.model.tokenize
+        out = [[t.id for t in word(x)] if x.isascii() and x.isalpha() and x.islower() else None for x in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._lists([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def blocks(self, column, end_id: int):
         """(first row, end row, ids, the rows' offsets there) of runs of rows of a string column; each row's ids
         are followed by ``end_id``, null is empty."""
@@ -202,7 +217,7 @@ class Encoder:
         if len(new):
             raw, leads = data.tobytes(), ("", " ", "\n")
             unit = where[new]
-            self.memo.add(own[new], self._lists([leads[k] + raw[a:b].decode() for a, b, k in zip(lo[unit].tolist(), hi[unit].tolist(), kind[unit].tolist(), strict=True)]))
+            self.memo.add(own[new], self._pieces([leads[k] + raw[a:b].decode() for a, b, k in zip(lo[unit].tolist(), hi[unit].tolist(), kind[unit].tolist(), strict=True)]))
             at, count = self.memo.get(own)
         at, count = at[which], count[which].astype(np.int64)
         total = int(count.sum())

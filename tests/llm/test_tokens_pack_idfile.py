@@ -125,3 +125,20 @@ def test_code_of_every_width():
         control, data = idfile.encode(x[:n])
         assert len(control) == -(-n // 4)
         assert (idfile.decode(control, data, n) == x[:n]).all()
+
+
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    """Lower-case ASCII words have the library's ids without its normalizer and pre-tokenizer; all other pieces pass them."""
+    random.seed(11)
+    plain = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(1, 14))) for _ in range(2000)]
+    other = ["naïve", "x1", "42", "don't", "'s", "日本", "..", "I", "\x01", "a\x01b", "ﬁne", "é"]
+    enc, seen = tokens.Encoder(tokens.file_of(WORD)), []
+    whole = enc._lists
+    monkeypatch.setattr(enc, "_lists", lambda x: seen.extend(x) or whole(x))
+    texts = plain + other + [" ".join(plain[i : i + 9] + other) for i in range(0, 900, 9)]
+    got = []
+    for _, _, ids, at in enc.blocks(pa.array(texts), 1):
+        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    want = library(WORD)
+    assert got == [want(t) for t in texts]
+    assert seen and not set(seen) & set(plain)
