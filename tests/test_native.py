@@ -125,3 +125,21 @@ def test_doubles_are_rounded_as_by_spark(spark):
             assert bits(r.a) == bits(r.b)
     plan = df.select(nat.round_doubles("v", 6).alias("a"))
     assert plan.schema["a"].dataType == df.select(nat.round_values("v", 6).alias("a")).schema["a"].dataType
+
+
+def test_small_tensors_are_written_out(spark):
+    """Rows of the known length are computed by one expression for each element, rows of any other length, null rows and
+    null elements by lambdas: the same values either way."""
+    spec = TensorSpec((4, 3, 3), "HWC", "int16")
+    rows = [(0, list(range(36))), (1, list(range(-100, -64))), (2, [None, *range(35)]), (3, list(range(40))), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id long, image array<short>")
+    pre = Preprocess(spec, resize=(5, 4), crop=3, scale=255.0, dtype="float64", as_uint8=True)
+    for made in (lambda c: nat.rescale(c, 255.0, 36), lambda c: nat.resize(c, spec, (6, 5)), lambda c: nat.resize(c, spec, (2, 2)), pre.native):
+        named, other = df.select("id", made("image").alias("t")), df.select("id", made(F.col("image")).alias("t"))
+        assert "CASE WHEN" in named._jdf.queryExecution().analyzed().toString()
+        assert "CASE WHEN" not in other._jdf.queryExecution().analyzed().toString()
+        assert named.schema["t"].dataType == other.schema["t"].dataType
+        assert named.orderBy("id").collect() == other.orderBy("id").collect()
+        n = len(named.where("id = 0").first().t)
+        a, b = (x.select("id", nat.round_doubles("t", 4, k).alias("t")).orderBy("id").collect() for x, k in ((named, n), (other, None)))
+        assert a == b
