@@ -348,3 +348,29 @@ def test_iter_batches_consumed_in_the_tasks(spark):
     sent = lambda cells: sum(len(c.ipc) for c in cells.collect())
     assert sent(ipc_cells(d, 100, total)) < 0.2 * sent(ipc_cells(d, 100))
     assert list(iter_batches(d.where("false"), consume=total)) == []
+
+
+def test_full_size_images_travel_in_small_batches(spark, tmp_dir):
+    """The step behind the generator sees batches of ``GENERATED_VALUES`` values, whatever the session's batches are."""
+    import pyarrow as pa
+
+    from kiln.sources import derived
+
+    before = spark.conf.get(resources.BATCH_ROWS)
+    spark.range(30).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_dir}/supplier.parquet")
+    made = derived.f3_images(spark, tmp_dir, "supplier", "s_suppkey")
+    seen = made.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64())}) for b in it), "rows long")
+    rows = [r.rows for r in seen.collect()]
+    assert sum(rows) == 30 and max(rows) <= derived.GENERATED_VALUES // derived.F3_SPEC.size
+    assert spark.conf.get(resources.BATCH_ROWS) == before
+
+
+def test_part_images_are_made_by_all_tasks(spark, tmp_dir):
+    """One split of keys does not make all images and files in one task."""
+    from kiln.sources import derived
+
+    spark.range(400).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_dir}/part.parquet")
+    for images in (derived.f4_part_images(spark, tmp_dir), derived.f5_variable_part_images(spark, tmp_dir)):
+        held = images.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(held) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in held) == 400
+        assert images.select("p_partkey").distinct().count() == 400
