@@ -243,3 +243,12 @@ def test_small_files_share_tasks(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert spark.conf.get("spark.sql.files.openCostInBytes").startswith("4194304")
+
+
+def test_full_size_images_are_made_by_all_tasks(spark):
+    """A table of keys is one split; the images made from it are not one task's."""
+    small = TensorSpec((2, 2, 3), "HWC", "int16")
+    made = f3_images(spark, SF, "supplier", "s_suppkey", small)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    want = {r.s_suppkey: [(r.s_suppkey + 7 * i) % 256 for i in range(12)] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    assert {r.s_suppkey: r.image for r in made.collect()} == want and len(want) == 10
