@@ -252,3 +252,32 @@ def test_full_size_images_are_made_by_all_tasks(spark):
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
     want = {r.s_suppkey: [(r.s_suppkey + 7 * i) % 256 for i in range(12)] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     assert {r.s_suppkey: r.image for r in made.collect()} == want and len(want) == 10
+
+
+def test_queries_write_image_files_into_folders(spark, tmp_dir):
+    """No folder holds all the files of a table, and the readers find those of all folders."""
+    from kiln.plans import catalog
+
+    keys = spark.range(300).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size")
+    keys.coalesce(1).write.parquet(f"{tmp_dir}/part.parquet")
+    for path in (catalog._png_folder(spark, tmp_dir), catalog._cut_png_folder(spark, tmp_dir)):
+        held = [len(files) for _, _, files in os.walk(path)]
+        assert sum(held) == 300 and max(held) < 30
+        report = images.image_report(spark, path).first()
+        assert (report.files, report.decoded + report.invalid) == (300, 300) and report.invalid == (30 if "-cut-" in path else 0)
+    got = {r.p_partkey: r.image for r in catalog.s3_image_files(spark, tmp_dir).collect()}
+    assert got == {k: [(k * 17 + i * 5) % 256 for i in range(192)] for k in range(300)}
+
+
+def test_tasks_of_the_image_readers_stay_short(spark, tmp_path):
+    """A file costs a decoder milliseconds: a task takes as many files as 128 KiB each allow, not thousands."""
+    for i in range(100):
+        (tmp_path / f"{i}.png").write_bytes(encode_png(np.full((4, 4, 3), i, np.uint8)))
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, 1 << 20)
+    try:
+        rows = images.load_images(spark, str(tmp_path), format="image")
+        held = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(held) == 100 and max(held) <= 8
+    finally:
+        spark.conf.set(key, before)
