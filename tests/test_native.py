@@ -159,3 +159,33 @@ def test_digests_are_summed_by_compiled_rows(spark):
         units = lambda t: sum(int(np.floor(x * scale + 0.5)) * (i % 1009 + 1) for i, x in enumerate(t))
         want = [(k, None if t is None else len(t), None if t is None or None in t else units(t)) for k, t in rows]
         assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kw", [
+    dict(resize=None, crop=9, scale=255.0),
+    dict(resize=None, crop=(7, 10), scale=None, as_uint8=True, layout="HWC", dtype="float32"),
+    dict(resize=None, crop=None, scale=256.0, mean=(0.5,), std=(0.25,)),
+    dict(resize=9, crop=8, scale=255.0),
+    dict(resize=(14, 9), crop=None, scale=None, layout="HWC"),
+    dict(resize=15, crop=12, scale=256.0, as_uint8=True, mean=(0.5,), std=(0.25,), dtype="float32"),
+])
+@pytest.mark.parametrize("in_layout", ["HWC", "CHW"])
+def test_preprocess_of_wider_images(spark, kw, in_layout):
+    """Images too wide to be written out: pixels in and out of the range of a byte and nulls; elements by table, lines of a
+    resize joined pairwise, so that each mean along the width is taken once."""
+    spec = TensorSpec.image(12, 18, 3, layout=in_layout)
+    pre = Preprocess(spec, **{"dtype": "float64", **kw})
+    data = np.random.default_rng(11).integers(-300, 600, size=(5, spec.size)).astype(np.int16)
+    df = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(data)], "id long, image array<short>")
+    made = df.select("id", pre.native("image").alias("t"))
+    want = pre.numpy(data.reshape(-1, *spec.shape))
+    if pre.dtype == "float64":
+        np.testing.assert_array_equal(collect(made, "t"), want)
+    else:
+        np.testing.assert_allclose(collect(made, "t"), want, rtol=1e-5, atol=1e-5)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "zip_with" in plan if kw["resize"] else ("coalesce" in plan) == (pre.layout[-1] != in_layout[-1])
+    rows = [(0, [None, *range(1, spec.size)]), (1, list(range(spec.size)))]
+    hole, full = (r.t for r in spark.createDataFrame(rows, "id long, image array<short>").orderBy("id").select(pre.native("image").alias("t")).collect())
+    assert [a for a, b in zip(hole, full, strict=True) if a is not None and a != b] == []
+    assert full.count(None) == 0 and (pre.crop is not None or hole.count(None) > 0)
