@@ -281,3 +281,73 @@ def test_tasks_of_the_image_readers_stay_short(spark, tmp_path):
         assert sum(held) == 100 and max(held) <= 8
     finally:
         spark.conf.set(key, before)
+
+
+def _png(rows, ctype, w, h, depth=8, extra=b""):
+    """A PNG of filtered lines."""
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    data = chunk(b"IDAT", zlib.compress(rows)[:9]) + chunk(b"IDAT", zlib.compress(rows)[9:])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, ctype, 0, 0, 0)) + extra + data + chunk(b"IEND", b"")
+
+
+@pytest.fixture()
+def odd_files(tmp_dir):
+    """Files of many kinds, in folders and under names that patterns and URIs would read otherwise."""
+    import struct
+    import zlib
+
+    rng, files = np.random.default_rng(2), {}
+    for c, ctype in ((1, 0), (2, 4), (3, 2), (4, 6)):
+        for kinds in ([0] * 5, [1, 2, 0, 2, 1], [2, 2, 1, 1, 0], [1, 3, 4, 0, 2]):
+            lines = b"".join(bytes([k]) + rng.integers(0, 256, 7 * c, dtype=np.uint8).tobytes() for k in kinds)
+            files[f"c{c}/{''.join(map(str, kinds))}.png"] = _png(lines, ctype, 7, 5)
+    good = files["c3/00000.png"]
+    palette = struct.pack(">I", 12) + b"PLTE" + bytes(range(12)) + struct.pack(">I", zlib.crc32(b"PLTE" + bytes(range(12))))
+    files["palette.png"] = _png(b"".join(bytes([0, 0, 1, 2, 3]) for _ in range(3)), 3, 4, 3, extra=palette)
+    files["deep.png"] = _png(b"".join(bytes([0]) + bytes(range(12)) for _ in range(2)), 2, 2, 2, depth=16)
+    pixels = bytes(range(24))
+    files["x.bmp"] = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + 24, 0, 0, 54, 40, 4, 2, 1, 24, 0, 24, 0, 0, 0, 0) + pixels
+    files |= {f"cut/{n}.png": good[:n] for n in (0, 5, 8, 20, 32, 33, 60, len(good) - 14, len(good) - 5)}
+    files |= {"bad sum.png": good[:-1] + b"?", "tail.png": good + b"??", "text.txt": b"no image", "a [b]{c}*?/x%41 é,&\"#.png": good, "a=b/_c=d/in.png": good,
+              "_out/no.png": good, "x/.no.png": good, "x/no._COPYING_": good, "_metadata": b"read by Spark"}
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{tmp_dir}/{name}"), exist_ok=True)
+        with open(f"{tmp_dir}/{name}", "wb") as f:
+            f.write(data)
+    return tmp_dir
+
+
+@pytest.mark.parametrize("on_invalid", ["null", "drop"])
+@pytest.mark.parametrize("indexed", [50_000, 7])
+def test_listed_images_are_those_of_sparks_source(spark, odd_files, monkeypatch, on_invalid, indexed):
+    """Whatever the executors decode themselves and whatever is left to the JVM, at once or in parts: the same rows."""
+    monkeypatch.setattr(images, "INDEXED_FILES", indexed)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for glob in (None, "*.png", "{x*,?al*}"):
+        got = images.read_image_files(spark, odd_files, on_invalid=on_invalid, glob=glob, raw=True)
+        want = rows(images._jvm_images(spark, [odd_files], on_invalid, glob))
+        assert rows(got) == want and len(want) > (5 if glob is None else 1)
+    kept = images.read_image_files(spark, odd_files, on_invalid=on_invalid)
+    assert kept.where("image is null").count() == (0 if on_invalid == "drop" else kept.count() - kept.where("height > 0").count())
+
+
+def test_binary_images_keep_their_paths(spark, odd_files):
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(odd_files)
+    got = images.read_binary_images(spark, odd_files, on_invalid="null")
+    assert sorted(r.path for r in got.collect()) == sorted(r.path for r in source.select("path").collect())
+    some = images.read_binary_images(spark, odd_files, on_invalid="drop", glob="0*.png")
+    assert some.count() == 4 and {os.path.basename(r.path) for r in some.collect()} == {"00000.png"}
+
+
+@pytest.mark.parametrize("fmt", ["image", "binary"])
+def test_the_driver_does_not_index_image_files(spark, png_dir, fmt):
+    """The files are listed and read by tasks: no scan of Spark's lies over the folder."""
+    df = images.load_images(spark, png_dir[0], format=fmt, on_invalid="null")
+    assert png_dir[0] not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 5
+    assert images.load_images(spark, f"{png_dir[0]}/1.png", format=fmt).count() == 1
+    assert images.load_images(spark, f"{png_dir[0]}/[01].png", format=fmt).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        images.load_images(spark, f"{png_dir[0]}/none", format=fmt).count()
